@@ -93,8 +93,9 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     out = lambda keep, n, kept: [F.col("_id").alias(id_col), keep.alias("keep_id"), n.cast("long").alias("group_size"), kept.alias("kept"), F.col("_sha").alias("text_sha256")]
     maybe = slim.where("_maybe")
-    groups = maybe.groupBy("_sha").agg(
-        F.count("*").alias("_n"), F.max(F.struct(F.col("_id").isNotNull(), "_id", "_row")).alias("_best")
+    groups = stage(  # as a table, so that the join below deals both sides anew and can split a hot text
+        maybe.groupBy("_sha").agg(F.count("*").alias("_n"), F.max(F.struct(F.col("_id").isNotNull(), "_id", "_row")).alias("_best")),
+        "dedup-groups",
     )
     return (
         slim.where("not _maybe")
@@ -118,13 +119,14 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     probed = _probe(
         whole.select("_doc", "_id", F.sha2("_norm", 256).alias("_sha"), *_places(F.col("_norm"), blocks)), filt, blocks
     )
-    best = (
+    best = stage(
         _probe(whole.select("_id", F.sha2("_norm", 256).alias("_sha"), *_places(F.col("_norm"), blocks)), filt, blocks)
         .where("_maybe")
         .groupBy("_sha", "_id")
         .agg(F.count("*").alias("_same"))
         .groupBy("_sha")
-        .agg(F.max(F.struct(F.col("_id").isNotNull(), "_id", "_same")).alias("_best"))
+        .agg(F.max(F.struct(F.col("_id").isNotNull(), "_id", "_same")).alias("_best")),
+        "dedup-groups",
     )
     winners = probed.where("_maybe").join(best, "_sha").where(F.col("_id").eqNullSafe(F.col("_best._id")))
     return (

@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
-from .common import table
+from . import exact_dedup, toxicity
+from .common import held_out, table
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    s = F.col("_toxic.score")
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out("doc_id", toxicity.FOLDS, toxicity.HELD_OUT_FOLD).alias("held_out"), s.alias("score"),
+        (s >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.col("_toxic.worst_start").alias("worst_start"), F.col("_toxic.worst_end").alias("worst_end"), F.col("_toxic.n_offending").alias("n_offending"),
+    )
+
+
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
