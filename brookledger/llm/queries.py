@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, toxicity
+from . import bpe, exact_dedup, toxicity
 from .common import held_out, table
 
 
@@ -24,9 +25,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(docs, path, public_tokenizers.PATTERN).select("doc_id", "_bpe.*")
+
+
 QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE_SQL = {
