@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, secrets, toxicity
+from . import bpe, exact_dedup, packing, quality, secrets, toxicity
 from .common import held_out, table
 
 
@@ -20,6 +20,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = F.col("_quality")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).select(
+        "doc_id", held_out("doc_id", quality.FOLDS, quality.HELD_OUT_FOLD).alias("held_out"), s.alias("score"),
+        (s >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
@@ -49,6 +58,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
 }
