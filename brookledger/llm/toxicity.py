@@ -9,8 +9,8 @@ offending sentences.
 
 The model is fitted on at most ``per_class`` labelled documents of either
 class, taken in the order of a hash of their ids outside the held-out fold.
-Their features are computed by Spark tasks; sparse ids of a bounded number of
-documents reach the driver. Every document is scored over its whole text.
+Their features are computed and counted by Spark tasks; sparse ids of a bounded
+number of documents reach the driver. Every document is scored over its whole text.
 
 Defined results: null text counts as empty and scores as one empty sentence;
 a document without labels is only scored; rows that repeat an id are scored
@@ -30,13 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_ids, text_of
+from .common import labelled_ids, stage, text_of
 
 FOLDS, HELD_OUT_FOLD, THRESHOLD = 3, 1, 0.7
-PER_CLASS = 3000
+PER_CLASS = 2500
 #: A feature counts if so many documents of the sample have it.
 MIN_DOCS = 5
-EPOCHS, RATE, L2 = 150, 0.1, 1e-2
+#: It must be so many times as frequent in toxic documents.
+LIFT = 3
+EPOCHS, RATE, SPARSE = 300, 0.1, 0.3
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Words remembered between batches before a worker starts afresh.
@@ -75,49 +77,69 @@ def _features(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "label", "ids", "sizes"])
 
 
+def _only(ids: np.ndarray, sizes: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bags without the features that aren't in ``kept`` (sorted)."""
+    known = np.isin(ids, kept)
+    return ids[known], np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes)).astype(np.int32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Learns from ``labels.toxic`` of rows outside the held-out fold."""
+    """Learns from ``labels.toxic`` of rows outside the held-out fold.
+
+    Features that don't set toxic documents apart are dropped by a grouped
+    count before anything reaches the driver.
+    """
     chosen = labelled_ids(labels, "toxic", FOLDS, HELD_OUT_FOLD, per_class)
-    rows = (
+    bags = stage(
         docs.select("doc_id", text_of().alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class ids
         .select("doc_id", "label", "text")
         .mapInPandas(_features, "doc_id long, label int, ids array<int>, sizes array<int>")
-        .dropDuplicates(["doc_id"])
-        .toPandas()
-        .sort_values("doc_id")
+        .dropDuplicates(["doc_id"]),
+        "toxicity-bags",
     )
-    return learn(list(rows["ids"]), list(rows["sizes"]), rows["label"].to_numpy(float))
+    size = {r["label"]: r["n"] for r in bags.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    positive, negative = size.get(1, 0), size.get(0, 0)
+    seen = bags.select("label", F.explode(F.array_distinct("ids")).alias("id")).groupBy("id").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
+    telling = (F.col("p") >= MIN_DOCS) & (F.col("p") * (negative + 1) >= LIFT * (F.col("n") - F.col("p") + 1) * (positive + 1))
+    kept = np.sort(seen.where(telling).select("id").toPandas()["id"].to_numpy(np.int32))
+
+    def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [_only(np.asarray(i, np.int32), np.asarray(s, np.int32), kept) for i, s in zip(pdf["ids"], pdf["sizes"])]
+            yield pdf.assign(ids=[x[0] for x in got], sizes=[x[1] for x in got])
+
+    rows = bags.mapInPandas(only, bags.schema).toPandas().sort_values("doc_id")
+    return learn(list(rows["ids"]), list(rows["sizes"]), rows["label"].to_numpy(float), kept)
 
 
-def learn(ids: list, sizes: list, y: np.ndarray) -> Model:
-    """Adam on the log-likelihood of the noisy-or, both classes weighted as sampled."""
+def learn(ids: list, sizes: list, y: np.ndarray, kept: np.ndarray) -> Model:
+    """Gradient steps on the likelihood of the noisy-or over the features ``kept``
+    (sorted). A word can only make a sentence likelier to be toxic, and a sparse
+    penalty sets the weights of chance features to zero."""
     share = float(y.mean()) if len(y) else 0.0
-    if share in (0.0, 1.0):
-        return Model({}, 30.0 if share else -30.0)
-    in_docs = np.unique(np.concatenate([np.unique(np.asarray(x, np.int32)) for x in ids]), return_counts=True)
-    seen = in_docs[0][in_docs[1] >= MIN_DOCS]  # sorted
+    if share in (0.0, 1.0) or not len(kept):
+        return Model({}, 30.0 if share == 1 else -30.0)
     flat = np.concatenate([np.asarray(x, np.int32) for x in ids])
     per_sentence = np.concatenate([np.asarray(x, np.int64) for x in sizes])
-    sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
-    doc = np.repeat(np.arange(len(y)), [len(x) for x in sizes])
-    known = np.isin(flat, seen)
-    flat, sentence = np.searchsorted(seen, flat[known]).astype(np.int32), sentence[known].astype(np.int32)
-    w, b = np.zeros(len(seen)), -4.0
+    sentence = np.repeat(np.arange(len(per_sentence), dtype=np.int32), per_sentence)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in sizes])
+    flat = np.searchsorted(kept, flat).astype(np.int32)
+    w, b = np.zeros(len(kept)), -4.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, EPOCHS + 1):
         z = np.clip(np.bincount(sentence, w[flat], len(per_sentence)) + b, -30, 30)
         p = 1 / (1 + np.exp(-z))
         clean = np.exp(-np.bincount(doc, np.logaddexp(0, z), len(y)))  # probability of no toxic sentence
         slope = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)[doc] * p / len(y)
-        g = np.bincount(flat, slope[sentence], len(w)) + L2 * w / len(y)
+        g = np.bincount(flat, slope[sentence], len(w)) + SPARSE / len(y)
         gb = slope.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
-        w -= RATE * (m / c1) / (np.sqrt(v / c2) + 1e-6)
+        w = np.maximum(w - RATE * (m / c1) / (np.sqrt(v / c2) + 1e-6), 0)
         b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
-    return Model({int(f): float(x) for f, x in zip(seen.view(np.uint32), w) if abs(x) > 1e-3}, float(b))
+    return Model({int(f): float(x) for f, x in zip(kept.view(np.uint32), w) if x > 1e-3}, float(b))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
