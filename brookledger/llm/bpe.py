@@ -31,18 +31,20 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Words a worker remembers before it starts afresh.
-CACHE = 300_000
-#: Code points, and ids, handed to DuckDB at once (a longer text goes alone).
-CHUNK_CHARS, CHUNK_IDS = 2_000_000, 1_000_000
+#: Words a worker remembers; beyond, those that it hasn't met lately go.
+CACHE = 400_000
+#: Code points encoded, ids decoded and new words contracted at once (a longer text goes alone).
+CHUNK_CHARS, CHUNK_IDS, CHUNK_WORDS = 4_000_000, 1_000_000, 50_000
 
 CONTRACT = """
 WITH RECURSIVE s AS (
     SELECT 0 AS step, word, pos, id FROM token_rows
     UNION ALL
     (WITH pairs AS (
-        SELECT step, word, pos, id, lead(id) OVER w AS next_id, lag(pos) OVER w AS before
-        FROM s WINDOW w AS (PARTITION BY word ORDER BY pos)),
+        SELECT step, word, pos, id,
+               CASE WHEN lead(word) OVER w = word THEN lead(id) OVER w END AS next_id,
+               CASE WHEN lag(word) OVER w = word THEN lag(pos) OVER w END AS before
+        FROM s WINDOW w AS (ORDER BY pos)),
     ranked AS (SELECT pairs.*, merged FROM pairs LEFT JOIN merges ON id = left_id AND next_id = right_id),
     best AS (
         SELECT word, min((merged::BIGINT << 32) | pos) AS key
@@ -50,9 +52,9 @@ WITH RECURSIVE s AS (
     SELECT step + 1, word, pos, CASE WHEN pos = (key & 4294967295) THEN (key >> 32)::INT ELSE id END
     FROM ranked JOIN best USING (word) WHERE before IS DISTINCT FROM (key & 4294967295))
 )
-SELECT word, list(id ORDER BY pos) AS ids
+SELECT word, id
 FROM s JOIN (SELECT word, max(step) AS step FROM s GROUP BY word) USING (word, step)
-GROUP BY word"""
+ORDER BY pos"""
 
 DECODE = """
 SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex, count(*) AS n
@@ -80,37 +82,42 @@ class Codec:
         self.con.execute("CREATE TABLE vocabulary AS FROM vocabulary")
         self.byte_ids = np.asarray([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.known: dict[str, np.ndarray] = {}
+        self.names = list(map(str, range(1 + max(ranks.values()))))
+        self.known: dict[str, bytes] = {}  # each word's ids as 32-bit integers
+        self.before: dict[str, bytes] = {}
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+    def contract(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word that isn't a token by itself, by the recursive query."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         token_rows = pd.DataFrame({  # noqa: F841
             "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
-            "pos": np.arange(sizes.sum(), dtype=np.int64),
+            "pos": np.arange(sizes.sum(), dtype=np.int64),  # ascending over all words
             "id": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)],
         })
         got = self.con.execute(CONTRACT).fetchnumpy()
-        out: list = [None] * len(words)
-        for word, ids in zip(got["word"], got["ids"]):
-            out[word] = np.asarray(ids, np.int32)
-        return out
+        raw = np.ascontiguousarray(got["id"], np.int32).tobytes()
+        ends = (4 * np.cumsum(np.bincount(got["word"], minlength=len(words)))).tolist()
+        return [raw[start:end] for start, end in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(t) for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         todo = []
         for word in set(chain.from_iterable(split)) - self.known.keys():
+            if (old := self.before.get(word)) is not None:
+                self.known[word] = old
+                continue
             whole = self.ranks.get(raw := word.encode("utf-8"))
             if whole is None:
                 todo.append((word, raw))
             else:
-                self.known[word] = np.asarray([whole], np.int32)
-        if todo:
-            self.known.update(zip((w for w, _ in todo), self.contract([raw for _, raw in todo])))
+                self.known[word] = np.asarray([whole], np.int32).tobytes()
+        for k in range(0, len(todo), CHUNK_WORDS):
+            part = todo[k : k + CHUNK_WORDS]
+            self.known.update(zip((w for w, _ in part), self.contract([raw for _, raw in part])))
         of = self.known.__getitem__
-        return [np.concatenate(list(map(of, words))) if words else np.empty(0, np.int32) for words in split]
+        return [np.frombuffer(b"".join(map(of, words)), np.int32) for words in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -193,7 +200,7 @@ def digests(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text
             encoded = codec.encode(run)
             decoded = [raw for some in _pieces(encoded, CHUNK_IDS) for raw in codec.decode(some)]
             for ids, raw in zip(encoded, decoded):
-                out.append((len(ids), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
+                out.append((len(ids), hashlib.sha256(",".join(map(codec.names.__getitem__, ids.tolist())).encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     returns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
