@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, secrets, toxicity
+from . import bpe, exact_dedup, fingerprints, packing, quality, secrets, toxicity
 from .common import held_out, table
 
 
@@ -54,6 +54,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, path, public_tokenizers.PATTERN).select("doc_id", "_bpe.*")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_toxicity": op4_toxicity,
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLE_SQL = {
