@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, packing, quality, secrets, toxicity
+from . import bpe, exact_dedup, fingerprints, packing, quality, secrets, toxicity, warc
 from .common import held_out, table
 
 
@@ -58,6 +58,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_next(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read(made, warc.scan(made), payloads=False).drop("url", "payload")
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_toxicity": op4_toxicity,
@@ -66,9 +71,19 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_fingerprints": op9_fingerprints,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+        r AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(sha, 1 + 10 * (i // 8)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM r""",
     "op7_exact_dedup": """
         WITH t AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
