@@ -1,18 +1,49 @@
-"""The corpus pipeline: STAGES, run() and ORACLE_SQL."""
+"""The corpus pipeline: STAGES, run() and ORACLE_SQL.
+
+Each stage works on all rows its predecessor kept. All but the last return the
+columns of ``documents``; the last returns where each piece of each document goes.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brookledger.llm import exact_dedup
+from brookledger.llm import exact_dedup, near_dedup, packing, secrets, toxicity
 from brookledger.llm.common import stage, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least the threshold go; the model learns from the labelled documents among ``docs``."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("_toxic.score") < toxicity.THRESHOLD).drop("_toxic")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets give way to a mark; ``n_chars`` follows the text where there is one."""
+    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
 
 #: SQL can't train the classifier, align texts, unwrap layers or pack.
 ORACLE_SQL = None
