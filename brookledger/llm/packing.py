@@ -25,7 +25,9 @@ result; further columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,36 +40,61 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, stage, text_of
 
 CAPACITY, END_ID = 4096, 1
-#: Words a worker remembers before it starts afresh.
-CACHE = 400_000
+#: Runs a worker remembers; beyond, those that it hasn't met lately go.
+CACHE = 500_000
+#: A full stop or comma between a letter and white space: a word of its own to the tokenizer.
+ENDED = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=[ \n])")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(source: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_str(source), {"": b""}
-
+class Words:
+    """Ids of the runs between white space, remembered as little-endian 32-bit integers."""
+
+    def __init__(self, source: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(source)
+        self.known, self.before = {"": b""}, {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text.
+
+        The tokenizer's words never cross a space or line feed, so each run between
+        them is encoded once. It folds case and splits a letter from a mark, so both
+        are done first where that can't change the ids: fewer runs differ.
+        """
+        split = [_plain(t).replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > CACHE:
+            self.known, self.before = {"": b""}, self.known
+        new = []
+        for run in set().union(*split) - self.known.keys():
+            if (old := self.before.get(run)) is None:
+                new.append(run)
+            else:
+                self.known[run] = old
+        for k in range(0, len(new), 5000):
+            part = new[k : k + 5000]
+            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in got)))
+        of = self.known.__getitem__
+        return [b"".join(map(of, runs)) for runs in split]
+
+
+def _plain(text: str) -> str:
+    """Lower case, and a space before a mark that ends a word, for texts in Latin-1 without special tokens."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return ENDED.sub(r" \1", text.lower())
 
-def encode(source: str, texts: list[str]) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit integers.
 
-    The tokenizer's words never cross a space or line feed, so each run between
-    them is encoded once and remembered.
-    """
-    tokenizer, known = _tokenizer(source)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    if len(known) > CACHE:
-        known.clear()
-        known[""] = b""
-    new = list(set().union(*split) - known.keys())
-    for k in range(0, len(new), 5000):
-        part = new[k : k + 5000]
-        known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-    of = known.__getitem__
-    return [b"".join(map(of, words)) for words in split]
+@lru_cache(maxsize=2)
+def _words(source: str) -> Words:
+    return Words(source)
 
 
 def _tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, finish, returns: str, id_col: str, text_col: str) -> DataFrame:
@@ -79,7 +106,7 @@ def _tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
         for pdf in batches:
             for k in range(0, len(pdf), 1000):
                 out, part = [], pdf.iloc[k : k + 1000]
-                for doc_id, raw in zip(part["_id"].tolist(), encode(shared.value, part["_text"].tolist())):
+                for doc_id, raw in zip(part["_id"].tolist(), _words(shared.value).encode(part["_text"].tolist())):
                     raw += end
                     out += [finish(None if doc_id is None or doc_id != doc_id else int(doc_id), i, i * capacity, raw[p : p + step]) for i, p in enumerate(range(0, len(raw), step))]
                 yield pd.DataFrame(out, columns=[x.split()[0] for x in returns.split(", ")]).astype({"doc_id": "Int64"})
