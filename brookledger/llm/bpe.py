@@ -104,7 +104,9 @@ class Codec:
         if len(self.known) > CACHE:
             self.known, self.before = {}, self.known
         todo = []
-        for word in set(chain.from_iterable(split)) - self.known.keys():
+        for word in set(chain.from_iterable(split)):
+            if word in self.known:
+                continue
             if (old := self.before.get(word)) is not None:
                 self.known[word] = old
                 continue

@@ -68,7 +68,9 @@ class Words:
         if len(self.known) > CACHE:
             self.known, self.before = {"": b""}, self.known
         new = []
-        for run in set().union(*split) - self.known.keys():
+        for run in set().union(*split):
+            if run in self.known:
+                continue
             if (old := self.before.get(run)) is None:
                 new.append(run)
             else:
