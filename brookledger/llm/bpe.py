@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Words a worker remembers; beyond, those that it hasn't met lately go.
-CACHE = 400_000
+CACHE = 200_000
 #: Code points encoded, ids decoded and new words contracted at once (a longer text goes alone).
-CHUNK_CHARS, CHUNK_IDS, CHUNK_WORDS = 4_000_000, 1_000_000, 50_000
+CHUNK_CHARS, CHUNK_IDS, CHUNK_WORDS = 2_000_000, 400_000, 20_000
 
 CONTRACT = """
 WITH RECURSIVE s AS (
@@ -77,7 +77,7 @@ class Codec:
         rows = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         merges = pd.DataFrame(np.asarray(rows, np.int32).reshape(-1, 3), columns=["left_id", "right_id", "merged"])  # noqa: F841
         vocabulary = pd.DataFrame({"id": np.asarray(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})  # noqa: F841
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         self.con.execute("CREATE TABLE merges AS FROM merges")
         self.con.execute("CREATE TABLE vocabulary AS FROM vocabulary")
         self.byte_ids = np.asarray([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
