@@ -204,6 +204,55 @@ ORACLE_SQL: dict[str, str] = {
     "o6_event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(sum(value::DECIMAL(18,4)), 2)::DOUBLE AS value FROM events GROUP BY ALL",
 }
 
+KEYWORD_SKIP = listed(rules.STATEMENT_STOPWORDS)
+FLAT = r"trim(regexp_replace(lower(text), '[\s_\-/\\]+', ' ', 'g'))"
+
+
+def slab_sum(income: str, brackets) -> str:
+    """Tax on slabs, each part rounded half up to the paisa; amounts have two places."""
+    parts, lower = [], 0
+    for upper, percent in brackets:
+        top = f"({income})" if upper is None else f"least({income}, {upper})"
+        parts.append(f"floor((greatest({top} - {lower}, 0)::DECIMAL(20,2) * {percent * 100} + 50) / 100)")
+        lower = upper
+    return "((" + " + ".join(parts) + ") / 100)"
+
+
+ORACLE_SQL |= {
+    "h23_text_quality": f"""SELECT doc_id, length(trim(text)) < 60 OR length(regexp_replace(trim(text), '[^\\p{{L}}]', '', 'g'))::DOUBLE / greatest(length(trim(text)), 1) < 0.15 AS low_signal,
+        len(list_distinct(list_filter(regexp_extract_all({FLAT}, '[a-z0-9]{{3,}}'), lambda w: NOT list_contains({KEYWORD_SKIP}, w) AND NOT regexp_full_match(w, '[0-9]+'))[1:80]))::BIGINT AS keywords FROM documents""",
+    "h24_difficulty": """WITH d AS (SELECT doc_id, length(text)::DOUBLE AS n, length(text) - length(replace(text, chr(10), '')) + 1 AS l, length(regexp_replace(text, '[^|~`\f]', '', 'g'))::DOUBLE AS z FROM documents),
+        s AS (SELECT doc_id, 0.75 + least(3.0, n / 14000) + least(2.0, l / 1200.0) + least(1.5, z / greatest(n, 1) * 100 / 3) AS x FROM d)
+        SELECT doc_id, round(x::DOUBLE, 4) AS score, CASE WHEN x < 3.5 THEN 'low' WHEN x < 6.5 THEN 'medium' ELSE 'high' END AS band FROM s""",
+    "i11_card_integrity": with_(LEDGER, ROWS, "x AS (SELECT statement_id, total_due::DOUBLE AS due, 10000.0::DOUBLE AS prev, closing_balance::DOUBLE AS closing, row_count, (SELECT coalesce(sum(amount) FILTER (direction = 'debit'), 0) - coalesce(sum(amount) FILTER (direction = 'credit'), 0) FROM stmt_rows r WHERE r.statement_id = s.statement_id)::DOUBLE AS net FROM statements s WHERE account_type = 'credit_card')",
+        select="SELECT statement_id, net AS net_activity, round(abs(due - net), 2) AS due_gap, round(abs(closing - round(prev + net, 2)), 2) AS closing_gap, CASE WHEN abs(due - (prev + net)) <= greatest(500, abs(due) * 0.10) OR abs(due - net) <= greatest(500, abs(due) * 0.10) OR abs(closing - (prev + net)) <= greatest(250, abs(closing) * 0.02) THEN 'ok' ELSE 'review' END AS status FROM x"),
+    "c16_reimported": with_(LEDGER, "o AS (SELECT txn_id, 'f' || (txn_id % 900) AS fh, user_id || '|' || strftime(transaction_date, '%Y-%m') AS fp, transaction_date || '|' || (amount * 100)::BIGINT || '|' || substr(upper(merchant_raw), 1, 30) AS sig FROM (SELECT * REPLACE (trim(regexp_replace(regexp_replace(upper(merchant_raw), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS merchant_raw) FROM ledger))",
+        "n AS (SELECT txn_id, CASE WHEN txn_id % 2 = 0 THEN fh ELSE 'new' END AS fh, CASE WHEN txn_id % 9 = 0 THEN fp ELSE 'other' END AS fp, sig FROM o WHERE txn_id % 3 = 0)",
+        select="SELECT txn_id FROM n WHERE EXISTS (SELECT 1 FROM o WHERE o.fh = n.fh AND o.sig = n.sig) OR EXISTS (SELECT 1 FROM o WHERE o.fp = n.fp AND o.sig = n.sig)"),
+    "j5_splits": with_(LEDGER, select="SELECT gone OR is_excluded AS is_excluded, false AS is_part, count(*) AS n, sum(amount)::DOUBLE AS amount FROM (SELECT *, txn_id % 50 = 0 AND txn_id % 100 <> 0 AND NOT is_excluded AS gone FROM ledger) GROUP BY ALL UNION ALL SELECT false, true, 2 * count(*), sum(amount)::DOUBLE FROM ledger WHERE txn_id % 50 = 0 AND txn_id % 100 <> 0 AND NOT is_excluded HAVING count(*) > 0"),
+    "l9_capital_gains": """WITH l AS (SELECT o_custkey % 200 AS user_id, DATE '2024-04-01' + (o_orderkey % 365)::INT < DATE '2024-07-23' AS pre, o_orderkey % 2 = 0 AS short, o_totalprice::DECIMAL(14,2) AS a FROM orders),
+        s AS (SELECT user_id, coalesce(sum(a) FILTER (short AND pre), 0) AS stcg_pre, coalesce(sum(a) FILTER (short AND NOT pre), 0) AS stcg_post, coalesce(sum(a) FILTER (NOT short AND pre), 0) AS ltcg_pre, coalesce(sum(a) FILTER (NOT short AND NOT pre), 0) AS ltcg_post FROM l GROUP BY ALL),
+        t AS (SELECT *, floor(stcg_pre * 15 + 0.5) / 100 + floor(stcg_post * 20 + 0.5) / 100 AS stcg_tax, floor(greatest(ltcg_pre - 100000, 0) * 10 + 0.5) / 100 + floor(greatest(ltcg_post - 125000, 0) * 12.5 + 0.5) / 100 AS ltcg_tax FROM s)
+        SELECT user_id, stcg_pre::DOUBLE AS stcg_pre, stcg_post::DOUBLE AS stcg_post, ltcg_pre::DOUBLE AS ltcg_pre, ltcg_post::DOUBLE AS ltcg_post, round(stcg_tax::DOUBLE, 2) AS stcg_tax, round(ltcg_tax::DOUBLE, 2) AS ltcg_tax, (least(ltcg_pre, 100000) + least(ltcg_post, 125000))::DOUBLE AS exemption_used, round((stcg_tax + ltcg_tax)::DOUBLE, 2) AS total_tax FROM t""",
+    "l11_utilisation": with_(TAXPAYERS, select=" UNION ALL ".join(
+        f"SELECT user_id, {quoted(n)} AS section, {cap}::DOUBLE AS cap, {c}::DOUBLE AS claimed, greatest({cap} - {c}, 0)::DOUBLE AS remaining FROM taxpayers" for n, c, cap in (
+            ("80C/80CCC/80CCD(1)", "d80c", "150000"), ("80CCD(1B)", "d1b", "50000"), ("80D (self)", "dself", "(CASE WHEN is_senior THEN 50000 ELSE 25000 END)"), ("80D (parents)", "dparents", "50000"),
+            ("80TTA/80TTB", "dtta", "(CASE WHEN is_senior THEN 50000 ELSE 10000 END)"), ("24(b) self-occupied", "house_self", "200000"))) + " UNION ALL SELECT user_id, '80E', NULL, d80e::DOUBLE, NULL FROM taxpayers"),
+    "m8_reports": with_(LEDGER, TOTALS, BUCKETS, PORTAL, "u AS (" + " UNION ALL ".join(f"SELECT coalesce(p.user_id, b.user_id) AS user_id, {quoted(src)} AS source, p.v, b.amount AS l, {tol} AS tol FROM (SELECT user_id, {col} AS v FROM portal WHERE {col} IS NOT NULL) p FULL JOIN (SELECT * FROM buckets WHERE bucket = {quoted(bucket)}) b ON p.user_id = b.user_id" for src, col, bucket, tol in (("form16", "gross_salary", "salary", 100), ("self_paid", "self_paid_tax", "tax_paid", 1))) + ")",
+        select="SELECT user_id, source, count(*) FILTER (v IS NOT NULL AND l IS NOT NULL AND abs(v - l) <= tol) AS matched, count(*) FILTER (l IS NULL) AS missing_in_ledger, count(*) FILTER (v IS NULL) AS missing_in_portal, count(*) FILTER (v IS NOT NULL AND l IS NOT NULL AND abs(v - l) > tol) AS amount_mismatch, coalesce(sum(v), 0)::DOUBLE AS portal_total, coalesce(sum(l), 0)::DOUBLE AS ledger_total FROM u GROUP BY ALL"),
+    "l7_compare_regimes": with_(TAXPAYERS,
+        "g AS (SELECT *, gross_salary + interest_income + dividend_income + rental + other_income AS gti, floor(stcg * 20 + 0.5) / 100 + floor(greatest(ltcg - 125000, 0) * 12.5 + 0.5) / 100 AS special FROM taxpayers)",
+        "t AS (SELECT *, greatest(gti - 50000 - least(house_self, 200000) - house_let - (least(d80c, 150000) + least(d1b, 50000) + least(dself, CASE WHEN is_senior THEN 50000 ELSE 25000 END) + least(dparents, 50000) + d80e + d80g + least(dtta, CASE WHEN is_senior THEN 50000 ELSE 10000 END) + d2), 0) AS old_taxable, greatest(gti - 75000 - least(house_let, 200000) - d2, 0) AS new_taxable FROM g)",
+        "s AS (SELECT *, CASE WHEN is_super THEN " + slab_sum("old_taxable", rules.OLD_SLABS["super_senior"]) + " WHEN is_senior THEN " + slab_sum("old_taxable", rules.OLD_SLABS["senior"]) + " ELSE " + slab_sum("old_taxable", rules.OLD_SLABS["below_60"]) + " END AS old_slab_tax, " + slab_sum("new_taxable", rules.NEW_SLABS["2024-25"]) + " AS new_slab_tax FROM t)",
+        "r AS (SELECT *, CASE WHEN old_taxable <= 500000 THEN least(old_slab_tax, 12500) ELSE 0 END AS old_rebate, CASE WHEN new_taxable <= 700000 THEN least(new_slab_tax, 25000) ELSE 0 END AS new_rebate FROM s)",
+        "x AS (SELECT *, greatest(old_slab_tax + special - old_rebate, 0) AS old_tax, greatest(new_slab_tax + special - new_rebate, 0) AS new_tax, CASE WHEN gti > 50000000 THEN 37 WHEN gti > 20000000 THEN 25 WHEN gti > 10000000 THEN 15 WHEN gti > 5000000 THEN 10 ELSE 0 END AS op, CASE WHEN gti > 20000000 THEN 25 WHEN gti > 10000000 THEN 15 WHEN gti > 5000000 THEN 10 ELSE 0 END AS np, CASE WHEN gti > 50000000 THEN 50000000 WHEN gti > 20000000 THEN 20000000 WHEN gti > 10000000 THEN 10000000 ELSE 5000000 END AS ot, CASE WHEN gti > 20000000 THEN 20000000 WHEN gti > 10000000 THEN 10000000 ELSE 5000000 END AS nt FROM r)",
+        "y AS (SELECT *, floor(old_tax::DECIMAL(20,2) * op + 0.5) / 100 AS ofull, floor(new_tax::DECIMAL(20,2) * np + 0.5) / 100 AS nfull, CASE WHEN is_super THEN " + slab_sum("ot", rules.OLD_SLABS["super_senior"]) + " WHEN is_senior THEN " + slab_sum("ot", rules.OLD_SLABS["senior"]) + " ELSE " + slab_sum("ot", rules.OLD_SLABS["below_60"]) + " END AS oat, " + slab_sum("nt", rules.NEW_SLABS["2024-25"]) + " AS nat FROM x)",
+        "z AS (SELECT *, ofull - CASE WHEN ofull > 0 THEN least(greatest(old_tax + ofull - oat - (gti - ot), 0), ofull) ELSE 0 END AS old_surcharge, nfull - CASE WHEN nfull > 0 THEN least(greatest(new_tax + nfull - nat - (gti - nt), 0), nfull) ELSE 0 END AS new_surcharge FROM y)",
+        "c AS (SELECT *, floor((old_tax + old_surcharge) * 4 + 0.5) / 100 AS old_cess, floor((new_tax + new_surcharge) * 4 + 0.5) / 100 AS new_cess FROM z)",
+        "f AS (SELECT *, old_tax + old_surcharge + old_cess AS old_total, new_tax + new_surcharge + new_cess AS new_total FROM c)",
+        select="SELECT user_id, " + ", ".join(f"round({c}::DOUBLE, 2) AS {c}" for c in ("old_taxable", "old_slab_tax", "old_rebate", "old_surcharge", "old_cess", "old_total", "new_taxable", "new_slab_tax", "new_rebate", "new_surcharge", "new_total")) + ", round((old_total - new_total)::DOUBLE, 2) AS delta, CASE WHEN round((old_total - new_total)::DOUBLE, 2) > 0 THEN 'new' WHEN round((old_total - new_total)::DOUBLE, 2) < 0 THEN 'old' ELSE 'neutral' END AS recommendation FROM f"),
+}
+
 #: Date columns, which come out as text.
 DATES = {
     "d14_accounts_tree": ("first_start", "last_end"), "e4_recurring": ("last_seen", "next_expected"), "e5_net_worth": ("as_of_date",), "e6_latest_positions": ("as_of_date",),
