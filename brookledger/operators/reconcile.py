@@ -137,19 +137,6 @@ def action_items(facts: DataFrame) -> DataFrame:
     return facts.select("user_id", F.explode(F.when(F.size(found) > 0, found).otherwise(ok)).alias("i")).select("user_id", "i.*")
 
 
-def form16_lines(documents: DataFrame) -> DataFrame:
-    """The first amount of each head in a form's text (doc_id, text), a row each."""
-    heads = {
-        "gross_salary": r"(?i)gross\s+(?:total\s+)?salary[^0-9]{0,60}([\d,]+(?:\.\d{1,2})?)", "standard_deduction": r"(?i)standard\s+deduction[^0-9]{0,60}([\d,]+(?:\.\d{1,2})?)",
-        "section_80c": r"(?i)80C\b[^0-9]{0,60}([\d,]+(?:\.\d{1,2})?)", "section_80d": r"(?i)80D\b[^0-9]{0,60}([\d,]+(?:\.\d{1,2})?)",
-        "taxable_income": r"(?i)(?:total\s+)?taxable\s+income[^0-9]{0,60}([\d,]+(?:\.\d{1,2})?)", "tax_payable": r"(?i)tax\s+payable[^0-9]{0,60}([\d,]+(?:\.\d{1,2})?)",
-        "tds": r"(?i)(?:tax\s+deducted|TDS)[^0-9]{0,60}([\d,]+(?:\.\d{1,2})?)",
-    }
-    amount = lambda p: F.regexp_replace(F.regexp_extract("text", p, 1), ",", "").try_cast("decimal(14,2)")
-    rows = F.array(*(F.struct(F.lit(h).alias("head"), amount(p).alias("amount")) for h, p in heads.items()))
-    return documents.select("doc_id", F.explode(rows).alias("s")).select("doc_id", "s.*").where("amount IS NOT NULL")
-
-
 def checklist(facts: DataFrame, least_rows: int = 10) -> DataFrame:
     """Documents a user still lacks; facts as for action_items plus ledger_rows."""
     c = F.col

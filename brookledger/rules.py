@@ -204,3 +204,24 @@ BANK_CUES = ("account statement", "savings account", "current account", "availab
 # --- What stands around numbers in text that is masked. Fixed values.
 REFERENCE_CONTEXT = r"(?i)\b(?:upi|utr|rrn|imps|neft|rtgs|txn|txnid|ref|reference|trace|order|vpa)\b"
 ACCOUNT_CONTEXT = r"(?i)\b(?:account|a/c|acct|acc(?:ount)?\s*no|card|card\s*no|ending|masked)\b"
+
+# --- Tax documents. Words before an amount, by category; heads of a salary form; marks of other rows.
+AIS_WORDS = {
+    "salary": ("salary received", "salary income", "salary"),
+    "interest": ("interest from savings bank", "interest from deposit", "interest from fd", "savings interest", "deposit interest", "fd interest", "interest"),
+    "dividend": ("dividend received", "dividend"),
+    "securities_sold": ("sale of securities", "sale of shares", "sale of mutual fund", "securities sold"),
+    "rental": ("rent received", "rental income"),
+    "tds": ("tds on", "tax deducted at source"),
+}
+AIS_SOURCES = (r"HDFC\s*BANK", r"ICICI\s*BANK", r"AXIS\s*BANK", "SBI", "KOTAK", r"YES\s*BANK", "PNB", "CDSL", "NSDL")
+FORM16_HEADS = {
+    "gross_salary": r"(?i)(?:Gross\s*Salary|Salary\s*as\s*per\s*provisions|Total\s*Income\s*from\s*Salary)\s*[:\-]?\s*([0-9][0-9,]*(?:\.\d{1,2})?)",
+    "tds": r"(?i)(?:Total\s*Tax\s*Deducted|TDS|Tax\s*Deducted\s*at\s*Source)\s*[:\-]?\s*([0-9][0-9,]*(?:\.\d{1,2})?)",
+    "deduction_80c": r"(?i)80C[^0-9]{0,20}([0-9][0-9,]*(?:\.\d{1,2})?)",
+    "deduction_80d": r"(?i)80D[^0-9]{0,20}([0-9][0-9,]*(?:\.\d{1,2})?)",
+    "deduction_80ccd_1b": r"(?i)80CCD\(?1B\)?[^0-9]{0,20}([0-9][0-9,]*(?:\.\d{1,2})?)",
+    "house_rent_allowance": r"(?i)HRA[^0-9]{0,20}([0-9][0-9,]*(?:\.\d{1,2})?)",
+    "standard_deduction": r"(?i)Standard\s*Deduction[^0-9]{0,20}([0-9][0-9,]*(?:\.\d{1,2})?)",
+}
+TAN, SECTION, CHALLAN = r"\b([A-Z]{4}\d{5}[A-Z])\b", r"\b(192[A-Z]?|193|194[A-Z]?|195|196[A-Z]?|206[A-Z]{2})\b", r"(?i)(?:challan|bsr)\s*[:#]?\s*(\d{7,})"
