@@ -253,6 +253,36 @@ ORACLE_SQL |= {
         select="SELECT user_id, " + ", ".join(f"round({c}::DOUBLE, 2) AS {c}" for c in ("old_taxable", "old_slab_tax", "old_rebate", "old_surcharge", "old_cess", "old_total", "new_taxable", "new_slab_tax", "new_rebate", "new_surcharge", "new_total")) + ", round((old_total - new_total)::DOUBLE, 2) AS delta, CASE WHEN round((old_total - new_total)::DOUBLE, 2) > 0 THEN 'new' WHEN round((old_total - new_total)::DOUBLE, 2) < 0 THEN 'old' ELSE 'neutral' END AS recommendation FROM f"),
 }
 
+
+def any_of(column: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, {quoted(p)})" for p in patterns) + ")"
+
+
+MESSAGES = """m AS (SELECT txn_id AS sms_id, ['AD-HDFCBK', 'VM-ICICIT-S', 'BZ-AXISBK', '+919876543210', 'XX-UNKNWN'][(txn_id % 5)::INT + 1] AS address,
+    CASE txn_id % 6 WHEN 0 THEN 'Rs.' || a || ' debited from a/c XX1234 on UPI Ref No 123456789012 to shop@okbank. Avl bal Rs.' || a WHEN 1 THEN 'INR ' || a || ' credited to account XX' || lpad((txn_id % 10000)::VARCHAR, 4, '0')
+        WHEN 2 THEN '482913 is your OTP. Do not share your OTP with anyone' WHEN 3 THEN 'Exclusive offer: cashback up to Rs.500, apply now' WHEN 4 THEN 'Your KYC expired, click http://bit.ly/x to verify' ELSE 'Balance in your account is Rs.' || a END AS body
+    FROM (SELECT txn_id, format('{:,.2f}', amount::DOUBLE) AS a FROM ledger))"""
+SPAM = (
+    "least(100, CASE WHEN address IN ('+919876543210', 'XX-UNKNWN') THEN 40 ELSE 0 END + CASE WHEN address = '+919876543210' THEN 40 ELSE 0 END"
+    " + CASE WHEN contains(body, 'http://bit.ly') THEN 25 ELSE 0 END + least(20, " + " + ".join(f"10 * regexp_matches(body, {quoted(p)})::INT" for p in rules.SPAM_URGENT) + ")"
+    f" + 25 * {any_of('body', rules.SPAM_SENSITIVE)}::INT + 40 * {any_of('body', rules.SPAM_TEMPLATE)}::INT + 10 * (NOT {any_of('body', rules.SMS_AMOUNT)})::INT)"
+)
+ORACLE_SQL |= {
+    "i18_sms_classes": with_(LEDGER, MESSAGES, f"s AS (SELECT *, {SPAM} AS score, {any_of('body', rules.SMS_AMOUNT)} AS amount, regexp_matches(body, {quoted(rules.SMS_HAS_ACCOUNT)}) AS account FROM m)",
+        select=f"SELECT sms_id, score::BIGINT AS spam_score, CASE WHEN score >= 50 THEN 'spam' WHEN {any_of('body', rules.SMS_OTP)} THEN 'otp' WHEN {any_of('body', rules.SMS_PROMO)} AND NOT account THEN 'promo' WHEN {any_of('body', rules.SMS_DEBIT)} AND amount AND account THEN 'transaction_debit' WHEN {any_of('body', rules.SMS_CREDIT)} AND amount AND account THEN 'transaction_credit' WHEN amount AND regexp_matches(body, '(?i)balance') THEN 'balance_info' ELSE 'unknown' END AS sms_class FROM s"),
+    "a10_export": with_(LEDGER, select="SELECT transaction_date::VARCHAR AS transaction_date, merchant_raw AS description, coalesce(merchant_normalized, '') AS merchant, coalesce(category_name, '') AS category, format('{:.2f}', amount::DOUBLE) AS amount, direction, nature, bank_name AS bank, account_masked AS account FROM active"),
+    "j10_snapshots": with_(LEDGER, ROWS, SNAPS, select="SELECT statement_id, user_id, position_key, as_of_date::DATE::VARCHAR AS as_of_date, balance::DOUBLE AS balance, entry_kind FROM snaps"),
+    "i10_gates": with_(LEDGER, ROWS, "g AS (SELECT *, CASE WHEN user_id % 3 <> 0 THEN row_count * (1 + user_id % 4) + 4 END AS e FROM statements)",
+        select="SELECT statement_id, round(row_count::DOUBLE / e, 4) AS yield_rate, CASE WHEN user_id % 13 = 0 OR coalesce(e >= 5 AND row_count::DOUBLE / e < 0.55, false) OR (user_id % 5 <> 0 AND user_id % 7 = 0) OR user_id % 11 = 0 THEN 'review_required' ELSE 'parsed' END AS parse_status FROM g"),
+    "d10_health": "SELECT event_type, round(count(*) FILTER (value > 20)::DOUBLE / count(*), 4) AS success_rate, round(count(*) FILTER (value > 50)::DOUBLE / nullif(count(*) FILTER (value > 10 AND event_type <> 'click'), 0), 4) AS yield_rate FROM events GROUP BY ALL",
+    "d11_parser_support_queue": """WITH f AS (SELECT event_type AS bank_name, (user_id % 2)::VARCHAR AS account_type, 'r' || (event_id % 3) AS reason, 'f' || (event_id % 11) AS file_name, event_id FROM events),
+        g AS (SELECT bank_name, account_type, reason, file_name, count(*) AS n, max(event_id) AS seen FROM f GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY bank_name, account_type, reason ORDER BY seen DESC, file_name) AS k FROM g)
+        SELECT bank_name, account_type, reason, sum(n)::BIGINT AS failures, string_agg(file_name, ',' ORDER BY k) FILTER (k <= 5) AS files, max(seen) AS last_seen, 'm' || max(seen) AS message FROM h GROUP BY ALL""",
+    "m2_tds": with_(LEDGER, TOTALS, "p AS (SELECT user_id, round(interest_income * 10 / 100, 2)::DECIMAL(24,2) AS v FROM totals WHERE user_id % 4 <> 0)", "d AS (SELECT user_id, round(interest_income * 10 / 100, 2)::DECIMAL(24,2) + user_id % 3 AS l FROM totals WHERE user_id % 5 <> 0)",
+        select="SELECT coalesce(p.user_id, d.user_id) AS user_id, v::DOUBLE AS portal_amount, l::DOUBLE AS ledger_amount, CASE WHEN v IS NULL THEN 'missing_in_portal' WHEN l IS NULL THEN 'missing_in_ledger' WHEN abs(v - l) <= 1 THEN 'matched' ELSE 'amount_mismatch' END AS kind FROM p FULL JOIN d ON p.user_id = d.user_id"),
+    "b8_anti_exists": "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
+}
+
 #: Date columns, which come out as text.
 DATES = {
     "d14_accounts_tree": ("first_start", "last_end"), "e4_recurring": ("last_seen", "next_expected"), "e5_net_worth": ("as_of_date",), "e6_latest_positions": ("as_of_date",),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, dates, money, text
 from ..operators import balance, dedup, documents, insights, jobs, matching, reconcile, tax
 from ..operators import ledger as entries
+from ..sources import files
 from .ledger import AS_OF, ledger, sms_feed, statement_rows, statements, table, taxpayers, transfer_feed
 
 FIRST, LAST = date(1999, 4, 1), date(2000, 3, 31)
@@ -647,3 +648,51 @@ def o6_event_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return longs(doubles(e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("value")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", "value"), "value"), "n")
 
+
+@query
+def a10_export(spark, sf_dir):
+    return files.exported(ledger(spark, sf_dir))
+
+
+@query
+def j10_snapshots(spark, sf_dir):
+    return doubles(balance.snapshots_from(statements(statement_rows(ledger(spark, sf_dir)))), "balance")
+
+
+@query
+def i10_gates(spark, sf_dir):
+    n = F.col("row_count")
+    s = statements(statement_rows(ledger(spark, sf_dir))).select(
+        "statement_id", (F.col("user_id") % 13 == 0).cast("int").alias("quarantined"), n.alias("extracted_rows"), F.when(F.col("user_id") % 3 != 0, n * (1 + F.col("user_id") % 4) + 4).alias("expected_rows"),
+        F.when(F.col("user_id") % 5 != 0, F.col("user_id") % 7 != 0).alias("walk_passed"), F.when(F.col("user_id") % 11 == 0, "review").otherwise("ok").alias("card_status"),
+    )
+    return entries.gates(s).select("statement_id", "yield_rate", "parse_status")
+
+
+@query
+def d10_health(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("attempts"), F.count_if(F.col("value") > 20).alias("successes"), F.count_if(F.col("value") > 50).alias("extracted_rows"), F.count_if((F.col("value") > 10) & (F.col("event_type") != "click")).alias("expected_rows"))
+    return jobs.health(e).select("event_type", "success_rate", "yield_rate")
+
+
+@query
+def d11_parser_support_queue(spark, sf_dir):
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("bank_name"), (F.col("user_id") % 2).cast("string").alias("account_type"), F.concat(F.lit("r"), (i % 3).cast("string")).alias("reason"), F.concat(F.lit("f"), (i % 11).cast("string")).alias("file_name"), F.concat(F.lit("m"), i.cast("string")).alias("message"), i.alias("seen_at"))
+    out = jobs.parser_support_queue(e).withColumn("files", F.array_join("files", ","))
+    return longs(out, "failures").select("bank_name", "account_type", "reason", "failures", "files", "last_seen", "message")
+
+
+@query
+def m2_tds(spark, sf_dir):
+    u = F.col("user_id")
+    t = insights.tax_totals(ledger(spark, sf_dir), FIRST, LAST)
+    p = t.select(u, F.when(u % 4 != 0, F.col("interest_income") / 10).cast("decimal(24,2)").alias("tds_total"))
+    d = t.where(u % 5 != 0).select(u, ((F.col("interest_income") / 10).cast("decimal(24,2)") + u % 3).alias("amount"))
+    return _outcomes(reconcile.tds(p, d))
+
+
+@query
+def b8_anti_exists(spark, sf_dir):
+    """Accounts with entries that aren't among those with a balance."""
+    return table(spark, sf_dir, "orders").select("o_custkey").distinct().join(table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti")
