@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Words a worker remembers; beyond, those that it hasn't met lately go.
-CACHE = 200_000
+CACHE = 300_000
 #: Code points encoded, ids decoded and new words contracted at once (a longer text goes alone).
 CHUNK_CHARS, CHUNK_IDS, CHUNK_WORDS = 2_000_000, 400_000, 20_000
 
