@@ -7,15 +7,16 @@
    labelled shingles, kept in text order, make a bucket. Texts in which 0.8 of the
    shingles agree in order share at least one of the buckets with a probability
    over 0.9999.
-3. In rounds, each bucket picks a centre by that round's hash, and one member of
-   each class in the bucket that isn't the centre's is paired with it: a star, never
-   all pairs, so a round is linear in the members of a bucket. Members that failed
-   meet another centre in the next round; rounds end when one finds no link, or
-   after ROUNDS.
-4. Pairs are verified by alignment of their whole shingle sequences inside a band:
+3. Each bucket's members are paired with its smallest id: a star, which joins most
+   copies at a price linear in the members of a bucket.
+4. Buckets that still hold several classes are dealt into tiles, and every two tiles
+   of a bucket meet in a task of their own: their common shingles are counted
+   as products of matrices, and pairs of different classes with enough of them are
+   verified. So all pairs of a bucket are tested, but for those in one class already.
+5. Pairs are verified by alignment of their whole shingle sequences inside a band:
    matched / (all - matched) >= 0.8. No more shingles than the band is wide can be
    unmatched in an accepted pair, so the band loses none.
-5. Links are contracted to classes by alternating large-star and small-star
+6. Links are contracted to classes by alternating large-star and small-star
    steps over tables; a class is named by its smallest id.
 
 Texts move only from the documents in some candidate pair; hot centres are
@@ -37,16 +38,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, stage, text_of
 
 WORDS, SIMILARITY = 5, 0.8
 TABLES, TOGETHER = 16, 3
-#: Most rounds of stars: the first has the smallest id of each bucket as its centre, the others one by a hash of
-#: round and bucket, so a text meets up to 1 + 2 * TABLES centres.
-ROUNDS = 3
+#: A tile has about so many members at most, or so many shingles if they are long; a product takes so many shingles at once.
+TILE, TILE_SHINGLES, COLUMNS = 384, 1 << 18, 4096
 #: Words a worker remembers before it starts afresh.
 CACHE = 400_000
 WORD = re.compile(r"\w+")
@@ -113,10 +113,15 @@ def buckets(h: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def needed(total: int | np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The fewest matches that make two sequences of ``total`` shingles together alike."""
+    return np.ceil(least * total / (1 + least) - 1e-9).astype(np.int64)
+
+
 def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether an alignment of the labelled sequences matches enough of both."""
     total = len(a) + len(b)
-    need = int(np.ceil(least * total / (1 + least) - 1e-9))
+    need = int(needed(total, least))
     if not len(a) or not len(b) or min(len(a), len(b)) < need:
         return False
     band = total - 2 * need  # more unmatched elements than that are too many
@@ -193,9 +198,75 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small.distinct()
 
 
-def _centre(round_: int, salt: Column) -> Column:
-    """The order in which ids are picked in a round; the first is the smallest id of all."""
-    return F.col("_id") if round_ == 0 else F.xxhash64("_id", F.lit(round_), salt)
+def common(seqs: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles each sequence at ``a`` shares with each at ``b``."""
+    sizes = [len(x) for x in seqs]
+    _, column, times = np.unique(np.concatenate(seqs), return_inverse=True, return_counts=True)
+    often = times > 1  # the others are in one sequence only
+    column = np.where(often, np.cumsum(often) - 1, -1)[column]
+    of = np.split(column, np.cumsum(sizes)[:-1])
+
+    def cells(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns that are set, by column."""
+        row, col = np.repeat(np.arange(len(at)), [sizes[k] for k in at]), np.concatenate([of[k] for k in at])
+        order = np.argsort(col, kind="stable")[np.count_nonzero(col < 0) :]
+        return row[order], col[order]
+
+    (row_a, col_a), (row_b, col_b) = cells(a), cells(b)
+    out = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int(often.sum()), COLUMNS):
+        x, y = np.zeros((len(a), COLUMNS), np.float32), np.zeros((len(b), COLUMNS), np.float32)
+        for m, row, col in ((x, row_a, col_a), (y, row_b, col_b)):
+            lo, hi = np.searchsorted(col, [start, start + COLUMNS])
+            m[row[lo:hi], col[lo:hi] - start] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def links_of_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Classes (a, b) to be joined by pairs of two tiles (or one) of a bucket; pairs that earlier links join are not tested."""
+    names, of = np.unique(pdf["_class"].to_numpy(), return_inverse=True)
+    tile, at = pdf["_tile"].to_numpy(), np.arange(len(pdf))
+    first, second = at[tile == pdf["_i"].iloc[0]], at[tile == pdf["_j"].iloc[0]]
+    links: list[tuple[int, int]] = []
+    if len(names) > 1 and len(first) and len(second):
+        seqs = [np.asarray(x) for x in pdf["_shingles"]]
+        n, one = np.fromiter(map(len, seqs), np.int64, len(seqs)), pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+        most = np.bincount(of).argmax()  # pairs within the largest class needn't be counted
+        root = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for a, b in ((first[of[first] != most], second), (first[of[first] == most], second[of[second] != most])):
+            if not len(a) or not len(b):
+                continue
+            close = (common(seqs, a, b) >= needed(n[a][:, None] + n[b][None])) & (of[a][:, None] != of[b][None])
+            if one and len(b) == len(second):
+                close &= (a[:, None] < b[None]) | (of[b][None] == most)
+            elif one:
+                continue  # in one tile, the first turn has met these
+            for x, y in np.argwhere(close).tolist():
+                p, q = find(of[a[x]]), find(of[b[y]])
+                if p != q and alike(seqs[a[x]], seqs[b[y]]):
+                    root[max(p, q)] = min(p, q)
+                    links.append((names[of[a[x]]], names[of[b[y]]]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
+def remaining_links(spread: DataFrame, labels: DataFrame | None, shingles: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that share a bucket, from all pairs of its members."""
+    now = spread.withColumn("_class", F.col("_id")) if labels is None else spread.join(labels, F.col("_id") == F.col("node"), "left").withColumn("_class", F.coalesce("label", "_id")).drop("node", "label")
+    now = stage(now, "near-mixed")
+    # Two members have met as centre and member.
+    mixed = now.groupBy("_bucket").agg(F.count("*").alias("_size"), F.sum("_n").alias("_sum"), F.min("_class").alias("_least"), F.max("_class").alias("_most")).where("_size > 2 AND _least <> _most")
+    mixed = mixed.select("_bucket", F.greatest(F.ceil(F.col("_size") / TILE), F.ceil(F.col("_sum") / TILE_SHINGLES)).cast("int").alias("_tiles"))
+    tiled = stage(now.join(mixed, "_bucket").select("_bucket", "_id", "_class", "_tiles", F.pmod(F.xxhash64("_id", "_bucket"), F.col("_tiles").cast("long")).cast("int").alias("_tile")), "near-tiles")
+    met = tiled.join(shingles, "_id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    met = met.select("_bucket", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"), "_tile", "_id", "_class", "_shingles")
+    return met.groupBy("_bucket", "_i", "_j").applyInPandas(links_of_tiles, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,26 +277,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Buckets of one text lead nowhere; their rows go before anything is joined.
     shared = stage(spread.groupBy("_bucket").agg(F.count("*").alias("_size")).where("_size > 1").select("_bucket"), "near-buckets")
     spread = stage(spread.join(shared, "_bucket"), "near-members")
-    labels, links, tried = None, None, None
-    for round_ in range(ROUNDS):
-        now = spread.withColumn("_class", F.col("_id")) if labels is None else spread.join(labels, F.col("_id") == F.col("node"), "left").withColumn("_class", F.coalesce("label", "_id")).drop("node", "label")
-        order = _centre(round_, F.col("_bucket"))
-        member = now.groupBy("_bucket", "_class").agg(F.min(F.struct(order.alias("_order"), "_id", "_n")).alias("m"))
-        member = stage(member.select("_bucket", "_class", "m.*"), "near-round")
-        centre = stage(member.groupBy("_bucket").agg(F.min(F.struct("_order", "_id", "_n", "_class")).alias("c"), F.count("*").alias("_classes")).where("_classes > 1").select("_bucket", "c"), "near-centres")
-        pairs = member.join(centre, "_bucket").where(F.col("_class") != F.col("c._class")).where(F.least("_n", "c._n") >= SIMILARITY * F.greatest("_n", "c._n"))
-        pairs = pairs.select(F.col("c._id").alias("a"), F.col("_id").alias("b")).distinct()
-        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-        shingles = stage(sequences(docs, ids, id_col, text_col).dropDuplicates(["_id"]), "near-shingles")
-        found = stage(verified(pairs, shingles), "near-links")
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
+    shingles = stage(sequences(docs, spread.select("_id").distinct(), id_col, text_col).dropDuplicates(["_id"]), "near-shingles")
+    centre = stage(spread.groupBy("_bucket").agg(F.min(F.struct("_id", "_n")).alias("c")), "near-centres")
+    pairs = spread.join(centre, "_bucket").where((F.col("_id") != F.col("c._id")) & (F.least("_n", "c._n") >= SIMILARITY * F.greatest("_n", "c._n")))
+    pairs = stage(pairs.select(F.col("c._id").alias("a"), F.col("_id").alias("b")).distinct(), "near-pairs")
+    links, labels = stage(verified(pairs, shingles), "near-links"), None
+    if not links.isEmpty():
         labels = components(links)
+    links = stage(remaining_links(spread, labels, shingles), "near-links")
+    if not links.isEmpty():
+        labels = components(links if labels is None else links.unionByName(labels.toDF("a", "b")))
     groups = groups.select("_key", F.col("_id").alias("_first"))
     if labels is not None:
         groups = groups.join(labels, F.col("_first") == F.col("node"), "left").withColumn("_first", F.coalesce("label", "_first")).drop("node", "label")

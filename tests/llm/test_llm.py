@@ -227,6 +227,38 @@ def test_near_dedup(spark, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
+def test_near_dedup_dense_group(spark, monkeypatch):
+    """Many families in the same buckets: most pairs are unlike any one centre."""
+    rng = random.Random(5)
+    base, texts = prose(rng, 200).split(), []
+    for f in range(120):
+        x = list(base)
+        for k in range(f % 7, len(x), rng.choice([20, 30, 40])):
+            x[k] = f"family{f}at{k}"
+        texts.append(" ".join(x))
+        x[rng.randrange(len(x))] = f"copy{f}"
+        texts.append(" ".join(x))
+    rng.shuffle(texts)
+    shingles = near_dedup.Shingler()
+    seqs = [shingles(t)[1] for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and near_dedup.alike(seqs[i], seqs[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert len(set(root)) > 60
+    monkeypatch.setattr(near_dedup, "TILE", 50)
+    df = spark.createDataFrame(rows(texts), DOCS)
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(df).collect()} == dict(enumerate(root))
+
+
+def test_common_shingles():
+    rng = np.random.default_rng(6)
+    seqs = [np.unique(rng.integers(0, n, n // 2)).astype(np.int64) for n in (4, 50, 50, 9000, 12000, 12000)]
+    a, b = np.array([0, 2, 4]), np.array([5, 1, 3])
+    assert near_dedup.common(seqs, a, b).tolist() == [[len(set(seqs[i].tolist()) & set(seqs[j].tolist())) for j in b] for i in a]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 330)] + [(5, 5)]
