@@ -11,6 +11,7 @@ from brookledger import rules
 from brookledger.functions import classify, dates, money, text
 from brookledger.operators import balance, dedup, documents, insights, jobs, matching, reconcile, tax
 from brookledger.operators import ledger as entries
+from brookledger.plans import queries
 
 D = Decimal
 LEDGER = "txn_id long, user_id long, transaction_date date, amount decimal(14,2), direction string, nature string, category_name string, merchant_raw string, merchant_normalized string, bank_name string, account_type string, account_masked string, notes string, is_excluded boolean"
@@ -316,3 +317,23 @@ def test_card_integrity(spark):
     df = spark.createDataFrame([(1, 1000.0, 200.0, 850.0, None, None, 3), (2, 1000.0, 0.0, 9000.0, None, None, 3), (3, 1000.0, 0.0, 3050.0, 2000.0, 3000.0, 3), (4, 0.0, 0.0, None, None, None, 0)], "i int, d double, k double, due double, prev double, close double, n int")
     got = {r["i"]: r["status"] for r in df.withColumns(classify.card_integrity(c("d"), c("k"), c("due"), c("prev"), c("close"), c("n"))).collect()}
     assert got == {1: "ok", 2: "review", 3: "ok", 4: "review"}
+
+
+def test_knowledge_rank_against_brute_force(spark, tmp_path, monkeypatch):
+    rng, vocabulary = random.Random(9), [a + b + "q" for a in ("alpha", "beta", "gamma", "delta", "omega") for b in "abcdefghijk"]
+    rows = [(i, ("zz " * 250 if i % 3 == 0 else "") + " ".join(rng.sample(vocabulary, 12)), f"s{i % 4}", f"l{i % 3}") for i in range(90)]
+    rows += [(90 + i, rows[20 * i][1], "s9", "l9") for i in range(5)] + [(95, None, "s1", "l1"), (96, "", "s1", "l1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    told = {r["doc_id"]: set(r["w"] or ()) for r in frame.select("doc_id", text.keyword_tokens(F.col("text")).alias("w")).collect()}
+    want = set()
+    for i, _, s, l in (r for r in rows if r[0] % 20 == 0):
+        texts, scores = set(), []
+        for j, t, s2, l2 in rows:
+            if j != i and t not in texts and (n := len(told[i] & told[j])):
+                scores.append((-(n + 8 * (s == s2) + 5 * (l == l2)), j))
+                texts.add(t)
+        want |= {(i, j, -score, k + 1) for k, (score, j) in enumerate(sorted(scores)[:4])}
+    monkeypatch.setattr(documents, "WORD_REFERENCES", 10)
+    got = queries.QUERIES["c17_knowledge_rank"](spark, str(tmp_path)).select("doc_id", "ref_id", "score", "place").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
