@@ -12,6 +12,7 @@ from brookledger.functions import classify, dates, money, text
 from brookledger.operators import balance, dedup, documents, insights, jobs, matching, reconcile, tax
 from brookledger.operators import ledger as entries
 from brookledger.plans import queries
+from brookledger.plans.ledger import ledger, transfer_feed
 
 D = Decimal
 LEDGER = "txn_id long, user_id long, transaction_date date, amount decimal(14,2), direction string, nature string, category_name string, merchant_raw string, merchant_normalized string, bank_name string, account_type string, account_masked string, notes string, is_excluded boolean"
@@ -337,3 +338,25 @@ def test_knowledge_rank_against_brute_force(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(documents, "WORD_REFERENCES", 10)
     got = queries.QUERIES["c17_knowledge_rank"](spark, str(tmp_path)).select("doc_id", "ref_id", "score", "place").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_transfer_report_against_the_serial_loop(spark):
+    sf = "/root/testdata/sf0.001"
+    columns = ("txn_id", "user_id", "transaction_date", "amount", "direction", "bank_name", "account_masked", "account_type")
+    users = {}
+    for r in transfer_feed(ledger(spark, sf)).where("NOT is_excluded").select(*columns).collect():
+        users.setdefault(r["user_id"], []).append(r)
+    same = lambda a, b, k: bool(a[k]) and a[k] == b[k]
+    order = lambda r: (r["transaction_date"], r["txn_id"])
+    want = {}
+    for user, rows in users.items():
+        pairs = serial(
+            sorted((r for r in rows if r["direction"] == "debit"), key=order), [r for r in rows if r["direction"] == "credit"],
+            lambda d, c: abs(d["amount"] - c["amount"]) <= D("0.50") and abs((d["transaction_date"] - c["transaction_date"]).days) <= 7,
+            lambda d, c: (abs((d["transaction_date"] - c["transaction_date"]).days) + 1.5 * same(d, c, "bank_name") + 2.0 * same(d, c, "account_masked") + 1.0 * same(d, c, "account_type"), *order(c)),
+        )
+        want[user] = (len(rows), len(pairs), len(rows) - 2 * len(pairs))
+    got = queries.QUERIES["j16_transfer_report"](spark, sf).collect()
+    assert {r["user_id"]: (r["transfers"], r["matched_pairs"], r["unmatched"]) for r in got} == want
+    assert all(r["match_rate"] == pytest.approx(2 * r["matched_pairs"] / r["transfers"], abs=1e-4) for r in got)
+    assert sum(n for _, n, _ in want.values()) > 100
