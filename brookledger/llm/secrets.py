@@ -2,7 +2,10 @@
 
 Layer 0 is the text. The worklist unwraps a layer's URL and Unicode escapes
 (which gives the whole layer with them replaced) and each of its base64 runs
-(which gives the decoded text, decompressed first where it is zlib or gzip).
+(which gives the decoded bytes as text, decompressed first where they are zlib or gzip).
+A run goes on over line breaks. Where it holds one, or a ``/``, ``-`` or ``_``, it may
+begin with something else: all four alignments are decoded, and packed bytes may
+begin after each of these.
 New layers join the worklist, and it runs until nothing new comes out; a layer
 whose text and place were seen before is not entered again, so cycles end. Every
 layer is scanned by the base patterns, and spans are mapped back, code point by
@@ -12,9 +15,9 @@ Texts are scanned whole where they are read; there is no shuffle.
 
 Defined results: null and empty texts have no spans; matches of one kind don't
 overlap within a layer; a span that a base span of its kind covers is not
-reported again; a decoded run that isn't printable UTF-8 is not a layer; a
-compressed run that unpacks to more than ``MAX_UNPACKED`` bytes is scanned up to
-there; repeated rows repeat their result; all other columns are kept.
+reported again; decoded bytes that aren't UTF-8 are read as Latin-1, as all patterns
+are ASCII; compressed runs are unpacked in windows of ``WINDOW`` bytes, which
+overlap by ``OVERLAP``, over all their members; repeated rows repeat their result; all other columns are kept.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +46,11 @@ LEAST_VALUE = 12
 
 ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 #: 16 hex digits are the shortest secret; in base64 they take 22 characters.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}={0,2}")
-MAX_UNPACKED = 64 << 20
+LEAST_RUN = 22
+BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+(?=[A-Za-z0-9+/_-]))?+)++")
+NOT_BASE64 = re.compile(r"[\r\n \t]+")
+BREAKS = re.compile(r"[/_-]|\r?\n[ \t]*")
+WINDOW, OVERLAP, PIECE = 32 << 20, 4 << 20, 1 << 20
 SPAN = "array<struct<kind:string,start:int,end:int,layer:string>>"
 
 Layer = tuple[str, "np.ndarray | None", "np.ndarray | None", str]  # text, starts, ends, path
@@ -107,62 +115,161 @@ def without_escapes(layer: Layer) -> Layer | None:
     )
 
 
-def _inflate(raw: bytes) -> tuple[bytes, str]:
-    """Unpacks while it is zlib or gzip."""
-    path = ""
-    while raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0:
+def _is_packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or len(raw) > 1 and raw[0] & 15 == 8 and raw[0] < 128 and (raw[0] << 8 | raw[1]) % 31 == 0
+
+
+def _members(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """What zlib or gzip members hold, in pieces; bytes behind the last one come as they are, and a broken member ends it."""
+    member, plain, left = None, False, b""
+    for chunk in chunks:
+        chunk, left = left + chunk, b""
+        while chunk:
+            if plain:
+                yield chunk
+                break
+            if member is None:
+                if len(chunk) < 2:
+                    left = chunk
+                    break
+                if not _is_packed(chunk):
+                    plain = True
+                    continue
+                member = zlib.decompressobj(47)
+            try:
+                out = member.decompress(chunk, PIECE)
+                yield out
+                while len(out) == PIECE and not member.unconsumed_tail and not member.eof:
+                    out = member.decompress(b"", PIECE)
+                    yield out
+            except zlib.error:
+                return
+            chunk, member = (member.unused_data, None) if member.eof else (member.unconsumed_tail, member)
+
+
+def _packed_end(raw: bytes) -> int:
+    """Where the members at the start of ``raw`` end; 0 if there is none."""
+    at = 0
+    while _is_packed(raw[at : at + 2]):
+        member, chunk = zlib.decompressobj(47), raw[at:]
         try:
-            unpacked = zlib.decompressobj(47).decompress(raw, MAX_UNPACKED)
+            while chunk and not member.eof:
+                got = member.decompress(chunk, PIECE)
+                if not got and member.unconsumed_tail == chunk:
+                    break
+                chunk = member.unconsumed_tail
         except zlib.error:
+            return len(raw) if next(filter(None, _members([raw[at:]])), b"") else at
+        if not member.eof:
+            return len(raw)
+        at = len(raw) - len(member.unused_data)
+    return at
+
+
+def _windows(raw: bytes) -> Iterator[tuple[bytes, str]]:
+    """Overlapping windows over what ``raw`` unpacks to, while it is zlib or gzip, and how it was packed."""
+    chunks, path, first = iter([raw]), "", raw
+    while _is_packed(first):
+        try:
+            zlib.decompressobj(47).decompress(first, 1)
+        except zlib.error:  # two bytes that only look so
             break
-        if unpacked == raw:
+        unpacked = filter(None, _members(chunks))
+        start = next(unpacked, b"")
+        while len(start) < 2 and (more := next(unpacked, b"")):
+            start += more
+        if start == first:  # a quine
             break
-        raw, path = unpacked, f"{path}>compressed"
-    return raw, path
+        chunks, path, first = chain([start], unpacked), f"{path}>compressed", start
+    held: list[bytes] = []
+    size = 0
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        if size >= WINDOW:
+            window = b"".join(held)
+            yield window, path
+            held, size = [window[-OVERLAP:]], OVERLAP
+    if size:
+        yield b"".join(held), path
+
+
+def _text(raw: bytes) -> str:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
 
 
 def from_base64(layer: Layer) -> Iterator[Layer]:
-    """A layer for each base64 run that holds text, plain or compressed."""
+    """Layers for each base64 run: each alignment decoded, and what its packed bytes hold."""
     text, starts, ends, path = layer
+
+    def place(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return first if starts is None else starts[first], last + 1 if ends is None else ends[last]
+
     for m in BASE64.finditer(text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        run = run[:-1] if len(run) % 4 == 1 else run
-        packed = base64.b64decode(run + "=" * (-len(run) % 4))
-        raw, how = _inflate(packed)
-        try:
-            found = raw.decode()
-        except UnicodeDecodeError:
+        if m.end() - m.start() < LEAST_RUN:
             continue
-        if not found.replace("\n", "").replace("\r", "").replace("\t", "").isprintable():
+        whole = m.group()
+        run, at = whole, None
+        if "\n" in whole:
+            at = np.flatnonzero(~np.isin(np.frombuffer(whole.encode(), np.uint8), list(b"\r\n \t"))) + m.start()
+            run = NOT_BASE64.sub("", whole)
+        if len(run) < LEAST_RUN:
             continue
-        if how:
-            first, last = np.full(len(found), m.start()), np.full(len(found), m.end() - 1)
-        else:
-            sizes = np.fromiter((len(c.encode()) for c in found), np.int64, len(found))
+        breaks = [b.end() for b in BREAKS.finditer(whole)]
+        if at is not None:
+            breaks = np.searchsorted(at, np.asarray(breaks, np.int64) + m.start()).tolist()
+        run = run.replace("-", "+").replace("_", "/")
+        of = (lambda k: k + m.start()) if at is None else at.__getitem__  # noqa: E731, B023
+
+        def decoded(start: int, stop: int | None = None) -> bytes:
+            part = run[start:stop]  # noqa: B023
+            part = part[:-1] if len(part) % 4 == 1 else part
+            return base64.b64decode(part + "=" * (-len(part) % 4))
+
+        for start in sorted({0, *breaks}):
+            if len(run) - start >= 8 and _is_packed(decoded(start, start + 4)) and (stop := _packed_end(raw := decoded(start))):
+                last = min(start + (stop * 4 + 2) // 3, len(run)) - 1
+                for window, how in _windows(raw[:stop]):
+                    if how:
+                        found = _text(window)
+                        first, end = place(np.asarray([of(start)]), np.asarray([of(last)]))
+                        yield found, np.broadcast_to(first, len(found)), np.broadcast_to(end, len(found)), f"{path}>base64{how}"
+        for start in range(4 if breaks else 1):
+            raw = decoded(start)
+            found = _text(raw)
+            sizes = np.ones(len(found), np.int64) if len(found) == len(raw) else np.fromiter((len(c.encode()) for c in found), np.int64, len(found))
             stop = np.cumsum(sizes)
-            first, last = m.start() + (stop - sizes) * 4 // 3, m.start() + np.minimum((stop * 4 + 2) // 3, len(run)) - 1
-        yield (found, first if starts is None else starts[first], last + 1 if ends is None else ends[last], f"{path}>base64{how}")
+            first, last = start + (stop - sizes) * 4 // 3, np.minimum(start + (stop * 4 + 2) // 3, len(run)) - 1
+            yield found, *place(of(first), of(last)), f"{path}>base64"
+
+
+def _unwrapped(layer: Layer) -> Iterator[Layer]:
+    if (plain := without_escapes(layer)) is not None:
+        yield plain
+    yield from from_base64(layer)
 
 
 def find(text: str) -> list[tuple[str, int, int, str]]:
     """All spans (kind, start, end, layer) by start, then kind; layer is empty for those of the text itself."""
     base = base_spans(text)
     found: dict[tuple[int, int, int], str] = {s: "" for s in base}
-    work: list[Layer] = [(text, None, None, "")]
-    seen = {(text, 0)}
+    mark = lambda x: xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass"))
+    work = [_unwrapped((text, None, None, ""))]  # depth first: one window of each depth is held
+    seen = {(mark(text), 0)}
     while work:
-        layer = work.pop()
-        new = list(from_base64(layer))
-        if (plain := without_escapes(layer)) is not None:
-            new.append(plain)
-        for x in new:
-            if x[0] and (key := (x[0], int(x[1][0]))) not in seen:
-                seen.add(key)
-                work.append(x)
-                for s, kind, e in base_spans(x[0]):
-                    span = (int(x[1][s]), kind, int(x[2][e - 1]))
-                    if not any(k == kind and a <= span[0] and span[2] <= b for a, k, b in base):
-                        found.setdefault(span, x[3][1:])
+        if (x := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if x[0] and (key := (mark(x[0]), int(x[1][0]))) not in seen:
+            seen.add(key)
+            work.append(_unwrapped(x))
+            for s, kind, e in base_spans(x[0]):
+                span = (int(x[1][s]), kind, int(x[2][e - 1]))
+                if not any(k == kind and a <= span[0] and span[2] <= b for a, k, b in base):
+                    found.setdefault(span, x[3][1:])
     return [(KINDS[k], s, e, where) for (s, k, e), where in sorted(found.items())]
 
 
