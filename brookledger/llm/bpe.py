@@ -34,7 +34,7 @@ from .common import text_of
 #: Words a worker remembers; beyond, those that it hasn't met lately go.
 CACHE = 300_000
 #: Code points encoded, ids decoded and new words contracted at once (a longer text goes alone).
-CHUNK_CHARS, CHUNK_IDS, CHUNK_WORDS = 2_000_000, 400_000, 20_000
+LONG, CHUNK_CHARS, CHUNK_IDS, CHUNK_WORDS = 64, 2_000_000, 400_000, 20_000
 
 CONTRACT = """
 WITH RECURSIVE s AS (
@@ -56,6 +56,39 @@ SELECT word, id
 FROM s JOIN (SELECT word, max(step) AS step FROM s GROUP BY word) USING (word, step)
 ORDER BY pos"""
 
+#: The same for long words. Only the last state of each position is kept (an id of -1: gone into the token
+#: before it), and a step contracts the pairs of a word's least rank from left to right, not its leftmost
+#: one alone, up to the first that gives rise to a pair of a still lower rank.
+CONTRACT_LONG = """
+WITH RECURSIVE s USING KEY (pos) AS (
+    SELECT pos, word, id FROM token_rows
+    UNION
+    (WITH live AS (SELECT pos, word, id FROM recurring.s WHERE id >= 0 AND word IN (SELECT word FROM s)),
+    pairs AS (
+        SELECT pos, word, id, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos,
+               lag(id) OVER w AS left_of, lag(pos) OVER w AS left_pos, lead(id, 2) OVER w AS right_of
+        FROM live WINDOW w AS (PARTITION BY word ORDER BY pos)),
+    ranked AS (SELECT pairs.*, merged FROM pairs JOIN merges ON id = left_id AND next_id = right_id),
+    least AS (
+        SELECT *, lag(next_pos) OVER (PARTITION BY word ORDER BY pos) AS taken
+        FROM (SELECT *, min(merged) OVER (PARTITION BY word) AS lowest FROM ranked) WHERE merged = lowest),
+    runs AS (SELECT *, count(*) FILTER (taken IS DISTINCT FROM pos) OVER (PARTITION BY word ORDER BY pos) AS run FROM least),
+    apart AS (
+        SELECT *, lag(next_pos) OVER (PARTITION BY word ORDER BY pos) AS last_gone
+        FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS k FROM runs) WHERE k % 2 = 1),
+    lower AS (
+        SELECT apart.word, min(apart.pos) AS stop
+        FROM apart
+        LEFT JOIN merges a ON a.left_id = CASE WHEN last_gone = left_pos THEN apart.merged ELSE left_of END AND a.right_id = apart.merged
+        LEFT JOIN merges b ON b.left_id = apart.merged AND b.right_id = right_of
+        WHERE a.merged < apart.merged OR b.merged < apart.merged GROUP BY apart.word),
+    done AS (SELECT apart.* FROM apart LEFT JOIN lower USING (word) WHERE stop IS NULL OR pos <= stop)
+    SELECT pos, word, merged FROM done
+    UNION ALL
+    SELECT next_pos, word, -1 FROM done)
+)
+SELECT word, id FROM s WHERE id >= 0 ORDER BY pos"""
+
 DECODE = """
 SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex, count(*) AS n
 FROM id_rows JOIN vocabulary USING (id) GROUP BY doc"""
@@ -77,7 +110,8 @@ class Codec:
         rows = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         merges = pd.DataFrame(np.asarray(rows, np.int32).reshape(-1, 3), columns=["left_id", "right_id", "merged"])  # noqa: F841
         vocabulary = pd.DataFrame({"id": np.asarray(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})  # noqa: F841
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        # No folder to spill in: it would be a local one.
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         self.con.execute("CREATE TABLE merges AS FROM merges")
         self.con.execute("CREATE TABLE vocabulary AS FROM vocabulary")
         self.byte_ids = np.asarray([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
@@ -87,14 +121,25 @@ class Codec:
         self.before: dict[str, bytes] = {}
 
     def contract(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word that isn't a token by itself, by the recursive query."""
+        """The ids of each word that isn't a token by itself, by the recursive queries."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._contracted(words, CONTRACT)
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        out: list[bytes] = [b""] * len(words)
+        for at, query in ((long, CONTRACT_LONG), (short, CONTRACT)):
+            for k, ids in zip(at, self._contracted([words[k] for k in at], query)):
+                out[k] = ids
+        return out
+
+    def _contracted(self, words: list[bytes], query: str) -> list[bytes]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         token_rows = pd.DataFrame({  # noqa: F841
             "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
             "pos": np.arange(sizes.sum(), dtype=np.int64),  # ascending over all words
             "id": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)],
         })
-        got = self.con.execute(CONTRACT).fetchnumpy()
+        got = self.con.execute(query).fetchnumpy()
         raw = np.ascontiguousarray(got["id"], np.int32).tobytes()
         ends = (4 * np.cumsum(np.bincount(got["word"], minlength=len(words)))).tolist()
         return [raw[start:end] for start, end in zip([0, *ends], ends)]

@@ -3,35 +3,88 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest estimated size of anything these operators broadcast on purpose.
 BROADCAST_BYTES = 64 << 20
+#: Files of a written table.
+FILES_A_CORE, ROWS_A_FILE = 8, 50_000
+#: Rows and bytes of a batch that goes to a Python worker, where the session has Spark's own values.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+class Recent(dict):
+    """Remembers what ``of`` gave for the keys met lately: ``most`` of them and as many that were met before these."""
+
+    def __init__(self, of: Callable, most: int):
+        self.of, self.most, self.before = of, most, {}
+
+    def __missing__(self, key):
+        got = self.before.get(key)
+        if got is None:
+            got = self.of(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = got
+        return got
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, one of our own in local
+    mode, as in tests, and an error on a cluster, whose executors couldn't see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="brookledger-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of texts bounded by bytes too, so that a few very long ones don't meet in one batch.
+    What the session sets itself is left alone."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", str(64 << 20), BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if str(spark.conf.get(key)).removesuffix("b") == default:
+            spark.conf.set(key, str(value))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def refuse_clash(df: DataFrame, name: str) -> None:
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"{name} is a column already: name another one")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once in the shared folder and read it back: lineage ends here,
-    lost executors lose nothing, and several readers don't compute it again."""
+    lost executors lose nothing, and several readers don't compute it again.
+
+    As each file costs processes and requests of its own, there are no more than
+    ``FILES_A_CORE`` a core, and fewer where there are known to be few ``rows``."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    files = FILES_A_CORE * spark.sparkContext.defaultParallelism
+    df.coalesce(files if rows is None else min(files, 1 + rows // ROWS_A_FILE)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

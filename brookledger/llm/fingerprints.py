@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import refuse_clash, small_batches, text_of
 
 #: Cells of a fingerprint, and how much larger each retry is.
 CELLS, GROW = 24, 4
@@ -155,7 +156,9 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> list[float]:
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "_fingerprint") -> DataFrame:
-    """Adds ``out_col string``, the sketch of CELLS cells."""
+    """Adds ``out_col string``, a name that no column may have: the sketch of CELLS cells."""
+    refuse_clash(docs, out_col)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
@@ -176,7 +179,7 @@ def _compare(ids: list, texts: list[str], last: str) -> pd.DataFrame:
     own = [digests(t) for t in [*texts, last]]
     new = [digests(t) for t in changed]
     return pd.DataFrame({
-        "doc_id": pd.array(ids, "Int64"),
+        "doc_id": ids,
         "n_chars": np.fromiter(map(len, texts), np.int64, len(texts)),
         "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
         "fingerprint": sketch(own[:-1]).strings(),
@@ -195,52 +198,46 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(ids) == TOGETHER:
                 yield _compare(ids, texts, text)
                 ids, texts = [], []
-            ids.append(None if doc_id is None or doc_id != doc_id else int(doc_id))
+            ids.append(doc_id)
             texts.append(text)
     if len(ids) > 1:
         yield _compare(ids[:-1], texts[:-1], texts[-1])
 
 
 def _range_of(value: Column, bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` are at most ``value``, found in two steps of about their root; 0 for null."""
+    """How many of the sorted ``bounds`` are at most ``value``, found in two steps of about their root; 0 for null.
+    The bounds are one literal, however many there are."""
     if not bounds:
         return F.lit(0)
     wide = math.isqrt(len(bounds)) + 1
-    groups = [bounds[k : k + wide] for k in range(0, len(bounds), wide)]
-    below = lambda edges: F.size(F.filter(edges, lambda b: b <= value))
-    group = below(F.array(*(F.lit(g[0]) for g in groups)))
-    inner = F.array(*(F.array(*map(F.lit, g)) for g in groups))
-    return F.when(value >= bounds[0], (group - 1) * wide + below(F.get(inner, group - 1))).otherwise(0).cast("int")
+    groups = F.from_json(F.lit(json.dumps([bounds[k : k + wide] for k in range(0, len(bounds), wide)])), "array<array<bigint>>")
+    group = F.size(F.filter(groups, lambda g: g[0] <= value))
+    inner = F.size(F.filter(F.get(groups, group - 1), lambda b: b <= value))
+    return F.when(value >= bounds[0], (group - 1) * wide + inner).otherwise(0).cast("int")
 
 
 def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with its edited text and the next document; columns as in RESULT."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
     bounds = rows.approxQuantile("_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
     bounds = sorted({int(b) for b in bounds})
     rows = rows.withColumn("_part", _range_of(F.col("_id"), bounds))
-    # Ids and texts of the first rows only: one row a range.
+    # Ids of the first rows only: one a range, so as many as there are partitions.
     firsts = sorted((r["_part"], r["_nulls"], r["first"]) for r in rows.groupBy("_part").agg(F.min("_id").alias("first"), F.count_if(F.col("_id").isNull()).alias("_nulls")).collect())
     if not firsts:
         return spark.createDataFrame([], RESULT)
-    to = {}
-    for k, (_, nulls, first) in enumerate(firsts):
-        to[None if nulls else first] = firsts[k - 1][0]
-    known = [x for x in to if x is not None]
-    heads = F.col("_id").isin(known) if known else F.lit(False)
-    heads = heads | F.col("_id").isNull() if None in to else heads
-    targets = F.create_map(*[F.lit(y) for x in known for y in (x, to[x])]) if known else None
-    target = F.when(F.col("_id").isNull(), F.lit(to.get(None))) if None in to else None
-    if targets is not None:
-        target = F.coalesce(targets[F.col("_id")], target) if target is not None else targets[F.col("_id")]
-    guests = rows.where(heads).groupBy("_id").agg(F.min("_text").alias("_text")).select("_id", "_text", target.cast("int").alias("_part"), F.lit(1).alias("_guest"))
+    heads = spark.createDataFrame([(None if nulls else first, firsts[k - 1][0]) for k, (_, nulls, first) in enumerate(firsts)], "_first long, _to int")
+    guests = rows.join(F.broadcast(heads), F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_id", "_to").agg(F.min("_text").alias("_text"))
     return (
         rows.withColumn("_guest", F.lit(0))
-        .unionByName(guests)
+        .unionByName(guests.select("_id", "_text", F.col("_to").alias("_part"), F.lit(1).alias("_guest")))
         .repartitionById(parts, F.col("_part"))
         .sortWithinPartitions("_guest", F.col("_id").asc_nulls_first(), "_text")
-        .select("_id", "_text")
-        .mapInPandas(_in_order, RESULT)
+        # Ids travel as text: beside a null, pandas would read large ones as floating point.
+        .select(F.col("_id").cast("string").alias("_id"), "_text")
+        .mapInPandas(_in_order, RESULT.replace("doc_id long", "doc_id string"))
+        .withColumn("doc_id", F.col("doc_id").cast("long"))
     )

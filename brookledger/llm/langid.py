@@ -31,14 +31,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import Recent, small_batches, stage, text_of
 
 PER_LANGUAGE = 500
 #: Weight of the wider level in a smoothed prior, and of the uniform share in other counts.
 PULL, SMOOTHING = 5.0, 1.0
 #: Trigrams overlap, so they are not independent: their log likelihoods count a third.
 TEMPER = 1 / 3
-CACHE = 300_000
+#: Words a task remembers.
+CACHE = 50_000
 WORD = re.compile(r"[^\W\d_]+")
 HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
 DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""")
@@ -78,7 +79,7 @@ def trigram_counts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFra
                         counts[lang, g] += n
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "gram", "n"])
 
-    return rows.join(F.broadcast(sizes), "lang").where(share).select("lang", "text").mapInPandas(of, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.join(sizes, "lang").where(share).select("lang", "text").mapInPandas(of, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -100,27 +101,24 @@ def evidence(pages: DataFrame, model: Model) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model)  # a bounded number of trigrams
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, cache = shared.value, {}
+        model = shared.value
+        known = Recent(model.word, CACHE).__getitem__
         for pdf in batches:
             out = []
-            for page_id, url, page in zip(pdf["page_id"].tolist(), pdf["url"], pdf["html"]):
+            for page_id, url, page in zip(pdf["page_id"], pdf["url"], pdf["html"]):
                 total = np.zeros(len(model.languages))
                 for word, n in Counter(WORD.findall(visible(page).lower())).items():
-                    got = cache.get(word)
-                    if got is None:
-                        if len(cache) > CACHE:
-                            cache.clear()
-                        got = cache[word] = model.word(word)
-                    total += n * got
+                    total += n * known(word)
                 text = TEMPER * (total - total.max()) if len(total) else total
                 belief = np.exp(text)
                 declared = m.group(1).lower() if (m := DECLARED.search(page)) else ""
                 out.append((page_id, *place(url), declared, text, belief / belief.sum() if len(belief) else belief))
             yield pd.DataFrame(out, columns=["page_id", "host", "domain", "suffix", "declared", "_text", "_belief"])
 
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInPandas(of, f"page_id {kind}, host string, domain string, suffix string, declared string, _text array<double>, _belief array<double>")
+    # Ids travel as text: beside a null, pandas would read large ones as floating point.
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
+    out = rows.mapInPandas(of, "page_id string, host string, domain string, suffix string, declared string, _text array<double>, _belief array<double>")
+    return out.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))
 
 
 def _sums(rows: DataFrame, by: list[str], size: int, name: str, belief: str = "_belief") -> DataFrame:
@@ -137,6 +135,7 @@ def _smoothed(counts: Column, own: Column, wider: Column) -> Column:
 
 def identify(pages: DataFrame, docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """page_id, lang, probability, the evidence (declared, suffix, host) and what the text alone says."""
+    small_batches(pages.sparkSession)
     model = Model(trigram_counts(docs, per_language).toPandas())  # a few thousand trigrams a language
     languages, size = model.languages, len(model.languages)
     if not size:

@@ -41,14 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, stage, text_of
+from .common import BROADCAST_BYTES, Recent, small_batches, stage, text_of
 
 WORDS, SIMILARITY = 5, 0.8
 TABLES, TOGETHER = 16, 3
 #: A tile has about so many members at most, or so many shingles if they are long; a product takes so many shingles at once.
 TILE, TILE_SHINGLES, COLUMNS = 384, 1 << 18, 4096
-#: Words a worker remembers before it starts afresh.
-CACHE = 400_000
+#: Words a task remembers.
+CACHE = 60_000
 WORD = re.compile(r"\w+")
 SALTS = np.random.default_rng(7).integers(1, 2**63, TABLES, dtype=np.uint64)
 
@@ -60,16 +60,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class Shingler:
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Recent(xxhash.xxh3_64_intdigest, CACHE)
 
     def words(self, text: str) -> np.ndarray:
-        known, out = self.known, WORD.findall(text.lower())
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(out):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, out), np.uint64, len(out))
+        out = WORD.findall(text.lower())
+        return np.fromiter(map(self.known.__getitem__, out), np.uint64, len(out))
 
     def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
         """A key that equal word sequences share, and the labelled shingles in text order."""
@@ -182,18 +177,19 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of ``edges`` (a, b): the smallest node that can be reached."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges, size = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None
     while True:
-        edges = stage(edges, "links")
+        edges = stage(edges, "links", size)
+        size = 2 * edges.count()  # none of the tables below has more rows
         # Done when every node hangs on one root: no node has two parents, or is both a child and a parent.
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
         knots = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 1 OR (ups = 1 AND n > 1)")
         if knots.isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-least")
-        large = stage(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "links-large")
-        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "links-least")
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-least", size)
+        large = stage(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "links-large", size)
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "links-least", size)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = small.distinct()
 
@@ -271,6 +267,7 @@ def remaining_links(spread: DataFrame, labels: DataFrame | None, shingles: DataF
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row with an id: the id, class_id and whether it is the one that stays."""
+    small_batches(docs.sparkSession)
     rows = stage(features(docs, id_col, text_col), "near-features")
     groups = stage(rows.groupBy("_key").agg(F.min(F.struct("_id", "_n", "_buckets")).alias("r")).select("_key", "r.*"), "near-groups")
     spread = groups.where("_n > 0").select("_id", "_n", F.explode("_buckets").alias("_bucket"))

@@ -37,24 +37,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, stage, text_of
+from .common import BROADCAST_BYTES, small_batches, stage, text_of
 
 CAPACITY, END_ID = 4096, 1
-#: Runs a worker remembers; beyond, those that it hasn't met lately go.
-CACHE = 500_000
+#: Runs a task remembers; beyond, those that it hasn't met lately go.
+CACHE = 150_000
 #: A full stop or comma between a letter and white space: a word of its own to the tokenizer.
 ENDED = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=[ \n])")
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 class Words:
     """Ids of the runs between white space, remembered as little-endian 32-bit integers."""
 
     def __init__(self, source: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(source)
+        self.tokenizer = _tokenizer(source)
         self.known, self.before = {"": b""}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -95,31 +92,38 @@ def _plain(text: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def _words(source: str) -> Words:
-    return Words(source)
+def _tokenizer(source: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(source)
 
 
 def _tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, finish, returns: str, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a fixed size
     end, step = np.asarray([end_id], "<u4").tobytes(), 4 * capacity
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(shared.value)
         for pdf in batches:
             for k in range(0, len(pdf), 1000):
                 out, part = [], pdf.iloc[k : k + 1000]
-                for doc_id, raw in zip(part["_id"].tolist(), _words(shared.value).encode(part["_text"].tolist())):
+                for doc_id, raw in zip(part["_id"].tolist(), words.encode(part["_text"].tolist())):
                     raw += end
-                    out += [finish(None if doc_id is None or doc_id != doc_id else int(doc_id), i, i * capacity, raw[p : p + step]) for i, p in enumerate(range(0, len(raw), step))]
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in returns.split(", ")]).astype({"doc_id": "Int64"})
+                    out += [finish(doc_id, i, i * capacity, raw[p : p + step]) for i, p in enumerate(range(0, len(raw), step))]
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in returns.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).mapInPandas(of, returns)
+    # Ids travel as text: beside a null, pandas would read large ones as floating point.
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("_id"), text_of(text_col).alias("_text")).mapInPandas(of, returns)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Slim rows: doc_id, piece, start, length, ids_crc32."""
 
-    def finish(doc_id: int | None, piece: int, start: int, raw: bytes) -> tuple:
+    def finish(doc_id: str | None, piece: int, start: int, raw: bytes) -> tuple:
         return doc_id, piece, start, len(raw) // 4, zlib.crc32(raw)
 
     return _tokenised(docs, tokenizer_path, capacity, end_id, finish, PIECES, id_col, text_col)
@@ -128,10 +132,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 def piece_ids(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece and the ids themselves, to be joined to placements and written out."""
 
-    def finish(doc_id: int | None, piece: int, start: int, raw: bytes) -> tuple:
+    def finish(doc_id: str | None, piece: int, start: int, raw: bytes) -> tuple:
         return doc_id, piece, np.frombuffer(raw, "<u4").astype(np.int32)
 
-    return _tokenised(docs, tokenizer_path, capacity, end_id, finish, "doc_id long, piece int, ids array<int>", id_col, text_col)
+    return _tokenised(docs, tokenizer_path, capacity, end_id, finish, "doc_id string, piece int, ids array<int>", id_col, text_col)
 
 
 def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

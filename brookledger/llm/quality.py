@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_ids, text_of
+from .common import Recent, labelled_ids, refuse_clash, small_batches, text_of
 
 FOLDS, HELD_OUT_FOLD, THRESHOLD = 4, 2, 0.7
 PER_CLASS = 2000
@@ -40,8 +40,8 @@ MIN_DOCS = 4
 SMOOTHING, COST, EPOCHS, PARTS = 1.0, 0.1, 8, 2
 SHAPES = str.maketrans({c: "a" for c in "bcdefghijklmnopqrstuvwxyz"} | {c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: "0" for c in "123456789"})
 RUN = re.compile(r"(.)\1+")
-#: Words remembered between batches before a worker starts afresh.
-CACHE = 300_000
+#: Words, and n-grams of shapes, that a task remembers.
+CACHE = 100_000
 
 
 def _hash(name: str) -> int:
@@ -57,32 +57,18 @@ class Features:
     """Feature ids of texts; remembers words, and the n-grams of shapes, which are few."""
 
     def __init__(self) -> None:
-        self.words: dict[str, tuple[int, str]] = {}
-        self.grams: dict[tuple, int] = {}
-
-    def word(self, word: str) -> tuple[int, str]:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
-            got = self.words[word] = _hash("w" + word.lower()), shape(word)
-        return got
+        self.words = Recent(lambda word: (_hash("w" + word.lower()), shape(word)), CACHE)
+        self.grams = Recent(lambda g: _hash("s" + " ".join(g)), CACHE)
 
     def __call__(self, text: str) -> np.ndarray:
         seen: set[str] = set()
-        known, grams, shapes = self.word, set(), []
+        known, grams, shapes = self.words.__getitem__, set(), []
         for w in text.split():
             shapes.append(known(w)[1] + ("=" if w in seen and len(w) > 6 else ""))
             seen.add(w)
         grams.update(zip(shapes), zip(shapes, shapes[1:]), zip(shapes, shapes[1:], shapes[2:]))
         ids = {known(w)[0] for w in seen}
-        for g in grams:
-            got = self.grams.get(g)
-            if got is None:
-                if len(self.grams) > CACHE:
-                    self.grams.clear()
-                got = self.grams[g] = _hash("s" + " ".join(g))
-            ids.add(got)
+        ids.update(map(self.grams.__getitem__, grams))
         return np.fromiter(ids, np.uint32, len(ids))
 
 
@@ -173,6 +159,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learns from ``labels.quality`` of rows outside the held-out fold."""
+    small_batches(docs.sparkSession)
     chosen = labelled_ids(labels, "quality", FOLDS, HELD_OUT_FOLD, per_class)
     rows = (
         docs.select("doc_id", text_of().alias("text"))
@@ -187,7 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "_quality") -> DataFrame:
-    """Adds ``out_col double``: how likely label 1 is."""
+    """Adds ``out_col double``, a name that no column may have: how likely label 1 is."""
+    refuse_clash(docs, out_col)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf("double")

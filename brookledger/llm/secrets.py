@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import refuse_clash, small_batches, text_of
 
 # The kinds in their order, with the least length of what they find.
 KINDS = ("assign", "access", "hex")
@@ -44,7 +45,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_VALUE = 12
 
-ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+#: Runs of escapes of one kind. An escape of the character that begins escapes may be
+#: nested any number of times (%2541, %252541, ...): such a chain is one escape.
+PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+UNICODE = re.compile(r"\\(?:u005[cC])*u([0-9A-Fa-f]{4})")
+BYTE = re.compile(r"\\(?:x5[cC])*x([0-9A-Fa-f]{2})")
+DECIMAL = re.compile(r"&(?:#0{0,5}38;)*#([0-9]{1,7});")
+HEXADECIMAL = re.compile(r"&(?:#[xX]0{0,4}26;)*#[xX]([0-9A-Fa-f]{1,6});")
+ESCAPE = re.compile("|".join(f"(?:{x.pattern.replace('(', '(?:').replace('(?:?:', '(?:')})+" for x in (PERCENT, UNICODE, BYTE, DECIMAL, HEXADECIMAL)))
 #: 16 hex digits are the shortest secret; in base64 they take 22 characters.
 LEAST_RUN = 22
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+(?=[A-Za-z0-9+/_-]))?+)++")
@@ -68,31 +76,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _unescaped(run: str) -> list[tuple[str, int]]:
-    """Decoded characters of one run of escapes, with the length of each one's escape; none if it isn't valid."""
-    if run[0] == "&":
-        code = int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1])
-        return [(chr(code), len(run))] if code < 0x110000 and not 0xD800 <= code < 0xE000 else []
-    if run[:2] in ("\\u", "\\x"):
-        width = 6 if run[1] == "u" else 4
-        codes = [int(run[k + 2 : k + width], 16) for k in range(0, len(run), width)]
+    """Decoded characters of one run of escapes, with the length of each one's escape."""
+    of = PERCENT if run[0] == "%" else UNICODE if run[:2] == "\\u" else BYTE if run[0] == "\\" else HEXADECIMAL if HEXADECIMAL.match(run) else DECIMAL
+    codes, sizes = zip(*((int(m[1], 10 if of is DECIMAL else 16), m.end() - m.start()) for m in of.finditer(run)))
+    if of is PERCENT:
+        try:
+            text = bytes(codes).decode()
+        except UnicodeDecodeError:
+            return list(zip(map(chr, codes), sizes))
         out, k = [], 0
-        while k < len(codes):
-            if 0xD800 <= codes[k] < 0xDC00 and k + 1 < len(codes) and 0xDC00 <= codes[k + 1] < 0xE000:
-                out.append((chr(0x10000 + ((codes[k] - 0xD800) << 10) + codes[k + 1] - 0xDC00), 2 * width))
-                k += 2
-                continue
-            out.append((chr(codes[k]) if not 0xD800 <= codes[k] < 0xE000 else "�", width))
-            k += 1
+        for c in text:
+            n = len(c.encode())
+            out.append((c, sum(sizes[k : k + n])))
+            k += n
         return out
-    raw = bytes.fromhex(run.replace("%", ""))
-    try:
-        return [(c, 3 * len(c.encode())) for c in raw.decode()]
-    except UnicodeDecodeError:
-        return [(chr(b), 3) for b in raw]
+    out, k = [], 0
+    while k < len(codes):
+        if 0xD800 <= codes[k] < 0xDC00 and k + 1 < len(codes) and 0xDC00 <= codes[k + 1] < 0xE000:
+            out.append((chr(0x10000 + ((codes[k] - 0xD800) << 10) + codes[k + 1] - 0xDC00), sizes[k] + sizes[k + 1]))
+            k += 2
+            continue
+        out.append((chr(codes[k]) if codes[k] < 0x110000 and not 0xD800 <= codes[k] < 0xE000 else "�", sizes[k]))
+        k += 1
+    return out
 
 
 def without_escapes(layer: Layer) -> Layer | None:
-    """The layer with its URL and Unicode escapes replaced."""
+    """The layer with its URL and Unicode escapes replaced; those of no character give U+FFFD."""
     text, starts, ends, path = layer
     parts, firsts, lasts, at = [], [], [], 0
     for m in ESCAPE.finditer(text):
@@ -257,6 +267,7 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
     base = base_spans(text)
     found: dict[tuple[int, int, int], str] = {s: "" for s in base}
     mark = lambda x: xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass"))
+    covers = [[(a, b) for a, k, b in base if k == kind] for kind in range(len(KINDS))]
     work = [_unwrapped((text, None, None, ""))]  # depth first: one window of each depth is held
     seen = {(mark(text), 0)}
     while work:
@@ -268,13 +279,17 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
             work.append(_unwrapped(x))
             for s, kind, e in base_spans(x[0]):
                 span = (int(x[1][s]), kind, int(x[2][e - 1]))
-                if not any(k == kind and a <= span[0] and span[2] <= b for a, k, b in base):
+                # Base spans of a kind don't overlap: only the last one that begins no later can cover this one.
+                k = bisect_right(covers[kind], (span[0], len(text) + 1)) - 1
+                if k < 0 or covers[kind][k][1] < span[2]:
                     found.setdefault(span, x[3][1:])
     return [(KINDS[k], s, e, where) for (s, k, e), where in sorted(found.items())]
 
 
 def scan(docs: DataFrame, text_col: str = "text", out_col: str = "_secrets") -> DataFrame:
-    """Adds ``out_col``: the spans (code points, end exclusive) with the layers that held them."""
+    """Adds ``out_col``, a name that no column may have: the spans (code points, end exclusive) with the layers that held them."""
+    refuse_clash(docs, out_col)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf(SPAN)
     def of(texts: pd.Series) -> pd.Series:
@@ -285,6 +300,7 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "_secrets") ->
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """The documents, each span in their texts replaced by ``mark``; texts without spans, null ones too, stay as they are."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:

@@ -14,7 +14,7 @@ number of documents reach the driver. Every document is scored over its whole te
 
 Defined results: null text counts as empty and scores as one empty sentence;
 a document without labels is only scored; rows that repeat an id are scored
-alike; without any positive or any negative label all scores are the share of
+alike; ids may be null; without any positive or any negative label all scores are the share of
 positive labels (0 without labels); further columns are ignored.
 """
 
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_ids, stage, text_of
+from .common import Recent, labelled_ids, refuse_clash, small_batches, stage, text_of
 
 FOLDS, HELD_OUT_FOLD, THRESHOLD = 3, 1, 0.7
 PER_CLASS = 2500
@@ -41,8 +41,9 @@ LIFT = 3
 EPOCHS, RATE, SPARSE = 300, 0.1, 0.3
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
-#: Words remembered between batches before a worker starts afresh.
-CACHE = 400_000
+SCORES = "score double, worst_start int, worst_end int, worst_score double, n_offending int, offending array<struct<start:int,end:int,score:double>>"
+#: Words a task remembers.
+CACHE = 50_000
 
 
 def word_features(word: str) -> list[int]:
@@ -89,6 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     Features that don't set toxic documents apart are dropped by a grouped
     count before anything reaches the driver.
     """
+    small_batches(docs.sparkSession)
     chosen = labelled_ids(labels, "toxic", FOLDS, HELD_OUT_FOLD, per_class)
     bags = stage(
         docs.select("doc_id", text_of().alias("text"))
@@ -142,24 +144,18 @@ def learn(ids: list, sizes: list, y: np.ndarray, kept: np.ndarray) -> Model:
     return Model({int(f): float(x) for f, x in zip(kept.view(np.uint32), w) if x > 1e-3}, float(b))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``_toxic`` to ``docs``: score, the worst sentence's span (code
-    points, end exclusive) and score, and how many sentences reach THRESHOLD."""
+def score(docs: DataFrame, model: Model, out_col: str = "_toxic") -> DataFrame:
+    """Adds ``out_col`` to ``docs``, which may have no column of that name: score, the
+    worst sentence's span (code points, end exclusive) and score, how many sentences
+    reach THRESHOLD, and which these are (start, end, score)."""
+    refuse_clash(docs, out_col)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
-    @F.pandas_udf("score double, worst_start int, worst_end int, worst_score double, n_offending int")
+    @F.pandas_udf(SCORES)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
-        cache: dict[str, float] = {}
-
-        def weight(word: str) -> float:
-            got = cache.get(word)
-            if got is None:
-                if len(cache) > CACHE:
-                    cache.clear()
-                got = cache[word] = known.word_weight(word)
-            return got
-
+        weight = Recent(known.word_weight, CACHE).__getitem__
         for texts in batches:
             out = []
             for text in texts:
@@ -167,15 +163,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 z = np.clip(np.asarray([x[2] for x in spans]), -30, 30)
                 p = 1 / (1 + np.exp(-z))
                 k = int(z.argmax())
-                out.append((float(-np.expm1(-np.logaddexp(0, z).sum())), spans[k][0], spans[k][1], float(p[k]), int((p >= THRESHOLD).sum())))
-            yield pd.DataFrame(out, columns=["score", "worst_start", "worst_end", "worst_score", "n_offending"])
+                found = [{"start": spans[i][0], "end": spans[i][1], "score": float(p[i])} for i in np.flatnonzero(p >= THRESHOLD)]
+                out.append((float(-np.expm1(-np.logaddexp(0, z).sum())), spans[k][0], spans[k][1], float(p[k]), len(found), found))
+            yield pd.DataFrame(out, columns=["score", "worst_start", "worst_end", "worst_score", "n_offending", "offending"])
 
-    return docs.withColumn("_toxic", of(text_of()))
+    return docs.withColumn(out_col, of(text_of()))
 
 
-def offending(scored: DataFrame) -> DataFrame:
-    """The worst sentence of each document that ``score`` finds toxic."""
-    return scored.where(F.col("_toxic.score") >= THRESHOLD).select(
-        "doc_id", F.col("_toxic.score").alias("score"), F.col("_toxic.worst_start").alias("start"), F.col("_toxic.worst_end").alias("end"),
-        F.expr("substring(text, _toxic.worst_start + 1, _toxic.worst_end - _toxic.worst_start)").alias("sentence"),
-    )
+def offending(scored: DataFrame, out_col: str = "_toxic") -> DataFrame:
+    """The offending sentences of each document that ``score`` finds toxic: all that reach
+    THRESHOLD, or the worst one where several milder ones make it toxic together."""
+    t = F.col(out_col)
+    worst = F.array(F.struct(t["worst_start"].alias("start"), t["worst_end"].alias("end"), t["worst_score"].alias("score")))
+    rows = scored.where(t["score"] >= THRESHOLD).select("doc_id", text_of().alias("_text"), t["score"].alias("score"), F.explode(F.when(t["n_offending"] > 0, t["offending"]).otherwise(worst)).alias("s"))
+    return rows.select("doc_id", "score", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.score").alias("sentence_score"), F.expr("substring(_text, s.start + 1, s.end - s.start)").alias("sentence"))
