@@ -11,29 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookledger.llm import exact_dedup, near_dedup, packing, secrets, toxicity
-from brookledger.llm.common import stage, table
+from brookledger.llm.common import fresh, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least the threshold go; the model learns from the labelled documents among ``docs``."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("_toxic.score") < toxicity.THRESHOLD).drop("_toxic")
+    """Documents that score at least the threshold go; the model learns from the labelled
+    documents among ``docs``. Null texts count as empty and null ids are only scored."""
+    model, out = toxicity.fit(docs, table(spark, sf_dir, "labels")), fresh(docs, "_toxic")
+    return toxicity.score(docs, model, out).where(F.col(out)["score"] < toxicity.THRESHOLD).drop(out)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for the case of A-Z the row with the largest id stays. Null texts
+    are empty texts; a null id gives way to any other; of rows that repeat an id and a text one stays."""
     return exact_dedup.keep(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the row with the smallest id stays. Rows without an id,
+    and those that repeat the id of a row that stays, stay."""
     return near_dedup.keep(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to a mark; ``n_chars`` follows the text where there is one."""
-    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")).select(docs.columns)
+    """Secrets give way to a mark; texts without any, null ones too, stay as they are. Where there is a
+    column ``n_chars`` it follows the text."""
+    out = secrets.redact(docs)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return out.select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: doc_id, piece, start, length, ids_crc32, sequence_id
+    and offset. A null text is the closing id alone; rows that repeat an id are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
