@@ -133,8 +133,8 @@ def review_reasons(confidence: Column, source: Column, amount: Column, walk_pass
     """Why an entry should be looked at."""
     ai = source.isin("llm_text", "llm_vision", "ocr_llm")
     return codes(
-        (confidence < rules.CONFIDENCE_FLOOR, "low_confidence"), (ai, "ai_extracted"),
-        ((amount > rules.LARGE_AMOUNT) & (ai | ~_flag(walk_passed)), "large_amount"), (status == "needs_review", "needs_review"),
+        (confidence < rules.CONFIDENCE_FLOOR, "low_confidence"), (ai, "ai_sourced"),
+        ((amount > rules.LARGE_AMOUNT) & (ai | ~_flag(walk_passed)), "large_amount"), (status.isin("low_confidence", "needs_review"), "needs_review"),
         (walk_passed == F.lit(False), "balance_walk_failed"),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions import text
 
 MONEY = "decimal(16,2)"
 
@@ -32,12 +33,13 @@ def balance_walk(rows: DataFrame, statements: DataFrame, tolerance=rules.WALK_TO
             F.when(off, r["balance_after"]).otherwise(moved).cast(MONEY).alias("running"),
             (state["flagged"] + F.when(off | r["is_credit"].isNull(), 1).otherwise(0)).cast("int").alias("flagged"),
             F.coalesce(state["first"], F.when(off, r["seq"].cast("long"))).alias("first"),
+            F.when(off | r["is_credit"].isNull(), F.array_append(state["problems"], r["seq"].cast("long"))).otherwise(state["problems"]).alias("problems"),
         )
 
-    start = F.struct(F.col("opening_balance").cast(MONEY).alias("running"), F.lit(0).alias("flagged"), F.lit(None).cast("long").alias("first"))
+    start = F.struct(F.col("opening_balance").cast(MONEY).alias("running"), F.lit(0).alias("flagged"), F.lit(None).cast("long").alias("first"), F.array().cast("array<bigint>").alias("problems"))
     done = statements.join(grouped, "statement_id", "left").withColumn("_w", F.aggregate(F.coalesce("_rows", F.array().cast("array<struct<transaction_date:date,seq:bigint,amount:decimal(16,2),is_credit:boolean,balance_after:decimal(16,2)>>")), start, walk))
     return done.select(
-        "statement_id", F.col("_w.running").alias("computed_closing"), F.col("_w.flagged").alias("flagged_rows"), F.col("_w.first").alias("first_flagged_seq"),
+        "statement_id", F.col("_w.running").alias("computed_closing"), F.col("_w.flagged").alias("flagged_rows"), F.col("_w.first").alias("first_flagged_seq"), F.col("_w.problems").alias("problem_seqs"),
         (F.abs(F.col("_w.running") - F.col("closing_balance")) <= tol).alias("passed"),
     )
 
@@ -50,14 +52,18 @@ def simple_walk(rows: DataFrame, statements: DataFrame, tolerance=rules.WALK_TOL
     return statements.join(sums, "statement_id", "left").select("statement_id", F.coalesce("credits", zero).alias("credits"), F.coalesce("debits", zero).alias("debits"), F.coalesce("rows", F.lit(0)).alias("rows"), gap.alias("gap"), (gap <= F.lit(tolerance)).alias("passed"))
 
 
-def directions(rows: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """Direction of each row from the change of its balance, where that agrees with the amount; else from its text, else debit."""
-    w = W.partitionBy("statement_id").orderBy("seq")
-    change = F.col("balance_after") - F.lag("balance_after").over(w)
+def directions(rows: DataFrame, tolerance: float = rules.DELTA_TOLERANCE) -> DataFrame:
+    """Direction of each row from the change of its balance, where that agrees with the amount; else from its narration, else debit.
+
+    A statement whose first date is later than its last one is newest first, and its rows are turned round.
+    """
+    whole = W.partitionBy("statement_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    newest_first = F.coalesce(F.first("transaction_date").over(whole) > F.last("transaction_date").over(whole), F.lit(False))
+    placed = rows.withColumn("_at", F.when(newest_first, -F.col("seq")).otherwise(F.col("seq")))
+    change = F.col("balance_after") - F.lag("balance_after").over(W.partitionBy("statement_id").orderBy("_at"))
     agrees = F.abs(F.abs(change) - F.col("amount")) <= F.lit(tolerance)
-    low = F.lower(F.coalesce("description", F.lit("")))
-    by_text = F.when(low.rlike(r"\b(cr|credit|deposit|by transfer|interest)\b"), "credit").otherwise("debit")
-    return rows.withColumn("direction", F.when(agrees & (change > 0), "credit").when(agrees & (change < 0), "debit").otherwise(by_text))
+    by_text = F.when(text.contains_any(F.upper(F.coalesce("description", F.lit(""))), rules.CREDIT_NARRATIONS), "credit").otherwise("debit")
+    return placed.withColumn("direction", F.when(agrees, F.when(change > 0, "credit").otherwise("debit")).otherwise(by_text)).drop("_at")
 
 
 def carried_dates(rows: DataFrame) -> DataFrame:

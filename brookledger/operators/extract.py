@@ -1,16 +1,14 @@
 """Rows out of the text of statements and tax documents.
 
-Statement lines become rows by regular expressions inside the JVM. Portal lines
-depend on what stands around a match, so they come from an Arrow UDF over whole
-documents; nothing shuffles.
+Everything is regular expressions inside the JVM: what stands around a match is read
+by lookarounds, and rows that repeat are met by grouping slim rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,58 +52,58 @@ def form16_lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.explode(heads).alias("s")).select("doc_id", "s.*").where("amount > 0")
 
 
-def _number(text: str) -> float:
-    return round(float(text.replace(",", "")), 2)
+def _around(pattern: str, before: int, behind: int) -> str:
+    """``pattern`` as group 2, between what stands before it (group 1) and behind it (the last group)."""
+    return rf"(?is)(?={pattern})(?<=(\A.{{0,{before - 1}}}|.{{{before}}}))({pattern})(?=(.{{0,{behind}}}))"
 
 
-def ais_items(text: str) -> list[tuple]:
-    """(category, word, amount, source) for each amount within 40 characters after a category's word; one for each category, amount and context."""
-    found: dict[tuple, tuple] = {}
-    for category, words in rules.AIS_WORDS.items():
-        for word in words:
-            for m in re.finditer(rf"(?i){re.escape(word)}[^0-9]{{0,40}}([0-9][0-9,]*(?:\.\d{{1,2}})?)", text):
-                around = text[max(0, m.start() - 80) : m.end() + 40].strip()
-                if (amount := _number(m.group(1))) > 0:
-                    source = next((s.group().strip() for p in rules.AIS_SOURCES if (s := re.search(f"(?i){p}", around))), None)
-                    found.setdefault((category, amount, around[:60]), (category, word, amount, source))
-    return list(found.values())
+def _amounts(texts: Column) -> Column:
+    return F.transform(texts, lambda x: F.round(F.replace(x, F.lit(","), F.lit("")).cast("double"), 2))
 
 
-def form26as_items(text: str) -> list[tuple]:
-    """(part, tan, section, credited, deducted): around each deductor number the largest amount and the next; then challans."""
-    number = re.compile(r"\b([0-9][0-9,]*(?:\.\d{1,2})?)\b")
-
-    def amounts(window: str, digits: int, above: float) -> list[float]:
-        texts = (x for x in number.findall(window) if "." in x or len(x.replace(",", "")) >= digits)
-        return sorted((a for a in map(_number, texts) if a > above), reverse=True)
-
-    found: dict[tuple, tuple] = {}
-    for m in re.finditer(rules.TAN, text):
-        window = text[max(0, m.start() - 50) : m.end() + 200]
-        section = s.group(1) if (s := re.search(rules.SECTION, window)) else None
-        if got := amounts(window, 3, 0):
-            less = [a for a in got if a < got[0]]
-            found.setdefault((m.group(1), section, got[0]), ("A" if section else "B", m.group(1), section, got[0], less[0] if less else None))
-    challans = [("C", None, "self_paid_challan", got[0], None) for m in re.finditer(rules.CHALLAN, text) if (got := amounts(text[m.start() : m.start() + 200], 4, 100))]
-    return [*found.values(), *challans]
-
-
-def _items(documents: DataFrame, of: Callable[[str], list[tuple]], fields: str) -> DataFrame:
-    names = [f.split(":")[0] for f in fields.split(",")]
-
-    @F.pandas_udf(f"array<struct<{fields}>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(names, x)) for x in of(t or "")] for t in texts], dtype=object)
-
-    return documents.select("doc_id", F.explode(run("text")).alias("s")).select("doc_id", "s.*")
+def ais_lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, category, word, amount, info_source) for each amount that follows a category's word closely; one for each category, amount and surroundings."""
+    words = [(c, w) for c, some in rules.AIS_WORDS.items() for w in some]
 
+    def found(k: int, category: str, word: str) -> Column:
+        p = _around(rf"{re.escape(word)}[^0-9]{{0,{rules.AIS_REACH}}}(?:{rules.PLAIN_AMOUNT})", rules.AIS_BEFORE, rules.AIS_BEHIND)
+        group = lambda g: F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p), F.lit(g))
+        rows = F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("c"))
+        return F.transform(rows, lambda r, i: F.struct(
+            F.lit(category).alias("category"), F.lit(k).alias("k"), i.alias("at"), F.lit(word).alias("word"),
+            F.regexp_extract(r["b"], rf"({rules.PLAIN_AMOUNT})$", 1).alias("raw"), F.regexp_replace(F.concat(r["a"], r["b"], r["c"]), r"^\s+|\s+$", "").alias("around"),
+        ))
 
-def ais_lines(documents: DataFrame) -> DataFrame:
-    return _items(documents, ais_items, "category:string,word:string,amount:double,info_source:string")
+    rows = documents.select("doc_id", F.explode(F.flatten(F.array(*(found(k, *x) for k, x in enumerate(words))))).alias("s")).select("doc_id", "s.*")
+    rows = rows.withColumn("amount", _amounts(F.array("raw"))[0]).where("amount > 0")
+    source = F.coalesce(*(F.nullif(F.trim(F.regexp_extract("around", f"(?i){p}", 0)), F.lit("")) for p in rules.AIS_SOURCES))
+    first = F.min_by(F.struct("word", source.alias("info_source")), F.struct("k", "at")).alias("m")
+    return rows.groupBy("doc_id", "category", "amount", F.left("around", F.lit(rules.AIS_SAME)).alias("_same")).agg(first).select("doc_id", "category", "m.word", "amount", "m.info_source")
 
 
 def form26as_lines(documents: DataFrame) -> DataFrame:
-    return _items(documents, form26as_items, "part:string,deductor_tan:string,section:string,amount_credit:double,amount_tds:double")
+    """(doc_id, part, deductor_tan, section, amount_credit, amount_tds): the largest amount around each deductor's number and the next one; then challans."""
+    text = F.coalesce("text", F.lit(""))
+    number = rf"\b({rules.PLAIN_AMOUNT})\b"
+
+    def most(window: Column, digits: int) -> Column:
+        texts = F.filter(F.regexp_extract_all(window, F.lit(number), F.lit(1)), lambda x: x.contains(".") | (F.length(F.replace(x, F.lit(","), F.lit(""))) >= digits))
+        return _amounts(texts)
+
+    p = rf"(?s)(?<=(\A.{{0,{rules.TAN_BEFORE - 1}}}|.{{{rules.TAN_BEFORE}}})){rules.TAN}(?=(.{{0,{rules.TAN_BEHIND}}}))"
+    group = lambda g: F.regexp_extract_all(text, F.lit(p), F.lit(g))
+    rows = documents.select("doc_id", F.posexplode(F.arrays_zip(group(1).alias("a"), group(2).alias("tan"), group(3).alias("c"))).alias("at", "r"))
+    window = F.concat("r.a", "r.tan", "r.c")
+    rows = rows.select("doc_id", "at", F.col("r.tan").alias("deductor_tan"), F.nullif(F.regexp_extract(window, rules.SECTION, 1), F.lit("")).alias("section"), F.filter(most(window, rules.TAN_DIGITS), lambda x: x > 0).alias("amounts"))
+    credit = F.array_max("amounts")
+    rows = rows.withColumn("amount_credit", credit).withColumn("amount_tds", F.array_max(F.filter("amounts", lambda x: x < credit))).where("amount_credit IS NOT NULL")
+    rows = rows.groupBy("doc_id", "deductor_tan", "section", "amount_credit").agg(F.min_by(F.struct("amount_tds"), "at").alias("m"))
+    rows = rows.select("doc_id", F.when(F.col("section").isNotNull(), "A").otherwise("B").alias("part"), "deductor_tan", "section", "amount_credit", "m.amount_tds")
+    q = rf"(?s)(?=(.{{0,{rules.CHALLAN_ROW}}})){rules.CHALLAN}"
+    paid = documents.select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(q), F.lit(1))).alias("row"))
+    paid = paid.select("doc_id", F.array_max(F.filter(most(F.col("row"), rules.CHALLAN_DIGITS), lambda x: x > rules.CHALLAN_LEAST)).alias("amount_credit")).where("amount_credit IS NOT NULL")
+    none = F.lit(None)
+    return rows.unionByName(paid.select("doc_id", F.lit("C").alias("part"), none.cast("string").alias("deductor_tan"), F.lit("self_paid_challan").alias("section"), "amount_credit", none.cast("double").alias("amount_tds")))
 
 
 def amounts_after(documents: DataFrame, words: Sequence[str]) -> DataFrame:

@@ -33,6 +33,12 @@ def of_user(table: DataFrame, user_id) -> DataFrame:
     return table.where(F.col("user_id") == F.lit(user_id))
 
 
+def with_category_names(ledger: DataFrame, categories: DataFrame) -> DataFrame:
+    """Entries (category_id) with the name of their category (category_id, name); Uncategorized where there is none."""
+    names = categories.select("category_id", F.col("name").alias("category"))
+    return ledger.join(names, "category_id", "left").withColumn("category", F.coalesce("category", F.lit("Uncategorized")))
+
+
 def filtered(ledger: DataFrame, *, since: date | None = None, until: date | None = None, category: str | None = None, bank: str | None = None, direction: str | None = None, nature: str | None = None, least: float | None = None, most: float | None = None, contains: str | None = None, ids: Sequence | None = None) -> DataFrame:
     """Rows that meet every condition given; dates and amounts are inclusive, ``contains`` looks at merchants and notes without regard to case."""
     given: list[Column] = []

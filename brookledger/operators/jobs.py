@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
+from ..tables import written
 
 MOST_ATTEMPTS, LONGEST_WAIT = 3, 300
 
@@ -16,14 +17,20 @@ MOST_ATTEMPTS, LONGEST_WAIT = 3, 300
 def claim_order(jobs: DataFrame) -> DataFrame:
     """The queued job that each user would be served next, in fair order: fewest running jobs, then oldest.
 
-    jobs: job_id, user_id, status, priority, created_at. Counts and each user's
-    first job are grouped aggregates; only one row a user is ranked.
+    jobs: job_id, user_id, status, priority, created_at. Counts and each user's first
+    job are grouped aggregates. The one row a user is sorted by ranges; its place is its
+    own in its range and how many rows the ranges before have, so no task sees all users.
     """
     running = jobs.where("status = 'running'").groupBy("user_id").agg(F.count("*").alias("running"))
     first = F.min(F.struct((-F.col("priority")).alias("p"), "created_at", "job_id")).alias("m")
     queued = jobs.where("status = 'queued'").groupBy("user_id").agg(first, F.min("created_at").alias("oldest"))
     out = queued.join(running, "user_id", "left").select("user_id", "m.job_id", F.coalesce("running", F.lit(0)).alias("running"), "oldest")
-    return out.withColumn("place", F.row_number().over(W.orderBy("running", "oldest", "user_id"))).select("user_id", "job_id", "place")
+    order = ["running", "oldest", "user_id"]
+    row = F.monotonically_increasing_id()
+    ranked = written(out.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.shiftright(row, 33)).withColumn("_row", row.bitwiseAND(F.lit((1 << 33) - 1))), "claims")
+    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return ranked.join(before, "_part").select("user_id", "job_id", (F.col("_row") + F.col("_before") + 1).cast("int").alias("place"))
 
 
 def retried(failed: DataFrame) -> DataFrame:
@@ -38,15 +45,18 @@ def sender_discovery(mails: DataFrame, known_domains: Sequence[str], keywords: S
     sender = F.lower(F.trim("from_address"))
     domain = F.substring_index(sender, "@", -1)
     hit = contains_any(F.lower(F.coalesce("subject", F.lit(""))), keywords)
-    g = mails.groupBy(sender.alias("sender"), domain.alias("domain")).agg(
-        F.count("*").alias("messages"), F.count_if("has_attachment").alias("attachments"), F.count_if(hit).alias("keyword_subjects"),
-        F.slice(F.array_sort(F.collect_set(F.struct("message_id", "subject"))), 1, 3).alias("subjects"),
-    )
+    g = mails.groupBy(sender.alias("sender"), domain.alias("domain")).agg(F.count("*").alias("messages"), F.count_if("has_attachment").alias("attachments"), F.count_if(hit).alias("keyword_subjects"))
     c = F.col
     score = F.least(F.lit(0.4), 0.3 * c("attachments")) + F.least(F.lit(0.35), 0.25 * c("keyword_subjects")) + F.when(c("domain").isin(*known_domains), 0.25).otherwise(0.0) + F.least(F.lit(0.15), F.log(c("messages") + 1) / F.log(F.lit(20.0)))
     out = g.withColumn("score", F.round(F.least(F.lit(1.0), score), 3))
     best = out.orderBy(F.desc("score"), F.desc("messages"), "domain", "sender").limit(top)
-    return best.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), F.desc("messages"), "domain", "sender"))).withColumn("subjects", F.transform("subjects", lambda x: x["subject"]))
+    best = best.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), F.desc("messages"), "domain", "sender")))
+    # The three first subjects of these few senders only: one of each by a grouped minimum, then ranked.
+    theirs = mails.select(sender.alias("sender"), "message_id", "subject").where("subject IS NOT NULL").join(best.select("sender"), "sender", "left_semi")
+    first = theirs.groupBy("sender", "subject").agg(F.min("message_id").alias("_at"))
+    place = F.row_number().over(W.partitionBy("sender").orderBy("_at", "subject"))
+    shown = first.withColumn("_p", place).where(F.col("_p") <= 3).groupBy("sender").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "subject"))), lambda x: x["subject"]).alias("subjects"))
+    return best.join(shown, "sender", "left").withColumn("subjects", F.coalesce("subjects", F.array().cast("array<string>")))
 
 
 def domain_histogram(mails: DataFrame) -> DataFrame:

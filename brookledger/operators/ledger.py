@@ -31,18 +31,27 @@ def validate(raw: DataFrame, as_of: date, least_year: int = 2010) -> DataFrame:
 def promote(validated: DataFrame, existing: DataFrame, statements: DataFrame) -> Promotion:
     """Validated rows (statement_id, seq, user_id, account_masked, account_type, source, confidence, ...) become entries.
 
-    Invalid rows go to review; of equal keys, also with ``existing`` (dedup_key),
-    one is kept; each statement's new rows are walked; the rest of the reasons
-    for a review follow from the row and its walk.
+    Invalid rows go to review; of equal keys, also with ``existing`` (user_id, dedup_key), one is kept; so is
+    none that an earlier statement of the same file or fingerprint has under its weak signature (file_hash,
+    statement_fp in both frames, where they are known); each statement's new rows are walked; the rest of the
+    reasons for a review follow from the row and its walk.
     """
     side = F.when(F.coalesce("is_credit", F.lit(False)), "credit").otherwise("debit")
     rows = validated.withColumn("direction", side).withColumn("transaction_date", F.col("txn_date")).withColumn("merchant_raw", F.col("description")).withColumn("dedup_key", dedup.dedup_key())
     good = rows.where("validation_status <> 'invalid'")
     new = dedup.new_rows(good, existing, ["user_id", "dedup_key"], ["statement_id", "seq"])
+    if {"file_hash", "statement_fp"} <= set(new.columns) & set(existing.columns):
+        marked = new.withColumn("_signed", dedup.reimport_signature())
+        for key in ("file_hash", "statement_fp"):
+            # Known at another statement: a null of either side meets nothing.
+            old = existing.select(F.col("user_id").alias("_u"), F.col(key).alias("_k"), dedup.reimport_signature().alias("_s"), F.col("statement_id").alias("_of"))
+            marked = marked.join(old, (F.col("user_id") == F.col("_u")) & (F.col(key) == F.col("_k")) & (F.col("_signed") == F.col("_s")) & (F.col("statement_id") != F.col("_of")), "left_anti")
+        new = marked.drop("_signed")
     walks = balance.balance_walk(new.select("statement_id", "seq", "transaction_date", "amount", "is_credit", "balance_after"), statements.where("opening_balance IS NOT NULL AND closing_balance IS NOT NULL"))
-    entries = new.join(walks.select("statement_id", F.col("passed").alias("walk_passed")), "statement_id", "left").withColumn("nature", classify.nature(F.col("merchant_raw"), F.col("direction"), F.col("account_type")))
+    entries = new.join(walks.select("statement_id", F.col("passed").alias("walk_passed"), F.col("problem_seqs").alias("_problems")), "statement_id", "left").withColumn("nature", classify.nature(F.col("merchant_raw"), F.col("direction"), F.col("account_type")))
     reasons = classify.review_reasons(F.col("confidence"), F.col("source"), F.col("amount"), F.col("walk_passed"), F.col("validation_status"))
-    entries = entries.withColumn("review_reasons", reasons)
+    outlier = F.coalesce(F.array_contains("_problems", F.col("seq").cast("long")), F.lit(False))
+    entries = entries.withColumn("review_reasons", F.when(outlier, F.array_append(reasons, "balance_walk_outlier")).otherwise(reasons)).drop("_problems")
     invalid = rows.where("validation_status = 'invalid'").select("statement_id", "seq", F.explode("validation_errors").alias("reason"))
     reviews = invalid.unionByName(entries.select("statement_id", "seq", F.explode("review_reasons").alias("reason")))
     by_row = rows.groupBy("statement_id").agg(F.count("*").alias("rows"), F.count_if(F.col("validation_status") == "invalid").alias("invalid"))

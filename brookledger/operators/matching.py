@@ -23,6 +23,9 @@ from ..functions.text import append_note
 from ..tables import written
 from .insights import active
 
+#: Patterns by content that a rule table may hold.
+RULES = 5000
+
 
 def near(left: DataFrame, right: DataFrame, keys: Sequence[str], amount_gap: Decimal, days: int) -> DataFrame:
     """Pairs with equal keys (null equals null), amounts at most ``amount_gap`` and dates at most ``days`` apart.
@@ -149,14 +152,8 @@ def seq_ratio(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
-def duplicates(rows: DataFrame, existing: DataFrame, similar: bool = True) -> DataFrame:
-    """The existing entry that each row repeats, by the first tier that hits: equal fingerprint (0.99);
-    equal reference and direction, account equal or unknown (1.0); equal amount and direction within a
-    day and texts more than 0.6 alike; equal amount and direction within three days.
-
-    Both have txn_id, user_id, transaction_date, amount, direction, account_masked,
-    fingerprint, reference_number, merchant_raw. Returns txn_id, match_id, method, confidence.
-    """
+def candidates(rows: DataFrame, existing: DataFrame, similar: bool = True) -> DataFrame:
+    """Pairs (txn_id, match_id) of a row and an entry that it may repeat, with tier, _order within it, method and confidence; see ``duplicates``."""
     l, r = rows.alias("l"), existing.alias("r")
     other = F.col("l.txn_id") != F.col("r.txn_id")
     shared = (F.col("l.user_id") == F.col("r.user_id")) & other
@@ -171,7 +168,18 @@ def duplicates(rows: DataFrame, existing: DataFrame, similar: bool = True) -> Da
     if similar:
         alike = pairs.where("gap <= 1").withColumn("_s", seq_ratio(F.upper("l_merchant_raw"), F.upper("r_merchant_raw"))).where("_s > 0.6")
         found = found.unionByName(alike.select(F.col("l_txn_id").alias("txn_id"), F.lit(2).alias("tier"), F.lit("amount_date_desc").alias("method"), F.least(F.lit(0.95), 0.8 + (F.col("_s") - 0.6) * 0.375).alias("confidence"), (-F.col("_s")).alias("_order"), F.col("r_txn_id").alias("match_id")))
-    best = found.groupBy("txn_id").agg(F.min(F.struct("tier", "_order", "match_id", "method", "confidence")).alias("b"))
+    return found
+
+
+def duplicates(rows: DataFrame, existing: DataFrame, similar: bool = True) -> DataFrame:
+    """The existing entry that each row repeats, by the first tier that hits: equal fingerprint (0.99);
+    equal reference and direction, account equal or unknown (1.0); equal amount and direction within a
+    day and texts more than 0.6 alike; equal amount and direction within three days.
+
+    Both have txn_id, user_id, transaction_date, amount, direction, account_masked,
+    fingerprint, reference_number, merchant_raw. Returns txn_id, match_id, method, confidence.
+    """
+    best = candidates(rows, existing, similar).groupBy("txn_id").agg(F.min(F.struct("tier", "_order", "match_id", "method", "confidence")).alias("b"))
     return best.select("txn_id", "b.match_id", "b.method", F.round("b.confidence", 4).alias("confidence"))
 
 
@@ -195,11 +203,18 @@ def portal_matches(lines: DataFrame, ledger: DataFrame) -> DataFrame:
 def merchants(ledger: DataFrame, patterns: DataFrame) -> DataFrame:
     """The first pattern (pattern_id, kind exact/contains/regex, pattern, priority, merchant, category) that each distinct narration matches.
 
-    Patterns are a rule table of bounded size, broadcast; narrations are matched once each.
+    Narrations are matched once each. Exact patterns are met by an equi-join, however many there are. The others form a rule
+    table, which goes to every task as one row: ``RULES`` of them at most, else an error.
     """
     texts = ledger.select("merchant_raw").where("merchant_raw IS NOT NULL").distinct().withColumn("_up", F.upper(F.trim("merchant_raw")))
-    hit = F.expr("CASE kind WHEN 'exact' THEN _up = upper(pattern) WHEN 'contains' THEN contains(_up, upper(pattern)) ELSE _up rlike concat('(?i)', pattern) END")
-    best = texts.join(F.broadcast(patterns), hit).groupBy("merchant_raw").agg(F.min(F.struct((-F.col("priority")).alias("p"), F.col("pattern_id").alias("i"), "merchant", "category")).alias("b"))
+    found = F.struct((-F.col("priority")).alias("p"), F.col("pattern_id").alias("i"), "merchant", "category").alias("b")
+    exact = texts.join(patterns.where("kind = 'exact'").withColumn("_up", F.upper("pattern")), "_up").select("merchant_raw", found)
+    rest = patterns.where("kind <> 'exact'")
+    if rest.limit(RULES + 1).count() > RULES:
+        raise ValueError(f"more than {RULES} patterns that aren't exact")
+    hit = F.expr("CASE kind WHEN 'contains' THEN contains(_up, upper(pattern)) ELSE _up rlike concat('(?i)', pattern) END")
+    some = texts.join(F.broadcast(rest), hit).select("merchant_raw", found)
+    best = exact.unionByName(some).groupBy("merchant_raw").agg(F.min("b").alias("b"))
     return best.select("merchant_raw", "b.merchant", "b.category")
 
 

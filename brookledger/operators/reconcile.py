@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import classify, text
 from ..functions.money import total
 from .insights import active
@@ -137,17 +138,59 @@ def action_items(facts: DataFrame) -> DataFrame:
     return facts.select("user_id", F.explode(F.when(F.size(found) > 0, found).otherwise(ok)).alias("i")).select("user_id", "i.*")
 
 
-def checklist(facts: DataFrame, least_rows: int = 10) -> DataFrame:
-    """Documents a user still lacks; facts as for action_items plus ledger_rows."""
+def checklist(facts: DataFrame) -> DataFrame:
+    """What a user still lacks for a return: kind, severity and how much of the evidence speaks for it.
+
+    ``facts``: user_id; has_ais, has_26as, has_form16 (booleans: lines or a summary of the year are there);
+    ais_salary, ais_securities (booleans: the portal reports such lines), ais_interest_lines; form16a_sections
+    (distinct sections of deductions that need a further form); coverage_rows, and ledger_rows of the year.
+    """
     c = F.col
+    none, block, warning = F.lit(None).cast("int"), F.lit("block_filing"), F.lit("warning")
     checks = (
-        ((c("salary_income") > 0) & (c("tax_form") == 0), "form16", "error"), ((c("interest_income") > 0) & (c("interest_certificate") == 0), "interest_certificate", "warning"),
-        ((c("dividend_income") > 0) & (c("dividend_report") == 0), "dividend_report", "warning"), ((c("tax_payments") > 0) & (c("tax_challan") == 0), "tax_challan", "warning"),
-        (c("ledger_rows") < least_rows, "ledger_rows", "warning"),
+        (~c("has_ais"), "MISSING_AIS", block, none), (~c("has_26as"), "MISSING_26AS", block, none),
+        (~c("has_form16"), "MISSING_FORM_16", F.when(c("ais_salary"), block).otherwise(warning), none),
+        (c("form16a_sections") > 0, "MISSING_FORM_16A", warning, c("form16a_sections")), (c("ais_securities"), "MISSING_CG_DOC", warning, none),
+        (c("ais_interest_lines") > 0, "MISSING_INTEREST_CERT", F.lit("info"), c("ais_interest_lines")), (c("coverage_rows") == 0, "MISSING_BANK_STATEMENTS", warning, none),
+        ((c("coverage_rows") > 0) & (c("ledger_rows") < rules.LEAST_LEDGER_ROWS), "LOW_LEDGER_COVERAGE", warning, none),
     )
-    rows = F.filter(F.array(*(F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(n).alias("item"), F.lit(s).alias("severity"))) for cond, n, s in checks)), lambda x: x.isNotNull())
+    rows = F.filter(F.array(*(F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(n).alias("kind"), s.alias("severity"), e.cast("int").alias("evidence"))) for cond, n, s, e in checks)), lambda x: x.isNotNull())
     return facts.select("user_id", F.explode(rows).alias("i")).select("user_id", "i.*")
 
 
+def tds_lines(deducted: DataFrame, documented: DataFrame) -> DataFrame:
+    """Tax deducted by the portal's lines (user_id, part, amount_tds; parts A and A1 count) against that of salary forms (user_id, head, amount)."""
+    zero = F.lit(0).cast("decimal(18,2)")
+    a = deducted.where(F.col("part").isin("A", "A1")).groupBy("user_id").agg(F.sum("amount_tds").alias("a"))
+    b = documented.where("head = 'tds'").groupBy("user_id").agg(F.sum("amount").alias("b"))
+    p, l = F.coalesce("a", zero), F.coalesce("b", zero)
+    kind = F.when((F.abs(p - l) <= TDS) & (p > 0), "matched").when((p > 0) & (l == 0), "missing_in_ledger").when((l > 0) & (p == 0), "missing_in_portal").otherwise("amount_mismatch")
+    return a.join(b, "user_id", "full_outer").where((p != 0) | (l != 0)).select("user_id", p.alias("portal_amount"), l.alias("ledger_amount"), (p - l).alias("delta"), kind.alias("kind"))
+
+
+def form16_lines(lines: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Gross salary of the lines of a salary form (user_id, head, amount) against the ledger's salary, at most 100 or 5 % apart."""
+    salary = lines.where("head = 'gross_salary'").groupBy("user_id").agg(F.sum("amount").alias("amount")).where("amount > 0")
+    return compared(salary, buckets.where("bucket = 'salary'").drop("bucket"), ["user_id"], FORM16, 0.05).where("kind <> 'missing_in_portal'")
+
+
+def ais_lines(lines: DataFrame, ledger: DataFrame, matches: DataFrame) -> DataFrame:
+    """Outcome of each portal line and ledger row by the chosen ``matches`` (line_id, txn_id): securities and other lines without one
+    are missing in the ledger; rows without one are missing in the portal, but for interest below 100."""
+    pairs = matches.select("line_id", "txn_id")
+    money = "decimal(18,2)"
+    a = lines.join(pairs, "line_id", "left").join(ledger.select("txn_id", F.col("amount").alias("_other")), "txn_id", "left")
+    a = a.select("user_id", F.col("amount").cast(money).alias("portal_amount"), F.col("_other").cast(money).alias("ledger_amount"), F.when(F.col("txn_id").isNotNull(), "matched").otherwise("missing_in_ledger").alias("kind"))
+    b = ledger.join(pairs, "txn_id", "left_anti").where("bucket <> 'interest' OR amount >= 100")
+    return a.unionByName(b.select("user_id", F.lit(None).cast(money).alias("portal_amount"), F.col("amount").cast(money).alias("ledger_amount"), F.lit("missing_in_portal").alias("kind")))
+
+
+def by_lines_or_sums(lines: DataFrame, lined: DataFrame, summed: DataFrame) -> DataFrame:
+    """The outcomes from lines for users who have any, and those from sums for all others."""
+    with_lines = lines.select("user_id").distinct()
+    plain = ["user_id", "portal_amount", "ledger_amount", "kind"]
+    return lined.join(with_lines, "user_id", "left_semi").select(plain).unionByName(summed.join(with_lines, "user_id", "left_anti").select(plain))
+
+
 def all_reports(*reports: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)

@@ -85,6 +85,11 @@ INCOME = """income AS (
             CASE WHEN nature = 'income' AND contains(merchant_raw, 'SALARY') THEN 'salary' WHEN nature = 'interest_income' THEN 'interest' WHEN nature = 'dividend_income' THEN 'dividend' END AS bucket FROM active)
     WHERE bucket IS NOT NULL),
 lines AS (SELECT txn_id AS line_id, user_id, fy, bucket, round(amount * (100 + txn_id % 7) / 100, 2)::DECIMAL(14,2) AS amount FROM income WHERE txn_id % 2 = 0)"""
+TAX_FACTS = f"""tax_facts AS (
+    SELECT user_id, user_id % 9 <> 0 AS has_ais, user_id % 4 <> 0 AS has_26as, user_id % 3 <> 0 AS has_form16, coalesce(salary, 0) > 0 AS ais_salary, user_id % 5 = 0 AS ais_securities, coalesce(interest, 0) AS ais_interest_lines,
+        user_id % 4 AS form16a_sections, user_id % 6 AS coverage_rows, n // 30 AS ledger_rows
+    FROM (SELECT user_id, count(*) FILTER ({FY}) AS n FROM active GROUP BY ALL)
+    LEFT JOIN (SELECT user_id, count(*) AS lines, count(*) FILTER (bucket = 'salary') AS salary, count(*) FILTER (bucket = 'interest') AS interest FROM lines WHERE fy = '1999-00' GROUP BY ALL) USING (user_id))"""
 TAXPAYERS = """taxpayers AS (
     SELECT c_custkey AS user_id, (greatest(c_acctbal, 0)::DECIMAL(14,2) * 300 + (c_custkey % 13) * 450000)::DECIMAL(16,2) AS gross_salary, (c_custkey % 7) * 9000 AS interest_income, (c_custkey % 5) * 4000 AS dividend_income,
         (c_custkey % 3) * 60000 AS rental, (c_custkey % 11) * 1500 AS other_income, (c_custkey % 4) * 75000 AS stcg, (c_custkey % 6) * 90000 AS ltcg, (c_custkey % 9) * 25000 AS d80c, (c_custkey % 4) * 20000 AS d1b,
@@ -128,8 +133,10 @@ ORACLE_SQL: dict[str, str] = {
                 FROM w JOIN n ON n.statement_id = w.statement_id AND n.k = w.k + 1) n)""",
         select="SELECT w.statement_id, running::DOUBLE AS computed_closing, flagged AS flagged_rows, abs(running - closing_balance) <= 1.00 AS passed FROM w JOIN statements USING (statement_id) WHERE k = row_count"),
     "e2_simple_walk": with_(LEDGER, ROWS, select="SELECT statement_id, c::DOUBLE AS credits, d::DOUBLE AS debits, n AS rows, abs(opening_balance + c - d - closing_balance)::DOUBLE AS gap, abs(opening_balance + c - d - closing_balance) <= 1 AS passed FROM statements JOIN (SELECT statement_id, coalesce(sum(amount) FILTER (direction = 'credit'), 0) AS c, coalesce(sum(amount) FILTER (direction = 'debit'), 0) AS d, count(*) AS n FROM stmt_rows GROUP BY ALL) USING (statement_id)"),
-    "e3_directions": with_(LEDGER, ROWS, "c AS (SELECT *, balance_after - lag(balance_after) OVER (PARTITION BY statement_id ORDER BY seq) AS change FROM walked)",
-        select=r"SELECT txn_id, CASE WHEN abs(abs(change) - amount) <= 0.02 AND change > 0 THEN 'credit' WHEN abs(abs(change) - amount) <= 0.02 AND change < 0 THEN 'debit' WHEN regexp_matches(lower(merchant_raw), '\b(cr|credit|deposit|by transfer|interest)\b') THEN 'credit' ELSE 'debit' END AS direction FROM c"),
+    "e3_directions": with_(LEDGER, ROWS, "o AS (SELECT *, CASE WHEN user_id % 2 = 1 THEN -seq ELSE seq END AS s FROM walked)",
+        "p AS (SELECT *, CASE WHEN first_value(transaction_date) OVER w > last_value(transaction_date) OVER w THEN -s ELSE s END AS turned FROM o WINDOW w AS (PARTITION BY statement_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))",
+        "c AS (SELECT *, balance_after - lag(balance_after) OVER (PARTITION BY statement_id ORDER BY turned) AS change FROM p)",
+        select=f"SELECT txn_id, CASE WHEN abs(abs(change) - amount) <= 0.02 THEN CASE WHEN change > 0 THEN 'credit' ELSE 'debit' END WHEN {says('upper(merchant_raw)', rules.CREDIT_NARRATIONS)} THEN 'credit' ELSE 'debit' END AS direction FROM c"),
     "e4_recurring": with_(LEDGER, "r AS (SELECT user_id, bank_name || ' ' || (txn_id % 16) || ' ' || (txn_id % 40 // 8) AS merchant, (1000 + txn_id % 90)::DOUBLE AS a, transaction_date AS d, txn_id, category_name FROM active WHERE nature = 'expense')",
         "g AS (SELECT user_id, merchant, count(*) AS n, avg(a) AS mean, stddev_samp(a) AS sd, max(a) AS hi, min(a) AS lo, min(d) AS f, max(d) AS l, avg(day(d)) AS dy, arg_max(category_name, (d, txn_id)) AS cat, max((d, txn_id)) AS top FROM r GROUP BY ALL)",
         "h AS (SELECT *, (l - f)::DOUBLE / (n - 1) AS gap, round_even(dy, 0)::INT AS ed FROM g WHERE n >= 2 AND greatest(hi - mean, mean - lo) / mean <= 0.20)",
@@ -192,7 +199,10 @@ ORACLE_SQL: dict[str, str] = {
             ("tax_payments > 0 AND tax_challan = 0", "warning", "Tax Payments Without Challan"), ("other_income >= 50000", "info", "Review Other Income"), ("large_cash > 0", "warning", "High-Value Cash Transactions"), ("savings_accounts = 0", "warning", "No Savings Statements Linked"),
             ("interest_income > 0 AND abs(interest_income - documented_interest) >= 5000", "warning", "Interest Income Mismatch"), ("tax_payments > 0 AND abs(tax_payments - documented_tax) >= 1000", "warning", "Tax Payment Documentation Gap"), ("unresolved_documents > 0", "info", "Unresolved Statement Parsers"))) + "], lambda i: i IS NOT NULL)) AS i FROM facts)",
         select="SELECT user_id, split_part(i, ':', 1) AS severity, split_part(i, ':', 2) AS title FROM x UNION ALL SELECT user_id, 'ok', 'No Immediate Tax Flags' FROM facts WHERE user_id NOT IN (SELECT user_id FROM x)"),
-    "m12_checklist": with_(LEDGER, TOTALS, FACTS, select=" UNION ALL ".join(f"SELECT user_id, {quoted(n)} AS item, {quoted(s)} AS severity FROM facts WHERE {c}" for c, n, s in (("salary_income > 0 AND tax_form = 0", "form16", "error"), ("interest_income > 0 AND interest_certificate = 0", "interest_certificate", "warning"), ("dividend_income > 0 AND dividend_report = 0", "dividend_report", "warning"), ("tax_payments > 0 AND tax_challan = 0", "tax_challan", "warning"), ("ledger_rows < 10", "ledger_rows", "warning")))),
+    "m12_checklist": with_(LEDGER, INCOME, TAX_FACTS, select=" UNION ALL ".join(f"SELECT user_id, {quoted(n)} AS kind, {v} AS severity, {e} AS evidence FROM tax_facts WHERE {c}" for c, n, v, e in (
+        ("NOT has_ais", "MISSING_AIS", "'block_filing'", "NULL"), ("NOT has_26as", "MISSING_26AS", "'block_filing'", "NULL"), ("NOT has_form16", "MISSING_FORM_16", "CASE WHEN ais_salary THEN 'block_filing' ELSE 'warning' END", "NULL"),
+        ("form16a_sections > 0", "MISSING_FORM_16A", "'warning'", "form16a_sections"), ("ais_securities", "MISSING_CG_DOC", "'warning'", "NULL"), ("ais_interest_lines > 0", "MISSING_INTEREST_CERT", "'info'", "ais_interest_lines"),
+        ("coverage_rows = 0", "MISSING_BANK_STATEMENTS", "'warning'", "NULL"), ("coverage_rows > 0 AND ledger_rows < 10", "LOW_LEDGER_COVERAGE", "'warning'", "NULL")))),
     "m11_cross_verify": with_(LEDGER, TOTALS, "a AS (SELECT user_id, salary_income + other_income + interest_income + dividend_income AS ti, salary_income AS si, interest_income AS ii, 0 AS td, tax_payments AS ap FROM totals)", "p AS (SELECT user_id, ti, si + user_id % 3 * 300 AS si, ii, td, ap + user_id % 2 AS ap FROM a WHERE user_id % 4 <> 0)",
         "u AS (" + " UNION ALL ".join(f"SELECT a.user_id, {quoted(n)} AS \"check\", a.{c} AS x, coalesce(p.{c}, 0) AS y, {t} AS tolerance FROM a LEFT JOIN p USING (user_id)" for n, c, t in (("total_income", "ti", 1000), ("salary_income", "si", 500), ("interest_income", "ii", 100), ("tds_deducted", "td", 100), ("advance_tax_paid", "ap", 0))) + ")",
         select="SELECT user_id, \"check\", x::DOUBLE AS app_amount, y::DOUBLE AS portal_amount, tolerance::BIGINT AS tolerance, CASE WHEN x = 0 AND y = 0 THEN 'unverified' WHEN abs(x - y) <= tolerance THEN 'match' ELSE 'mismatch' END AS status FROM u"),

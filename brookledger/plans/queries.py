@@ -150,7 +150,8 @@ def e2_simple_walk(spark, sf_dir):
 
 @query
 def e3_directions(spark, sf_dir):
-    rows = statement_rows(ledger(spark, sf_dir)).withColumn("description", F.col("merchant_raw"))
+    """Odd users' statements list their rows the other way round."""
+    rows = statement_rows(ledger(spark, sf_dir)).withColumn("description", F.col("merchant_raw")).withColumn("seq", F.when(F.col("user_id") % 2 == 1, -F.col("seq")).otherwise(F.col("seq")))
     return balance.directions(rows).select("txn_id", "direction")
 
 
@@ -614,7 +615,16 @@ def m11_cross_verify(spark, sf_dir):
 
 @query
 def m12_checklist(spark, sf_dir):
-    return reconcile.checklist(facts(spark, sf_dir))
+    """Portal lines of the year, and documents and coverage by remainder."""
+    rows, u = ledger(spark, sf_dir), F.col("user_id")
+    n = insights.active(rows).groupBy("user_id").agg(F.count_if(F.col("transaction_date").between(F.lit(FIRST), F.lit(LAST))).alias("n"))
+    lines = portal_lines(income_rows(rows)).where("fy = '1999-00'").groupBy("user_id").agg(F.count_if(F.col("bucket") == "salary").alias("salary"), F.count_if(F.col("bucket") == "interest").alias("interest"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    told = n.join(lines, "user_id", "left").select(
+        u, (u % 9 != 0).alias("has_ais"), (u % 4 != 0).alias("has_26as"), (u % 3 != 0).alias("has_form16"), (zero("salary") > 0).alias("ais_salary"), (u % 5 == 0).alias("ais_securities"), zero("interest").alias("ais_interest_lines"),
+        (u % 4).alias("form16a_sections"), (u % 6).alias("coverage_rows"), F.floor(F.col("n") / 30).alias("ledger_rows"),
+    )
+    return longs(reconcile.checklist(told), "evidence")
 
 
 @query

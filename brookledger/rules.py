@@ -204,6 +204,13 @@ BANK_CUES = ("account statement", "savings account", "current account", "availab
 # --- What stands around numbers in text that is masked. Fixed values.
 REFERENCE_CONTEXT = r"(?i)\b(?:upi|utr|rrn|imps|neft|rtgs|txn|txnid|ref|reference|trace|order|vpa)\b"
 ACCOUNT_CONTEXT = r"(?i)\b(?:account|a/c|acct|acc(?:ount)?\s*no|card|card\s*no|ending|masked)\b"
+#: How far these may stand from a number, also where short references are kept.
+CONTEXT, WIDE_CONTEXT = 18, 40
+LONG_NUMBER = r"\b(?:\d[\s-]?){9,19}\b"
+MASKS_BEFORE = ((r"(?im)^.*\bOTP\b.*$", "[OTP_LINE_REMOVED]"), (r"\b\d{4}[\s-]\d{4}[\s-]\d{4}\b", "XXXX XXXX XXXX"), (r"\b[A-Z]{5}\d{4}[A-Z]\b", "XXXX_PAN"))
+MASKS_AFTER = ((r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+", "XXXX@XXXX.XXX"), (r"(?<!\d)(?:\+91[\s-]?|0)?[6-9]\d{9}\b", "XXXX_PHONE"))
+CARD_MASK, ACCOUNT_MASK, NAME_MASK = "XXXX-XXXX-XXXX-XXXX", "XXXX_ACCT", "XXXX_NAME"
+COUNT_UP, COUNT_DOWN = "01234567890123456789", "98765432109876543210"
 
 # --- Tax documents. Words before an amount, by category; heads of a salary form; marks of other rows.
 AIS_WORDS = {
@@ -224,4 +231,47 @@ FORM16_HEADS = {
     "house_rent_allowance": r"(?i)HRA[^0-9]{0,20}([0-9][0-9,]*(?:\.\d{1,2})?)",
     "standard_deduction": r"(?i)Standard\s*Deduction[^0-9]{0,20}([0-9][0-9,]*(?:\.\d{1,2})?)",
 }
+#: Characters: from a word to its amount, kept before and behind both, and that tell two rows apart.
+AIS_REACH, AIS_BEFORE, AIS_BEHIND, AIS_SAME = 40, 80, 40, 60
+#: Characters before and behind a deductor's number, and of a challan's row; digits of a number without decimals there; least amount of a challan.
+TAN_BEFORE, TAN_BEHIND, CHALLAN_ROW = 50, 200, 200
+TAN_DIGITS, CHALLAN_DIGITS, CHALLAN_LEAST = 3, 4, 100
+PLAIN_AMOUNT = r"[0-9][0-9,]*(?:\.\d{1,2})?"
 TAN, SECTION, CHALLAN = r"\b([A-Z]{4}\d{5}[A-Z])\b", r"\b(192[A-Z]?|193|194[A-Z]?|195|196[A-Z]?|206[A-Z]{2})\b", r"(?i)(?:challan|bsr)\s*[:#]?\s*(\d{7,})"
+
+# --- Directions of a statement whose rows carry balances. Fixed values.
+CREDIT_NARRATIONS = ("INT.PD", "INTEREST", "CLOSURE PROCEEDS", "SALARY", "GIFT", "REFUND")
+DELTA_TOLERANCE = 0.02
+REFERENCE_TOKEN = r"(?i)\b([A-Z0-9][A-Z0-9/\-:]{5,})\b"
+
+# --- Documents that a return needs. Fixed values.
+TAX_DOCUMENTS = ("tax_form", "tax_challan", "interest_certificate", "demat_tax_report", "dividend_report", "fd_report", "ppf_statement")
+FORM16A_SECTIONS = ("194", "194A", "194K")
+LEAST_LEDGER_ROWS = 10
+
+# --- Names of document types, as hints give them. The type, and the names that stand for it.
+DOCUMENT_TYPES = {
+    "auto": ("auto",),
+    "bank_statement": ("bank_statement", "bank_account_statement", "saving_statement", "savings_statement"),
+    "credit_card_statement": ("credit_card_statement",),
+    "interest_certificate": ("interest_certificate",),
+    "fd_report": ("fd_report", "fixed_deposit"),
+    "tax_challan": ("tax_challan", "direct_tax_ack", "direct_tax_payment_acknowledgement"),
+    "ppf_statement": ("ppf_statement",),
+    "tax_form": ("tax_form",),
+    "dividend_report": ("dividend_report",),
+    "demat_tax_report": ("demat_tax_report", "capital_gains_statement", "pnl_statement", "p_and_l_statement"),
+    "demat_trade_report": ("demat_trade_report", "contract_note_report"),
+    "demat_holdings": ("demat_holdings", "stock_holdings", "mutual_fund_holdings", "balance_statement"),
+}
+STATEMENT_TYPES = ("bank_statement", "credit_card_statement")
+NO_PARSER, NO_FORMAT, LOCKED = "no parser configured", "could not identify the bank/statement type", "password-protected"
+
+# --- Rows that an extractor gave. Days around a period, characters that tell two rows apart.
+DAYS_BEFORE_PERIOD, DAYS_AFTER_PERIOD, EXTRACTED_SAME, CHUNK_SAME = 120, 31, 120, 90
+LINE_CHUNK, LINE_OVERLAP, MOST_LINE_CHUNKS = 5200, 6, 12
+ROW_CHUNK, ROW_OVERLAP = 120, 8
+
+# --- Corrections and routing. Fixed values.
+SETTABLE_NATURES = ("expense", "income", "transfer_internal", "refund", "investment", "tax")
+SMALL_MODEL_TASKS = ("statement_classification", "transfer_classification", "document_classification", "integrity_review", "correction_chat")

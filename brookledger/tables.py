@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written in the folder that spark.checkpoint.dir names and read back.
+    """``df`` written in the folder that spark.checkpoint.dir names and read back. Only in local mode, as in
+    tests, is a folder of our own made where that is unset.
 
     Iterative operators cut their lineage with this; a lost executor loses
     nothing, and what is read several times is computed once.
@@ -17,6 +19,8 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="brookledger-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
