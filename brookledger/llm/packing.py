@@ -12,10 +12,11 @@
    successor, the smallest gap that holds them; conflicts are resolved by rank,
    the pieces of lowest rank taking the gaps in order; the gaps are updated, and
    the sweep repeats until no piece is left or no gap fits. What is left opens
-   new sequences. The outcome is that of best-fit decreasing.
+   new sequences. The outcome is that of best-fit decreasing. The sweep over the
+   classes runs on the driver; README says why it isn't a Spark job a superstep.
 4. Each task places its pieces by a binary search of (length, rank) in the list of
-   placements, which depends on the lengths that occur and not on the rows, and
-   is broadcast.
+   placements, which depends on the lengths that occur and not on the rows. It is
+   broadcast in parts of whole lengths, each of a bounded size.
 
 Defined results: a null or empty text is the closing id alone; a null id sorts
 first; rows that repeat an id are separate pieces; an empty table gives an empty
@@ -30,7 +31,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -209,23 +210,39 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shift = dict(zip(zip(runs["_part"].tolist(), runs["length"].tolist()), (before - runs["first"]).tolist()))
     plan = np.asarray(supersteps({int(k): int(v) for k, v in runs.groupby("length")["n"].sum().items()}, capacity), np.int64).reshape(-1, 6)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    if plan.nbytes > BROADCAST_BYTES:
-        raise ValueError("more placements than may be broadcast: use a smaller capacity")
-    shared = spark.sparkContext.broadcast((shift, plan))
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shift, plan = shared.value
-        key = plan[:, 0] << 44 | plan[:, 1]
-        for pdf in batches:
-            length = pdf["length"].to_numpy(np.int64)
-            rank = pdf["_row"].to_numpy(np.int64) + np.fromiter((shift[k] for k in zip(pdf["_part"].tolist(), length.tolist())), np.int64, len(pdf))
-            _, first_rank, _, first, each, offset = plan[np.searchsorted(key, length << 44 | rank, "right") - 1].T
-            i = rank - first_rank
-            pdf = pdf.assign(sequence_id=first + i // each, offset=offset + i % each * length)
-            yield pdf.drop(columns=["_part", "_row"])
-
     schema = ", ".join(f"{n} {ranked.schema[n].dataType.simpleString()}" for n in names)
-    return ranked.mapInPandas(of, f"{schema}, sequence_id long, offset long")
+    # Ids travel as text: beside a null, pandas would read large ones as floating point.
+    texts = {n: F.col(n).cast("string") for n, kind in rows.dtypes if n == "doc_id" and kind == "bigint"}
+
+    def placed(plan: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((shift, plan))
+
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shift, plan = shared.value
+            key = plan[:, 0] << 44 | plan[:, 1]
+            for pdf in batches:
+                length = pdf["length"].to_numpy(np.int64)
+                rank = pdf["_row"].to_numpy(np.int64) + np.fromiter((shift[k] for k in zip(pdf["_part"].tolist(), length.tolist())), np.int64, len(pdf))
+                _, first_rank, _, first, each, offset = plan[np.searchsorted(key, length << 44 | rank, "right") - 1].T
+                i = rank - first_rank
+                pdf = pdf.assign(sequence_id=first + i // each, offset=offset + i % each * length)
+                yield pdf.drop(columns=["_part", "_row"])
+
+        some = ranked if not len(plan) else ranked.where(F.col("length").between(int(plan[0, 0]), int(plan[-1, 0])))
+        out = some.withColumns(texts).mapInPandas(of, f"{schema.replace('doc_id bigint', 'doc_id string') if texts else schema}, sequence_id long, offset long")
+        return out.withColumns({n: F.col(n).cast("long") for n in texts})
+
+    return reduce(DataFrame.unionByName, map(placed, _parts(plan, BROADCAST_BYTES)))
+
+
+def _parts(plan: np.ndarray, most: int) -> list[np.ndarray]:
+    """The plan, sorted by length, in runs of whole lengths of about ``most`` bytes: each is broadcast to the rows of its lengths."""
+    cuts, start = [], 0
+    for k in np.flatnonzero(np.diff(plan[:, 0])) + 1:
+        if plan[start:k].nbytes >= most:
+            cuts.append(k)
+            start = k
+    return np.split(plan, cuts)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -310,3 +310,12 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_plans_in_parts(spark, monkeypatch):
+    """A plan of several parts places the rows like a whole one."""
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(k, 0, rng.randrange(1, 60)) for k in range(500)], "doc_id long, piece int, length long")
+    whole = {r["doc_id"]: (r["sequence_id"], r["offset"]) for r in packing.place(rows, 100).collect()}
+    monkeypatch.setattr(packing, "BROADCAST_BYTES", 200)
+    assert {r["doc_id"]: (r["sequence_id"], r["offset"]) for r in packing.place(rows, 100).collect()} == whole
