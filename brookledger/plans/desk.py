@@ -80,8 +80,8 @@ def g6_merged_metadata(spark, sf_dir):
     return intake.merged_metadata(chunks)
 
 
-@query("""WITH d AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS at, count(*) OVER (PARTITION BY source) AS n, source FROM documents WHERE doc_id % 10 <> 0)
-    SELECT source AS table_id, k AS chunk_no, count(*) AS rows, min(doc_id) AS first_row, max(doc_id) AS last_row FROM d, range(0, (SELECT count(*) FROM documents)) t(k) WHERE at >= k * 112 AND at < k * 112 + 120 AND k <= greatest(ceil((n - 120) / 112.0), 0) GROUP BY ALL""")
+@query("""WITH d AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n, source FROM documents WHERE doc_id % 10 <> 0)
+    SELECT source AS table_id, k AS chunk_no, count(*) AS rows, min(doc_id) AS first_row, max(doc_id) AS last_row FROM d, range(0, (SELECT count(*) FROM documents)) t(k) WHERE place >= k * 112 AND place < k * 112 + 120 AND k <= greatest(ceil((n - 120) / 112.0), 0) GROUP BY ALL""")
 def e12_row_chunks(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("row_no"), F.lit("x").alias("line"), (F.col("doc_id") % 10 == 0).alias("is_header"))
     return base.longs(intake.row_chunks(lines).groupBy(F.col("doc_id").alias("table_id"), "chunk_no").agg(F.count("*").alias("rows"), F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row")), "chunk_no")

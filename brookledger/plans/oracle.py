@@ -301,3 +301,47 @@ DATES = {
 }
 for _name, _columns in DATES.items():
     ORACLE_SQL[_name] = f"SELECT * REPLACE ({', '.join(f'{c}::DATE::VARCHAR AS {c}' for c in _columns)}) FROM ({ORACLE_SQL[_name]})"
+
+K = "SELECT txn_id AS k, * FROM walked"
+VALID = f"""checked AS (
+    SELECT *, trim(regexp_replace(merchant_raw, '\\s+', ' ', 'g')) AS told, date_trunc('month', transaction_date)::DATE AS first, 0.70::DOUBLE + (k % 5) / 20.0::DOUBLE AS confidence,
+        list_filter([CASE WHEN k % 41 = 0 OR year(transaction_date) NOT BETWEEN 1990 AND 2003 THEN 'date_parse_failed' END, CASE WHEN k % 41 <> 0 AND transaction_date > DATE '2001-08-01' THEN 'date_not_future' END, CASE WHEN k % 43 = 0 THEN 'amount_parse_failed' END,
+            CASE WHEN k % 43 <> 0 AND k % 47 = 0 THEN 'amount_max_2_decimal' END, CASE WHEN k % 53 = 0 THEN 'description_required' END], lambda x: x IS NOT NULL) AS hard,
+        list_filter([CASE WHEN k % 41 <> 0 AND transaction_date > date_trunc('month', transaction_date)::DATE + 27 THEN 'date_within_statement_period' END, CASE WHEN balance_after < 0 THEN 'balance_negative' END, CASE WHEN k % 31 = 0 THEN 'cr_dr_resolved' END], lambda x: x IS NOT NULL) AS soft
+    FROM ({K}))"""
+STATUS = "CASE WHEN len(hard) > 0 THEN 'invalid' WHEN confidence < 0.75 THEN 'low_confidence' WHEN len(soft) > 0 THEN 'needs_review' ELSE 'valid' END"
+PLAIN = "trim(regexp_replace(regexp_replace(upper(merchant_raw), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+WORDS = r"trim(regexp_replace(lower({0}), '[\s_\-/\\]+', ' ', 'g'))"
+BANKS = "list_sort([" + ", ".join("{'least': -(" + " + ".join(f"CASE WHEN contains(low, {quoted(w)}) THEN {max(8, 6 * len(w.split()))} ELSE 0 END" for w in words) + f"), 'bank': {quoted(bank)}}}" for bank, words in rules.BANK_WORDS.items()) + "])[1]"
+ORACLE_SQL |= {
+    "h_scalars": with_(LEDGER, "x AS (SELECT *, last_day((date_trunc('month', transaction_date) + INTERVAL 1 MONTH)::DATE) AS next_last, year(transaction_date) - CASE WHEN month(transaction_date) < 4 THEN 1 ELSE 0 END AS fy FROM ledger)",
+        select=f"""SELECT txn_id, {PLAIN} AS plain,
+            coalesce(array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(upper(merchant_raw), '[^A-Z\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND NOT list_contains({listed(rules.GENERIC_WORDS)}, w))[1:4], ' '), '') AS hint,
+            lower(array_to_string(regexp_extract_all(merchant_raw, '[A-Za-z0-9]{{2,}}'), ' ')) AS tokens,
+            repeat('X', (length(merchant_raw) - 4)::INT) || right(merchant_raw, 4) AS masked, trim(regexp_replace(lower(merchant_raw || '-' || account_masked), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+            amount::DOUBLE AS inr, amount::DOUBLE AS parsed, true AS two_decimals, txn_id % 2 = 0 AS credit, transaction_date AS day, printf('%04d-%02d', fy, (fy + 1) % 100) AS fy, next_last AS next_month FROM x"""),
+    "i8_validated": with_(LEDGER, ROWS, VALID, select=f"SELECT txn_id, {STATUS} AS validation_status, array_to_string(hard || soft, ',') AS errors FROM checked"),
+    "i13_hints": with_(LEDGER, f"t AS (SELECT txn_id, {WORDS.format("merchant_raw || ' ' || lower(bank_name) || CASE txn_id % 3 WHEN 0 THEN ' savings account statement' WHEN 1 THEN ' credit card' ELSE '' END")} AS low FROM ledger)", f"b AS (SELECT *, {BANKS} AS best FROM t)",
+        select=f"SELECT txn_id, CASE WHEN best.least < 0 THEN best.bank END AS bank, CASE WHEN {says('low', rules.CARD_CUES)} THEN 'credit_card' WHEN {says('low', rules.BANK_CUES)} THEN 'bank_account' END AS account_type_hint FROM b"),
+    "i19_sms_parsed": with_(LEDGER, "c AS (" + ORACLE_SQL["i18_sms_classes"].replace("WITH ", "WITH ", 1) + ")", "m19 AS (SELECT l.*, txn_id % 5 < 3 AS known FROM ledger l JOIN c ON sms_id = txn_id WHERE sms_class LIKE 'transaction%')",
+        select="""SELECT txn_id AS sms_id, ['HDFC', 'ICICI', 'AXIS', 'UNKNOWN', 'UNKNOWN'][(txn_id % 5)::INT + 1] AS bank_name, CASE WHEN txn_id % 6 = 0 THEN 'XX1234' ELSE 'XX' || lpad((txn_id % 10000)::VARCHAR, 4, '0') END AS account_masked, amount::DOUBLE AS amount,
+            CASE WHEN txn_id % 6 = 0 THEN amount::DOUBLE END AS balance_after, CASE WHEN txn_id % 6 = 0 THEN '123456789012' END AS reference_number, CASE WHEN txn_id % 6 = 0 THEN 'shop@okbank' END AS upi_id,
+            round(least(1.0, 0.5 + CASE WHEN known THEN 0.25 ELSE 0 END + 0.1 + 0.1 + CASE WHEN txn_id % 6 = 0 THEN 0.05 ELSE 0 END)::DOUBLE, 2) AS confidence FROM m19"""),
+    "j2_promotion_counts": with_(LEDGER, ROWS, VALID, f"s AS (SELECT *, {STATUS} AS status, CASE WHEN k % 31 = 0 THEN false ELSE direction = 'credit' END AS cr, k % 10 = 3 AS was, k % 17 = 4 AS again FROM checked)",
+        f"d AS (SELECT *, (user_id, account_masked, transaction_date, amount, substr(lower(told), 1, 40)) AS key, (user_id, transaction_date, amount, substr({PLAIN.replace('merchant_raw', 'told')}, 1, 30)) AS sig FROM s)",
+        "o AS (SELECT DISTINCT key, cr FROM d WHERE was AND status <> 'invalid')", "a AS (SELECT DISTINCT sig FROM d WHERE again AND status <> 'invalid')",
+        "n AS (SELECT * FROM d WHERE status <> 'invalid' QUALIFY row_number() OVER (PARTITION BY key, cr ORDER BY statement_id, seq) = 1)",
+        "c AS (SELECT statement_id, count(*) AS created FROM n WHERE (key, cr) NOT IN (SELECT key, cr FROM o) AND sig NOT IN (SELECT sig FROM a) GROUP BY ALL)",
+        select="SELECT statement_id, count(*) AS rows, count(*) FILTER (status = 'invalid') AS invalid, coalesce(any_value(created), 0) AS created, count(*) - count(*) FILTER (status = 'invalid') - coalesce(any_value(created), 0) AS duplicates FROM d LEFT JOIN c USING (statement_id) GROUP BY ALL"),
+    "j15_subscriptions": "WITH p AS (" + ORACLE_SQL["e4_recurring"] + "), q AS (SELECT *, (1000 + occurrences) * CASE frequency WHEN 'quarterly' THEN 4 WHEN 'yearly' THEN 1 ELSE 12 END AS yearly, next_expected::DATE - DATE '2001-08-01' AS days FROM p) SELECT user_id, merchant, round(yearly, 2)::DOUBLE AS annual_cost, round(yearly / 12.0, 2)::DOUBLE AS monthly_cost, days::BIGINT AS days_left, CASE WHEN days < 0 THEN 'overdue' WHEN days <= 7 THEN 'upcoming' ELSE 'scheduled' END AS status FROM q",
+    "l10_hra": with_(TAXPAYERS, "h AS (SELECT user_id, (gross_salary * 100)::HUGEINT AS g, user_id % 4 IN (0, 2) AS metro, user_id % 50 * 900000 AS rent FROM taxpayers)", "i AS (SELECT *, (g + 2) // 5 AS hra, (g + 1) // 2 AS basic FROM h)",
+        select="SELECT user_id, round(least(hra, CASE WHEN metro THEN (basic * 50 + 50) // 100 ELSE (basic * 40 + 50) // 100 END, greatest(rent - (basic * 10 + 50) // 100, 0))::DOUBLE / 100, 2) AS exemption FROM i"),
+    "l14_simple_regime": with_(TAXPAYERS, "i AS (SELECT user_id, ((gross_salary * 100)::HUGEINT * 2 + 3) // 6 AS p FROM taxpayers)", "t AS (SELECT user_id, (p / 100.0)::DECIMAL(18,2) AS taxable FROM i)", "s AS (SELECT *, " + slab_sum("taxable", rules.NEW_SLABS["2023-24"]) + " AS base FROM t)",
+        "r AS (SELECT *, CASE WHEN taxable <= 700000 THEN least(base, 25000) WHEN taxable <= 725000 THEN greatest(least(25000, base - (taxable - 700000)), 0) ELSE 0 END AS rebate FROM s)", "a AS (SELECT *, greatest(base - rebate, 0) AS after FROM r)",
+        select="SELECT user_id, round(base::DOUBLE, 2) AS tax_before_rebate, round(rebate::DOUBLE, 2) AS rebate, round((after + floor(after * 4 + 0.5) / 100)::DOUBLE, 2) AS total_tax FROM a"),
+    "c17_knowledge_rank": f"""WITH d AS (SELECT doc_id, text, source, lang, list_distinct(list_filter(regexp_extract_all({WORDS.format('text')}, '[a-z0-9]{{3,}}'), lambda w: NOT list_contains({listed(rules.STATEMENT_STOPWORDS)}, w) AND NOT regexp_full_match(w, '[0-9]+'))[1:80]) AS words FROM documents),
+        g AS (SELECT text, any_value(words) AS words, list_sort(list(doc_id)) AS ids FROM d GROUP BY text),
+        n AS (SELECT q.doc_id, q.source, q.lang, CASE WHEN ids[1] = q.doc_id THEN ids[2] ELSE ids[1] END AS ref_id, len(list_intersect(q.words, g.words)) AS overlap FROM d q, g WHERE q.doc_id % 20 = 0),
+        s AS (SELECT n.doc_id, ref_id, overlap + CASE WHEN n.source = r.source THEN 8 ELSE 0 END + CASE WHEN n.lang = r.lang THEN 5 ELSE 0 END AS score FROM n JOIN d r ON r.doc_id = ref_id WHERE overlap > 0)
+        SELECT doc_id, ref_id, score::BIGINT AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ref_id) AS place FROM s QUALIFY place <= 4""",
+}
