@@ -129,6 +129,12 @@ def looks_like_row(line: Column) -> Column:
     return (F.length(low) >= 8) & dated & ~total & low.rlike(r"\d[\d,]*\.\d{2}\b") & low.rlike("[a-z]")
 
 
+def expected_rows(page_text: Column, table_rows: Column) -> Column:
+    """How many entries a statement should give: its table rows or lines that look like one, whichever are more."""
+    n = lambda lines: F.size(F.filter(lines, looks_like_row))
+    return F.greatest(n(F.coalesce(table_rows, F.array().cast("array<string>"))), n(F.split(F.coalesce(page_text, F.lit("")), "\n")))
+
+
 def label(bank: Column, account_type: Column) -> Column:
     """Display label such as ``Kotak Saving``."""
     def table(values: dict[str, str]) -> Column:

@@ -258,5 +258,18 @@ def large_cash(ledger: DataFrame, least: float, top: int = 20) -> DataFrame:
     return active(ledger).where("nature = 'expense'").where(cash & (F.col("amount") >= F.lit(least))).withColumn("place", place).where(F.col("place") <= top).select("user_id", "txn_id", "amount", "place")
 
 
+def anomaly_list(found: DataFrame, ledger: DataFrame, most: int = 50) -> DataFrame:
+    """Each user's anomalies (txn_id, user_id, reason), newest and then largest first, ``most`` of them."""
+    rows = found.select("txn_id", "user_id", "reason").join(ledger.select("txn_id", "transaction_date", "amount"), "txn_id")
+    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("transaction_date"), F.desc("amount"), "txn_id"))
+    return rows.withColumn("place", place).where(F.col("place") <= most)
+
+
+def cashflow_categories(ledger: DataFrame) -> DataFrame:
+    """Each user's debits by category, the largest first."""
+    sums = active(ledger).where("direction = 'debit'").groupBy("user_id", F.coalesce("category_name", F.lit("Uncategorized")).alias("category_name")).agg(F.sum("amount").alias("amount"))
+    return sums.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("amount"), "category_name")))
+
+
 def cashflow(ledger: DataFrame) -> DataFrame:
     return active(ledger).groupBy("user_id").agg(total(F.col("amount"), F.col("direction") == "debit").alias("debits"), total(F.col("amount"), F.col("direction") == "credit").alias("credits"))

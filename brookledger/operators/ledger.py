@@ -121,6 +121,17 @@ def accounts_tree(statements: DataFrame) -> DataFrame:
     return statements.groupBy("user_id", "bank_name", "account_type", "account_masked").agg(F.count("*").alias("statements"), F.sum("row_count").alias("rows"), F.min("period_start").alias("first_start"), last).select("user_id", "bank_name", "account_type", "account_masked", "statements", "rows", "first_start", F.col("m.period_end").alias("last_end"), F.col("m.balance").alias("balance"))
 
 
+def card_totals(rows: DataFrame) -> DataFrame:
+    """Debits and credits of each card statement, without quarantined rows."""
+    side = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("amount"))), F.lit(0).cast("decimal(24,2)"))
+    return rows.where("account_type = 'credit_card' AND NOT coalesce(is_quarantined, false)").groupBy("statement_id").agg(side("debit").alias("debits"), side("credit").alias("credits"))
+
+
+def pending_reviews(tasks: DataFrame) -> DataFrame:
+    """How many open reviews a user has."""
+    return tasks.groupBy("user_id").agg(F.count_if(F.col("status") == "open").alias("pending"))
+
+
 def savings_accounts(statements: DataFrame, ledger: DataFrame) -> DataFrame:
     """Accounts that statements or the ledger know, with how many of each."""
     kinds = ("savings", "current", "salary")

@@ -103,6 +103,15 @@ def transfer_report(ledger: DataFrame, days: int = rules.TRANSFER_DAYS) -> DataF
     return rows.groupBy("user_id").agg(F.count("*").alias("transfers")).join(pairs, "user_id", "left").select("user_id", "transfers", n.alias("matched_pairs"), F.round(2 * n / F.col("transfers"), 4).alias("match_rate"), (F.col("transfers") - 2 * n).alias("unmatched"))
 
 
+def unmatched_transfers(ledger: DataFrame, pairs: DataFrame, newest: int | None = 300) -> DataFrame:
+    """Internal transfers that no pair holds; of the ``newest`` of each user, or of all if None."""
+    rows = active(ledger).where("nature = 'transfer_internal'")
+    if newest is not None:
+        rows = rows.withColumn("_place", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("transaction_date"), "txn_id"))).where(F.col("_place") <= newest).drop("_place")
+    held = pairs.select(F.col("debit_id").alias("txn_id")).unionByName(pairs.select(F.col("credit_id").alias("txn_id")))
+    return rows.join(held, "txn_id", "left_anti")
+
+
 def card_payment_pairs(ledger: DataFrame, days: int = 7) -> DataFrame:
     """Transfer-like pairs between a card and a bank account."""
     rows = active(ledger).where(classify.transferish(F.col("merchant_raw")))

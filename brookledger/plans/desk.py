@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import dates
-from ..operators import insights, intake, matching, reconcile, review
+from ..functions import classify, dates, text
+from ..operators import balance, documents, insights, intake, matching, reconcile, review
 from ..operators import ledger as entries
 from . import queries as base
-from .ledger import ledger, statement_rows, statements, table
-from .oracle import BUCKETS, LEDGER, ORACLE_SQL, PORTAL, ROWS, TOTALS, listed, with_
+from .ledger import ledger, statement_rows, statements, table, transfer_feed
+from .oracle import BUCKETS, INCOME, LEDGER, ORACLE_SQL, PORTAL, ROWS, TOTALS, listed, with_
 
 NAMES: list[str] = []
 #: Documents of the events table, by remainder. Fixed values.
@@ -382,3 +382,122 @@ def c1_category_names(spark, sf_dir):
     rows = ledger(spark, sf_dir)
     names = rows.where("category_name <> '5-LOW'").select(F.col("category_name").alias("category_id")).distinct().withColumn("name", F.concat(F.lit("Name of "), "category_id"))
     return insights.with_category_names(rows.withColumnRenamed("category_name", "category_id"), names).select("txn_id", "category")
+
+
+@query("""WITH c AS (SELECT source AS doc_id, doc_id AS row_no, lang || CASE WHEN n_chars % 3 = 0 THEN '' ELSE ' | ' || n_chars % 50 END AS line, doc_id % 4 = 0 AS h FROM documents),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line, h ORDER BY row_no) AS again FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_no) AS place FROM k WHERE NOT h OR again = 1)
+    SELECT doc_id AS table_id, row_no, line FROM p WHERE place <= 60""")
+def a4_stitched_rows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    cells = d.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("row_no"), F.array(F.concat(F.lit(" "), "lang"), F.lit("  "), F.when(F.col("n_chars") % 3 == 0, "").otherwise((F.col("n_chars") % 50).cast("string"))).alias("cells"), (F.col("doc_id") % 4 == 0).alias("is_header"))
+    return documents.stitched_rows(cells, 60).withColumnRenamed("doc_id", "table_id")
+
+
+@query(with_(LEDGER, select="SELECT txn_id FROM ledger WHERE txn_id IN (1, 2, 3, 33, 64, 99, 1000000007)"))
+def b5_listed(spark, sf_dir):
+    return insights.filtered(ledger(spark, sf_dir), ids=[1, 2, 3, 33, 64, 99, 1000000007]).select("txn_id")
+
+
+@query(with_(LEDGER, select="SELECT txn_id, CASE WHEN txn_id % 3 = 0 THEN 'f' || txn_id % 5 ELSE least('f' || txn_id % 5, 'f' || (txn_id + 7) % 5) || ',' || greatest('f' || txn_id % 5, 'f' || (txn_id + 7) % 5) END AS files FROM ledger"))
+def c3_source_files(spark, sf_dir):
+    """Two sources an entry (one file for every third), each from a statement of a file."""
+    k = F.col("txn_id")
+    e = ledger(spark, sf_dir).select(k)
+    sources = e.select(k, (k * 2).alias("parsed_id")).unionByName(e.select(k, (k * 2 + 1).alias("parsed_id")))
+    parsed = e.select((k * 2).alias("parsed_id"), (k % 5).alias("statement_id")).unionByName(e.select((k * 2 + 1).alias("parsed_id"), F.when(k % 3 == 0, k % 5).otherwise((k + 7) % 5).alias("statement_id")))
+    five = spark.range(5)
+    out = entries.source_files(sources, parsed, five.select(F.col("id").alias("statement_id"), F.col("id").alias("file_id")), five.select(F.col("id").alias("file_id"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("file_name")))
+    return out.withColumn("files", F.array_join("files", ","))
+
+
+@query(with_(LEDGER, ROWS, select="SELECT statement_id, CASE WHEN user_id % 3 <> 0 THEN due_date - DATE '2001-08-01' END AS days_until_due FROM statements"))
+def h22_days_until_due(spark, sf_dir):
+    s = statements(statement_rows(ledger(spark, sf_dir))).withColumn("paid", F.when(F.col("user_id") % 3 == 0, True))
+    return base.longs(balance.days_until_due(s, base.AS_OF).select("statement_id", "days_until_due"), "days_until_due")
+
+
+@query(with_(LEDGER, select="SELECT txn_id, CASE txn_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS expected_rows, txn_id % 4 < 2 AS is_row FROM ledger"))
+def h25_expected_rows(spark, sf_dir):
+    """Texts of two rows, one row in a table, a total and a row without an amount."""
+    k = F.col("txn_id")
+    row = F.concat(F.date_format("transaction_date", "dd/MM/yyyy"), F.lit(" "), "merchant_raw", F.lit(" "), F.format_number(F.col("amount"), 2))
+    no = F.concat(F.date_format("transaction_date", "dd/MM/yyyy"), F.lit(" Opening balance "), F.format_number(F.col("amount"), 2))
+    body = F.when(k % 4 == 0, F.concat(row, F.lit("\n"), row)).when(k % 4 == 2, no).when(k % 4 == 3, F.concat(F.date_format("transaction_date", "dd/MM/yyyy"), F.lit(" no amount here")))
+    out = ledger(spark, sf_dir).select(k, text.expected_rows(body, F.when(k % 4 == 1, F.array(row))).alias("expected_rows"), F.coalesce(text.looks_like_row(F.when(k % 4 == 1, row).otherwise(F.split(body, "\n")[0])), F.lit(False)).alias("is_row"))
+    return base.longs(out, "expected_rows")
+
+
+@query(f"SELECT event_id, nullif({listed([*(c for _, c in rules.WEB_RULES), 'none'])}[(event_id % 7)::INT + 1], 'none') AS guess FROM events")
+def i5_web_categories(spark, sf_dir):
+    words = tuple(f"Its pages call it {w[0].lower()} and more" for w, _ in rules.WEB_RULES)
+    return table(spark, sf_dir, "events").select("event_id", classify.category_of_web_text(_pick((*words, "nothing"), F.col("event_id"))).alias("guess"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'SBI' WHEN 1 THEN 'HDFC' WHEN 2 THEN 'BOB' END AS bank, CASE event_id % 4 WHEN 0 THEN 'credit_card' WHEN 1 THEN 'bank_account' WHEN 2 THEN 'auto' END AS kind FROM events")
+def i15_aliases(spark, sf_dir):
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(i, classify.alias(_pick((" State Bank of India", "hdfc bank", "Baroda", "no bank"), i), rules.BANK_ALIASES).alias("bank"), classify.alias(_pick(("cc", " Savings", "auto_detect", "other"), i), rules.ACCOUNT_TYPE_ALIASES).alias("kind"))
+
+
+@query("SELECT event_id, ['llm_vision', 'llm_text', 'ocr_llm', 'ocr_llm', 'template'][(event_id % 5)::INT + 1] AS source FROM events")
+def i22_extraction_sources(spark, sf_dir):
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(i, classify.extraction_source(_pick(("LLM-Vision", "llm_1", "llm_2", "bank_1", "bank_2"), i), (i % 5).isin(2, 3)).alias("source"))
+
+
+@query(with_(LEDGER, ROWS, select="SELECT statement_id, closing_balance::DOUBLE + CASE WHEN user_id % 4 = 0 THEN 1 ELSE 0 END AS balance FROM statements WHERE user_id % 3 <> 0 OR user_id % 4 = 0"))
+def j11_upserted(spark, sf_dir):
+    """Snapshots of two users in three; those of one in four come again, one rupee higher."""
+    s = statements(statement_rows(ledger(spark, sf_dir))).select("statement_id", "user_id", F.col("closing_balance").alias("balance"))
+    new = s.where("user_id % 4 = 0").withColumn("balance", (F.col("balance") + 1).cast("decimal(16,2)"))
+    return base.doubles(entries.merged(s.where("user_id % 3 <> 0"), new, ["statement_id"]).select("statement_id", "balance"), "balance")
+
+
+@query(with_(LEDGER, select="SELECT txn_id FROM ledger WHERE user_id <> 7"))
+def j14_without_user(spark, sf_dir):
+    return entries.without_user(ledger(spark, sf_dir), 7).select("txn_id")
+
+
+@query("WITH f AS (" + ORACLE_SQL["e7_anomalies"] + ") SELECT f.txn_id, f.user_id, row_number() OVER (PARTITION BY f.user_id ORDER BY o_orderdate DESC, o_totalprice DESC, f.txn_id) AS place FROM f JOIN orders ON o_orderkey = txn_id QUALIFY place <= 5")
+def f3_anomaly_list(spark, sf_dir):
+    rows = ledger(spark, sf_dir)
+    return base.longs(insights.anomaly_list(insights.anomalies(rows, base.AS_OF, 60, 1500, 1.6), rows, 5).select("txn_id", "user_id", "place"), "place")
+
+
+@query(with_(LEDGER, select="SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY amount DESC, category_name) AS place FROM (SELECT user_id, coalesce(category_name, 'Uncategorized') AS category_name, sum(amount)::DOUBLE AS amount FROM active WHERE direction = 'debit' GROUP BY ALL)"))
+def d20_cashflow_categories(spark, sf_dir):
+    return base.longs(base.doubles(insights.cashflow_categories(ledger(spark, sf_dir)), "amount"), "place")
+
+
+@query(with_(LEDGER, ROWS, select="SELECT statement_id, coalesce(sum(amount) FILTER (direction = 'debit'), 0)::DOUBLE AS debits, coalesce(sum(amount) FILTER (direction = 'credit'), 0)::DOUBLE AS credits FROM stmt_rows WHERE account_type = 'credit_card' AND txn_id % 6 <> 0 GROUP BY ALL"))
+def d16_unquarantined_totals(spark, sf_dir):
+    rows = statement_rows(ledger(spark, sf_dir)).withColumn("is_quarantined", F.when(F.col("txn_id") % 3 == 0, F.col("txn_id") % 6 == 0))
+    return base.doubles(entries.card_totals(rows), "debits", "credits")
+
+
+@query(with_(LEDGER, ROWS, select="SELECT user_id, count(*) FILTER (row_count = 1) AS pending FROM statements GROUP BY ALL"))
+def d21_pending_reviews(spark, sf_dir):
+    return entries.pending_reviews(statements(statement_rows(ledger(spark, sf_dir))).withColumn("status", F.when(F.col("row_count") == 1, "open").otherwise("resolved")))
+
+
+@query(with_(LEDGER, INCOME, "y AS (SELECT * FROM income WHERE fy = '1999-00')", "l AS (SELECT line_id, user_id, bucket, amount FROM lines WHERE fy = '1999-00' AND user_id % 3 = 0)",
+    select="SELECT user_id, amount::DOUBLE AS portal_amount, CASE WHEN line_id % 4 = 0 THEN amount::DOUBLE END AS ledger_amount, CASE WHEN line_id % 4 = 0 THEN 'matched' ELSE 'missing_in_ledger' END AS kind FROM (SELECT l.line_id, l.user_id, y.amount FROM l JOIN y ON y.txn_id = l.line_id) UNION ALL SELECT user_id, NULL, amount::DOUBLE, 'missing_in_portal' FROM y WHERE user_id % 3 = 0 AND txn_id % 4 <> 0 AND (bucket <> 'interest' OR amount >= 100)"))
+def c15_line_outcomes(spark, sf_dir):
+    """Portal lines that equal their entries, every second one of them matched beforehand."""
+    year = base.income_rows(ledger(spark, sf_dir)).where("fy = '1999-00' AND user_id % 3 = 0")
+    lines = year.where("txn_id % 2 = 0").select(F.col("txn_id").alias("line_id"), "user_id", "fy", "bucket", "amount")
+    return base.doubles(reconcile.ais_lines(lines, year, lines.where("line_id % 4 = 0").select("line_id", F.col("line_id").alias("txn_id"))), "portal_amount", "ledger_amount")
+
+
+@query()
+def j16_unmatched(spark, sf_dir):
+    """Transfers of each user's newest 300 that no pair holds."""
+    rows = transfer_feed(ledger(spark, sf_dir)).withColumn("nature", F.lit("transfer_internal"))
+    return matching.unmatched_transfers(rows, matching.transfer_pairs(insights.active(rows), 7)).select("txn_id", "user_id")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def x_event_windows(spark, sf_dir):
+    """Extension: counts of events by hour, as the stream's windows keep them."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return base.longs(e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n"), "n")

@@ -1,5 +1,6 @@
 """Streams give what batches give; sources and sinks round-trip."""
 
+import time
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -44,6 +45,22 @@ def test_retries(spark, tmp_path):
     assert sorted((r["job_id"], r["attempts"], r["status"], r["wait_seconds"]) for r in seen) == [(1, 1, "queued", 2), (1, 2, "queued", 4), (1, 3, "dlq", None), (2, 1, "queued", 2), (2, 2, "completed", None)]
 
 
+def test_last_stage_of_each_job(spark, tmp_path):
+    for k, part in enumerate([[(1, "queued"), (2, "queued"), (1, "parsing")], [(1, "done"), (3, "queued")]]):
+        spark.createDataFrame(part, "job_id long, stage string").coalesce(1).write.parquet(str(tmp_path / "in" / f"d={k}"))
+    seen = []
+    stream = jobs.source(spark, str(tmp_path / "in" / "*"), "job_id long, stage string", 1)
+    query = jobs.stages(stream).writeStream.outputMode("update").foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    # State with a time-out keeps making batches, so the query is stopped once all jobs have been seen.
+    for _ in range(90):
+        last = {r["job_id"]: r["stage"] for r in list(seen)}
+        if set(last) == {1, 2, 3} and len(seen) >= 4:
+            break
+        time.sleep(1)
+    query.stop()
+    assert set(last) == {1, 2, 3} and last[2] == last[3] == "queued" and last[1] in ("parsing", "done")
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "d" / "sub").mkdir(parents=True)
     (tmp_path / "d" / "a.csv").write_text("x, y\n,\n1,2\n")
