@@ -23,7 +23,7 @@ from ..functions.text import append_note
 from ..tables import written
 from .insights import active
 
-#: Patterns by content that a rule table may hold.
+#: Patterns by content that are broadcast at once.
 RULES = 5000
 
 
@@ -95,9 +95,11 @@ def transfer_pairs(ledger: DataFrame, days: int = rules.TRANSFER_DAYS) -> DataFr
     return pairs.join(one_to_one(pairs), ["l", "r"]).select(F.col("l").alias("debit_id"), F.col("r").alias("credit_id"), "user_id", "amount", "day_gap", "confidence")
 
 
-def transfer_report(ledger: DataFrame, days: int = rules.TRANSFER_DAYS) -> DataFrame:
-    """By user: internal transfers, matched pairs, share matched and how many stand alone."""
+def transfer_report(ledger: DataFrame, days: int = rules.TRANSFER_DAYS, newest: int | None = None) -> DataFrame:
+    """By user: internal transfers, matched pairs, share matched and how many stand alone; of the ``newest`` transfers of each user, or of all if None."""
     rows = active(ledger).where("nature = 'transfer_internal'")
+    if newest is not None:
+        rows = rows.withColumn("_place", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("transaction_date"), "txn_id"))).where(F.col("_place") <= newest).drop("_place")
     pairs = transfer_pairs(rows, days).groupBy("user_id").agg(F.count("*").alias("matched_pairs"))
     n = F.coalesce("matched_pairs", F.lit(0))
     return rows.groupBy("user_id").agg(F.count("*").alias("transfers")).join(pairs, "user_id", "left").select("user_id", "transfers", n.alias("matched_pairs"), F.round(2 * n / F.col("transfers"), 4).alias("match_rate"), (F.col("transfers") - 2 * n).alias("unmatched"))
@@ -212,18 +214,19 @@ def portal_matches(lines: DataFrame, ledger: DataFrame) -> DataFrame:
 def merchants(ledger: DataFrame, patterns: DataFrame) -> DataFrame:
     """The first pattern (pattern_id, kind exact/contains/regex, pattern, priority, merchant, category) that each distinct narration matches.
 
-    Narrations are matched once each. Exact patterns are met by an equi-join, however many there are. The others form a rule
-    table, which goes to every task as one row: ``RULES`` of them at most, else an error.
+    Narrations are matched once each. Exact patterns are met by an equi-join. The others are a rule table that goes to
+    every task, in blocks of about ``RULES`` patterns where it is larger.
     """
     texts = ledger.select("merchant_raw").where("merchant_raw IS NOT NULL").distinct().withColumn("_up", F.upper(F.trim("merchant_raw")))
     found = F.struct((-F.col("priority")).alias("p"), F.col("pattern_id").alias("i"), "merchant", "category").alias("b")
     exact = texts.join(patterns.where("kind = 'exact'").withColumn("_up", F.upper("pattern")), "_up").select("merchant_raw", found)
     rest = patterns.where("kind <> 'exact'")
-    if rest.limit(RULES + 1).count() > RULES:
-        raise ValueError(f"more than {RULES} patterns that aren't exact")
+    blocks = max(1, -(-rest.count() // RULES))
     hit = F.expr("CASE kind WHEN 'contains' THEN contains(_up, upper(pattern)) ELSE _up rlike concat('(?i)', pattern) END")
-    some = texts.join(F.broadcast(rest), hit).select("merchant_raw", found)
-    best = exact.unionByName(some).groupBy("merchant_raw").agg(F.min("b").alias("b"))
+    for k in range(blocks):
+        block = rest.where(F.pmod(F.xxhash64("pattern_id"), F.lit(blocks)) == k)
+        exact = exact.unionByName(texts.join(F.broadcast(block), hit).select("merchant_raw", found))
+    best = exact.groupBy("merchant_raw").agg(F.min("b").alias("b"))
     return best.select("merchant_raw", "b.merchant", "b.category")
 
 

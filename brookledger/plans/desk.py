@@ -12,9 +12,10 @@ from .. import rules
 from ..functions import classify, dates, text
 from ..operators import balance, documents, insights, intake, matching, reconcile, review
 from ..operators import ledger as entries
+from ..sources import seeds
 from . import queries as base
 from .ledger import ledger, statement_rows, statements, table, transfer_feed
-from .oracle import BUCKETS, INCOME, LEDGER, ORACLE_SQL, PORTAL, ROWS, TOTALS, listed, with_
+from .oracle import BUCKETS, INCOME, LEDGER, ORACLE_SQL, PORTAL, ROWS, TOTALS, listed, quoted, with_
 
 NAMES: list[str] = []
 #: Documents of the events table, by remainder. Fixed values.
@@ -501,3 +502,25 @@ def x_event_windows(spark, sf_dir):
     """Extension: counts of events by hour, as the stream's windows keep them."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return base.longs(e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n"), "n")
+
+
+def _category_sql() -> str:
+    rows = ", ".join(f"({quoted(p)}, [{', '.join(map(quoted, c))}]::VARCHAR[], {k})" for k, (p, c) in enumerate(seeds.CATEGORIES.items()))
+    return f"WITH t(name, children, place) AS (VALUES {rows}) SELECT name AS category_id, NULL AS parent_id, name, place AS sort_order FROM t UNION ALL SELECT t.name || ' > ' || children[k], t.name, children[k], k - 1 FROM t, range(1, len(children) + 1) r(k)"
+
+
+@query(_category_sql())
+def a13_categories(spark, sf_dir):
+    return base.longs(seeds.categories(spark).drop("is_system"), "sort_order")
+
+
+@query(with_(LEDGER, TOTALS, BUCKETS, PORTAL, "o AS (SELECT user_id, CASE WHEN gross_salary IS NULL THEN 'x' WHEN l IS NULL THEN 'y' WHEN abs(gross_salary - l) <= 100 THEN 'matched' ELSE 'z' END AS kind FROM portal FULL JOIN (SELECT user_id, amount AS l FROM buckets WHERE bucket = 'salary') b USING (user_id) WHERE gross_salary IS NOT NULL OR l IS NOT NULL)",
+    "e AS (SELECT user_id, count(*) AS entries, coalesce(sum(amount) FILTER (direction = 'credit'), 0)::DOUBLE AS credits, coalesce(sum(amount) FILTER (direction = 'debit'), 0)::DOUBLE AS debits FROM active GROUP BY ALL)",
+    select="SELECT e.*, count(*) FILTER (kind = 'matched') AS matched, count(*) FILTER (kind <> 'matched') AS open, (SELECT count(*) FROM events WHERE events.user_id % 40 = e.user_id) AS documents FROM e LEFT JOIN o USING (user_id) GROUP BY ALL"))
+def a11_pack_summary(spark, sf_dir):
+    """The summary of the packs of all users; the other frames are those of their own queries."""
+    rows = ledger(spark, sf_dir)
+    found = reconcile.form16(base.portal(spark, sf_dir), reconcile.ledger_buckets(rows, base.FIRST, base.LAST))
+    people = rows.select("user_id").distinct()
+    frames = seeds.pack_frames(rows, people, people, {"Form-16": found}, artifacts(spark, sf_dir).select("user_id", "file_name", "doc_type", "status"), ["amounts are the ledger's"])
+    return base.doubles(frames["summary"], "credits", "debits")

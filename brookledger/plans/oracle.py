@@ -345,3 +345,18 @@ ORACLE_SQL |= {
         s AS (SELECT n.doc_id, ref_id, overlap + CASE WHEN n.source = r.source THEN 8 ELSE 0 END + CASE WHEN n.lang = r.lang THEN 5 ELSE 0 END AS score FROM n JOIN d r ON r.doc_id = ref_id WHERE overlap > 0)
         SELECT doc_id, ref_id, score::BIGINT AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ref_id) AS place FROM s QUALIFY place <= 4""",
 }
+
+
+def _least_tax(changed: str) -> str:
+    """The lesser total of 2025-26 by user, from the comparison of 2024-25: the years differ by the new regime's slabs and rebate."""
+    sql = ORACLE_SQL["l7_compare_regimes"]
+    for column in ("new_taxable", "nt"):
+        sql = sql.replace(slab_sum(column, rules.NEW_SLABS["2024-25"]), slab_sum(column, rules.NEW_SLABS["2025-26"]))
+    sql = sql.replace("new_taxable <= 700000 THEN least(new_slab_tax, 25000)", "new_taxable <= 1200000 THEN least(new_slab_tax, 60000)").replace("AS special FROM taxpayers", f"AS special FROM (SELECT * {changed} FROM taxpayers)")
+    return sql[: sql.rindex("\nSELECT user_id, round(")] + "\nSELECT user_id, least(old_total, new_total) AS tax FROM f"
+
+
+ORACLE_SQL["l12_what_if"] = (
+    f"WITH b AS ({_least_tax('')}), p AS (SELECT 'full_80c' AS scenario, * FROM ({_least_tax('REPLACE (150000 AS d80c)')}) UNION ALL SELECT 'no_house', * FROM ({_least_tax('REPLACE (0 AS house_self, 0 AS house_let)')})) "
+    "SELECT p.user_id, scenario, round(p.tax::DOUBLE, 2) AS tax, round((b.tax - p.tax)::DOUBLE, 2) AS saving FROM p JOIN b USING (user_id)"
+)

@@ -6,7 +6,8 @@ from decimal import Decimal
 
 import pytest
 
-from brookledger.operators import balance, documents, extract, intake, jobs, ledger, review
+from brookledger.operators import balance, documents, extract, intake, jobs, ledger, matching, review
+from brookledger.sources import seeds
 
 ROW = "txn_id long, user_id long, transaction_date date, amount decimal(14,2), direction string, account_masked string, fingerprint string, reference_number string, merchant_raw string, account_type string"
 
@@ -135,3 +136,32 @@ def test_sender_subjects(spark):
     mails = spark.createDataFrame([(k, "A@x.example", f"s{k % 5}" if k % 7 else None, False) for k in range(50)], "message_id long, from_address string, subject string, has_attachment boolean")
     assert jobs.sender_discovery(mails, [], ["s"]).first()["subjects"] == ["s1", "s2", "s3"]
     assert jobs.sender_discovery(mails.where("subject IS NULL"), [], ["s"]).first()["subjects"] == []
+
+
+def test_seeds(spark):
+    rows = {r["category_id"]: r for r in seeds.categories(spark, {"A": ("x", "y"), "B": ()}).collect()}
+    assert set(rows) == {"A", "A > x", "A > y", "B"} and rows["A > y"]["parent_id"] == "A" and rows["B"]["sort_order"] == 1
+    made = seeds.categories(spark)
+    assert seeds.new_categories(made, made).count() == 0 and seeds.new_categories(made.limit(0), made).count() == made.count()
+    table = [("Shop", "Shopping", [("contains", "shop", 5), ("exact", "the shop", 9)]), ("Other", "Shopping", [("contains", "SHOP", 7)])]
+    patterns = seeds.merchants(spark, table)
+    assert patterns.count() == 2
+    got = matching.merchants(spark.createDataFrame([("the shop",), ("a shop here",), ("none",), (None,)], "merchant_raw string"), patterns)
+    assert {r["merchant_raw"] for r in got.collect()} == {"the shop", "a shop here"}
+
+
+def test_merchants_in_blocks(spark, monkeypatch):
+    patterns = spark.createDataFrame([(k, "contains", f"w{k}x", k, f"m{k}", "c") for k in range(30)], seeds.MERCHANT)
+    texts = spark.createDataFrame([(" ".join(f"w{j}x" for j in range(k)),) for k in range(1, 20)], "merchant_raw string")
+    whole = {tuple(r) for r in matching.merchants(texts, patterns).collect()}
+    monkeypatch.setattr(matching, "RULES", 7)
+    assert {tuple(r) for r in matching.merchants(texts, patterns).collect()} == whole and len(whole) == 19
+
+
+def test_pack_frames(spark):
+    rows = spark.createDataFrame([(1, 7, date(2024, 5, 1), Decimal(10), "credit", "income", "X", None, "B", None, False)], "txn_id long, user_id long, transaction_date date, amount decimal(14,2), direction string, nature string, merchant_raw string, category_name string, bank_name string, account_masked string, is_excluded boolean")
+    found = spark.createDataFrame([(7, "matched", Decimal(1), Decimal(1)), (7, "missing_in_ledger", Decimal(1), None)], "user_id long, kind string, portal_amount decimal(14,2), ledger_amount decimal(14,2)")
+    docs = spark.createDataFrame([], "user_id long, file_name string, doc_type string, status string")
+    frames = seeds.pack_frames(rows, rows.select("user_id"), rows.select("user_id"), {"AIS": found}, docs, ["none"])
+    assert len(frames) == 7 and frames["summary"].first().asDict() == {"user_id": 7, "entries": 1, "credits": Decimal(10), "debits": Decimal(0), "matched": 1, "open": 1, "documents": 0}
+    assert len(frames["ledger_FY"].columns) == 13
