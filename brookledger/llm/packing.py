@@ -18,8 +18,8 @@
    placements, which depends on the lengths that occur and not on the rows. It is
    broadcast in parts of whole lengths, each of a bounded size.
 
-Defined results: a null or empty text is the closing id alone; a null id sorts
-first; rows that repeat an id are separate pieces; an empty table gives an empty
+Defined results: a null or empty text is the closing id alone; ids may be of any
+plain type, and a null id sorts first; rows that repeat an id are separate pieces; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -117,8 +117,8 @@ def _tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                 yield pd.DataFrame(out, columns=[x.split()[0] for x in returns.split(", ")])
 
     # Ids travel as text: beside a null, pandas would read large ones as floating point.
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("_id"), text_of(text_col).alias("_text")).mapInPandas(of, returns)
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), text_of(text_col).alias("_text")).mapInPandas(of, returns)
+    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,9 +210,8 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shift = dict(zip(zip(runs["_part"].tolist(), runs["length"].tolist()), (before - runs["first"]).tolist()))
     plan = np.asarray(supersteps({int(k): int(v) for k, v in runs.groupby("length")["n"].sum().items()}, capacity), np.int64).reshape(-1, 6)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    schema = ", ".join(f"{n} {ranked.schema[n].dataType.simpleString()}" for n in names)
-    # Ids travel as text: beside a null, pandas would read large ones as floating point.
-    texts = {n: F.col(n).cast("string") for n, kind in rows.dtypes if n == "doc_id" and kind == "bigint"}
+    kind = ranked.schema["doc_id"].dataType
+    schema = ", ".join(f"{n} {'string' if n == 'doc_id' else ranked.schema[n].dataType.simpleString()}" for n in names)
 
     def placed(plan: np.ndarray) -> DataFrame:
         shared = spark.sparkContext.broadcast((shift, plan))
@@ -229,8 +228,8 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 yield pdf.drop(columns=["_part", "_row"])
 
         some = ranked if not len(plan) else ranked.where(F.col("length").between(int(plan[0, 0]), int(plan[-1, 0])))
-        out = some.withColumns(texts).mapInPandas(of, f"{schema.replace('doc_id bigint', 'doc_id string') if texts else schema}, sequence_id long, offset long")
-        return out.withColumns({n: F.col(n).cast("long") for n in texts})
+        out = some.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(of, f"{schema}, sequence_id long, offset long")
+        return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
     return reduce(DataFrame.unionByName, map(placed, _parts(plan, BROADCAST_BYTES)))
 

@@ -319,3 +319,23 @@ def test_plans_in_parts(spark, monkeypatch):
     whole = {r["doc_id"]: (r["sequence_id"], r["offset"]) for r in packing.place(rows, 100).collect()}
     monkeypatch.setattr(packing, "BROADCAST_BYTES", 200)
     assert {r["doc_id"]: (r["sequence_id"], r["offset"]) for r in packing.place(rows, 100).collect()} == whole
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a-1", "one two"), (None, "three"), ("b", None)], "doc_id string, text string")
+    got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == ["None", "a-1", "b"] or {r["doc_id"] for r in got.collect()} == {"a-1", None, "b"}
+
+
+def test_labelled_ids(spark):
+    """Of several labels the largest counts; nulls and the held-out fold are left out; rows alike don't change the choice."""
+    rows = [(1, 0), (1, 1), (2, 0), (2, 0), (None, 1), (3, None), (4, 1), (4, None)] + [(k, k % 2) for k in range(10, 60)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["label"] for r in common.labelled_ids(labels, "toxic", 3, 1, 1000).collect()}
+    want = {}
+    for k, v in rows:
+        if k is not None and v is not None and zlib.crc32(str(k).encode()) % 3 != 1:
+            want[k] = max(v, want.get(k, 0))
+    assert got == want
+    few = [{r["doc_id"] for r in common.labelled_ids(df, "toxic", 3, 1, 4).collect()} for df in (labels, labels.repartition(7), labels.unionByName(labels))]
+    assert few[0] == few[1] == few[2] and len(few[0]) == 8
