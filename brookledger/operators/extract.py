@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import money
+from ..functions import dates, money
+from ..functions import text as texts
 
 DAY = r"(\d{1,2}[/\-. ](?:\d{1,2}|[A-Za-z]{3})[/\-. ]\d{2,4})"
 AMOUNT = r"([\d,]+\.\d{2})"
@@ -113,3 +115,41 @@ def amounts_after(documents: DataFrame, words: Sequence[str]) -> DataFrame:
     for s in sums[1:]:
         total = total + s
     return documents.select("doc_id", F.round(F.coalesce(total, F.lit(0.0)), 2).alias("amount"))
+
+
+def tax_document_fields(documents: DataFrame, as_of: date) -> DataFrame:
+    """(doc_id, field, amount, value): what a tax document (doc_id, doc_type, text) of a known type tells; amounts are 0 where it doesn't.
+
+    Amounts and texts are those of the first pattern that fits, sums are over all matches of all words, and a
+    document of any type has its financial year where it names one.
+    """
+    kind, text = F.lower(F.trim(F.coalesce("doc_type", F.lit("")))), F.coalesce("text", F.lit(""))
+    capture = f"({rules.PLAIN_AMOUNT})"
+    number = lambda p: F.abs(money.parse_inr(F.nullif(F.regexp_extract(text, "(?i)" + p.replace("@", capture), 1), F.lit(""))))
+    group = lambda p: F.nullif(F.trim(F.regexp_extract(text, "(?i)" + p, 1)), F.lit(""))
+    total = lambda words: sum((F.aggregate(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i){re.escape(w)}[^0-9]{{0,25}}{capture}"), F.lit(1)), lambda x: money.parse_inr(x)), F.lit(0.0), lambda a, x: a + F.coalesce(F.abs(x), F.lit(0.0))) for w in words), F.lit(0.0))
+    none, zero = F.lit(None), F.lit(0.0)
+    found = []
+
+    def add(doc_type: str, name: str, amount: Column | None = None, value: Column | None = None) -> None:
+        row = F.struct(F.lit(name).alias("field"), (F.round(F.coalesce(amount, zero), 2) if amount is not None else none.cast("double")).alias("amount"), (value if value is not None else none).cast("string").alias("value"))
+        found.append(F.when(kind == doc_type, row) if doc_type else F.when(value.isNotNull(), row))
+
+    for doc_type, fields in rules.AMOUNT_FIELDS.items():
+        for name, patterns in fields.items():
+            add(doc_type, name, F.coalesce(*map(number, patterns)))
+    for doc_type, fields in rules.SUM_FIELDS.items():
+        for name, words in fields.items():
+            add(doc_type, name, total(words))
+    for doc_type, fields in rules.COUNT_FIELDS.items():
+        for name, patterns in fields.items():
+            add(doc_type, name, F.greatest(*(F.regexp_count(text, F.lit("(?i)" + p)) for p in patterns)).cast("double"))
+    for doc_type, fields in rules.TEXT_FIELDS.items():
+        for name, patterns in fields.items():
+            value = F.coalesce(*map(group, patterns))
+            add(doc_type, name, value=texts.mask_tail(F.replace(value, F.lit(" "), F.lit(""))) if name.endswith("_masked") else value)
+    day = F.coalesce(*(dates.parse_date(group(re.escape(w) + rules.NEAR_DATE), as_of, 1990) for w in rules.CHALLAN_DATES))
+    add("tax_challan", "challan_date", value=F.date_format(day, "yyyy-MM-dd"))
+    add("", "financial_year", value=F.replace(F.replace(group(rules.FINANCIAL_YEAR), F.lit(" "), F.lit("")), F.lit("/"), F.lit("-")))
+    rows = F.filter(F.array(*found), lambda x: x.isNotNull())
+    return documents.select("doc_id", F.explode(rows).alias("s")).select("doc_id", "s.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import classify, dates, text
-from ..operators import balance, documents, insights, intake, matching, reconcile, review
+from ..operators import balance, documents, extract, insights, intake, matching, reconcile, review
 from ..operators import ledger as entries
 from ..sources import seeds
 from . import queries as base
@@ -524,3 +524,27 @@ def a11_pack_summary(spark, sf_dir):
     people = rows.select("user_id").distinct()
     frames = seeds.pack_frames(rows, people, people, {"Form-16": found}, artifacts(spark, sf_dir).select("user_id", "file_name", "doc_type", "status"), ["amounts are the ledger's"])
     return base.doubles(frames["summary"], "credits", "debits")
+
+
+TAX_KINDS = ("interest_certificate", "fd_report", "tax_challan", "ppf_statement", "tax_form")
+
+
+@query(f"""WITH e AS (SELECT event_id AS doc_id, event_id % 5 AS k, (event_id * 10)::DOUBLE AS a FROM events), r AS (
+    SELECT doc_id, unnest(CASE k WHEN 0 THEN [{{'field': 'interest_amount', 'amount': a, 'value': NULL}}, {{'field': 'tds_amount', 'amount': a + 1.5, 'value': NULL}}]
+        WHEN 1 THEN [{{'field': 'principal_total', 'amount': a + 100, 'value': NULL}}, {{'field': 'interest_total', 'amount': 0, 'value': NULL}}, {{'field': 'maturity_total', 'amount': 7, 'value': NULL}}, {{'field': 'fd_count', 'amount': 2, 'value': NULL}}]
+        WHEN 2 THEN [{{'field': 'tax_paid_amount', 'amount': a, 'value': NULL}}, {{'field': 'cin', 'amount': NULL, 'value': 'AB12345678'}}, {{'field': 'bsr_code', 'amount': NULL, 'value': '1234567'}}, {{'field': 'challan_serial_no', 'amount': NULL, 'value': '00123'}}, {{'field': 'challan_date', 'amount': NULL, 'value': '2000-02-03'}}]
+        WHEN 3 THEN [{{'field': 'opening_balance', 'amount': a, 'value': NULL}}, {{'field': 'closing_balance', 'amount': a + 5, 'value': NULL}}, {{'field': 'interest_amount', 'amount': 5, 'value': NULL}}, {{'field': 'contribution_amount', 'amount': 0, 'value': NULL}}, {{'field': 'ppf_account_masked', 'amount': NULL, 'value': 'XXXX5678'}}]
+        ELSE [{{'field': 'gross_salary', 'amount': a, 'value': NULL}}, {{'field': 'tds_amount', 'amount': 0, 'value': NULL}}, {{'field': 'financial_year', 'amount': NULL, 'value': '2024-25'}}] END) AS s FROM e)
+    SELECT doc_id, s.field, s.amount::DOUBLE AS amount, s.value FROM r""")
+def m16_tax_document_fields(spark, sf_dir):
+    i = F.col("event_id")
+    a = F.format_number(i * 10, 0)
+    body = (
+        F.when(i % 5 == 0, F.concat(F.lit("Total interest paid: Rs. "), a, F.lit(" and total TDS Rs. "), F.format_number(i * 10 + 1.5, 2)))
+        .when(i % 5 == 1, F.concat(F.lit("FD no 1 of this fixed deposit: principal amount "), a, F.lit("; principal amount 100; maturity value 7")))
+        .when(i % 5 == 2, F.concat(F.lit("Challan No. 00123 BSR Code: 1234567 CIN: AB12345678 Challan Date: 03/02/2000 Tax paid Rs "), a))
+        .when(i % 5 == 3, F.concat(F.lit("PPF Account No. 12345678 opening balance "), a, F.lit(" interest credited 5 closing balance "), F.format_number(i * 10 + 5, 0)))
+        .otherwise(F.concat(F.lit("Form of FY: 2024 / 25 with gross salary of "), a))
+    )
+    docs = table(spark, sf_dir, "events").select(i.alias("doc_id"), _pick(TAX_KINDS, i).alias("doc_type"), body.alias("text"))
+    return extract.tax_document_fields(docs, base.AS_OF)

@@ -275,3 +275,46 @@ ROW_CHUNK, ROW_OVERLAP = 120, 8
 # --- Corrections and routing. Fixed values.
 SETTABLE_NATURES = ("expense", "income", "transfer_internal", "refund", "investment", "tax")
 SMALL_MODEL_TASKS = ("statement_classification", "transfer_classification", "document_classification", "integrity_review", "correction_chat")
+
+# --- Fields of tax documents by type. Patterns without regard to case, in order; @ stands for an amount.
+AMOUNT_FIELDS = {
+    "interest_certificate": {
+        "interest_amount": (r"total\s+interest[^0-9]{0,25}@", r"interest\s+(?:paid|credited|accrued|income|amount)[^0-9]{0,25}@", r"interest[^0-9]{0,10}@"),
+        "tds_amount": (r"total\s+tds[^0-9]{0,25}@", r"tds\s+(?:deducted|amount|u/s)?[^0-9]{0,25}@"),
+    },
+    "tax_challan": {
+        "tax_paid_amount": (r"(?:challan|tax)\s+(?:amount|paid|payment)[^0-9]{0,25}@", r"total\s+(?:amount\s+paid|tax\s+paid)[^0-9]{0,25}@", r"amount\s+paid[^0-9]{0,25}@"),
+    },
+    "ppf_statement": {
+        "opening_balance": (r"opening\s+balance[^0-9]{0,25}@",),
+        "closing_balance": (r"closing\s+balance[^0-9]{0,25}@", r"balance\s+as\s+on[^0-9]{0,25}@"),
+        "interest_amount": (r"interest\s+(?:credited|deposited|amount)[^0-9]{0,25}@", r"interest[^0-9]{0,12}@"),
+        "contribution_amount": (r"(?:subscription|deposit|contribution)[^0-9]{0,25}@", r"total\s+deposits?[^0-9]{0,25}@"),
+    },
+    "tax_form": {
+        "gross_salary": (r"gross\s+salary[^0-9]{0,25}@", r"salary[^0-9]{0,25}@"),
+        "tds_amount": (r"tax\s+deducted\s+at\s+source[^0-9]{0,25}@", r"tds[^0-9]{0,25}@"),
+    },
+}
+#: Words before amounts that are added up.
+SUM_FIELDS = {
+    "fd_report": {
+        "principal_total": ("principal amount", "deposit amount", "amount invested", "face value"),
+        "interest_total": ("interest amount", "interest accrued", "interest payable"),
+        "maturity_total": ("maturity amount", "maturity value"),
+    },
+}
+COUNT_FIELDS = {"fd_report": {"fd_count": (r"\b(?:fd|fixed deposit)\b", r"\b(?:fd\s*no|deposit\s*no)\b")}}
+TEXT_FIELDS = {
+    "tax_challan": {
+        "cin": (r"\bCIN(?:\s*No\.?|:)?\s*([A-Z0-9/-]{8,})", r"\bChallan\s+Identification\s+Number(?:\s*:?)*\s*([A-Z0-9/-]{8,})"),
+        "bsr_code": (r"\bBSR\s*Code(?:\s*:?)*\s*([0-9]{7})",),
+        "challan_serial_no": (r"\bChallan\s*(?:No\.?|Serial\s*No\.?)(?:\s*:?)*\s*([A-Z0-9-]{3,})", r"\bSerial\s*No\.?(?:\s*:?)*\s*([A-Z0-9-]{3,})"),
+    },
+    "ppf_statement": {
+        "ppf_account_masked": (r"\bPPF\s*(?:A/C|Account)?\s*(?:No\.?|Number|#)?\s*[:\-]?\s*([0-9Xx*]{6,20})", r"\bAccount\s*(?:No\.?|Number|#)\s*[:\-]?\s*([0-9Xx*]{6,20})"),
+    },
+}
+CHALLAN_DATES = ("challan date", "date of deposit", "payment date", "date")
+NEAR_DATE = r"[^0-9A-Za-z]{0,8}([0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}|[0-9]{1,2}\s+[A-Za-z]{3,9}\s+[0-9]{2,4})"
+FINANCIAL_YEAR = r"\b(?:FY|F\.Y\.|Financial Year)\s*[:\-]?\s*([0-9]{4}\s*[-/]\s*[0-9]{2,4})\b"
