@@ -225,7 +225,7 @@ def index(rows: DataFrame, folder: str, entries: int = ENTRIES) -> DataFrame:
             yield block()
         files.close()
 
-    order = [first, second, "file", "offset"]
+    order = [first, second, "offset"]
     sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return stage(sorted_rows.select(first, F.col(second).cast("string").alias(second), "file", "offset", "length").mapInPandas(of, BLOCK), "warc-directory")
 
