@@ -11,7 +11,7 @@ from .. import rules
 from ..functions import classify, text
 from ..tables import written
 from . import ledger as entries
-from .matching import candidates
+from .matching import candidates, card_payment_pairs
 
 
 class Promoted(NamedTuple):
@@ -121,6 +121,17 @@ def reclassified(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     return new.withColumn("nature", F.col("_new")).drop("_new"), counts
 
 
+def transfers_reclassified(ledger: DataFrame, matches: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """The ledger with all natures inferred anew and both ends of each card payment as internal transfers, and the
+    matches (debit_id, credit_id, confidence, resolution_status) with the pairs found: a pair that is known keeps its state."""
+    again, _ = reclassified(ledger)
+    pairs = written(card_payment_pairs(again, days).select("debit_id", "credit_id", F.col("confidence").cast("double").alias("_found")), "card-payments")
+    ends = pairs.select(F.col("debit_id").alias("txn_id")).unionByName(pairs.select(F.col("credit_id").alias("txn_id"))).distinct().withColumn("_hit", F.lit(True))
+    after = again.join(ends, "txn_id", "left").withColumn("nature", F.when(F.col("_hit"), "transfer_internal").otherwise(F.col("nature"))).select(ledger.columns)
+    both = matches.join(pairs, ["debit_id", "credit_id"], "full_outer")
+    return after, both.select("debit_id", "credit_id", F.coalesce("_found", "confidence").alias("confidence"), F.coalesce("resolution_status", F.lit("auto")).alias("resolution_status"))
+
+
 def planned(actions: DataFrame, ledger: DataFrame, categories: DataFrame) -> DataFrame:
     """What proposed corrections (action_id, txn_id, action, value) would do: field, old and new value, or why one is skipped."""
     names = categories.select(F.lower("name").alias("_key"), F.col("name").alias("_name")).dropDuplicates(["_key"])

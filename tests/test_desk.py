@@ -165,3 +165,14 @@ def test_pack_frames(spark):
     frames = seeds.pack_frames(rows, rows.select("user_id"), rows.select("user_id"), {"AIS": found}, docs, ["none"])
     assert len(frames) == 7 and frames["summary"].first().asDict() == {"user_id": 7, "entries": 1, "credits": Decimal(10), "debits": Decimal(0), "matched": 1, "open": 1, "documents": 0}
     assert len(frames["ledger_FY"].columns) == 13
+
+
+def test_card_payments_become_transfers(spark):
+    columns = "txn_id long, user_id long, transaction_date date, amount decimal(14,2), direction string, account_type string, account_masked string, bank_name string, merchant_raw string, nature string, is_excluded boolean"
+    row = lambda k, day, side, kind, text: (k, 1, date(2024, 1, day), Decimal(500), side, kind, f"XX{kind}", "HDFC", text, "expense", False)
+    rows = spark.createDataFrame([row(1, 1, "debit", "savings", "CREDIT CARD PAYMENT BILLDESK"), row(2, 2, "credit", "credit_card", "CREDIT CARD PAYMENT RECEIVED"), row(3, 20, "debit", "savings", "UPI SHOP"), row(4, 25, "debit", "savings", "MUTUAL FUND SIP")], columns)
+    known = spark.createDataFrame([(1, 2, 0.5, "confirmed"), (8, 9, 0.4, "rejected")], "debit_id long, credit_id long, confidence double, resolution_status string")
+    after, matches = review.transfers_reclassified(rows, known)
+    assert {r["txn_id"]: r["nature"] for r in after.collect()} == {1: "transfer_internal", 2: "transfer_internal", 3: "expense", 4: "investment"} and after.columns == rows.columns
+    got = {(r["debit_id"], r["credit_id"]): (r["confidence"] > 0.5, r["resolution_status"]) for r in matches.collect()}
+    assert got == {(1, 2): (True, "confirmed"), (8, 9): (False, "rejected")}
