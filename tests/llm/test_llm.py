@@ -137,7 +137,7 @@ def test_remembered_runs_encode_as_the_tokenizer(text):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         source = f.read()
     plain = _cached("t", lambda: Tokenizer.from_str(source))
-    assert packing._words(source).encode([text])[0] == np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.Words(source).encode([text])[0] == np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _KEPT = {}
