@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, small_batches, stage, text_of
+from .common import BROADCAST_BYTES, Recent, small_batches, stage, text_of
 
 PER_LANGUAGE = 500
 #: Weight of the wider level in a smoothed prior, and of the uniform share in other counts.
@@ -40,6 +40,8 @@ PULL, SMOOTHING = 5.0, 1.0
 TEMPER = 1 / 3
 #: Words a task remembers.
 CACHE = 50_000
+#: A language's name and size take so much at most.
+ROW_BYTES = 256
 WORD = re.compile(r"[^\W\d_]+")
 HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
 DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""")
@@ -67,7 +69,9 @@ def place(url: str | None) -> tuple[str, str, str]:
 def trigram_counts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, gram, n) of about ``per_language`` documents of each language."""
     rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", text_of().alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = stage(rows.groupBy("lang").agg(F.count("*").alias("size")), "langid-sizes")
+    if sizes.count() * ROW_BYTES <= BROADCAST_BYTES:  # else texts move to their language
+        sizes = F.broadcast(sizes)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("size") < per_language * float(1 << 20)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
