@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Largest estimated size of anything these operators broadcast on purpose.
@@ -88,6 +89,21 @@ def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` as a table that is range-sorted by ``order``, with ``_part``, the range of a row, and ``_row``, its place there from 0."""
+    row = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(rows.withColumns({"_part": F.shiftright(row, 33).cast("int"), "_row": row.bitwiseAND(F.lit((1 << 33) - 1))}), name)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, out: str) -> DataFrame:
+    """Adds ``out``, the place of a row from 0 in ``order``: its place in its range and the rows of the ranges before."""
+    rows = dealt(df, order, name)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn(out, F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
