@@ -7,6 +7,10 @@ least rank until no word has a pair left. Known words come from a bounded cache,
 so frequent words are contracted once. Decoding joins token-position rows to the
 vocabulary and aggregates their bytes in order of position.
 
+A call holds a bounded number of rows, by bytes. Long words are contracted at many places at once, and a word that is
+longer than a call takes goes through in segments that overlap: a million random letters take some 20 seconds, a million
+times the same letter some 80.
+
 No shuffle: texts are encoded where they are read. The rank file (a fixed size,
 under 1 MB) is read by the driver and broadcast.
 
@@ -35,6 +39,8 @@ from .common import text_of
 CACHE = 300_000
 #: Code points encoded, ids decoded and new words contracted at once (a longer text goes alone).
 LONG, CHUNK_CHARS, CHUNK_IDS, CHUNK_WORDS = 64, 2_000_000, 400_000, 20_000
+#: Rows of all steps of a call for short words, and bytes of a call for long ones; a longer word is cut.
+CHUNK_ROWS, SEGMENT = 2_000_000, 1 << 17
 
 CONTRACT = """
 WITH RECURSIVE s AS (
@@ -56,9 +62,12 @@ SELECT word, id
 FROM s JOIN (SELECT word, max(step) AS step FROM s GROUP BY word) USING (word, step)
 ORDER BY pos"""
 
-#: The same for long words. Only the last state of each position is kept (an id of -1: gone into the token
-#: before it), and a step contracts the pairs of a word's least rank from left to right, not its leftmost
-#: one alone, up to the first that gives rise to a pair of a still lower rank.
+#: The same for long words. Only the last state of each position is kept (an id of -1: gone into the token before it), and a step
+#: contracts each pair whose rank is the least of the pairs that begin near it. Cells are as long as the longest
+#: token that the words' bytes can make, and a token only changes through a pair beside it; so what lies beyond the next cells could reach such a pair
+#: only by a token longer than any before its turn comes. Of pairs of one rank that overlap, every second one is taken, from the
+#: first of them on, once that one is settled. A pair that gives rise to one of lower rank waits, and those of its rank near it
+#: with it, until it is the leftmost least among more cells, as what that one makes may reach as far again. ``edges``: the cells whose neighbours are all known.
 CONTRACT_LONG = """
 WITH RECURSIVE s USING KEY (pos) AS (
     SELECT pos, word, id FROM token_rows
@@ -68,26 +77,38 @@ WITH RECURSIVE s USING KEY (pos) AS (
         SELECT pos, word, id, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos,
                lag(id) OVER w AS left_of, lag(pos) OVER w AS left_pos, lead(id, 2) OVER w AS right_of
         FROM live WINDOW w AS (PARTITION BY word ORDER BY pos)),
-    ranked AS (SELECT pairs.*, merged FROM pairs JOIN merges ON id = left_id AND next_id = right_id),
+    ranked AS (
+        SELECT pairs.*, merged, pos // {cell} AS cell, (merged::BIGINT << 40) | pos AS key, lag(next_pos) OVER w = pos AND lag(merged) OVER w = merged AS chained
+        FROM pairs JOIN merges ON id = left_id AND next_id = right_id WINDOW w AS (PARTITION BY word ORDER BY pos)),
+    cells AS (SELECT word, cell, min(merged) AS lowest, min(key) AS key FROM ranked GROUP BY word, cell),
     least AS (
-        SELECT *, lag(next_pos) OVER (PARTITION BY word ORDER BY pos) AS taken
-        FROM (SELECT *, min(merged) OVER (PARTITION BY word) AS lowest FROM ranked) WHERE merged = lowest),
-    runs AS (SELECT *, count(*) FILTER (taken IS DISTINCT FROM pos) OVER (PARTITION BY word ORDER BY pos) AS run FROM least),
+        SELECT word, cell, min(lowest) OVER (PARTITION BY word ORDER BY cell RANGE BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS near,
+               min(key) OVER (PARTITION BY word ORDER BY cell RANGE BETWEEN 3 PRECEDING AND 4 FOLLOWING) AS far
+        FROM cells),
+    turn AS (
+        SELECT ranked.*, key = far AND cell - 3 >= lo AND cell + 4 <= hi AS alone
+        FROM ranked JOIN least USING (word, cell) JOIN edges USING (word) WHERE merged = near AND cell - 1 >= lo AND cell + 2 <= hi),
+    runs AS (
+        SELECT *, count(*) FILTER (NOT coalesce(chained AND before = pos, false)) OVER (PARTITION BY word ORDER BY pos) AS run
+        FROM (SELECT *, lag(next_pos) OVER (PARTITION BY word ORDER BY pos) AS before FROM turn)),
     apart AS (
         SELECT *, lag(next_pos) OVER (PARTITION BY word ORDER BY pos) AS last_gone
-        FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS k FROM runs) WHERE k % 2 = 1),
-    lower AS (
-        SELECT apart.word, min(apart.pos) AS stop
+        FROM (SELECT *, row_number() OVER r AS k, coalesce(first_value(chained) OVER r, false) AS headless FROM runs WINDOW r AS (PARTITION BY word, run ORDER BY pos))
+        WHERE k % 2 = 1 AND NOT headless),
+    checked AS (
+        SELECT apart.*, coalesce(a.merged < apart.merged, false) OR coalesce(b.merged < apart.merged, false) AS lower
         FROM apart
         LEFT JOIN merges a ON a.left_id = CASE WHEN last_gone = left_pos THEN apart.merged ELSE left_of END AND a.right_id = apart.merged
-        LEFT JOIN merges b ON b.left_id = apart.merged AND b.right_id = right_of
-        WHERE a.merged < apart.merged OR b.merged < apart.merged GROUP BY apart.word),
-    done AS (SELECT apart.* FROM apart LEFT JOIN lower USING (word) WHERE stop IS NULL OR pos <= stop)
+        LEFT JOIN merges b ON b.left_id = apart.merged AND b.right_id = right_of),
+    done AS (
+        SELECT pos, next_pos, word, merged
+        FROM (SELECT *, min(CASE WHEN lower THEN merged END) OVER (PARTITION BY word ORDER BY cell RANGE BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS held FROM checked)
+        WHERE alone OR NOT lower AND held IS DISTINCT FROM merged)
     SELECT pos, word, merged FROM done
     UNION ALL
     SELECT next_pos, word, -1 FROM done)
 )
-SELECT word, id FROM s WHERE id >= 0 ORDER BY pos"""
+SELECT pos, word, id FROM s WHERE id >= 0 ORDER BY pos"""
 
 DECODE = """
 SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex, count(*) AS n
@@ -112,6 +133,9 @@ class Codec:
         vocabulary = pd.DataFrame({"id": np.asarray(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})  # noqa: F841
         # No folder to spill in: it would be a local one.
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+        self.merge_keys = np.asarray(merges["left_id"], np.int64) << 32 | merges["right_id"]
+        self.spelt, self.lengths = np.frombuffer(b"".join(ranks), np.uint8), np.asarray([len(t) for t in ranks])
+        self.begins = np.cumsum(self.lengths) - self.lengths
         self.con.execute("CREATE TABLE merges AS FROM merges")
         self.con.execute("CREATE TABLE vocabulary AS FROM vocabulary")
         self.byte_ids = np.asarray([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
@@ -122,28 +146,71 @@ class Codec:
 
     def contract(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word that isn't a token by itself, by the recursive queries."""
-        long = [k for k, w in enumerate(words) if len(w) > LONG]
-        if not long:
-            return self._contracted(words, CONTRACT)
-        short = [k for k, w in enumerate(words) if len(w) <= LONG]
         out: list[bytes] = [b""] * len(words)
-        for at, query in ((long, CONTRACT_LONG), (short, CONTRACT)):
-            for k, ids in zip(at, self._contracted([words[k] for k in at], query)):
+        steps = [len(w) * (len(w) + 1) // 2 if len(w) <= LONG else 0 for w in words]  # the query for short words keeps its steps
+        for at in _runs([k for k, n in enumerate(steps) if n], steps, CHUNK_ROWS):
+            for k, ids in zip(at, self._short([words[k] for k in at])):
                 out[k] = ids
+        sizes = [len(w) for w in words]
+        for at in _runs([k for k, n in enumerate(sizes) if LONG < n <= SEGMENT], sizes, SEGMENT):
+            some, starts = [words[k] for k in at], np.cumsum([0, *(sizes[k] for k in at)])
+            word = np.repeat(np.arange(len(at)), [sizes[k] for k in at])
+            pos, ids = self._contracted(word, np.arange(starts[-1]), self._bytes(b"".join(some)), [(-9, 1 << 40)] * len(at), self._reach(some))
+            for k, part in zip(at, np.split(ids, np.searchsorted(pos, starts[1:-1]))):
+                out[k] = part.tobytes()
+        for k, n in enumerate(sizes):
+            if n > SEGMENT:
+                out[k] = self._very_long(words[k])
         return out
 
-    def _contracted(self, words: list[bytes], query: str) -> list[bytes]:
+    def _bytes(self, raw: bytes) -> np.ndarray:
+        return self.byte_ids[np.frombuffer(raw, np.uint8)]
+
+    def _short(self, words: list[bytes]) -> list[bytes]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         token_rows = pd.DataFrame({  # noqa: F841
             "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
             "pos": np.arange(sizes.sum(), dtype=np.int64),  # ascending over all words
-            "id": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)],
+            "id": self._bytes(b"".join(words)),
         })
-        got = self.con.execute(query).fetchnumpy()
+        got = self.con.execute(CONTRACT).fetchnumpy()
         raw = np.ascontiguousarray(got["id"], np.int32).tobytes()
         ends = (4 * np.cumsum(np.bincount(got["word"], minlength=len(words)))).tolist()
         return [raw[start:end] for start, end in zip([0, *ends], ends)]
 
+    def _reach(self, words: list[bytes]) -> int:
+        """The length of the longest token that the words' bytes can make."""
+        has = np.zeros(256, bool)
+        for w in words:
+            has[np.frombuffer(w, np.uint8)] = True
+        return int(self.lengths[np.logical_and.reduceat(has[self.spelt], self.begins)].max(initial=2))
+
+    def _contracted(self, word: np.ndarray, pos: np.ndarray, ids: np.ndarray, known: list[tuple[int, int]], cell: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and ids of the tokens that are left. ``known``: of each word, the first and last cell that all is known of."""
+        token_rows = pd.DataFrame({"word": word.astype(np.int32), "pos": pos.astype(np.int64), "id": ids})  # noqa: F841
+        edges = pd.DataFrame({"word": np.arange(len(known), dtype=np.int32), "lo": [a for a, _ in known], "hi": [b for _, b in known]})  # noqa: F841
+        got = self.con.execute(CONTRACT_LONG.format(cell=cell)).fetchnumpy()
+        return np.ascontiguousarray(got["pos"], np.int64), np.ascontiguousarray(got["id"], np.int32)
+
+    def _very_long(self, word: bytes) -> bytes:
+        """A word in segments, from left to right. What can't be settled without what lies behind a segment waits for the next one, which
+        begins so far before it that nothing further left can still change; a segment that settles nothing grows."""
+        cell, out, size = self._reach([word]), [], SEGMENT
+        pos, ids, end = np.empty(0, np.int64), np.empty(0, np.int32), 0  # tokens that wait, and where the bytes behind them begin
+        while True:
+            more = min(len(word), max(end, (int(pos[0]) if len(pos) else end) + size))
+            pos, ids, end = np.r_[pos, np.arange(end, more)], np.r_[ids, self._bytes(word[end:more])], more
+            known = -(-int(pos[0]) // cell) if out else -9, end // cell - 1 if end < len(word) else 1 << 40
+            pos, ids = self._contracted(np.zeros(len(pos)), pos, ids, [known], cell)
+            if end == len(word):
+                return b"".join([*out, ids.tobytes()])
+            first = np.flatnonzero(np.isin(ids[:-1].astype(np.int64) << 32 | ids[1:], self.merge_keys))[:1]  # the first pair that still merges
+            settled = int(np.searchsorted(pos, min([end, *pos[first]]) - 16 * cell))
+            size = SEGMENT if settled > 0 else 2 * size
+            if settled > 0:
+                out.append(ids[:settled].tobytes())
+                pos, ids = pos[settled:], ids[settled:]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(t) for t in texts]
         if len(self.known) > CACHE:
@@ -202,6 +269,19 @@ def _pieces(values: list, most: int) -> Iterator[list]:
         yield run
 
 
+def _runs(at: list[int], sizes: list[int], most: int) -> Iterator[list[int]]:
+    """``at`` in runs whose sizes add up to ``most`` at most, where no single one is larger."""
+    run, size = [], 0
+    for k in at:
+        if run and size + sizes[k] > most:
+            yield run
+            run, size = [], 0
+        run.append(k)
+        size += sizes[k]
+    if run:
+        yield run
+
+
 def _udf(docs: DataFrame, rank_path: str, pattern: str, returns: str, finish):
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 

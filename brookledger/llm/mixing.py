@@ -188,7 +188,7 @@ def prepare(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     spark = docs.sparkSession
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), words_of(text).alias("size"), F.xxhash64(text).alias("_hash"))
-    rows = dealt(rows, [F.asc_nulls_last("_source"), F.asc_nulls_last("_id"), F.col("_hash"), F.col("size")], "mix-documents")
+    rows = dealt(stage(rows, "mix-sizes"), [F.asc_nulls_last("_source"), F.asc_nulls_last("_id"), F.col("_hash"), F.col("size")], "mix-documents")
     sums = stage(rows.groupBy("_source").agg(F.sum("size").alias("source_size"), F.sum(F.octet_length(F.col("_source").cast("string"))).alias("_bytes")), "mix-sources")
     if (n := sums.count()) > MOST_SOURCES:
         raise ValueError(f"{n} sources are more than {MOST_SOURCES}: merge some")
@@ -256,7 +256,8 @@ def _met(mix: Mix, per_shard: int, seed: int) -> DataFrame:
     begins = F.greatest(F.col("start"), F.col("_block") * size)
     ends = F.least(F.col("start") + F.col("size"), (F.col("_block") + 1) * size)
     pieces = pieces.select("_row", "_id", "_src", "_block", (begins - F.col("_block") * size).alias("place"), (begins - F.col("start")).alias("first_word"), (ends - begins).alias("_n"))
-    both = slots(mix.docs.sparkSession, mix.quotas, per_shard, seed).join(pieces, ["_src", "_block"]).where("place < took")
+    # Shards look small to Spark, but each makes as many rows as it has slots: never a broadcast.
+    both = slots(mix.docs.sparkSession, mix.quotas, per_shard, seed).hint("merge").join(pieces, ["_src", "_block"]).where("place < took")
     return both.withColumn("words", F.least("_n", F.col("took") - F.col("place")))
 
 
