@@ -2,8 +2,8 @@
 
 Candidates come from an equi-join on the user, a bucket of the amount and a
 bucket of the date, so a user with a third of all rows is still dealt over many
-tasks. One-to-one assignment runs in rounds of joins and grouped minima, never
-in a loop over one user's rows.
+tasks. One-to-one assignment settles most pairs in a few rounds of joins and grouped minima, and
+what depends on one another in chains by components of a bounded size.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import difflib
 from collections.abc import Sequence
 from decimal import Decimal
+from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,10 +23,13 @@ from .. import rules
 from ..functions import classify, money
 from ..functions.text import append_note
 from ..tables import written
+from .graph import components, folded
 from .insights import active
 
 #: Patterns by content that are broadcast at once.
 RULES = 5000
+#: Rounds of an assignment before components are looked for, and edges of a component that one task finishes.
+ROUNDS, SMALL = 3, 200_000
 
 
 def near(left: DataFrame, right: DataFrame, keys: Sequence[str], amount_gap: Decimal, days: int) -> DataFrame:
@@ -49,21 +54,76 @@ def near(left: DataFrame, right: DataFrame, keys: Sequence[str], amount_gap: Dec
     return a.join(b, on).drop("_a", "_d").withColumn("gap", gap)
 
 
-def one_to_one(edges: DataFrame) -> DataFrame:
-    """Serial choice, in rounds: lefts in the order of ``l_order`` each take the free right of least ``cost``.
+class Assignment(NamedTuple):
+    """Chosen pairs (l, r); rounds it took; edges that were left for the pass by components."""
+
+    pairs: DataFrame
+    rounds: int
+    grouped: int
+
+
+def assignment(edges: DataFrame, rounds: int = ROUNDS, small: int = SMALL) -> Assignment:
+    """Serial choice: lefts in the order of ``l_order`` each take the free right of least ``cost``.
 
-    ``edges`` has l, r, l_order and cost, both orderable and without ties within
-    a left (or right). All rights rank lefts alike, so letting every left propose to its
-    best right, and every right refuse all but the first of the lefts that propose, ends in
-    the outcome of the serial loop. Returns the chosen (l, r).
+    ``edges`` has l, r, l_order and cost, both orderable and without ties within a left (or right). All rights rank
+    lefts alike, so a pair is settled where the right is the best of its left and the left is the first of all that
+    might take it. Settled pairs leave with all their edges. After ``rounds`` of that, what depends on one another in long
+    chains is left: components of up to ``small`` edges finish in one pass that folds each in order, and only
+    larger ones go on in rounds, until they fall apart.
     """
-    edges = written(edges.select("l", "r", "l_order", "cost"), "edges")
-    while True:
-        wish = written(edges.groupBy("l").agg(F.min(F.struct("cost", "r", "l_order")).alias("w")).select("l", "w.r", "w.l_order"), "wishes")
-        held = written(wish.groupBy("r").agg(F.min(F.struct("l_order", "l")).alias("h")), "held")
-        if wish.count() == held.count():
-            return wish.select("l", "r")
-        edges = written(edges.join(held, "r", "left").where(F.col("h").isNull() | (F.col("l_order") <= F.col("h.l_order"))).select("l", "r", "l_order", "cost"), "edges")
+    kinds = {c: edges.schema[c].dataType for c in ("l", "r")}
+    edges, done, n, grouped = written(edges.select("l", "r", "l_order", "cost"), "edges"), [], 0, 0
+    while (left := edges.count()) and (n < rounds or left > small):
+        for _ in range(rounds):
+            wish = edges.groupBy("l").agg(F.min(F.struct("cost", "r")).alias("w")).select("l", "w.r")
+            first = edges.groupBy("r").agg(F.min(F.struct("l_order", "l")).alias("f")).select("r", "f.l")
+            settled = written(wish.join(first, ["l", "r"]), "settled")
+            done.append(settled)
+            edges = written(edges.join(settled.select("l"), "l", "left_anti").join(settled.select("r"), "r", "left_anti"), "edges")
+            n += 1
+            if edges.isEmpty():
+                break
+        else:
+            if edges.count() > small:
+                node = lambda side: F.concat(F.lit(side), F.col(side).cast("string"))
+                part = components(edges.select(node("l").alias("a"), node("r").alias("b")))
+                edges = written(edges.withColumn("node", node("l")).join(part, "node").drop("node"), "edges")
+                sizes = edges.groupBy("component").agg(F.count("*").alias("_size"))
+                edges = edges.join(sizes, "component")
+                some = written(edges.where(F.col("_size") <= small).drop("_size"), "edges-small")
+                grouped += some.count()
+                done.append(_serial(some, kinds))
+                edges = written(edges.where(F.col("_size") > small).select("l", "r", "l_order", "cost"), "edges")
+    if left:
+        grouped += left
+        done.append(_serial(edges.withColumn("component", F.lit("")), kinds))
+    pairs = [d.select("l", "r") for d in done] or [edges.select("l", "r")]
+    return Assignment(reduce(DataFrame.unionByName, pairs), n, grouped)
+
+
+def _serial(edges: DataFrame, kinds: dict) -> DataFrame:
+    """The serial loop within each component: edges by left and cost, each taken if both its ends are free."""
+
+    def fold():
+        lefts, rights = set(), set()
+
+        def step(row: tuple[str, str]) -> list[tuple[str, str]]:
+            if row[0] in lefts or row[1] in rights:
+                return []
+            lefts.add(row[0])
+            rights.add(row[1])
+            return [row]
+
+        return step
+
+    rows = edges.select("component", F.col("l").cast("string").alias("l"), F.col("r").cast("string").alias("r"), "l_order", "cost")
+    out = folded(rows.select("component", "l", "r", F.struct("l_order", "l", "cost").alias("_o")), "component", [F.col("_o")], fold, "l string, r string", ["l", "r"])
+    return out.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()))
+
+
+def one_to_one(edges: DataFrame) -> DataFrame:
+    """The pairs (l, r) of ``assignment``."""
+    return assignment(edges).pairs
 
 
 def _same(column: str) -> Column:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import difflib
+from collections import defaultdict
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import classify, text
+from ..functions import classify, money, text
 from ..tables import written
 from . import ledger as entries
+from .graph import components, folded
 from .matching import candidates, card_payment_pairs
 
 
@@ -54,40 +58,89 @@ def resolved(tasks: DataFrame, parsed: DataFrame, decisions: DataFrame) -> Resol
     return Resolved(done.drop("_action", "_n"), after.drop("_hit", "_d"), promoted_rows)
 
 
+def kin(rows: DataFrame) -> DataFrame:
+    """(node, component) of rows that may depend on one another: those that share a fingerprint, a reference, or an amount on days close together.
+
+    A key's rows are tied to its smallest one, and a bucket of days to the next, so there are a few edges a row and never pairs of a group.
+    """
+    key = lambda *c: F.struct(*(F.col(x) for x in c))
+    named = [rows.where(F.col(own).isNotNull()).select("txn_id", key("user_id", own, *more).alias("_k")) for own, more in (("fingerprint", ()), ("reference_number", ("direction",)))]
+    edges = []
+    for some in named:
+        edges.append(some.join(some.groupBy("_k").agg(F.min("txn_id").alias("_first")), "_k").select("txn_id", "_first"))
+    days = rows.where("amount IS NOT NULL AND transaction_date IS NOT NULL").select("txn_id", F.struct("user_id", "direction", money.paise(F.col("amount")).alias("p")).alias("_k"), F.floor(F.datediff("transaction_date", F.lit("1970-01-01")) / 4).alias("_d"))
+    tops = written(days.groupBy("_k", "_d").agg(F.min("txn_id").alias("_first")), "kin-days")
+    edges.append(days.join(tops, ["_k", "_d"]).select("txn_id", "_first"))
+    edges.append(tops.join(tops.select("_k", (F.col("_d") - 1).alias("_d"), F.col("_first").alias("_next")), ["_k", "_d"]).select(F.col("_next").alias("txn_id"), "_first"))
+    return components(reduce(DataFrame.unionByName, edges).where("txn_id <> _first").toDF("a", "b"))
+
+
+def _ledger_fold(similar: bool):
+    """Rows of one component in order: each links to the best entry, or becomes one. Entries are remembered by what they are found by."""
+
+    def fold():
+        by_print: dict = {}
+        by_reference: dict = defaultdict(list)
+        by_amount: dict = defaultdict(list)
+
+        def step(row: tuple) -> list[tuple]:
+            txn, user, day, cents, direction, account, mark, reference, text, tier, order, other, method, confidence = row
+            found = [] if tier < 0 else [(tier, order, False, other, method, confidence)]
+            if user is not None:
+                if mark is not None and (user, mark) in by_print:
+                    found.append((0, 0.0, True, by_print[user, mark], "fingerprint_exact", 0.99))
+                if reference is not None and direction is not None:
+                    found += [(1, 0.0, True, i, "exact_ref", 1.0) for i, a in by_reference[user, reference, direction] if a is None or account is None or a == account]
+            if cents is not None and day is not None:
+                near = by_amount[user, direction, cents]
+                near[:] = [x for x in near if (day - x[0]).days <= 3]  # rows come in the order of their days
+                for at, i, other_text in near:
+                    gap = (day - at).days
+                    found.append((3, float(gap), True, i, "fuzzy", max(0.6, 0.8 - gap * 0.2 / 3)))
+                    if similar and gap <= 1:
+                        alike = difflib.SequenceMatcher(None, text or "", other_text or "").ratio()
+                        if alike > 0.6:
+                            found.append((2, -alike, True, i, "amount_date_desc", min(0.95, 0.8 + (alike - 0.6) * 0.375)))
+            if found:
+                best = min(found)
+                return [(txn, best[3], best[4], best[5])]
+            if user is not None and mark is not None:
+                by_print[user, mark] = txn
+            if user is not None and reference is not None and direction is not None:
+                by_reference[user, reference, direction].append((txn, account))
+            if cents is not None and day is not None:
+                by_amount[user, direction, cents].append((day, txn, text))
+            return []
+
+        return step
+
+    return fold
+
+
 def promoted(rows: DataFrame, existing: DataFrame, similar: bool = True) -> Promoted:
     """Single rows join the ledger: each links to the entry that it repeats, or becomes one, and rows of one batch see those before them.
 
     Rows and entries are as for matching.duplicates, rows have account_type too; a row comes before those with a larger
-    (transaction_date, txn_id). A row is decided once all earlier rows that it may repeat are: as long a chain as there is of
-    rows that may repeat one another makes as many rounds, each of which joins only what is undecided.
+    (transaction_date, txn_id), and ids are whole numbers that don't repeat. What rows may repeat of the ledger is found by joins. Among themselves,
+    rows fall into components of those that share a key (``kin``), as many rounds as the logarithm of the longest chain, and each component is
+    folded in order in one task, which remembers its entries alone: rows of an amount that are days past are forgotten, and pairs are never made.
     """
     columns = ["txn_id", "user_id", "transaction_date", "amount", "direction", "account_masked", "fingerprint", "reference_number", "merchant_raw"]
-    new = rows.select(*columns)
-    old = candidates(new, existing.select(*columns), similar).withColumn("_batch", F.lit(False))
-    place = lambda a: F.struct(F.col(f"{a}.transaction_date"), F.col(f"{a}.txn_id"))
-    inner = candidates(new, new, similar)
-    inner = inner.join(new.alias("a").select(F.col("a.txn_id"), place("a").alias("_own")), "txn_id").join(new.alias("b").select(F.col("b.txn_id").alias("match_id"), place("b").alias("_other")), "match_id").where("_other < _own")
-    order = F.struct("tier", "_order", "_batch", "match_id", "method", "confidence").alias("_e")
-    edges = written(old.unionByName(inner.drop("_own", "_other").withColumn("_batch", F.lit(True))).select("txn_id", "match_id", "_batch", order), "promotion-edges")
-    links = edges.where("NOT _batch").groupBy("txn_id").agg(F.min("_e").alias("_e"))
-    # Rows without earlier kin are decided at once; the others wait for their kin.
-    todo = edges.where("_batch")
-    settled = None  # (id, is_entry) of batch rows that others may repeat
-    kin = written(todo.select(F.col("match_id").alias("id")).unionByName(todo.select(F.col("txn_id").alias("id"))).distinct(), "promotion-kin")
-    while True:
-        known = kin.withColumn("is_entry", F.lit(None).cast("boolean")) if settled is None else kin.join(settled, "id", "left")
-        seen = todo.join(known.withColumnRenamed("id", "match_id"), "match_id")
-        state = seen.groupBy("txn_id").agg(F.count_if(F.col("is_entry").isNull()).alias("_open"), F.min(F.when(F.col("is_entry"), F.col("_e"))).alias("_best"))
-        state = known.where("is_entry IS NULL").select("id").join(state, F.col("id") == F.col("txn_id"), "left").join(links.select(F.col("txn_id").alias("_l"), F.col("_e").alias("_old")), F.col("id") == F.col("_l"), "left")
-        ready = state.where(F.coalesce("_open", F.lit(0)) == 0).select("id", (F.col("_best").isNull() & F.col("_old").isNull()).alias("is_entry"))
-        after = written(ready if settled is None else settled.unionByName(ready), "promotion-settled")
-        if after.count() == (0 if settled is None else settled.count()):
-            break
-        settled = after
-    if settled is None:
-        settled = known.select("id", "is_entry")
-    met = todo.join(settled.where("is_entry").select(F.col("id").alias("match_id")), "match_id", "left_semi")
-    best = met.unionByName(edges.where("NOT _batch")).groupBy("txn_id").agg(F.min("_e").alias("_e")).select("txn_id", "_e.match_id", "_e.method", F.round("_e.confidence", 4).alias("confidence"))
+    new = written(rows.select(*columns), "promotion-rows")
+    old = candidates(new, existing.select(*columns), similar).groupBy("txn_id").agg(F.min(F.struct("tier", "_order", "match_id", "method", "confidence")).alias("_e"))
+    state = new.join(old, "txn_id", "left").join(kin(new).withColumnRenamed("node", "txn_id"), "txn_id", "left")
+    state = written(state.withColumn("component", F.coalesce("component", "txn_id")), "promotion-components")
+    kind = rows.schema["txn_id"].dataType.simpleString()
+    known = [F.coalesce(c, F.lit(d)).alias(n) for n, c, d in (("_tier", F.col("_e.tier"), -1), ("_at", F.col("_e._order"), 0.0))]
+    known += [F.coalesce("_e.match_id", "txn_id").alias("_other"), F.col("_e.method").alias("_method"), F.coalesce("_e.confidence", F.lit(0.0)).alias("_sure")]
+    slim = state.select(
+        "component", "txn_id", F.col("user_id").cast("string").alias("user_id"), "transaction_date", money.paise(F.col("amount")).cast("string").alias("_cents"), "direction", "account_masked", "fingerprint", "reference_number",
+        F.upper("merchant_raw").alias("merchant_raw"), *known,
+    )
+    order = [F.asc_nulls_first("transaction_date"), F.col("txn_id")]
+    names = [c for c in slim.columns if c != "component"]
+    best = folded(slim, "component", order, _plain_nulls(_ledger_fold(similar)), f"txn_id {kind}, match_id {kind}, method string, confidence double", names)
+    best = written(best.withColumn("confidence", F.round("confidence", 4)), "promotion-links")
     single = rows.join(best, "txn_id", "left_anti")
     up = F.col("merchant_raw")
     made = single.withColumn("category_name", classify.category(up)).withColumn("nature", classify.nature(up, F.col("direction"), F.col("account_type")))
@@ -95,6 +148,16 @@ def promoted(rows: DataFrame, existing: DataFrame, similar: bool = True) -> Prom
     return Promoted(best.unionByName(own), made)
 
 
+def _plain_nulls(fold):
+    """``fold`` with None wherever pandas has another null."""
+
+    def started():
+        step = fold()
+        return lambda row: step(tuple(None if v is None or v != v else v for v in row))
+
+    return started
+
+
 def split_family(ledger: DataFrame, splits: DataFrame) -> DataFrame:
     """For each entry in a split (source_id, child_id, split_index) its parent and its children in order (a split has few)."""
     kids = splits.groupBy(F.col("source_id").alias("txn_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("split_index", "child_id"))), lambda x: x["child_id"]).alias("children"))

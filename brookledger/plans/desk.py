@@ -137,7 +137,7 @@ def j3_promoted(spark, sf_dir):
 
     rows = ledger(spark, sf_dir)
     keyed = lambda df: df.withColumn("amount", F.floor(F.col("amount") / 20000).cast("decimal(14,2)")).withColumn("fingerprint", dedup.fingerprint()).withColumn("reference_number", F.when(F.col("txn_id") % 13 == 0, F.concat(F.lit("REF"), (F.col("txn_id") % 1000).cast("string"))))
-    return review.promoted(keyed(sms_feed(rows)), keyed(rows.where("txn_id % 64 < 32")), similar=False).links
+    return review.promoted(keyed(sms_feed(rows)), keyed(rows.where("txn_id % 64 < 32"))).links
 
 
 @query(with_(LEDGER, select="SELECT user_id, count(*) AS total, count(*) FILTER (nature <> CASE WHEN txn_id % 4 = 0 THEN 'expense' ELSE nature END) AS updated FROM ledger GROUP BY ALL"))

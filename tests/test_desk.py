@@ -1,12 +1,13 @@
 """Intake, review, tax documents and masks, against brute force and cases."""
 
+import difflib
 import random
 from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
 
-from brookledger.operators import balance, documents, extract, intake, jobs, ledger, matching, review
+from brookledger.operators import balance, documents, extract, graph, intake, jobs, ledger, matching, review
 from brookledger.sources import seeds
 
 ROW = "txn_id long, user_id long, transaction_date date, amount decimal(14,2), direction string, account_masked string, fingerprint string, reference_number string, merchant_raw string, account_type string"
@@ -20,7 +21,7 @@ def ledger_rows(rng, n, first):
     return out
 
 
-def repeats(a, b):
+def repeats(a, b, similar=False):
     """(tier, order, method, confidence) by which ``a`` repeats ``b``, else None."""
     _, user, day, amount, side, account, fp, ref, *_ = a
     if user != b[1]:
@@ -30,22 +31,40 @@ def repeats(a, b):
     if ref is not None and ref == b[7] and side == b[4] and (account is None or b[5] is None or account == b[5]):
         return 1, 0.0, "exact_ref", 1.0
     gap = abs((day - b[2]).days)
+    alike = difflib.SequenceMatcher(None, (a[8] or "").upper(), (b[8] or "").upper()).ratio()
+    if similar and amount == b[3] and side == b[4] and gap <= 1 and alike > 0.6:
+        return 2, -alike, "amount_date_desc", min(0.95, 0.8 + (alike - 0.6) * 0.375)
     if amount == b[3] and side == b[4] and gap <= 3:
         return 3, float(gap), "fuzzy", max(0.6, 0.8 - gap * 0.2 / 3)
     return None
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_promoted_rows_see_those_before_them(spark, seed):
-    rng = random.Random(seed)
-    old, new = ledger_rows(rng, 6, 1), ledger_rows(rng, 40, 100)
+def serial_links(new, old, similar):
     known, links = [(x, False) for x in old], {}
     for row in sorted(new, key=lambda x: (x[2], x[0])):
-        found = min(((*r[:2], batch, x[0], *r[2:]) for x, batch in known if (r := repeats(row, x))), default=None)
+        found = min(((*r[:2], batch, x[0], *r[2:]) for x, batch in known if (r := repeats(row, x, similar))), default=None)
         links[row[0]] = (found[3], found[4], round(found[5], 4)) if found else (row[0], "single_source", 1.0)
         if not found:
             known.append((row, True))
-    got = review.promoted(spark.createDataFrame(new, ROW), spark.createDataFrame(old, ROW), similar=False)
+    return links
+
+
+def test_thousands_of_alike_rows_join_in_few_rounds(spark, monkeypatch):
+    """5,000 rows of one amount, side and user, of which each may repeat hundreds of those before it."""
+    rng, made = random.Random(4), []
+    new = [(k, 1, date(2024, 1, 1) + timedelta(days=rng.randrange(300)), Decimal(5), "debit", None, f"f{k}", None, rng.choice(["SWIGGY ORDER", "UBER TRIP"]), "savings") for k in range(5000)]
+    monkeypatch.setattr(graph, "written", lambda df, name="table", real=graph.written: made.append(name) or real(df, name))
+    got = review.promoted(spark.createDataFrame(new, ROW), spark.createDataFrame([], ROW))
+    assert {r["txn_id"]: (r["match_id"], r["method"], r["confidence"]) for r in got.links.collect()} == serial_links(new, [], True)
+    assert len(made) <= 4 * 12
+
+
+@pytest.mark.parametrize("seed,similar", [(0, False), (1, False), (2, True), (3, True)])
+def test_promoted_rows_see_those_before_them(spark, seed, similar):
+    rng = random.Random(seed)
+    old, new = ledger_rows(rng, 6, 1), ledger_rows(rng, 40, 100)
+    links = serial_links(new, old, similar)
+    got = review.promoted(spark.createDataFrame(new, ROW), spark.createDataFrame(old, ROW), similar=similar)
     assert {r["txn_id"]: (r["match_id"], r["method"], r["confidence"]) for r in got.links.collect()} == links
     made = {r["txn_id"]: r["nature"] for r in got.entries.collect()}
     assert set(made) == {k for k, v in links.items() if v[1] == "single_source"} and None not in made.values()
