@@ -2,7 +2,8 @@
 
 1. A text is its sequence of five-word shingles, each labelled with its
    occurrence. Texts with equal words are one group (a grouped minimum of slim
-   rows); the rest works on one representative a group.
+   rows) and have one number, in the order of their smallest ids; the rest works on these
+   numbers, so texts that share an id are told apart.
 2. Order MinHash: for each of ``TABLES`` hash functions the ``TOGETHER`` smallest
    labelled shingles, kept in text order, make a bucket. Texts in which 0.8 of the
    shingles agree in order share at least one of the buckets with a probability
@@ -17,7 +18,7 @@
    matched / (all - matched) >= 0.8. No more shingles than the band is wide can be
    unmatched in an accepted pair, so the band loses none.
 6. Links are contracted to classes by alternating large-star and small-star
-   steps over tables; a class is named by its smallest id.
+   steps over tables; a class is named by its smallest id. (Of unlike texts that share an id, each may name a class of its own by it.)
 
 Texts move only from the documents in some candidate pair; hot centres are
 joined as skewed joins, which adaptive execution splits.
@@ -25,8 +26,8 @@ joined as skewed joins, which adaptive execution splits.
 Defined results: case and what stands between words don't count; texts of fewer
 than five words are one shingle; texts without words are equal only if identical;
 null text counts as empty; a null id is in no class and its row stays; rows that
-repeat an id share their class; an empty table gives an empty result; ``keep``
-returns all columns.
+repeat an id belong to the classes of their texts, and go or stay by their texts; rows that repeat both stay or go
+together; ids must be whole numbers; an empty table gives an empty result; ``keep`` returns all columns.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Recent, small_batches, stage, text_of
+from .common import BROADCAST_BYTES, Recent, dealt, fresh, small_batches, stage, text_of
 
 WORDS, SIMILARITY = 5, 0.8
 TABLES, TOGETHER = 16, 3
@@ -66,12 +67,17 @@ class Shingler:
         out = WORD.findall(text.lower())
         return np.fromiter(map(self.known.__getitem__, out), np.uint64, len(out))
 
+    def key(self, text: str, words: np.ndarray | None = None) -> bytes:
+        """A key that equal word sequences share, and texts without words only if they are identical."""
+        words = self.words(text) if words is None else words
+        return xxhash.xxh3_128_digest(b"w" + words.tobytes() if len(words) else b"t" + text.encode("utf-8", "surrogatepass"))
+
     def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
-        """A key that equal word sequences share, and the labelled shingles in text order."""
+        """The key, and the labelled shingles in text order."""
         words = self.words(text)
+        key = self.key(text, words)
         if not len(words):
-            return xxhash.xxh3_128_digest(b"t" + text.encode("utf-8", "surrogatepass")), np.empty(0, np.uint64)
-        key = xxhash.xxh3_128_digest(b"w" + words.tobytes())
+            return key, np.empty(0, np.uint64)
         width = min(WORDS, len(words))
         n = len(words) - width + 1
         h = np.zeros(n, np.uint64)
@@ -147,19 +153,33 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).where("_id IS NOT NULL").mapInPandas(of, "_id long, _key binary, _n long, _buckets array<long>")
 
 
-def sequences(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id and shingles of the documents in ``ids``."""
+def sequences(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, the number of a text, and its shingles; ``texts``: _node, the number, with _id and _key of a row that has it."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
         for pdf in batches:
-            yield pd.DataFrame({"_id": pdf["_id"], "_shingles": [shingles(t)[1].view(np.int64) for t in pdf["_text"]]})
+            got = [shingles(t) for t in pdf["_text"]]
+            yield pd.DataFrame({"_id": pdf["_id"], "_key": [k for k, _ in got], "_shingles": [h.view(np.int64) for _, h in got]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
-    ids = stage(ids, "near-ids")
-    if ids.count() * 16 <= BROADCAST_BYTES:
-        ids = F.broadcast(ids)
-    return rows.join(ids, "_id", "left_semi").mapInPandas(of, "_id long, _shingles array<long>")
+    texts = stage(texts, "near-ids")
+    if texts.count() * 48 <= BROADCAST_BYTES:
+        texts = F.broadcast(texts)
+    rows = rows.join(texts.select("_id"), "_id", "left_semi").mapInPandas(of, "_id long, _key binary, _shingles array<long>")
+    return rows.join(texts, ["_id", "_key"]).select(F.col("_node").alias("_id"), "_shingles")
+
+
+def keys(docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    """Adds the key that texts of equal words share."""
+
+    @F.pandas_udf("binary")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingles = Shingler()
+        for batch in batches:
+            yield pd.Series([shingles.key(t) for t in batch], dtype=object)
+
+    return docs.withColumn(out_col, of(text_of(text_col)))
 
 
 def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -265,16 +285,19 @@ def remaining_links(spread: DataFrame, labels: DataFrame | None, shingles: DataF
     return met.groupBy("_bucket", "_i", "_j").applyInPandas(links_of_tiles, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row with an id: the id, class_id and whether it is the one that stays."""
+def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _key, class_id and kept of each row with an id."""
     small_batches(docs.sparkSession)
     rows = stage(features(docs, id_col, text_col), "near-features")
-    groups = stage(rows.groupBy("_key").agg(F.min(F.struct("_id", "_n", "_buckets")).alias("r")).select("_key", "r.*"), "near-groups")
-    spread = groups.where("_n > 0").select("_id", "_n", F.explode("_buckets").alias("_bucket"))
+    groups = rows.groupBy("_key").agg(F.min(F.struct("_id", "_n", "_buckets")).alias("r")).select("_key", "r.*")
+    groups = dealt(groups, [F.col("_id"), F.col("_key")], "near-groups").withColumn("_node", F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_row"))
+    # From here on ``_id`` is the number of a text.
+    spread = groups.where("_n > 0").select(F.col("_node").alias("_id"), "_n", F.explode("_buckets").alias("_bucket"))
     # Buckets of one text lead nowhere; their rows go before anything is joined.
     shared = stage(spread.groupBy("_bucket").agg(F.count("*").alias("_size")).where("_size > 1").select("_bucket"), "near-buckets")
     spread = stage(spread.join(shared, "_bucket"), "near-members")
-    shingles = stage(sequences(docs, spread.select("_id").distinct(), id_col, text_col).dropDuplicates(["_id"]), "near-shingles")
+    members = groups.select("_node", "_id", "_key").join(spread.select(F.col("_id").alias("_node")).distinct(), "_node")
+    shingles = stage(sequences(docs, members, id_col, text_col).dropDuplicates(["_id"]), "near-shingles")
     centre = stage(spread.groupBy("_bucket").agg(F.min(F.struct("_id", "_n")).alias("c")), "near-centres")
     pairs = spread.join(centre, "_bucket").where((F.col("_id") != F.col("c._id")) & (F.least("_n", "c._n") >= SIMILARITY * F.greatest("_n", "c._n")))
     pairs = stage(pairs.select(F.col("c._id").alias("a"), F.col("_id").alias("b")).distinct(), "near-pairs")
@@ -284,14 +307,36 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = stage(remaining_links(spread, labels, shingles), "near-links")
     if not links.isEmpty():
         labels = components(links if labels is None else links.unionByName(labels.toDF("a", "b")))
-    groups = groups.select("_key", F.col("_id").alias("_first"))
-    if labels is not None:
-        groups = groups.join(labels, F.col("_first") == F.col("node"), "left").withColumn("_first", F.coalesce("label", "_first")).drop("node", "label")
-    groups = stage(groups, "near-classes")
-    return rows.select("_id", "_key").join(groups, "_key").select(F.col("_id").alias(id_col), F.col("_first").alias("class_id"), (F.col("_id") == F.col("_first")).alias("kept"))
+    groups = groups.select("_key", "_node", F.col("_id").alias("_own"))
+    if labels is None:
+        groups = groups.withColumn("class_id", F.col("_own")).withColumn("_first", F.lit(True))
+    else:
+        named = labels.where("node <> label").join(groups.select(F.col("_node").alias("label"), F.col("_own").alias("_name")), "label")
+        groups = groups.join(named, F.col("_node") == F.col("node"), "left").withColumn("class_id", F.coalesce("_name", "_own")).withColumn("_first", F.col("label").isNull())
+    groups = stage(groups.select("_key", "_own", "class_id", "_first"), "near-classes")
+    return rows.select("_id", "_key").join(groups, "_key").select("_id", "_key", "class_id", (F.col("_first") & (F.col("_id") == F.col("_own"))).alias("kept"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row with an id: the id, class_id and whether it is the one that stays."""
+    return _decided(docs, id_col, text_col).select(F.col("_id").alias(id_col), "class_id", "kept")
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one id of each class, and rows without an id."""
-    gone = stage(classes(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct(), "near-gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that stay: of each class those with the id and words that name it, and rows without an id.
+
+    Rows go by their id; where an id has unlike texts, by the key of the text too."""
+    decided = stage(_decided(docs, id_col, text_col), "near-decided")
+    gone = stage(decided.where("not kept").select(F.col("_id").alias("_gone"), "_key").distinct(), "near-gone")
+    several = decided.join(gone.select(F.col("_gone").alias("_id")), "_id", "left_semi").groupBy("_id").agg((F.min("_key") != F.max("_key")).alias("_unlike")).where("_unlike")
+    several = stage(several.select(F.col("_id").alias("_several")), "near-several")
+    own = docs[id_col].cast("long")
+    if several.isEmpty():
+        ids = gone.select("_gone").distinct()
+        return docs.join(ids, own == ids["_gone"], "left_anti")
+    plain = gone.join(several, F.col("_gone") == F.col("_several"), "left_anti").select("_gone").distinct()
+    key = fresh(docs, "_near")
+    rest = docs.join(plain, own == plain["_gone"], "left_anti")
+    unlike = keys(rest.join(several, own == several["_several"], "left_semi"), text_col, key)
+    unlike = unlike.join(gone, (unlike[id_col].cast("long") == gone["_gone"]) & (unlike[key] == gone["_key"]), "left_anti").drop(key)
+    return rest.join(several, own == several["_several"], "left_anti").unionByName(unlike)
