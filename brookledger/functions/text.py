@@ -68,11 +68,11 @@ def statement_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s_\-/\\]+", " "))
 
 
-def keyword_tokens(text: Column, limit: int = 80) -> Column:
-    """The distinct among the first ``limit`` telling words of a statement."""
+def keyword_tokens(text: Column, limit: int | None = 80) -> Column:
+    """The distinct among the first ``limit`` telling words of a statement, or among all if None."""
     found = F.regexp_extract_all(statement_words(text), F.lit("([a-z0-9]{3,})"), 1)
     told = F.filter(found, lambda w: ~w.isin(*rules.STATEMENT_STOPWORDS) & ~w.rlike("^[0-9]+$"))
-    return F.array_distinct(F.slice(told, 1, limit))
+    return F.array_distinct(told if limit is None else F.slice(told, 1, limit))
 
 
 def merchant_hint(text: Column) -> Column:

@@ -449,8 +449,10 @@ def c16_reimported(spark, sf_dir):
 
 @query
 def c17_knowledge_rank(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return longs(documents.knowledge_rank(d.where("doc_id % 20 = 0"), d, 4), "score", "place")
+    """A source owns its documents, their language stands for the bank, how they begin for the account type, and long ones for statements."""
+    kind = F.when(F.col("n_chars") >= 1000, "bank_statement").when(F.col("n_chars") >= 300, "letter")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("owner"), F.col("lang").alias("bank_hint"), F.lower(F.substring("text", 1, 1)).alias("account_type_hint"), kind.alias("doc_type"))
+    return longs(documents.knowledge_rank(d.where("doc_id % 20 = 0"), d), "score", "place")
 
 
 @query

@@ -1,6 +1,7 @@
 """Ledger operators on small frames: edge cases, and brute force where order matters."""
 
 import random
+import re
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -321,24 +322,26 @@ def test_card_integrity(spark):
     assert got == {1: "ok", 2: "review", 3: "ok", 4: "review"}
 
 
-def test_knowledge_rank_against_brute_force(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("newest", [300, 7])
+def test_knowledge_rank_against_brute_force(spark, newest):
     rng, vocabulary = random.Random(9), [a + b + "q" for a in ("alpha", "beta", "gamma", "delta", "omega") for b in "abcdefghijk"]
-    rows = [(i, ("zz " * 250 if i % 3 == 0 else "") + " ".join(rng.sample(vocabulary, 12)), f"s{i % 4}", f"l{i % 3}") for i in range(90)]
-    rows += [(90 + i, rows[20 * i][1], "s9", "l9") for i in range(5)] + [(95, None, "s1", "l1"), (96, "", "s1", "l1")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    frame.write.parquet(str(tmp_path / "documents.parquet"))
-    told = {r["doc_id"]: set(r["w"] or ()) for r in frame.select("doc_id", text.keyword_tokens(F.col("text")).alias("w")).collect()}
+    stop = sorted(rules.STATEMENT_STOPWORDS)[:3]
+    rows = [(i, ("zz 12345 " * 250 if i % 3 == 0 else "") + " ".join(rng.sample(vocabulary, 12) + stop), f"s{rng.randrange(3)}", rng.choice(["HDFC", "SBI", "", None]), rng.choice(["card", "bank", None]), rng.choice(["bank_statement", "ppf", None])) for i in range(90)]
+    rows += [(90 + i, rows[20 * i][1], rows[20 * i][2], "AXIS", "bank", "credit_card_statement") for i in range(5)] + [(95, None, "s1", "SBI", "x", None), (96, "", "s1", "SBI", "x", None), (97, rows[1][1], None, "SBI", "x", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, owner string, bank_hint string, account_type_hint string, doc_type string")
+    told = {r[0]: {w for w in re.findall("[a-z0-9]{3,}", re.sub(r"[\s_/\\-]+", " ", (r[1] or "").lower())) if w not in rules.STATEMENT_STOPWORDS and not w.isdigit()} for r in rows}
     want = set()
-    for i, _, s, l in (r for r in rows if r[0] % 20 == 0):
+    for i, t, owner, bank, kind, _ in (r for r in rows if r[0] % 5 == 0):
+        others = sorted((r for r in rows if r[2] == owner is not None and r[0] != i), key=lambda r: -r[0])[:newest]
         texts, scores = set(), []
-        for j, t, s2, l2 in rows:
-            if j != i and t not in texts and (n := len(told[i] & told[j])):
-                scores.append((-(n + 8 * (s == s2) + 5 * (l == l2)), j))
-                texts.add(t)
-        want |= {(i, j, -score, k + 1) for k, (score, j) in enumerate(sorted(scores)[:4])}
-    monkeypatch.setattr(documents, "WORD_REFERENCES", 10)
-    got = queries.QUERIES["c17_knowledge_rank"](spark, str(tmp_path)).select("doc_id", "ref_id", "score", "place").collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+        for j, t2, _, bank2, kind2, doc2 in others:
+            n = len(told[i] & told[j]) + 8 * bool(bank and bank == bank2) + 5 * bool(kind and kind == kind2) + 2 * (doc2 in ("bank_statement", "credit_card_statement"))
+            if n and (t2 or "") not in texts:
+                scores.append((-n, -j))
+                texts.add(t2 or "")
+        want |= {(i, -j, -score, k + 1) for k, (score, j) in enumerate(sorted(scores)[:4])}
+    got = documents.knowledge_rank(frame.where("doc_id % 5 = 0"), frame, newest=newest).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 50
 
 
 def test_transfer_report_against_the_serial_loop(spark):
