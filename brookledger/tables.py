@@ -9,12 +9,12 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", **options) -> DataFrame:
     """``df`` written in the folder that spark.checkpoint.dir names and read back. Only in local mode, as in
     tests, is a folder of our own made where that is unset.
 
     Iterative operators cut their lineage with this; a lost executor loses
-    nothing, and what is read several times is computed once.
+    nothing, and what is read several times is computed once. ``options`` go to the writer.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,5 +24,5 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
         folder = "file://" + tempfile.mkdtemp(prefix="brookledger-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
