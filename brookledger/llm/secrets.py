@@ -3,9 +3,9 @@
 Layer 0 is the text. The worklist unwraps a layer's URL and Unicode escapes
 (which gives the whole layer with them replaced) and each of its base64 runs
 (which gives the decoded bytes as text, decompressed first where they are zlib or gzip).
-A run goes on over line breaks. Where it holds one, or a ``/``, ``-`` or ``_``, it may
-begin with something else: all four alignments are decoded, and packed bytes may
-begin after each of these.
+A run goes on over line breaks. As it may begin with something else, a letter of an escape, a
+``+`` or a folder's name, all four alignments are decoded, and packed bytes may
+begin wherever their first two stand.
 New layers join the worklist, and it runs until nothing new comes out; a layer
 whose text and place were seen before is not entered again, so cycles end. Every
 layer is scanned by the base patterns, and spans are mapped back, code point by
@@ -16,8 +16,9 @@ Texts are scanned whole where they are read; there is no shuffle.
 Defined results: null and empty texts have no spans; matches of one kind don't
 overlap within a layer; a span that a base span of its kind covers is not
 reported again; decoded bytes that aren't UTF-8 are read as Latin-1, as all patterns
-are ASCII; compressed runs are unpacked in windows of ``WINDOW`` bytes, which
-overlap by ``OVERLAP``, over all their members; repeated rows repeat their result; all other columns are kept.
+are ASCII; compressed runs are unpacked in windows of ``WINDOW`` bytes over all their members. The next window
+begins ``OVERLAP`` before the run that the last one ends in, so no run is cut, however long, and memory
+grows with the longest run; repeated rows repeat their result; all other columns are kept.
 """
 
 from __future__ import annotations
@@ -57,10 +58,13 @@ ESCAPE = re.compile("|".join(f"(?:{x.pattern.replace('(', '(?:').replace('(?:?:'
 LEAST_RUN = 22
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+(?=[A-Za-z0-9+/_-]))?+)++")
 NOT_BASE64 = re.compile(r"[\r\n \t]+")
-BREAKS = re.compile(r"[/_-]|\r?\n[ \t]*")
+#: What no run of base64, escapes or a value goes on over: other characters, and blanks but for those that begin a line.
+RUN_ENDS = re.compile(rb"[^A-Za-z0-9+/_.=%&#;\\{}\r\n \t-]|(?<=[^\n \t])[ \t]")
 WINDOW, OVERLAP, PIECE = 32 << 20, 4 << 20, 1 << 20
 SPAN = "array<struct<kind:string,start:int,end:int,layer:string>>"
 
+#: Characters of base64 that are read at first where packed bytes may begin.
+PROBE = 1400
 Layer = tuple[str, "np.ndarray | None", "np.ndarray | None", str]  # text, starts, ends, path
 
 
@@ -129,6 +133,38 @@ def _is_packed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or len(raw) > 1 and raw[0] & 15 == 8 and raw[0] < 128 and (raw[0] << 8 | raw[1]) % 31 == 0
 
 
+def _packed_begin() -> str:
+    """The base64 of the two bytes that packed data begin with: two characters, and what the third may be."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    firsts = [x for x in (bytes([a, b]) for a in range(128) for b in range(256)) if _is_packed(x)]
+    begin = ((base64.b64encode(x).decode(), 4 * (x[1] & 15)) for x in firsts)
+    return "|".join(re.escape(t[:2]) + "[" + re.escape(letters[k : k + 4]) + "]" for t, k in begin)
+
+
+PACKED = re.compile(f"(?={_packed_begin()})")
+
+
+def _unpacks(raw: bytes) -> bool:
+    """Whether the first bytes of what may be packed data are read without an error."""
+    try:
+        zlib.decompressobj(47).decompress(raw, 1 << 16)
+    except zlib.error:
+        return False
+    return True
+
+
+def _open_run(window: bytes) -> int:
+    """How many bytes at the end of ``window`` a run has that may go on behind it."""
+    size = 1 << 12
+    while True:
+        last = None
+        for last in RUN_ENDS.finditer(window, max(0, len(window) - size)):
+            pass
+        if last or size >= len(window):
+            return len(window) - last.end() if last else len(window)
+        size *= 16
+
+
 def _members(chunks: Iterable[bytes]) -> Iterator[bytes]:
     """What zlib or gzip members hold, in pieces; bytes behind the last one come as they are, and a broken member ends it."""
     member, plain, left = None, False, b""
@@ -192,14 +228,15 @@ def _windows(raw: bytes) -> Iterator[tuple[bytes, str]]:
             break
         chunks, path, first = chain([start], unpacked), f"{path}>compressed", start
     held: list[bytes] = []
-    size = 0
+    size, most = 0, WINDOW
     for chunk in chunks:
         held.append(chunk)
         size += len(chunk)
-        if size >= WINDOW:
+        if size >= most:
             window = b"".join(held)
             yield window, path
-            held, size = [window[-OVERLAP:]], OVERLAP
+            size = min(len(window), OVERLAP + _open_run(window))
+            held, most = [window[len(window) - size :]], max(WINDOW, 2 * size)
     if size:
         yield b"".join(held), path
 
@@ -228,9 +265,6 @@ def from_base64(layer: Layer) -> Iterator[Layer]:
             run = NOT_BASE64.sub("", whole)
         if len(run) < LEAST_RUN:
             continue
-        breaks = [b.end() for b in BREAKS.finditer(whole)]
-        if at is not None:
-            breaks = np.searchsorted(at, np.asarray(breaks, np.int64) + m.start()).tolist()
         run = run.replace("-", "+").replace("_", "/")
         of = (lambda k: k + m.start()) if at is None else at.__getitem__  # noqa: E731, B023
 
@@ -239,15 +273,16 @@ def from_base64(layer: Layer) -> Iterator[Layer]:
             part = part[:-1] if len(part) % 4 == 1 else part
             return base64.b64decode(part + "=" * (-len(part) % 4))
 
-        for start in sorted({0, *breaks}):
-            if len(run) - start >= 8 and _is_packed(decoded(start, start + 4)) and (stop := _packed_end(raw := decoded(start))):
+        for begin in PACKED.finditer(run):
+            start = begin.start()
+            if len(run) - start >= 8 and _unpacks(decoded(start, start + PROBE)) and (stop := _packed_end(raw := decoded(start))):
                 last = min(start + (stop * 4 + 2) // 3, len(run)) - 1
                 for window, how in _windows(raw[:stop]):
                     if how:
                         found = _text(window)
                         first, end = place(np.asarray([of(start)]), np.asarray([of(last)]))
                         yield found, np.broadcast_to(first, len(found)), np.broadcast_to(end, len(found)), f"{path}>base64{how}"
-        for start in range(4 if breaks else 1):
+        for start in range(4):
             raw = decoded(start)
             found = _text(raw)
             sizes = np.ones(len(found), np.int64) if len(found) == len(raw) else np.fromiter((len(c.encode()) for c in found), np.int64, len(found))

@@ -326,6 +326,35 @@ def test_wrapped_secret_layers():
         assert {"assign", "hex"} <= kinds, wrapped
 
 
+@pytest.mark.parametrize("prefix", ["q+", "q%2B", "q", "qr", "qrs", "\\n", '{"k": "a\\n', "0+/", "%2F%2B", "id="])
+def test_any_alignment(prefix):
+    sec, b64 = 'password = "abcdef123456789abcdefxyz"', lambda b: base64.b64encode(b).decode()
+    noise = bytes(random.Random(prefix).randrange(256) for _ in range(2000))
+    for wrapped in (b64(sec.encode()), b64(zlib.compress(sec.encode())), b64(gzip.compress(noise + b64(zlib.compress(noise + sec.encode())).encode() + noise))):
+        found = secrets.find(f"{prefix}{wrapped} end")
+        assert any(k == "assign" and where and len(prefix) - 3 <= s and e <= len(prefix + wrapped) for k, s, e, where in found), wrapped[:40]
+
+
+@pytest.mark.parametrize("width", [None, 76])
+def test_layers_across_windows_are_found(monkeypatch, width):
+    """A nested layer longer than a window's overlap, wherever windows are cut, and one longer than windows."""
+    rng = random.Random(7)
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    texts = []
+    for before in range(0, 4500, 450):
+        for n in (900, 6000):
+            inner = base64.b64encode(zlib.compress(noise(n) + b" token=abcdefghijklmnopq " + noise(50)))
+            inner = b"\n  ".join(inner[k : k + width] for k in range(0, len(inner), width)) if width else inner
+            texts.append(base64.b64encode(zlib.compress(b"w, " * (before // 3) + inner + b" z." * 2000)).decode())
+    want = [secrets.find(t) for t in texts]
+    assert all(any(x[0] == "assign" for x in w) for w in want)
+    monkeypatch.setattr(secrets, "WINDOW", 2048)
+    monkeypatch.setattr(secrets, "OVERLAP", 128)
+    monkeypatch.setattr(secrets, "PIECE", 512)
+    for text, known in zip(texts, want):
+        assert {x[:3] for x in secrets.find(text)} >= {x[:3] for x in known if x[0] == "assign"}
+
+
 def test_secrets_behind_many_windows(monkeypatch):
     monkeypatch.setattr(secrets, "WINDOW", 4096)
     monkeypatch.setattr(secrets, "OVERLAP", 512)
