@@ -104,10 +104,10 @@ def c4_statement_list(spark, sf_dir):
     return intake.statement_list(s, files).select("statement_id", "reprocess_count")
 
 
-@query(with_(LEDGER, "p AS (SELECT txn_id FROM ledger WHERE txn_id % 3 = 0)", select="SELECT txn_id AS parsed_id, CASE WHEN txn_id % 2 = 0 THEN txn_id + 7 END AS txn_id, CASE WHEN txn_id % 6 = 0 THEN 'b,a' ELSE '' END AS notes FROM p"))
+@query(with_(LEDGER, "p AS (SELECT txn_id FROM ledger)", select="SELECT txn_id AS parsed_id, CASE WHEN txn_id % 2 = 0 THEN txn_id + 7 END AS txn_id, CASE WHEN txn_id % 6 = 0 THEN 'b,a' ELSE '' END AS notes FROM p"))
 def c9_statement_review(spark, sf_dir):
     k = F.col("parsed_id")
-    p = ledger(spark, sf_dir).where("txn_id % 3 = 0").select(F.col("txn_id").alias("parsed_id"))
+    p = ledger(spark, sf_dir).select(F.col("txn_id").alias("parsed_id"))
     sources = p.where(k % 2 == 0).select(k, (k + 7).alias("txn_id"))
     notes = p.where(k % 6 == 0).select(k, F.lit(2).alias("created_at"), F.lit("a").alias("note")).unionByName(p.where(k % 6 == 0).select(k, F.lit(1).alias("created_at"), F.lit("b").alias("note")))
     return review.statement_review(p, sources, notes).withColumn("notes", F.array_join("notes", ","))
@@ -483,13 +483,12 @@ def d21_pending_reviews(spark, sf_dir):
     return entries.pending_reviews(statements(statement_rows(ledger(spark, sf_dir))).withColumn("status", F.when(F.col("row_count") == 1, "open").otherwise("resolved")))
 
 
-@query(with_(LEDGER, INCOME, "y AS (SELECT * FROM income WHERE fy = '1999-00')", "l AS (SELECT line_id, user_id, bucket, amount FROM lines WHERE fy = '1999-00' AND user_id % 3 = 0)",
-    select="SELECT user_id, amount::DOUBLE AS portal_amount, CASE WHEN line_id % 4 = 0 THEN amount::DOUBLE END AS ledger_amount, CASE WHEN line_id % 4 = 0 THEN 'matched' ELSE 'missing_in_ledger' END AS kind FROM (SELECT l.line_id, l.user_id, y.amount FROM l JOIN y ON y.txn_id = l.line_id) UNION ALL SELECT user_id, NULL, amount::DOUBLE, 'missing_in_portal' FROM y WHERE user_id % 3 = 0 AND txn_id % 4 <> 0 AND (bucket <> 'interest' OR amount >= 100)"))
+@query(with_(LEDGER, INCOME, select="SELECT user_id, amount::DOUBLE AS portal_amount, CASE WHEN txn_id % 4 = 0 THEN amount::DOUBLE END AS ledger_amount, CASE WHEN txn_id % 4 = 0 THEN 'matched' ELSE 'missing_in_ledger' END AS kind FROM income WHERE txn_id % 5 <> 0 UNION ALL SELECT user_id, NULL, amount::DOUBLE, 'missing_in_portal' FROM income WHERE (txn_id % 4 <> 0 OR txn_id % 5 = 0) AND (bucket <> 'interest' OR amount >= 100)"))
 def c15_line_outcomes(spark, sf_dir):
-    """Portal lines that equal their entries, every second one of them matched beforehand."""
-    year = base.income_rows(ledger(spark, sf_dir)).where("fy = '1999-00' AND user_id % 3 = 0")
-    lines = year.where("txn_id % 2 = 0").select(F.col("txn_id").alias("line_id"), "user_id", "fy", "bucket", "amount")
-    return base.doubles(reconcile.ais_lines(lines, year, lines.where("line_id % 4 = 0").select("line_id", F.col("line_id").alias("txn_id"))), "portal_amount", "ledger_amount")
+    """Entries of which the portal lacks every fifth, every fourth of its lines matched beforehand."""
+    rows = base.income_rows(ledger(spark, sf_dir))
+    lines = rows.where("txn_id % 5 <> 0").select(F.col("txn_id").alias("line_id"), "user_id", "fy", "bucket", "amount")
+    return base.doubles(reconcile.ais_lines(lines, rows, lines.where("line_id % 4 = 0").select("line_id", F.col("line_id").alias("txn_id"))), "portal_amount", "ledger_amount")
 
 
 @query()

@@ -84,7 +84,7 @@ INCOME = """income AS (
         SELECT *, (year(transaction_date) - CASE WHEN month(transaction_date) < 4 THEN 1 ELSE 0 END)::INT AS fy_start,
             CASE WHEN nature = 'income' AND contains(merchant_raw, 'SALARY') THEN 'salary' WHEN nature = 'interest_income' THEN 'interest' WHEN nature = 'dividend_income' THEN 'dividend' END AS bucket FROM active)
     WHERE bucket IS NOT NULL),
-lines AS (SELECT txn_id AS line_id, user_id, fy, bucket, round(amount * (100 + txn_id % 7) / 100, 2)::DECIMAL(14,2) AS amount FROM income WHERE txn_id % 2 = 0)"""
+lines AS (SELECT txn_id AS line_id, user_id, fy, bucket, round(amount * CASE WHEN txn_id % 2 = 0 THEN 100 + txn_id % 7 ELSE 200 END / 100, 2)::DECIMAL(14,2) AS amount FROM income)"""
 TAX_FACTS = f"""tax_facts AS (
     SELECT user_id, user_id % 9 <> 0 AS has_ais, user_id % 4 <> 0 AS has_26as, user_id % 3 <> 0 AS has_form16, coalesce(salary, 0) > 0 AS ais_salary, user_id % 5 = 0 AS ais_securities, coalesce(interest, 0) AS ais_interest_lines,
         user_id % 4 AS form16a_sections, user_id % 6 AS coverage_rows, n // 30 AS ledger_rows
@@ -113,7 +113,7 @@ ORACLE_SQL: dict[str, str] = {
         select="SELECT budget_id, user_id, category_name, period, amount_limit::DOUBLE AS amount_limit, spent::DOUBLE AS spent, greatest(amount_limit - spent, 0)::DOUBLE AS remaining, round(spent::DOUBLE / amount_limit::DOUBLE * 100, 2) AS used_percent FROM s"),
     "d5_tax_totals": with_(LEDGER, TOTALS, select="SELECT user_id, salary_income::DOUBLE AS salary_income, other_income::DOUBLE AS other_income, interest_income::DOUBLE AS interest_income, dividend_income::DOUBLE AS dividend_income, tax_payments::DOUBLE AS tax_payments, investments::DOUBLE AS investments, expenses::DOUBLE AS expenses, (salary_income + other_income + interest_income + dividend_income)::DOUBLE AS total_income FROM totals"),
     "d5_interest_by_account": with_(LEDGER, select="SELECT user_id, bank_name, account_masked, sum(amount)::DOUBLE AS interest, count(*) AS entries FROM active WHERE nature = 'interest_income' AND account_type = 'savings' GROUP BY ALL"),
-    "d7_savings_accounts": with_(LEDGER, ROWS, select="SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.bank_name, b.bank_name) AS bank_name, coalesce(a.account_masked, b.account_masked) AS account_masked, coalesce(statements, 0) AS statements, coalesce(entries, 0) AS entries FROM (SELECT user_id, bank_name, account_masked, count(DISTINCT statement_id) AS statements FROM stmt_rows WHERE txn_id % 3 = 0 AND account_type = 'savings' GROUP BY ALL) a FULL JOIN (SELECT user_id, bank_name, account_masked, count(*) AS entries FROM ledger WHERE txn_id % 2 = 0 AND account_type = 'savings' GROUP BY ALL) b ON a.user_id = b.user_id AND a.bank_name = b.bank_name AND a.account_masked = b.account_masked"),
+    "d7_savings_accounts": with_(LEDGER, ROWS, select="SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.bank_name, b.bank_name) AS bank_name, coalesce(a.account_masked, b.account_masked) AS account_masked, coalesce(statements, 0) AS statements, coalesce(entries, 0) AS entries FROM (SELECT user_id, bank_name, account_masked, count(DISTINCT statement_id) AS statements FROM stmt_rows WHERE account_type = 'savings' GROUP BY ALL) a FULL JOIN (SELECT user_id, bank_name, account_masked, count(*) AS entries FROM ledger WHERE account_type = 'savings' GROUP BY ALL) b ON a.user_id = b.user_id AND a.bank_name = b.bank_name AND a.account_masked = b.account_masked"),
     "d8_tax_planning": with_(LEDGER, "told AS (SELECT *, concat_ws(' ', category_name, merchant_normalized, merchant_raw) AS told FROM active WHERE " + FY + ")",
         "users AS (SELECT DISTINCT user_id FROM told)", "sums AS (" + " UNION ALL ".join(f"SELECT u.user_id, {quoted(n)} AS section, {cap} AS cap, coalesce((SELECT sum(amount) FROM told t WHERE t.user_id = u.user_id AND direction = '{'credit' if c else 'debit'}' AND regexp_matches(told, {quoted('(?i)' + p)})), 0) AS amount FROM users u" for n, p, cap, c in rules.SECTION_RULES) + ")",
         select="SELECT user_id, section, amount::DOUBLE AS amount, CASE WHEN cap > 0 THEN greatest(cap - amount, 0)::DOUBLE END AS remaining, CASE WHEN cap > 0 THEN round(least(1.0, amount::DOUBLE / cap) * 100, 2) END AS percent FROM sums"),
@@ -169,7 +169,7 @@ ORACLE_SQL: dict[str, str] = {
         select="SELECT txn_id, sha256(user_id || '|' || upper(account_masked) || '|' || transaction_date::VARCHAR || '|' || (amount * 100)::BIGINT || '|' || n) AS fingerprint, sha256(account_masked || '|' || transaction_date::VARCHAR || '|' || (amount * 100)::BIGINT || '|' || substr(lower(merchant_raw), 1, 40) || '|' || CASE direction WHEN 'credit' THEN 'cr' ELSE 'dr' END) AS dedup_key FROM p"),
     "g2_statement_fingerprints": with_(LEDGER, ROWS, select="SELECT statement_id, sha256(user_id || '|' || upper(bank_name) || '|' || upper(account_masked) || '|' || period_start::VARCHAR || '|' || period_end::VARCHAR || '|1000000') AS fingerprint FROM statements"),
     "g4_batch_dedup": with_(LEDGER, "k AS (SELECT *, user_id || '|' || strftime(transaction_date, '%Y-%m') || '|' || (txn_id % 5) AS key FROM ledger)",
-        select="SELECT txn_id FROM k WHERE txn_id % 2 = 0 AND key NOT IN (SELECT key FROM k WHERE txn_id % 7 = 1) QUALIFY row_number() OVER (PARTITION BY key ORDER BY transaction_date, txn_id) = 1"),
+        select="SELECT txn_id FROM k WHERE key NOT IN (SELECT user_id || '|' || strftime(transaction_date + 400, '%Y-%m') || '|' || (txn_id % 5) FROM ledger) QUALIFY row_number() OVER (PARTITION BY key ORDER BY transaction_date, txn_id) = 1"),
     "g7_insert_counts": with_(LEDGER, "n AS (SELECT * FROM ledger WHERE year(transaction_date) >= 1998)", "o AS (SELECT * FROM ledger WHERE year(transaction_date) < 1998 AND user_id % 2 = 0)",
         select="SELECT a AS rows, b AS inserted, a - b AS duplicates FROM (SELECT (SELECT count(*) FROM n) AS a, (SELECT count(*) FROM (SELECT DISTINCT user_id, category_name FROM n) x WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.user_id = x.user_id AND o.category_name IS NOT DISTINCT FROM x.category_name)) AS b)"),
     "g11_orphans": "SELECT o_orderkey AS txn_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
@@ -193,7 +193,7 @@ ORACLE_SQL: dict[str, str] = {
     "m3_self_paid": with_(LEDGER, TOTALS, BUCKETS, PORTAL, select="SELECT coalesce(p.user_id, b.user_id) AS user_id, self_paid_tax::DOUBLE AS portal_amount, amount::DOUBLE AS ledger_amount, CASE WHEN self_paid_tax IS NULL THEN 'missing_in_portal' WHEN amount IS NULL THEN 'missing_in_ledger' WHEN abs(self_paid_tax - amount) <= 1 THEN 'matched' ELSE 'amount_mismatch' END AS kind FROM (SELECT * FROM portal WHERE self_paid_tax IS NOT NULL) p FULL JOIN (SELECT * FROM buckets WHERE bucket = 'tax_paid') b ON p.user_id = b.user_id"),
     "m4_ais_buckets": with_(LEDGER, TOTALS, BUCKETS, PORTAL, "l AS (SELECT * FROM (SELECT user_id, unnest(['salary', 'interest', 'dividend']) AS bucket, unnest([gross_salary, interest_income, dividend_income]) AS p FROM portal) WHERE p IS NOT NULL)",
         select="SELECT coalesce(l.user_id, b.user_id) AS user_id, coalesce(l.bucket, b.bucket) AS bucket, p::DOUBLE AS portal_amount, amount::DOUBLE AS ledger_amount, CASE WHEN p IS NULL THEN 'missing_in_portal' WHEN amount IS NULL THEN 'missing_in_ledger' WHEN abs(p - amount) <= 100 THEN 'matched' ELSE 'amount_mismatch' END AS kind FROM l FULL JOIN (SELECT * FROM buckets WHERE bucket <> 'tax_paid') b ON l.user_id = b.user_id AND l.bucket = b.bucket UNION ALL SELECT user_id, 'securities', securities_sold::DOUBLE, NULL, 'flagged' FROM portal WHERE securities_sold > 0"),
-    "m5_line_sums": with_(LEDGER, INCOME, select="SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.fy, b.fy) AS fy, coalesce(a.bucket, b.bucket) AS bucket, a.s::DOUBLE AS portal_amount, b.s::DOUBLE AS ledger_amount, CASE WHEN a.s IS NULL THEN 'missing_in_portal' WHEN b.s IS NULL THEN 'missing_in_ledger' WHEN abs(a.s - b.s) <= 100 OR abs(a.s - b.s)::DOUBLE / greatest(a.s, b.s)::DOUBLE <= 0.05 THEN 'matched' ELSE 'amount_mismatch' END AS kind FROM (SELECT user_id, fy, bucket, sum(amount) AS s FROM lines GROUP BY ALL) a FULL JOIN (SELECT user_id, fy, bucket, sum(amount) AS s FROM income WHERE txn_id % 2 = 0 GROUP BY ALL) b ON a.user_id = b.user_id AND a.fy = b.fy AND a.bucket = b.bucket"),
+    "m5_line_sums": with_(LEDGER, INCOME, select="SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.fy, b.fy) AS fy, coalesce(a.bucket, b.bucket) AS bucket, a.s::DOUBLE AS portal_amount, b.s::DOUBLE AS ledger_amount, CASE WHEN a.s IS NULL THEN 'missing_in_portal' WHEN b.s IS NULL THEN 'missing_in_ledger' WHEN abs(a.s - b.s) <= 100 OR abs(a.s - b.s)::DOUBLE / greatest(a.s, b.s)::DOUBLE <= 0.05 THEN 'matched' ELSE 'amount_mismatch' END AS kind FROM (SELECT user_id, fy, bucket, sum(amount) AS s FROM lines GROUP BY ALL) a FULL JOIN (SELECT user_id, fy, bucket, sum(amount) AS s FROM income GROUP BY ALL) b ON a.user_id = b.user_id AND a.fy = b.fy AND a.bucket = b.bucket"),
     "m10_action_items": with_(LEDGER, TOTALS, FACTS, "x AS (SELECT user_id, unnest(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {quoted(s + ':' + t)} END" for c, s, t in (
             ("tax_form = 0", "warning", "Missing Tax Forms"), ("interest_income > 0 AND interest_certificate = 0", "warning", "Interest Income Without Certificate"), ("dividend_income > 0 AND dividend_report = 0", "warning", "Dividend Income Without Report"),
             ("tax_payments > 0 AND tax_challan = 0", "warning", "Tax Payments Without Challan"), ("other_income >= 50000", "info", "Review Other Income"), ("large_cash > 0", "warning", "High-Value Cash Transactions"), ("savings_accounts = 0", "warning", "No Savings Statements Linked"),

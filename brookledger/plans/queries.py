@@ -91,8 +91,7 @@ def d5_interest_by_account(spark, sf_dir):
 @query
 def d7_savings_accounts(spark, sf_dir):
     rows = ledger(spark, sf_dir)
-    some = statements(statement_rows(rows.where("txn_id % 3 = 0")))
-    return longs(entries.savings_accounts(some, rows.where("txn_id % 2 = 0")), "statements", "entries")
+    return longs(entries.savings_accounts(statements(statement_rows(rows)), rows), "statements", "entries")
 
 
 @query
@@ -252,8 +251,10 @@ def g2_statement_fingerprints(spark, sf_dir):
 
 @query
 def g4_batch_dedup(spark, sf_dir):
-    rows = ledger(spark, sf_dir).withColumn("key", F.concat_ws("|", "user_id", dates.month(F.col("transaction_date")), (F.col("txn_id") % 5).cast("string")))
-    return dedup.new_rows(rows.where("txn_id % 2 = 0"), rows.where("txn_id % 7 = 1"), ["key"], ["transaction_date", "txn_id"]).select("txn_id")
+    """All rows as a batch against all rows as they would be 400 days later."""
+    key = lambda day: F.concat_ws("|", "user_id", dates.month(day), (F.col("txn_id") % 5).cast("string"))
+    rows, day = ledger(spark, sf_dir), F.col("transaction_date")
+    return dedup.new_rows(rows.withColumn("key", key(day)), rows.withColumn("key", key(F.date_add(day, 400))), ["key"], ["transaction_date", "txn_id"]).select("txn_id")
 
 
 @query
@@ -424,9 +425,10 @@ def c14_card_payment_pairs(spark, sf_dir):
 
 
 def portal_lines(rows: DataFrame) -> DataFrame:
-    """Every second income entry as a portal line, some of them up to 6 % off."""
+    """The income entries as portal lines, every second of them up to 6 % off and the others twice as large."""
     k = F.col("txn_id")
-    return rows.where("bucket IS NOT NULL AND txn_id % 2 = 0").select(k.alias("line_id"), "user_id", "fy", "bucket", (F.col("amount") * (100 + k % 7) / 100).cast("decimal(14,2)").alias("amount"))
+    percent = F.when(k % 2 == 0, 100 + k % 7).otherwise(200)
+    return rows.where("bucket IS NOT NULL").select(k.alias("line_id"), "user_id", "fy", "bucket", (F.col("amount") * percent / 100).cast("decimal(14,2)").alias("amount"))
 
 
 def income_rows(rows: DataFrame) -> DataFrame:
@@ -592,7 +594,7 @@ def m4_ais_buckets(spark, sf_dir):
 @query
 def m5_line_sums(spark, sf_dir):
     rows = income_rows(ledger(spark, sf_dir))
-    return _outcomes(reconcile.line_sums(portal_lines(rows), rows.where("txn_id % 2 = 0"), ["user_id", "fy", "bucket"]), "fy", "bucket")
+    return _outcomes(reconcile.line_sums(portal_lines(rows), rows, ["user_id", "fy", "bucket"]), "fy", "bucket")
 
 
 @query
