@@ -271,18 +271,43 @@ def portal_matches(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     return pairs.join(one_to_one(pairs), ["l", "r"]).select(F.col("l").alias("line_id"), F.col("r").alias("txn_id"), "portal_amount", "ledger_amount")
 
 
+def _grams(c: Column, n: Column | int) -> Column:
+    """The distinct runs of ``n`` characters; none if there are fewer."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.array_distinct(F.transform(F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(c, i, n)))
+
+
+def _containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Pairs of texts (_up) and patterns that they contain, by an index of runs of three characters.
+
+    Each pattern is filed under the run of its own that is rarest among the texts, and meets only texts that have this run; one with a run that
+    no text has is out. Patterns of one or two characters are filed under themselves.
+    """
+    held = patterns.withColumn("_pat", F.upper("pattern")).withColumn("_size", F.least(F.length("_pat"), F.lit(3)))
+    sizes = [r["_size"] for r in held.select("_size").distinct().collect()] or [3]  # three at most
+    runs = written(texts.select("_up").distinct().select("_up", F.explode(F.concat(*(_grams(F.col("_up"), n) for n in sizes))).alias("_run")), "narration-runs")
+    often = runs.groupBy("_run").agg(F.count("*").alias("_n"))
+    own = held.select("pattern_id", F.explode(_grams(F.col("_pat"), F.col("_size"))).alias("_run")).join(often, "_run", "left")
+    filed = own.groupBy("pattern_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_run")).alias("_k")).where("_k.n > 0").select("pattern_id", "_k._run")
+    filed = written(held.join(filed, "pattern_id"), "filed-patterns")
+    met = runs.join(filed, "_run").where(F.contains("_up", "_pat")).drop("_run", "_pat", "_size")
+    return texts.select("_up", "merchant_raw").join(met, "_up")
+
+
 def merchants(ledger: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The first pattern (pattern_id, kind exact/contains/regex, pattern, priority, merchant, category) that each distinct narration matches.
+    """The first pattern (pattern_id, without repeats, kind exact/contains/regex, pattern, priority, merchant, category) that each distinct narration matches.
 
-    Narrations are matched once each. Exact patterns are met by an equi-join. The others are a rule table that goes to
-    every task, in blocks of about ``RULES`` patterns where it is larger.
+    Narrations are matched once each. Exact patterns are met by an equi-join, those by content by an index of three-character
+    runs (``_containing``). Regular expressions alone are a rule table that goes to every task, in blocks of about ``RULES`` where it is larger; so
+    are patterns by content that are empty and fit all.
     """
-    texts = ledger.select("merchant_raw").where("merchant_raw IS NOT NULL").distinct().withColumn("_up", F.upper(F.trim("merchant_raw")))
+    texts = written(ledger.select("merchant_raw").where("merchant_raw IS NOT NULL").distinct().withColumn("_up", F.upper(F.trim("merchant_raw"))), "narrations")
     found = F.struct((-F.col("priority")).alias("p"), F.col("pattern_id").alias("i"), "merchant", "category").alias("b")
     exact = texts.join(patterns.where("kind = 'exact'").withColumn("_up", F.upper("pattern")), "_up").select("merchant_raw", found)
-    rest = patterns.where("kind <> 'exact'")
-    blocks = max(1, -(-rest.count() // RULES))
-    hit = F.expr("CASE kind WHEN 'contains' THEN contains(_up, upper(pattern)) ELSE _up rlike concat('(?i)', pattern) END")
+    exact = exact.unionByName(_containing(texts, patterns.where("kind = 'contains' AND pattern <> ''")).select("merchant_raw", found))
+    rest = written(patterns.where("kind = 'regex' OR (kind = 'contains' AND pattern = '')"), "expressions")
+    blocks = -(-rest.count() // RULES)
+    hit = F.expr("kind = 'contains' OR _up rlike concat('(?i)', pattern)")
     for k in range(blocks):
         block = rest.where(F.pmod(F.xxhash64("pattern_id"), F.lit(blocks)) == k)
         exact = exact.unionByName(texts.join(F.broadcast(block), hit).select("merchant_raw", found))

@@ -195,3 +195,23 @@ def test_card_payments_become_transfers(spark):
     assert {r["txn_id"]: r["nature"] for r in after.collect()} == {1: "transfer_internal", 2: "transfer_internal", 3: "expense", 4: "investment"} and after.columns == rows.columns
     got = {(r["debit_id"], r["credit_id"]): (r["confidence"] > 0.5, r["resolution_status"]) for r in matches.collect()}
     assert got == {(1, 2): (True, "confirmed"), (8, 9): (False, "rejected")}
+
+
+def test_thousands_of_merchant_patterns(spark):
+    """Patterns by content against plain search; without regular expressions nothing is a nested loop."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefgAB é", k=n))
+    texts = [word(rng.randrange(1, 40)) for _ in range(300)] + [None, "", "  x  ", "İstanbul", "straße 7"]
+    patterns = [(k, "contains", rng.choice([word(rng.choice([1, 2, 3, 4, 5, 9])), rng.choice(texts[:300])[2:9] or "ab"]), rng.randrange(5), f"m{k}", "c") for k in range(30_000)]
+    patterns += [(40_000, "contains", None, 9, "null", "c"), (40_001, "contains", "STRASSE", 9, "s", "c"), (40_002, "contains", "zzzz", 9, "z", "c"), (40_003, "exact", "X", 9, "x", "c")]
+    rows = [p for p in patterns if p[2]]
+    upper = dict(zip(texts, (r["u"] for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("upper(trim(t)) AS u").collect())))
+    uppers = [(spark_upper, p) for spark_upper, p in zip((r["u"] for r in spark.createDataFrame(rows, "i int, k string, p string, r int, m string, c string").selectExpr("upper(p) AS u").collect()), rows)]
+    want = {}
+    for t in filter(None, texts):
+        hits = [(-p[3], p[0], p[4]) for u, p in uppers if (u in upper[t] if p[1] == "contains" else u == upper[t])]
+        if hits:
+            want[t] = min(hits)[2]
+    got = matching.merchants(spark.createDataFrame([(t,) for t in texts], "merchant_raw string"), spark.createDataFrame(patterns, "pattern_id int, kind string, pattern string, priority int, merchant string, category string"))
+    assert {r["merchant_raw"]: r["merchant"] for r in got.collect()} == want and len(want) > 200
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
