@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import classify
 from ..operators.jobs import LONGEST_WAIT, MOST_ATTEMPTS
+from ..tables import written
 
 #: Stages are forgotten after a day.
 STAGE_TTL_MS = 24 * 3600 * 1000
+#: Seconds after which rules are read again.
+PATTERN_AGE_S = 300
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def source(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -69,19 +75,51 @@ def retries(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("job_id").applyInPandasWithState(step, "job_id long, attempts long, status string, wait_seconds long", "attempts long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stages(updates: DataFrame) -> DataFrame:
-    """The last stage of each job (job_id, stage) as updates come; silent jobs are forgotten after a day."""
+class _LastStage(StatefulProcessor):
+    """A job's newest stage, by the time of the update; state that isn't updated for ``ttl`` goes by itself."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = [s for pdf in batches for s in pdf["stage"]][-1]
-        state.update((last,))
-        state.setTimeoutDuration(STAGE_TTL_MS)
-        yield pd.DataFrame({"job_id": [key[0]], "stage": [last]})
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long, stage string", self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        known = self.last.get() if self.last.exists() else None
+        newest = max(((at, stage) for pdf in rows for at, stage in zip(pdf.iloc[:, 2].tolist(), pdf.iloc[:, 1].tolist())), default=None)
+        if newest is not None and (known is None or newest > (known[0], known[1])):
+            self.last.update(newest)
+            yield pd.DataFrame({"job_id": [key[0]], "stage": [newest[1]]})
+
+    def close(self) -> None:
+        pass
+
+
+def stages(updates: DataFrame, ttl_ms: int = STAGE_TTL_MS) -> DataFrame:
+    """The newest stage of each job (job_id, stage, at timestamp) whenever it changes, as updates come in any order: an update that is older than what
+    is known of its job changes nothing, and of equal times the stage greater as text is newer. Updates without a time or stage are left out. A job
+    without changes for ``ttl_ms`` is forgotten, and begins anew with its next update. State of this kind needs Spark's RocksDB store, which the session is set to."""
+    updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    kind = updates.schema["job_id"].dataType.simpleString()
+    rows = updates.select("job_id", "stage", F.unix_micros("at").alias("_at")).where("stage IS NOT NULL AND _at IS NOT NULL")
+    return rows.groupBy("job_id").transformWithStateInPandas(statefulProcessor=_LastStage(ttl_ms), outputStructType=f"job_id {kind}, stage string", outputMode="Update", timeMode="ProcessingTime")
+
+
+def pattern_cache(read: Callable[[], tuple[object, DataFrame]], most_age: float = PATTERN_AGE_S, now: Callable[[], float] = time.monotonic) -> Callable[[], DataFrame]:
+    """Gives a versioned rule table, for use by ``each_batch``: within one micro-batch, and until it is ``most_age`` seconds old, it is
+    one version. ``read`` gives the version there is now and its table, of which a copy is written when the version has changed, so a
+    table that is replaced meanwhile changes nothing for the batches before."""
+    held: dict = {}
+
+    def current() -> DataFrame:
+        if "at" not in held or now() - held["at"] >= most_age:
+            version, table = read()
+            if held.get("version", held) != version:
+                held.update(version=version, table=written(table, "patterns"))
+            held["at"] = now()
+        return held["table"]
 
-    return updates.groupBy("job_id").applyInPandasWithState(step, "job_id long, stage string", "stage string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return current
 
 
 def sink(stream: DataFrame, path: str, checkpoint: str, once: bool = True, every: str = "1 second"):

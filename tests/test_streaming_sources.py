@@ -45,20 +45,59 @@ def test_retries(spark, tmp_path):
     assert sorted((r["job_id"], r["attempts"], r["status"], r["wait_seconds"]) for r in seen) == [(1, 1, "queued", 2), (1, 2, "queued", 4), (1, 3, "dlq", None), (2, 1, "queued", 2), (2, 2, "completed", None)]
 
 
+def stage_batches(spark, tmp_path, batches, ttl=jobs.STAGE_TTL_MS, waits=()):
+    """What ``stages`` gives for each batch, worked off one by one with the same checkpoint."""
+    out = []
+    for k, part in enumerate(batches):
+        spark.createDataFrame(part, "job_id long, stage string, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k in waits:
+            time.sleep(waits[k])
+        seen = []
+        stream = jobs.source(spark, str(tmp_path / "in"), "job_id long, stage string, at timestamp")
+        query = jobs.stages(stream, ttl).writeStream.outputMode("update").foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+        query.processAllAvailable()  # state that ages keeps a query going
+        query.stop()
+        out.append({r["job_id"]: r["stage"] for r in seen})
+    return out
+
+
 def test_last_stage_of_each_job(spark, tmp_path):
-    for k, part in enumerate([[(1, "queued"), (2, "queued"), (1, "parsing")], [(1, "done"), (3, "queued")]]):
-        spark.createDataFrame(part, "job_id long, stage string").coalesce(1).write.parquet(str(tmp_path / "in" / f"d={k}"))
+    at = lambda minute: datetime(2024, 1, 1, 0, minute)
+    got = stage_batches(spark, tmp_path, [
+        [(1, "parsing", at(5)), (2, "queued", at(1)), (1, "queued", at(1)), (4, None, at(1)), (4, "queued", None)],
+        [(1, "started", at(3)), (3, "queued", at(9)), (2, "parsing", at(1)), (2, "done", at(0))],
+        [(3, "done", at(11)), (3, "parsing", at(10)), (1, "done", at(6))],
+    ])
+    # Reordered updates within a batch, late ones between batches, and equal times.
+    assert got == [{1: "parsing", 2: "queued"}, {3: "queued"}, {1: "done", 3: "done"}]
+
+
+def test_stages_are_forgotten(spark, tmp_path):
+    at = lambda minute: datetime(2024, 1, 1, 0, minute)
+    batches = [[(1, "done", at(9))], [(1, "queued", at(1))]]
+    assert stage_batches(spark, tmp_path / "a", batches) == [{1: "done"}, {}]
+    assert stage_batches(spark, tmp_path / "b", batches, 2000, {1: 4}) == [{1: "done"}, {1: "queued"}]
+
+
+def test_rules_are_read_again_by_age(spark, tmp_path):
+    """A new version takes effect with the first batch after the age, and not before."""
+    table, clock, reads = {"v": 1}, [0.0], []
+
+    def read():
+        reads.append(table["v"])
+        return table["v"], spark.createDataFrame([(f"rule {table['v']}",)], "rule string")
+
+    rules = jobs.pattern_cache(read, 300, lambda: clock[0])
+    for k in range(5):
+        spark.createDataFrame([(k,)], "n long").coalesce(1).write.parquet(str(tmp_path / "in" / f"d={k}"))
     seen = []
-    stream = jobs.source(spark, str(tmp_path / "in" / "*"), "job_id long, stage string", 1)
-    query = jobs.stages(stream).writeStream.outputMode("update").foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
-    # State with a time-out keeps making batches, so the query is stopped once all jobs have been seen.
-    for _ in range(90):
-        last = {r["job_id"]: r["stage"] for r in list(seen)}
-        if set(last) == {1, 2, 3} and len(seen) >= 4:
-            break
-        time.sleep(1)
-    query.stop()
-    assert set(last) == {1, 2, 3} and last[2] == last[3] == "queued" and last[1] in ("parsing", "done")
+
+    def act(batch, number):
+        seen.extend((number, r["rule"]) for r in batch.crossJoin(F.broadcast(rules())).collect())
+        clock[0], table["v"] = clock[0] + 150, 2 if number == 0 else table["v"]
+
+    work_off(jobs.each_batch(jobs.source(spark, str(tmp_path / "in" / "*"), "n long", 1), act, str(tmp_path / "cp")))
+    assert [r for _, r in sorted(seen)] == ["rule 1", "rule 1", "rule 2", "rule 2", "rule 2"] and reads == [1, 2, 2]
 
 
 def test_files(spark, tmp_path):
