@@ -55,8 +55,12 @@ def stage_batches(spark, tmp_path, batches, ttl=jobs.STAGE_TTL_MS, waits=()):
         seen = []
         stream = jobs.source(spark, str(tmp_path / "in"), "job_id long, stage string, at timestamp")
         query = jobs.stages(stream, ttl).writeStream.outputMode("update").foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
-        query.processAllAvailable()  # state that ages keeps a query going
+        for _ in range(120):  # state that ages keeps a query going, so it is stopped once it has read the rows
+            if query.exception() or sum(p["numInputRows"] for p in query.recentProgress) >= len(part):
+                break
+            time.sleep(0.5)
         query.stop()
+        assert query.exception() is None
         out.append({r["job_id"]: r["stage"] for r in seen})
     return out
 
