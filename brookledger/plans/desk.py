@@ -90,9 +90,21 @@ def e12_row_chunks(spark, sf_dir):
     return base.longs(intake.row_chunks(lines).groupBy(F.col("doc_id").alias("table_id"), "chunk_no").agg(F.count("*").alias("rows"), F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row")), "chunk_no")
 
 
-@query()
+#: What ends a line, and what stands around one, as Python has it.
+LINE_ENDS, WHITE = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(f"""WITH RECURSIVE l AS (
+        SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), {quoted(LINE_ENDS)}), lambda x: regexp_replace(x, {quoted(f"^{WHITE}|{WHITE}$")}, '', 'g')), lambda x: x <> '') AS lines FROM documents),
+    c AS (SELECT doc_id, lines, len(lines) AS n, list_transform(range(1, len(lines) + 1), lambda i: list_sum(list_transform(lines[1:i], lambda y: length(y) + 1))) AS ends FROM l WHERE len(lines) > 0),
+    w AS (
+        SELECT doc_id, 0 AS chunk_no, 0::BIGINT AS first, greatest(1, len(list_filter(ends, lambda x: x <= {rules.LINE_CHUNK}))) AS last FROM c
+        UNION ALL
+        SELECT doc_id, chunk_no + 1, t, greatest(t + 1, len(list_filter(ends, lambda x: x <= ends[t] + {rules.LINE_CHUNK})))
+        FROM (SELECT w.doc_id, chunk_no, greatest(first + 1, last - {rules.LINE_OVERLAP}) AS t, ends FROM w JOIN c USING (doc_id) WHERE last < n AND chunk_no + 1 < {rules.MOST_LINE_CHUNKS}))
+    SELECT doc_id, chunk_no::BIGINT AS chunk_no, sha256(array_to_string(lines[first + 1:last], chr(10))) AS chunk_sha256 FROM w JOIN c USING (doc_id)""")
 def e12_line_chunks(spark, sf_dir):
-    return base.longs(intake.line_chunks(table(spark, sf_dir, "documents"), 1200, 6, 12).select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("chunk_sha256")), "chunk_no")
+    return base.longs(intake.line_chunks(table(spark, sf_dir, "documents")).select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("chunk_sha256")), "chunk_no")
 
 
 @query(with_(LEDGER, ROWS, "f AS (SELECT *, (user_id * 31 + month(period_start)) % 400 AS file_id FROM statements)", "h AS (SELECT *, CASE WHEN file_id % 5 <> 0 THEN file_id % 150 END AS file_hash FROM f)",
