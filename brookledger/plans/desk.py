@@ -90,6 +90,17 @@ def e12_row_chunks(spark, sf_dir):
     return base.longs(intake.row_chunks(lines).groupBy(F.col("doc_id").alias("table_id"), "chunk_no").agg(F.count("*").alias("rows"), F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row")), "chunk_no")
 
 
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t FROM documents),
+    w AS (
+        SELECT doc_id, t, -1 AS chunk_no, 0::BIGINT AS first, 240::BIGINT AS last FROM t WHERE t <> ''
+        UNION ALL
+        SELECT doc_id, t, chunk_no + 1, start, CASE WHEN start + 1800 < length(t) AND length(regexp_extract(win, '^(.*) ', 1)) > 900 THEN start + length(regexp_extract(win, '^(.*) ', 1)) ELSE least(start + 1800, length(t)) END
+        FROM (SELECT *, last - 240 AS start, substr(t, last - 239, 1800) AS win FROM w WHERE last < length(t) OR chunk_no < 0))
+    SELECT doc_id, chunk_no::BIGINT AS chunk_no, sha256(trim(substr(t, first + 1, last - first))) AS chunk_sha256 FROM w WHERE chunk_no >= 0""")
+def e12_word_chunks(spark, sf_dir):
+    return base.longs(documents.word_chunks(table(spark, sf_dir, "documents")).drop("chunk"), "chunk_no")
+
+
 #: What ends a line, and what stands around one, as Python has it.
 LINE_ENDS, WHITE = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 

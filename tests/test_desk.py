@@ -215,3 +215,25 @@ def test_thousands_of_merchant_patterns(spark):
     got = matching.merchants(spark.createDataFrame([(t,) for t in texts], "merchant_raw string"), spark.createDataFrame(patterns, "pattern_id int, kind string, pattern string, priority int, merchant string, category string"))
     assert {r["merchant_raw"]: r["merchant"] for r in got.collect()} == want and len(want) > 200
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+
+
+def test_word_chunks(spark):
+    rng = random.Random(3)
+    texts = [None, "", "   ", "one", "x" * 5000, " ".join("w" * rng.randint(1, 30) for _ in range(900)), "a" * 1000 + " " + "b" * 900, "a " * 899 + "\n\t" + "c" * 2000, "é\u00a0ü " * 700]
+    got = {}
+    for r in documents.word_chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], {})[r["chunk_no"]] = r["chunk"]
+    for k, t in enumerate(texts):
+        whole, want, start = " ".join((t or "").split()), [], 0
+        while start < len(whole):
+            window = whole[start : start + 1800]
+            end = start + len(window)
+            if end < len(whole) and window.rfind(" ") > 900:
+                end = start + window.rfind(" ")
+            want.append(whole[start:end].strip())
+            if end >= len(whole):
+                break
+            start = max(0, end - 240)
+        assert got.get(k, {}) == dict(enumerate(want))
+    with pytest.raises(ValueError):
+        documents.word_chunks(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 100, 50)
