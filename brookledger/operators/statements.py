@@ -10,7 +10,7 @@ side by side. A document of a million lines is read by as many tasks as its line
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..grammars import ACCOUNT, BALANCE, PERIODS, Grammar
+from ..grammars import ACCOUNT, BALANCE, PERIODS, Card, Grammar, Passbook
 from ..tables import written
 
 #: Blank lines and others that a section bears before it ends.
@@ -56,21 +56,27 @@ def step(state: tuple, letter: str) -> tuple[tuple, str]:
     return (out if more > OTHERS else (known, False, more)), ""
 
 
-def _tables() -> tuple[dict[str, bytes], dict[str, bytes]]:
-    moves, says = {}, {}
-    for letter in LETTERS:
-        got = [step(s, letter) for s in STATES]
-        moves[letter] = bytes([AT[s] for s, _ in got]) + bytes(256 - len(STATES))
-        says[letter] = "".join(x or "-" for _, x in got).encode()
-    return moves, says
+class Machine:
+    """What each letter makes of each state, and what it says in it."""
 
+    def __init__(self, states: Sequence[tuple], letters: str, step: Callable[[tuple, str], tuple[tuple, str]]) -> None:
+        self.states, self.at = states, {s: k for k, s in enumerate(states)}
+        self.moves, self.says = {}, {}
+        for letter in letters:
+            got = [step(s, letter) for s in states]
+            self.moves[letter] = bytes([self.at[s] for s, _ in got]) + bytes(256 - len(states))
+            self.says[letter] = "".join(x or "-" for _, x in got).encode()
+        #: Letters that can begin an entry.
+        self.entries = "".join(x for x in letters if b"e" in self.says[x])
 
-MOVES, SAYS = _tables()
 
+SECTIONS = Machine(STATES, LETTERS, step)
 
-def roles(lines: DataFrame) -> DataFrame:
+
+def roles(lines: DataFrame, machine: Machine = SECTIONS) -> DataFrame:
     """Lines (doc_id, line_no, letter, begins: the state's number at the document's start, further columns) that are entries or go on with one, with
     ``entry``, the line number of the entry. Rows that repeat a document's line number are in no set order."""
+    count, moves, says, entries = len(machine.states), machine.moves, machine.says, machine.entries
     row = F.monotonically_increasing_id()
     order = [F.col("doc_id").cast("string").asc_nulls_first(), F.col("line_no")]
     dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.shiftright(row, 33).cast("int"), "_row": row.bitwiseAND(F.lit((1 << 33) - 1))})
@@ -94,11 +100,11 @@ def roles(lines: DataFrame) -> DataFrame:
                 if now is None or doc != now[2]:
                     # Of the documents of a piece the first and the last may go on elsewhere.
                     made, kin = made + ([now] if now and now[7] == 0 else []), kin + (now is not None)
-                    now = [*of, doc, line, bytes(range(len(STATES))), [-1] * len(STATES), begins, kin]
-                if letter in "TKB":
-                    says = SAYS[letter]
-                    now[5] = [line if says[s] == 101 else at for s, at in zip(now[4], now[5])]
-                now[4] = now[4].translate(MOVES[letter])
+                    now = [*of, doc, line, bytes(range(count)), [-1] * count, begins, kin]
+                if letter in entries:
+                    said = says[letter]
+                    now[5] = [line if said[s] == 101 else at for s, at in zip(now[4], now[5])]
+                now[4] = now[4].translate(moves[letter])
         yield pd.DataFrame([x[:7] for x in made + ([now] if now else [])], columns=["part", "piece", "doc", "line", "moves", "last", "begins"])
 
     doc = F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit("")).alias("_doc")
@@ -121,8 +127,8 @@ def roles(lines: DataFrame) -> DataFrame:
             for k, (piece, _, doc, line, letter, begins) in enumerate(whole(pdf)):
                 if (piece, doc) != now:
                     now, (state, last) = (piece, doc), shared.value.get((*piece, doc), (begins, -1))
-                said = SAYS[letter][state]
-                state = MOVES[letter][state]
+                said = says[letter][state]
+                state = moves[letter][state]
                 if said != 45:
                     last = line if said == 101 else last
                     keep.append(k)
@@ -132,14 +138,14 @@ def roles(lines: DataFrame) -> DataFrame:
     return dealt.select(*(c for c in columns if c != "line_no"), *state_columns).mapInPandas(run, f"{schema}, entry long")
 
 
-def _any(text: Column, patterns: tuple[str, ...]) -> Column:
+def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in patterns:
         out = out | text.rlike(p)
     return out
 
 
-def _day(text: Column) -> Column:
+def day(text: Column) -> Column:
     """Day, month and a year of two or four digits; null if there is no such day."""
     part = F.split(F.replace(text, F.lit("-"), F.lit("/")), "/")
     year = part[2].cast("int")
@@ -153,14 +159,14 @@ def metadata(documents: DataFrame) -> DataFrame:
     account = F.replace(found(ACCOUNT), F.lit(" "), F.lit(""))
     hidden = F.concat(F.repeat(F.lit("X"), F.length(account) - 4), F.right(account, F.lit(4)))
     amount = lambda kind: money.parse_decimal(found(BALANCE.format(kind)))
-    period = lambda g: F.coalesce(*(_day(found(p, g)) for p in PERIODS))
+    period = lambda g: F.coalesce(*(day(found(p, g)) for p in PERIODS))
     return documents.select("doc_id", hidden.alias("account_masked"), period(1).alias("period_start"), period(2).alias("period_end"), amount("Opening").alias("opening_balance"), amount("Closing").alias("closing_balance"))
 
 
-def detected(documents: DataFrame, grammar: Grammar) -> DataFrame:
+def detected(documents: DataFrame, grammar: Grammar | Card | Passbook) -> DataFrame:
     """The documents that are statements of the grammar's bank."""
     text = F.coalesce("text", F.lit(""))
-    yes = ~_any(text, grammar.lacks)
+    yes = ~any_of(text, grammar.lacks)
     for p in grammar.has:
         yes = yes & text.rlike(p)
     return documents.where(yes)
@@ -174,7 +180,7 @@ def rows(documents: DataFrame, grammar: Grammar) -> DataFrame:
     and empty texts have no rows.
     """
     opening = written(metadata(documents).select("doc_id", "opening_balance"), "statement-openings")
-    lines = documents.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumns({"line_no": (F.col("line_no") + 1).cast("long"), "line": F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))})
+    lines = text_lines(documents)
     line, shapes = F.col("line"), grammar.shapes
     fits = F.coalesce(*(F.when(line.rlike(p), F.lit(k)) for k, (_, p, _) in enumerate(shapes)), F.lit(-1))
     lines = written(lines.withColumn("_shape", fits).join(opening, "doc_id"), "statement-shapes")
@@ -183,7 +189,7 @@ def rows(documents: DataFrame, grammar: Grammar) -> DataFrame:
         return F.coalesce(*(F.when(F.col("_shape") == k, F.nullif(F.regexp_extract("line", p, g[n]), F.lit(""))) for k, (_, p, g) in enumerate(shapes) if g[n]), F.lit(None).cast("string"))
 
     cash = lambda n: money.parse_decimal(field(n))
-    named = lines.withColumns({"_day": _day(field(0)), "_posted": _day(field(1)), "_text": field(2), "_debit": cash(3), "_credit": cash(4), "_balance": cash(5), "_mark": F.upper(field(6))})
+    named = lines.withColumns({"_day": day(field(0)), "_posted": day(field(1)), "_text": field(2), "_debit": cash(3), "_credit": cash(4), "_balance": cash(5), "_mark": F.upper(field(6))})
     debit, credit, two = F.coalesce("_debit", F.lit(0)) > 0, F.coalesce("_credit", F.lit(0)) > 0, F.col("_shape").isin([k for k, s in enumerate(shapes) if s[2][4]])
     bad = F.lit("X" if grammar.bad_rows_count else "H")
     row = (
@@ -191,7 +197,7 @@ def rows(documents: DataFrame, grammar: Grammar) -> DataFrame:
         .when(~debit, bad).when(F.col("_balance").isNotNull(), "K").otherwise("T")
     )
     letter = (
-        F.when(line == "", "b").when(_any(line, grammar.starts), "S").when(_any(line, grammar.ends), "E").when(_any(line, grammar.skips), "H")
+        F.when(line == "", "b").when(any_of(line, grammar.starts), "S").when(any_of(line, grammar.ends), "E").when(any_of(line, grammar.skips), "H")
         .when(F.col("_shape") >= 0, row).when(line.rlike("^[0-9]"), "D").otherwise("C")
     )
     begins = F.when(F.col("opening_balance").isNull(), AT[False, None, 0]).otherwise(AT[True, None, 0])
@@ -200,21 +206,31 @@ def rows(documents: DataFrame, grammar: Grammar) -> DataFrame:
     found = written(roles(named.drop("_row")), "statement-roles")
     # Statements without a row in any section: their rows alone count, as if all were one section.
     rest = named.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    alone = (F.length("line") >= 15) & F.col("_row").isin("T", "K", "B") & ~_any(F.col("line"), grammar.skips)
+    alone = (F.length("line") >= 15) & F.col("_row").isin("T", "K", "B") & ~any_of(F.col("line"), grammar.skips)
     inside = F.when(F.col("opening_balance").isNull(), AT[False, False, 0]).otherwise(AT[True, False, 0])
     rest = rest.where(alone).withColumns({"letter": F.col("_row"), "begins": inside}).drop("_row")
     return _entries(found.unionByName(roles(rest)), grammar)
 
 
-def _entries(found: DataFrame, grammar: Grammar) -> DataFrame:
-    own = found.where("line_no = entry")
+def continued(found: DataFrame) -> DataFrame:
+    """The entries of what ``roles`` gives, with ``_more``: the lines that go on with them, in order."""
     more = found.where("line_no <> entry").groupBy("doc_id", "entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("_more"))
-    own = own.join(more, ["doc_id", "entry"], "left")
+    return found.where("line_no = entry").join(more, ["doc_id", "entry"], "left")
+
+
+def text_lines(documents: DataFrame) -> DataFrame:
+    """doc_id, line_no from 1 and the trimmed line of texts that aren't null."""
+    lines = documents.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.withColumns({"line_no": (F.col("line_no") + 1).cast("long"), "line": F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))})
+
+
+def _entries(found: DataFrame, grammar: Grammar) -> DataFrame:
+    own = continued(found)
     last = F.last("_balance", ignorenulls=True).over(W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
     own = own.withColumn("_before", F.coalesce(last, "opening_balance"))
     debit, credit = F.coalesce("_debit", F.lit(0)) > 0, F.coalesce("_credit", F.lit(0)) > 0
     rose = F.col("_balance") >= F.col("_before") if grammar.equal_is_credit else F.col("_balance") > F.col("_before")
-    told = _any(F.upper("_text"), tuple(f"\\Q{w}\\E" for w in grammar.credit_words))
+    told = any_of(F.upper("_text"), tuple(f"\\Q{w}\\E" for w in grammar.credit_words))
     side = (
         F.when(F.col("_mark").isNotNull(), F.col("_mark").isin("CR", "C")).when(credit & ~debit, True).when(credit, F.coalesce(rose, F.lit(False)))
         .when(F.col("_credit").isNotNull(), False).otherwise(F.coalesce(F.col("_balance") > F.col("_before"), told))
