@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import grammars, rules
 from ..functions import classify, dates, text
 from ..operators import balance, documents, extract, insights, intake, matching, reconcile, review
+from ..operators import cards
 from ..operators import statements as statement_texts
 from ..operators import ledger as entries
 from ..sources import seeds
@@ -593,3 +594,89 @@ def _statement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k_statement_rows(spark, sf_dir):
     docs = statement_texts.detected(_statement_texts(spark, sf_dir), grammars.HDFC_SAVINGS)
     return statement_texts.rows(docs, grammars.HDFC_SAVINGS).drop("line_no", "posting_date")
+
+
+def _papers(spark: SparkSession, sf_dir: str, line: Column, head: Column, foot: str, newest_first: bool = False) -> DataFrame:
+    """The ledger, twenty years on, as texts of one user and year: a line or more an entry between head (an aggregate) and foot."""
+    rows = ledger(spark, sf_dir).select("txn_id", "user_id", F.date_add("transaction_date", 7305).alias("day"), "amount", "direction", "merchant_raw").withColumn("doc_id", F.col("user_id") * 10000 + F.year("day"))
+    signed = F.when(F.col("direction") == "credit", F.col("amount")).otherwise(-F.col("amount"))
+    rows = rows.withColumn("balance", (F.sum(signed).over(W.partitionBy("doc_id").orderBy("day", "txn_id")) + F.lit(1_000_000_000)).cast("decimal(14,2)"))
+    lines = F.array_sort(F.collect_list(F.struct("day", "txn_id", line.alias("line"))))
+    lines = F.reverse(lines) if newest_first else lines
+    return rows.groupBy("doc_id").agg(F.concat(head, F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.lit(foot)).alias("text"))
+
+
+PAPERS = "papers AS (SELECT txn_id, user_id, transaction_date + 7305 AS day, amount, direction, merchant_raw, user_id * 10000 + year(transaction_date + 7305) AS doc_id FROM ledger)"
+AS_OF = date(2024, 1, 1)
+
+
+def _every(n: int, text: str) -> Column:
+    return F.when(F.col("txn_id") % n == 0, text).otherwise("")
+
+
+def _hdfc_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credits by a plus sign; two lines go on with every fifth entry, and a page break follows every seventh."""
+    line = F.concat(F.date_format("day", "dd/MM/yyyy | 10:45 "), "merchant_raw", F.when(F.col("direction") == "credit", " +").otherwise(""), F.lit(" C "), F.col("amount").cast("string"), F.lit(" l"), _every(5, "\n  more\n of it"), _every(7, "\n\nPage 2\n"))
+    year, total = (F.col("doc_id") % 10000).cast("string"), F.sum("amount").cast("decimal(14,2)")
+    head = F.concat(
+        F.lit("HDFC Bank\nCredit Card Statement\nCard No: 5268 12XX XXXX "), F.lpad((F.floor(F.col("doc_id") / 10000) % 10000).cast("string"), 4, "0"), F.lit("\nStatement Date: 15/06/"), year, F.lit("\nTotal Dues: Rs. "), total.cast("string"),
+        F.lit("\nMinimum Amount Due: "), F.max("amount").cast("string"), F.lit("\nPayment Due Date: 05 July, "), year, F.lit("\nDomestic Transactions\n"),
+    )
+    return statement_texts.detected(_papers(spark, sf_dir, line, head, "\nRewards Program\n01/01/2024 NOT A ROW 1.00"), grammars.HDFC_CARD)
+
+
+@query(with_(LEDGER, PAPERS, select="SELECT doc_id, day AS transaction_date, merchant_raw || CASE WHEN txn_id % 5 = 0 THEN ' more of it' ELSE '' END AS description, amount, direction FROM papers"))
+def k_hdfc_card_rows(spark, sf_dir):
+    return cards.rows(_hdfc_cards(spark, sf_dir), grammars.HDFC_CARD, AS_OF).drop("line_no")
+
+
+@query(with_(LEDGER, PAPERS, "d AS (SELECT doc_id, any_value(user_id) AS u, doc_id % 10000 AS y, sum(amount) AS total, max(amount) AS most, min(day) AS a, max(day) AS b FROM papers GROUP BY doc_id)", select="""
+    SELECT doc_id, 'XXXX XXXX XXXX ' || lpad((u % 10000)::VARCHAR, 4, '0') AS account_masked, least(make_date(y, 6, 15) - 30, a) AS period_start, greatest(make_date(y, 6, 15), b) AS period_end, make_date(y, 7, 5) AS due_date,
+        total::DECIMAL(14,2) AS total_due, most::DECIMAL(14,2) AS minimum_due FROM d"""))
+def k_hdfc_card_summary(spark, sf_dir):
+    """Only the day of the statement is told, so its period is thirty days, widened to its rows."""
+    docs = _hdfc_cards(spark, sf_dir)
+    meta = cards.metadata(docs, grammars.HDFC_CARD, AS_OF)
+    return cards.widened(meta, cards.rows(docs, grammars.HDFC_CARD, AS_OF)).select("doc_id", "account_masked", "period_start", "period_end", "due_date", "total_due", "minimum_due")
+
+
+@query(with_(LEDGER, PAPERS, select="SELECT doc_id, day AS transaction_date, merchant_raw || CASE WHEN txn_id % 5 = 0 THEN ' more' ELSE '' END AS description, amount, direction FROM papers"))
+def k_sbi_card_rows(spark, sf_dir):
+    """A second line goes on with every fifth entry, a third one doesn't; after every eleventh the section ends, and another begins."""
+    line = F.concat(F.date_format("day", "dd MMM yy "), "merchant_raw", F.lit(" "), F.col("amount").cast("string"), F.when(F.col("direction") == "credit", " Cr").otherwise(""), _every(5, "\nmore\nthan one"), _every(7, "\nSBI Card Page 2"), _every(11, "\nReward Summary\n01 Jan 24 NOT A ROW 1.00\nNew Transactions"))
+    docs = statement_texts.detected(_papers(spark, sf_dir, line, F.lit("SBI Card Statement\nTransaction Details\n"), "\nAccount Summary\n01 Jan 24 NOT A ROW 1.00"), grammars.SBI_CARD)
+    return cards.rows(docs, grammars.SBI_CARD, AS_OF).drop("line_no")
+
+
+@query(with_(LEDGER, PAPERS, select="SELECT doc_id, day AS transaction_date, merchant_raw || CASE WHEN txn_id % 5 = 0 THEN ' more' ELSE '' END AS description, amount, direction FROM papers"))
+def k_axis_card_rows(spark, sf_dir):
+    """Every third entry has a cashback of its own."""
+    mark = F.when(F.col("direction") == "credit", " Cr").otherwise(" Dr")
+    line = F.concat(F.date_format("day", "dd-MMM-yyyy "), "merchant_raw", F.lit(" "), F.col("amount").cast("string"), mark, _every(3, " 1.00 Cr"), _every(5, "\nmore\nthan one"), _every(7, "\n\nPage 2"))
+    docs = statement_texts.detected(_papers(spark, sf_dir, line, F.lit("Axis Bank\nCard Statement\n"), "\nEnd of Statement\nno more"), grammars.AXIS_CARD)
+    return cards.rows(docs, grammars.AXIS_CARD, AS_OF).drop("line_no")
+
+
+def _passbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest first; neither sides nor an opening balance are told."""
+    line = F.concat(F.date_format("day", "dd-MM-yyyy dd-MM-yyyy "), "merchant_raw", F.lit(" "), F.col("amount").cast("string"), F.lit(" "), F.col("balance").cast("string"), F.lit("Cr"), _every(5, "\nmore"), _every(7, "\n\nPage 2"))
+    head = F.lit("Bank of Baroda\nTRAN DATE VALUE DATE NARRATION CHQ.NO. WITHDRAWAL(DR) DEPOSIT(CR) BALANCE(INR)\n")
+    return statement_texts.detected(_papers(spark, sf_dir, line, head, "\nTotal 1", newest_first=True), grammars.BOB_SAVINGS)
+
+
+#: Rows in the order in which the extractor takes them for chronological: as written (newest first) where all are of one day, else turned round.
+PASSBOOKS = f"""{PAPERS}, p AS (SELECT *, merchant_raw || CASE WHEN txn_id % 5 = 0 THEN ' more' ELSE '' END AS description, (1000000000 + sum(CASE WHEN direction = 'credit' THEN amount ELSE -amount END) OVER (PARTITION BY doc_id ORDER BY day, txn_id))::DECIMAL(14,2) AS balance,
+        row_number() OVER (PARTITION BY doc_id ORDER BY day, txn_id) * CASE WHEN min(day) OVER (PARTITION BY doc_id) < max(day) OVER (PARTITION BY doc_id) THEN 1 ELSE -1 END AS place FROM papers),
+    q AS (SELECT *, balance - lag(balance) OVER (PARTITION BY doc_id ORDER BY place) AS moved FROM p),
+    found AS (SELECT doc_id, place, day AS transaction_date, description, amount, balance, CASE WHEN CASE WHEN abs(abs(moved) - amount) <= 0.02 THEN moved > 0 ELSE regexp_matches(upper(description), 'INT[.]PD|INTEREST|CLOSURE PROCEEDS|SALARY|GIFT|REFUND') END THEN 'credit' ELSE 'debit' END AS direction FROM q)"""
+
+
+@query(with_(LEDGER, PASSBOOKS, select="SELECT doc_id, transaction_date, transaction_date AS posting_date, description, amount, direction, balance FROM found"))
+def k_passbook_rows(spark, sf_dir):
+    return cards.passbook_rows(_passbooks(spark, sf_dir), grammars.BOB_SAVINGS).drop("line_no", "place", "reference")
+
+
+@query(with_(LEDGER, PASSBOOKS, select="SELECT doc_id, arg_min(balance - CASE WHEN direction = 'credit' THEN amount ELSE -amount END, place)::DECIMAL(14,2) AS opening_balance, arg_max(balance, place) AS closing_balance FROM found GROUP BY doc_id"))
+def k_passbook_balances(spark, sf_dir):
+    docs = _passbooks(spark, sf_dir)
+    return cards.passbook_metadata(docs, grammars.BOB_SAVINGS, cards.passbook_rows(docs, grammars.BOB_SAVINGS)).select("doc_id", "opening_balance", "closing_balance")
