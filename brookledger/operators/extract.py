@@ -125,7 +125,7 @@ def tax_document_fields(documents: DataFrame, as_of: date) -> DataFrame:
     """
     kind, text = F.lower(F.trim(F.coalesce("doc_type", F.lit("")))), F.coalesce("text", F.lit(""))
     capture = f"({rules.PLAIN_AMOUNT})"
-    number = lambda p: F.abs(money.parse_inr(F.nullif(F.regexp_extract(text, "(?i)" + p.replace("@", capture), 1), F.lit(""))))
+    number = lambda p: F.abs(money.parse_inr(F.nullif(F.regexp_extract(text, "(?i)" + p, 1), F.lit(""))))
     group = lambda p: F.nullif(F.trim(F.regexp_extract(text, "(?i)" + p, 1)), F.lit(""))
     total = lambda words: sum((F.aggregate(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i){re.escape(w)}[^0-9]{{0,25}}{capture}"), F.lit(1)), lambda x: money.parse_inr(x)), F.lit(0.0), lambda a, x: a + F.coalesce(F.abs(x), F.lit(0.0))) for w in words), F.lit(0.0))
     none, zero = F.lit(None), F.lit(0.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import grammars, rules
 from ..functions import classify, dates, text
 from ..operators import balance, documents, extract, insights, intake, matching, reconcile, review
-from ..operators import cards
+from ..operators import cards, filing
 from ..operators import statements as statement_texts
 from ..operators import ledger as entries
 from ..sources import seeds
@@ -680,3 +680,55 @@ def k_passbook_rows(spark, sf_dir):
 def k_passbook_balances(spark, sf_dir):
     docs = _passbooks(spark, sf_dir)
     return cards.passbook_metadata(docs, grammars.BOB_SAVINGS, cards.passbook_rows(docs, grammars.BOB_SAVINGS)).select("doc_id", "opening_balance", "closing_balance")
+
+
+def _said(text: str, phrases: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {quoted(p)})" for p in phrases) + ")"
+
+
+def _points(text: str, phrases: Sequence[str]) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains({text}, {quoted(p)}) THEN {3 if len(p.split()) >= 3 else 2} ELSE 0 END" for p in phrases) + ")"
+
+
+#: A user's months as uploads: what the shop names and banks say is their text, every second from behind the fortieth line on.
+UPLOADS = """m AS (SELECT user_id, strftime(transaction_date, '%Y-%m') AS ym, transaction_date, txn_id, merchant_raw, bank_name, account_type FROM ledger),
+u AS (SELECT user_id || '-' || ym AS upload_id, user_id, count(*) AS n, replace(max(account_type), '_', '-') || ' statement_' || ym || ['.pdf', '.PDF', '.csv', '.doc'][(count(*) % 4)::INT + 1] AS file_name, CASE WHEN count(*) % 5 < 3 THEN max(bank_name) END AS bank_hint,
+    CASE WHEN count(*) % 2 = 1 THEN repeat(chr(10), 45) ELSE '' END || string_agg(merchant_raw, chr(10) ORDER BY transaction_date, txn_id) || CASE WHEN count(*) % 3 = 0 THEN chr(10) || 'Card Number' || chr(10) || 'Total Amount Due' || chr(10) || 'Payment due_date' ELSE '' END AS text FROM m GROUP BY user_id, ym),
+t AS (SELECT *, regexp_replace(lower(file_name || ' ' || text), '[-_/\\\\]', ' ', 'g') AS t FROM u),
+l AS (SELECT *, string_split(t, chr(10)) AS lines FROM t)"""
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger(spark, sf_dir).withColumn("ym", F.date_format("transaction_date", "yyyy-MM"))
+    n = F.count("*")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("transaction_date", "txn_id", "merchant_raw"))), lambda x: x["merchant_raw"]), "\n")
+    return rows.groupBy("user_id", "ym").agg(
+        F.concat_ws("-", "user_id", "ym").alias("upload_id"), F.concat(F.translate(F.max("account_type"), "_", "-"), F.lit(" statement_"), F.col("ym"), F.element_at(F.array(*map(F.lit, (".pdf", ".PDF", ".csv", ".doc"))), (n % 4 + 1).cast("int"))).alias("file_name"),
+        F.when(n % 5 < 3, F.max("bank_name")).alias("bank_hint"), F.concat(F.when(n % 2 == 1, "\n" * 45).otherwise(""), said, F.when(n % 3 == 0, "\nCard Number\nTotal Amount Due\nPayment due_date").otherwise("")).alias("text"),
+    ).withColumns({"document_type_hint": F.lit(None).cast("string"), "account_type_hint": F.lit(None).cast("string")})
+
+
+def _kinds() -> str:
+    """The rules as SQL, first to last."""
+    h, r = "h", rules
+    invests = f"({_said(h, r.INVESTMENT_PHRASES)} OR regexp_matches(h, {quoted(r.INVESTMENT_WORDS)}))"
+    cases = [
+        ("suffix NOT IN ('pdf', 'csv')", "unsupported"), (f"suffix = 'csv' AND {_said('t', r.SHEET_TRADES)}", "demat_trade_report"), (f"suffix = 'csv' AND {_said('t', r.SHEET_GAINS)}", "demat_tax_report"),
+        (f"suffix = 'csv' AND {_said('t', r.SHEET_HOLDINGS)}", "demat_holdings"), ("suffix = 'csv'", "spreadsheet"), (_said(h, r.PPF_PHRASES), "ppf_statement"), (_said(h, r.CHALLAN_PHRASES), "tax_challan"),
+        (f"{_said(h, r.FORM16_PHRASES)} OR {_said(h, r.FORM12BB_PHRASES)}", "tax_form"), (r"contains(h, 'fixed deposit') OR regexp_matches(h, '\bfd\b')", "fd_report"),
+        (f"{_said(h, r.CERTIFICATE_PHRASES)} OR (contains(h, 'certificate') AND {_said(h, r.CERTIFICATE_WORDS)})", "interest_certificate"), (f"{invests} AND {_said(h, r.HOLDING_PHRASES)}", "demat_holdings"),
+        (f"{invests} AND {_said(h, r.GAIN_PHRASES)}", "demat_tax_report"), (f"{invests} AND {_said(h, r.TRADE_PHRASES)}", "demat_trade_report"), (f"{invests} AND contains(h, 'dividend')", "dividend_report"), (invests, "demat_holdings"),
+        (_said(h, r.BARE_GAIN_PHRASES), "demat_tax_report"), (_said(h, r.BARE_HOLDING_PHRASES), "demat_holdings"), ("card >= 8 AND card >= acct + 2", "credit_card_statement"), ("acct >= 8 AND acct >= card + 2", "bank_statement"),
+        ("bank_hint IS NOT NULL AND card >= 6 AND card > acct", "credit_card_statement"), ("bank_hint IS NOT NULL AND acct >= 6", "bank_statement"),
+        (f"bank_hint IS NOT NULL AND {_said(h, r.CARD_NAMES)}", "credit_card_statement"), (f"bank_hint IS NOT NULL AND {_said(h, r.BANK_NAMES)}", "bank_statement"),
+    ]
+    return "CASE " + " ".join(f"WHEN {c} THEN {quoted(k)}" for c, k in cases) + " ELSE 'unknown_pdf' END"
+
+
+@query(with_(LEDGER, UPLOADS,
+    "e AS (SELECT *, list_position(list_transform(lines, lambda x: " + _said("trim(regexp_replace(x, '\\s+', ' ', 'g'))", rules.HEADING_ENDS) + "), true) AS ends FROM l)",
+    "h AS (SELECT *, lower(regexp_extract(file_name, '[.]([^.]+)$', 1)) AS suffix, substr(array_to_string(lines[1:CASE WHEN ends > 0 THEN least(ends - 1, 40) ELSE 40 END], chr(10)), 1, 2500) AS h, "
+    + _points("t", rules.CARD_PHRASES) + " AS card, " + _points("t", rules.BANK_PHRASES) + " + CASE WHEN contains(t, 'statement') THEN 1 ELSE 0 END AS acct FROM e)",
+    select="SELECT upload_id, file_name, " + _kinds() + " AS doc_type FROM h"))
+def i12_upload_kinds(spark, sf_dir):
+    return filing.classified(_uploads(spark, sf_dir)).select("upload_id", "file_name", "doc_type")

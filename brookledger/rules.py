@@ -198,6 +198,11 @@ ACCOUNT_TYPE_ALIASES = {
     "auto": ("AUTO", "AUTO_DETECT"), "bank_account": ("BANK_ACCOUNT", "BANK STATEMENT", "BANK_STATEMENT", "SAVING", "SAVINGS", "CURRENT"),
     "credit_card": ("CREDIT_CARD", "CREDIT CARD", "CC"),
 }
+HEAD_RULES = (
+    (("public provident fund", "ppf account"), "ppf"), (("challan", "self assessment tax receipt"), "tax_challan"), (("form no. 16", "form 16", "form no 16"), "tax_form"),
+    (("fixed deposit advice", "fixed deposit receipt"), "fixed_deposit"), (("interest certificate",), "interest_certificate"), (("dividend",), "dividend_report"),
+    (("consolidated account statement", "mutual fund statement"), "investment"),
+)
 CARD_CUES = ("credit card", "card statement", "total amount due", "minimum amount due", "payment due date", "credit limit", "available limit", "card no")
 BANK_CUES = ("account statement", "savings account", "current account", "available balance", "closing balance", "opening balance", "withdrawal", "deposit", "cheque", "passbook")
 
@@ -276,24 +281,25 @@ ROW_CHUNK, ROW_OVERLAP = 120, 8
 SETTABLE_NATURES = ("expense", "income", "transfer_internal", "refund", "investment", "tax")
 SMALL_MODEL_TASKS = ("statement_classification", "transfer_classification", "document_classification", "integrity_review", "correction_chat")
 
-# --- Fields of tax documents by type. Patterns without regard to case, in order; @ stands for an amount.
+# --- Fields of tax documents by type. Patterns without regard to case, in order. An amount follows what leads to it.
+NEAR_AMOUNT = rf"[^0-9]{{0,25}}({PLAIN_AMOUNT})"
 AMOUNT_FIELDS = {
     "interest_certificate": {
-        "interest_amount": (r"total\s+interest[^0-9]{0,25}@", r"interest\s+(?:paid|credited|accrued|income|amount)[^0-9]{0,25}@", r"interest[^0-9]{0,10}@"),
-        "tds_amount": (r"total\s+tds[^0-9]{0,25}@", r"tds\s+(?:deducted|amount|u/s)?[^0-9]{0,25}@"),
+        "interest_amount": (r"total\s+interest" + NEAR_AMOUNT, r"interest\s+(?:paid|credited|accrued|income|amount)" + NEAR_AMOUNT, r"interest[^0-9]{0,10}(" + PLAIN_AMOUNT + ")"),
+        "tds_amount": (r"total\s+tds" + NEAR_AMOUNT, r"tds\s+(?:deducted|amount|u/s)?" + NEAR_AMOUNT),
     },
     "tax_challan": {
-        "tax_paid_amount": (r"(?:challan|tax)\s+(?:amount|paid|payment)[^0-9]{0,25}@", r"total\s+(?:amount\s+paid|tax\s+paid)[^0-9]{0,25}@", r"amount\s+paid[^0-9]{0,25}@"),
+        "tax_paid_amount": (r"(?:challan|tax)\s+(?:amount|paid|payment)" + NEAR_AMOUNT, r"total\s+(?:amount\s+paid|tax\s+paid)" + NEAR_AMOUNT, r"amount\s+paid" + NEAR_AMOUNT),
     },
     "ppf_statement": {
-        "opening_balance": (r"opening\s+balance[^0-9]{0,25}@",),
-        "closing_balance": (r"closing\s+balance[^0-9]{0,25}@", r"balance\s+as\s+on[^0-9]{0,25}@"),
-        "interest_amount": (r"interest\s+(?:credited|deposited|amount)[^0-9]{0,25}@", r"interest[^0-9]{0,12}@"),
-        "contribution_amount": (r"(?:subscription|deposit|contribution)[^0-9]{0,25}@", r"total\s+deposits?[^0-9]{0,25}@"),
+        "opening_balance": (r"opening\s+balance" + NEAR_AMOUNT,),
+        "closing_balance": (r"closing\s+balance" + NEAR_AMOUNT, r"balance\s+as\s+on" + NEAR_AMOUNT),
+        "interest_amount": (r"interest\s+(?:credited|deposited|amount)" + NEAR_AMOUNT, r"interest[^0-9]{0,12}(" + PLAIN_AMOUNT + ")"),
+        "contribution_amount": (r"(?:subscription|deposit|contribution)" + NEAR_AMOUNT, r"total\s+deposits?" + NEAR_AMOUNT),
     },
     "tax_form": {
-        "gross_salary": (r"gross\s+salary[^0-9]{0,25}@", r"salary[^0-9]{0,25}@"),
-        "tds_amount": (r"tax\s+deducted\s+at\s+source[^0-9]{0,25}@", r"tds[^0-9]{0,25}@"),
+        "gross_salary": (r"gross\s+salary" + NEAR_AMOUNT, r"salary" + NEAR_AMOUNT),
+        "tds_amount": (r"tax\s+deducted\s+at\s+source" + NEAR_AMOUNT, r"tds" + NEAR_AMOUNT),
     },
 }
 #: Words before amounts that are added up.
@@ -318,3 +324,42 @@ TEXT_FIELDS = {
 CHALLAN_DATES = ("challan date", "date of deposit", "payment date", "date")
 NEAR_DATE = r"[^0-9A-Za-z]{0,8}([0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}|[0-9]{1,2}\s+[A-Za-z]{3,9}\s+[0-9]{2,4})"
 FINANCIAL_YEAR = r"\b(?:FY|F\.Y\.|Financial Year)\s*[:\-]?\s*([0-9]{4}\s*[-/]\s*[0-9]{2,4})\b"
+
+# --- Kinds of documents by what their heading says. Phrases of lower-case text in which _ - / \\ are spaces; the first rule that holds counts.
+HEADING_ENDS = ("txn date", "transaction details", "value date", "debit credit balance", "date narration", "date particulars", "date description")
+HEADING_LINES, HEADING_CHARS = 40, 2500
+PPF_PHRASES = ("ppf statement", "public provident fund", "ppf account", " ppf ")
+CHALLAN_PHRASES = (
+    "direct tax payment acknowledgement", "income tax challan", "challan receipt", "challanreceipt", "challan no", "cin no", "bsr code", "tax paid", "e-pay tax", "tax payment receipt",
+)
+FORM16_PHRASES = ("form16", "form-16", "form no. 16", "parta", "part a", "partb", "part b")
+FORM12BB_PHRASES = ("form12bb", "12bb")
+CERTIFICATE_PHRASES = ("tds certificate", "interest certificate")
+CERTIFICATE_WORDS = ("total interest", "interest credited", "interest paid", "interest amount", "interest accrued", "tds deducted", "tds amount")
+INVESTMENT_PHRASES = (
+    "mutual fund", "cams", "kfin", "groww", "zerodha", "demat", "portfolio", "holdings", "consolidated account statement", "capital gains", "dividend", "statement of holdings",
+)
+INVESTMENT_WORDS = r"\b(?:cas|coin|nse|bse)\b"
+HOLDING_PHRASES = (
+    "investment portfolio", "consolidated investment portfolio", "valuation report", "mutual fund summary", "demat holdings", "statement of holdings", "current amount", "holdings as on", "asset composition",
+)
+GAIN_PHRASES = ("capital gains", "stcgt", "ltcgt", "gain/loss", "tax report")
+TRADE_PHRASES = ("trade", "contract note", "order history", "f&o", "fno", "p&l", "pnl")
+BARE_GAIN_PHRASES = ("capital gains", "stcgt", "ltcgt", "p&l", "pnl")
+BARE_HOLDING_PHRASES = ("holdings", "balance statement")
+CARD_PHRASES = (
+    "credit card statement", "credit card no", "card number", "minimum amount due", "total amount due", "payment due date", "credit limit", "available limit", "card statement", "cc statement", "cc stmt",
+    "card account", "cash limit", "cash advance", "card ending",
+)
+BANK_PHRASES = (
+    "savings account", "current account", "account statement", "passbook", "opening balance", "closing balance", "available balance", "ifsc", "branch", "account number", "a/c no", "a/c number", "upi/",
+    "neft", "rtgs", "imps", "debit", "credit", "withdrawal", "deposit",
+)
+CARD_NAMES = ("credit card statement", "card statement", "cc statement", "cc stmt")
+BANK_NAMES = ("account statement", "savings account", "current account", "passbook")
+SHEET_TRADES = (
+    "global transaction statement", "charges account head amount", "buy quantity", "sell quantity", "buy value", "sell value", "tradebook", "trade book", "order history", "f&o", "fno",
+    "equity from", "mutual funds from", "commodity from", "currency from", "segment",
+)
+SHEET_GAINS = ("capital gains", "stcgt", "ltcgt", "tax report", "gain/loss")
+SHEET_HOLDINGS = ("holdings", "holding", "valuation report", "mutual fund summary", "current amount", "invested amount", "portfolio", "stocks", "mutual funds")
