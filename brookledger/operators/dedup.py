@@ -62,6 +62,14 @@ def insert_counts(rows: DataFrame, inserted: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("rows")).crossJoin(inserted.agg(F.count("*").alias("inserted"))).withColumn("duplicates", F.col("rows") - F.col("inserted"))
 
 
+def line_counts(lines: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str], valid: Column) -> tuple[DataFrame, DataFrame]:
+    """The lines that go in, and one row: how many did, repeat an earlier or existing line, or aren't valid (null counts as not)."""
+    good = F.coalesce(valid, F.lit(False))
+    fresh = new_rows(lines.where(good), existing, keys, order)
+    counts = lines.agg(F.count_if(good).alias("_good"), F.count_if(~good).alias("skipped_invalid")).crossJoin(fresh.agg(F.count("*").alias("inserted")))  # a row each
+    return fresh, counts.select("inserted", (F.col("_good") - F.col("inserted")).alias("skipped_duplicate"), "skipped_invalid")
+
+
 def reimported(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows whose weak signature stands in an earlier statement of the same file or the same fingerprint."""
     a = rows.withColumn("_sig", reimport_signature())

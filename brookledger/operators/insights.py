@@ -165,6 +165,12 @@ def subscriptions(patterns: DataFrame, as_of: date) -> DataFrame:
     )
 
 
+def subscription_order(overview: DataFrame) -> DataFrame:
+    """The overview with each subscription's ``place`` among its user's: overdue ones first, then by days left and name."""
+    order = [F.when(F.col("status") == "overdue", 0).otherwise(1), F.col("days_left").asc_nulls_last(), F.col("merchant")]
+    return overview.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(*order)))
+
+
 def subscription_totals(overview: DataFrame) -> DataFrame:
     return overview.groupBy("user_id").agg(F.count("*").alias("subscriptions"), F.round(F.sum("annual_cost"), 2).alias("annual_cost"), F.count_if(F.col("status") == "overdue").alias("overdue"), F.count_if(F.col("status") == "upcoming").alias("upcoming"))
 

@@ -28,6 +28,19 @@ def validate(raw: DataFrame, as_of: date, least_year: int = 2010) -> DataFrame:
     return raw.withColumns(classify.validated(as_of, least_year))
 
 
+def raw_rows(extracted: DataFrame, source: str, page_number: int = 1) -> DataFrame:
+    """Extracted rows (statement_id, line_number, transaction_date, description, amount, direction, confidence) as the texts that ``validate`` reads.
+
+    Confidences are clamped to 0 and 1, null counts as 0, and so does a null line; other nulls are empty texts.
+    """
+    told = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return extracted.select(
+        "statement_id", told(F.date_format("transaction_date", "dd/MM/yyyy")).alias("date_raw"), told(F.col("description")).alias("description_raw"), told(F.col("amount")).alias("amount_raw"), F.lit(None).cast("string").alias("balance_raw"),
+        told(F.col("direction")).alias("txn_type_raw"), F.lit(page_number).alias("page_number"), F.coalesce("line_number", F.lit(0)).cast("int").alias("char_offset"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)))).alias("confidence"), F.lit(source).alias("source"),
+    )
+
+
 def promote(validated: DataFrame, existing: DataFrame, statements: DataFrame) -> Promotion:
     """Validated rows (statement_id, seq, user_id, account_masked, account_type, source, confidence, ...) become entries.
 
@@ -90,12 +103,15 @@ def split(ledger: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def updated(ledger: DataFrame, ids: DataFrame, changes: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:
-    """The ledger with ``changes`` made to the rows in ``ids``, and an audit row for each field that changed."""
+    """The ledger with ``changes`` made to the rows in ``ids``, and an audit row for each field that changed. A row whose category is set has it from the
+    user: its category_source, where the ledger has one, says so without an audit row."""
     hit = F.coalesce("_hit", F.lit(False))
     marked = ledger.join(ids.select("txn_id").distinct().withColumn("_hit", F.lit(True)), "txn_id", "left")
     new: dict[str, Column] = {c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()}
     audit = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("old_value"), F.lit(v).cast("string").alias("new_value")) for c, v in changes.items()))
     log = marked.where("_hit").select("txn_id", F.explode(audit).alias("a")).select("txn_id", "a.*").where("NOT (old_value <=> new_value)")
+    if "category_source" in ledger.columns and {"category_id", "category_name"} & set(changes):
+        new["category_source"] = F.when(hit, F.lit("user")).otherwise(F.col("category_source"))
     return marked.withColumns(new).select(ledger.columns), log
 
 
@@ -132,6 +148,12 @@ def pending_reviews(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("user_id").agg(F.count_if(F.col("status") == "open").alias("pending"))
 
 
+def pending_messages(threads: DataFrame, path: str = "$.pending") -> DataFrame:
+    """Sum of an integer inside the threads' JSON (user_id, is_active, context), of active ones; 0 where there is none or it can't be read."""
+    number = F.get_json_object("context", path).try_cast("int")
+    return threads.groupBy("user_id").agg(F.coalesce(F.sum(F.when(F.col("is_active"), number)), F.lit(0)).cast("long").alias("pending"))
+
+
 def savings_accounts(statements: DataFrame, ledger: DataFrame) -> DataFrame:
     """Accounts that statements or the ledger know, with how many of each."""
     kinds = ("savings", "current", "salary")

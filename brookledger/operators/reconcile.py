@@ -138,6 +138,32 @@ def action_items(facts: DataFrame) -> DataFrame:
     return facts.select("user_id", F.explode(F.when(F.size(found) > 0, found).otherwise(ok)).alias("i")).select("user_id", "i.*")
 
 
+def checklist_facts(people: DataFrame, ais: DataFrame, f26as: DataFrame, form16: DataFrame, summaries: DataFrame, coverage: DataFrame, ledger: DataFrame, fy: str, first: date, last: date) -> DataFrame:
+    """The facts of ``checklist`` for each user_id of ``people``, counted from lines of the portal (ais: user_id, fy, category; f26as: user_id, fy, section),
+    of salary forms (user_id, fy), summaries (user_id, fy, document_type), statement periods (user_id) and the ledger.
+
+    Each table is aggregated by user before it meets the others; users without lines have zeros.
+    """
+    year = F.col("fy") == fy
+    told = lambda kind: F.count_if(F.col("document_type") == kind)
+    parts = (
+        ais.where(year).groupBy("user_id").agg(F.count("*").alias("_ais"), F.count_if(F.col("category") == "salary").alias("_salary"), F.count_if(F.col("category") == "securities_sold").alias("_sold"), F.count_if(F.col("category") == "interest").alias("_interest")),
+        f26as.where(year).groupBy("user_id").agg(F.count("*").alias("_26as"), F.count_distinct(F.when(F.col("section").isin(*rules.FORM16A_SECTIONS), F.col("section"))).alias("_sections")),
+        form16.where(year).groupBy("user_id").agg(F.count("*").alias("_16")),
+        summaries.where(year).groupBy("user_id").agg(told("ais").alias("_s_ais"), told("form_26as").alias("_s_26as"), told("form_16").alias("_s_16")),
+        coverage.groupBy("user_id").agg(F.count("*").alias("coverage_rows")),
+        ledger.where(~F.col("is_excluded") & F.col("transaction_date").between(F.lit(first), F.lit(last))).groupBy("user_id").agg(F.count("*").alias("ledger_rows")),
+    )
+    out = people.select("user_id").distinct()
+    for p in parts:
+        out = out.join(p, "user_id", "left")
+    c = lambda n: F.coalesce(F.col(n), F.lit(0))
+    return out.select(
+        "user_id", (c("_ais") + c("_s_ais") > 0).alias("has_ais"), (c("_26as") + c("_s_26as") > 0).alias("has_26as"), (c("_16") + c("_s_16") > 0).alias("has_form16"), (c("_salary") > 0).alias("ais_salary"),
+        (c("_sold") > 0).alias("ais_securities"), c("_interest").alias("ais_interest_lines"), c("_sections").alias("form16a_sections"), c("coverage_rows").alias("coverage_rows"), c("ledger_rows").alias("ledger_rows"),
+    )
+
+
 def checklist(facts: DataFrame) -> DataFrame:
     """What a user still lacks for a return: kind, severity and how much of the evidence speaks for it.
 

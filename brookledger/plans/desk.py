@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import grammars, rules
 from ..functions import classify, dates, text
-from ..operators import balance, documents, extract, insights, intake, matching, reconcile, review
+from ..operators import balance, dedup, documents, extract, insights, intake, matching, reconcile, review
 from ..operators import cards, filing
 from ..operators import statements as statement_texts
 from ..operators import ledger as entries
@@ -732,3 +732,73 @@ def _kinds() -> str:
     select="SELECT upload_id, file_name, " + _kinds() + " AS doc_type FROM h"))
 def i12_upload_kinds(spark, sf_dir):
     return filing.classified(_uploads(spark, sf_dir)).select("upload_id", "file_name", "doc_type")
+
+
+CHECKS = (
+    ("NOT has_ais", "MISSING_AIS", "'block_filing'", "NULL"), ("NOT has_26as", "MISSING_26AS", "'block_filing'", "NULL"), ("NOT has_form16", "MISSING_FORM_16", "CASE WHEN salary > 0 THEN 'block_filing' ELSE 'warning' END", "NULL"),
+    ("sections > 0", "MISSING_FORM_16A", "'warning'", "sections"), ("sold > 0", "MISSING_CG_DOC", "'warning'", "NULL"), ("interest > 0", "MISSING_INTEREST_CERT", "'info'", "interest"),
+    ("covered = 0", "MISSING_BANK_STATEMENTS", "'warning'", "NULL"), ("covered > 0 AND entries < 10", "LOW_LEDGER_COVERAGE", "'warning'", "NULL"),
+)
+
+
+@query(with_(LEDGER, ROWS, INCOME, """i AS (SELECT * FROM income WHERE fy = '1999-00'),
+    f AS (SELECT p.user_id,
+        EXISTS (FROM i WHERE i.user_id = p.user_id AND (amount > 300000 OR bucket = 'dividend' AND amount > 250000)) AS has_ais,
+        EXISTS (FROM i WHERE i.user_id = p.user_id AND (bucket <> 'salary' AND amount > 350000 OR bucket = 'interest' AND amount > 250000)) AS has_26as,
+        EXISTS (FROM i WHERE i.user_id = p.user_id AND bucket = 'salary' AND amount > 250000) AS has_form16,
+        (SELECT count(*) FROM i WHERE i.user_id = p.user_id AND bucket = 'salary' AND amount > 300000) AS salary, (SELECT count(*) FROM i WHERE i.user_id = p.user_id AND bucket = 'dividend' AND amount > 400000) AS sold,
+        (SELECT count(*) FROM i WHERE i.user_id = p.user_id AND bucket = 'interest' AND amount > 300000) AS interest, (SELECT count(DISTINCT bucket) FROM i WHERE i.user_id = p.user_id AND bucket <> 'salary' AND amount > 350000) AS sections,
+        (SELECT count(*) FROM statements s WHERE s.user_id = p.user_id AND row_count >= 9) AS covered, (SELECT count(*) FROM active a WHERE a.user_id = p.user_id AND a.transaction_date BETWEEN DATE '1999-04-01' AND DATE '2000-03-31') AS entries
+    FROM (SELECT DISTINCT user_id FROM ledger) p)""",
+    select=" UNION ALL ".join(f"SELECT user_id, {quoted(n)} AS kind, {v} AS severity, {e} AS evidence FROM f WHERE {c}" for c, n, v, e in CHECKS)))
+def d19_checklist(spark, sf_dir):
+    """The checklist with its facts counted from lines: income by its amount is on the portal, in forms and in summaries."""
+    rows = ledger(spark, sf_dir)
+    income, over = base.income_rows(rows), lambda n: F.col("amount") > n
+    kind = F.when(F.col("bucket") == "dividend", F.when(over(400000), "securities_sold").otherwise("dividend")).otherwise(F.col("bucket"))
+    summary = F.when(F.col("bucket") == "salary", "form_16").when(F.col("bucket") == "interest", "form_26as").otherwise("ais")
+    section = F.when(F.col("bucket") == "interest", "194A").when(F.col("bucket") == "dividend", "194K").otherwise("192")
+    facts = reconcile.checklist_facts(
+        rows, income.where(over(300000)).withColumn("category", kind), income.where(over(350000) & (F.col("bucket") != "salary")).withColumn("section", section), income.where(over(350000) & (F.col("bucket") == "salary")),
+        income.where(over(250000)).withColumn("document_type", summary), statements(statement_rows(rows)).where("row_count >= 9"), rows, "1999-00", base.FIRST, base.LAST,
+    )
+    return base.longs(reconcile.checklist(facts), "evidence")
+
+
+@query("""SELECT conv_id, count(*) AS pages, count(*) FILTER (t = '') AS empty_pages, count(*) FILTER (low) AS low_pages, count(*) FILTER (t = '') = count(*) OR count(*) FILTER (low) >= greatest(1, count(*) // 2) AS needs_scan FROM (
+    SELECT conv_id, t, length(t) < 60 OR length(regexp_replace(t, '[^\\p{L}]', '', 'g')) / greatest(length(t), 1) < 0.15 AS low FROM (SELECT conv_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM conversations)) GROUP BY conv_id""")
+def h23_unreadable(spark, sf_dir):
+    """Conversations as documents, a page a turn."""
+    return documents.unreadable(table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "doc_id")).withColumnRenamed("doc_id", "conv_id")
+
+
+@query(with_(LEDGER, ROWS, select="SELECT statement_id, txn_id AS char_offset, strftime(transaction_date, '%d/%m/%Y') AS date_raw, amount::VARCHAR AS amount_raw, direction AS txn_type_raw, greatest(0, least(1, length(merchant_raw) / 20 - 1))::DOUBLE AS confidence FROM stmt_rows"))
+def j1_raw_rows(spark, sf_dir):
+    """Confidences by the length of the text, some below 0 or above 1."""
+    rows = statement_rows(ledger(spark, sf_dir)).withColumns({"line_number": F.col("txn_id"), "description": F.col("merchant_raw"), "confidence": F.length("merchant_raw") / 20 - 1})
+    return base.longs(entries.raw_rows(rows, "template").select("statement_id", "char_offset", "date_raw", "amount_raw", "txn_type_raw", "confidence"), "char_offset")
+
+
+@query(with_(LEDGER, "v AS (SELECT *, nature <> 'transfer_internal' AND amount >= 20000 AS good FROM ledger)", "n AS (SELECT DISTINCT user_id, category_name, direction FROM v WHERE good AND year(transaction_date) >= 1998)",
+    "o AS (SELECT DISTINCT user_id, category_name, direction FROM ledger WHERE year(transaction_date) = 1996)", "k AS (SELECT count(*) AS a FROM n WHERE NOT EXISTS (FROM o WHERE o.user_id = n.user_id AND o.category_name IS NOT DISTINCT FROM n.category_name AND o.direction = n.direction))",
+    select="SELECT a AS inserted, count(*) FILTER (good) - a AS skipped_duplicate, count(*) FILTER (good IS NOT TRUE) AS skipped_invalid FROM v, k WHERE year(transaction_date) >= 1998 GROUP BY a"))
+def g7_line_counts(spark, sf_dir):
+    """Lines of later years meet those of 1996; transfers and small amounts aren't valid."""
+    rows = ledger(spark, sf_dir)
+    year = F.year("transaction_date")
+    return dedup.line_counts(rows.where(year >= 1998), rows.where(year == 1996), ["user_id", "category_name", "direction"], ["txn_id"], (F.col("nature") != "transfer_internal") & (F.col("amount") >= 20000))[1]
+
+
+@query()
+def f6_subscription_order(spark, sf_dir):
+    return base.longs(insights.subscription_order(insights.subscriptions(base.e4_patterns(spark, sf_dir), base.AS_OF)).select("user_id", "merchant", "place"), "place")
+
+
+ORACLE_SQL["f6_subscription_order"] = f"SELECT user_id, merchant, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN status = 'overdue' THEN 0 ELSE 1 END, days_left, merchant) AS place FROM ({ORACLE_SQL['j15_subscriptions']})"
+
+
+@query("SELECT user_id, coalesce(sum(TRY_CAST(json_extract_string(props, '$.k') AS INT)) FILTER (event_type <> 'click'), 0)::BIGINT AS pending FROM events GROUP BY user_id")
+def d21_pending_messages(spark, sf_dir):
+    """Events as threads; clicks are closed."""
+    e = table(spark, sf_dir, "events")
+    return entries.pending_messages(e.select("user_id", F.col("props").alias("context"), (F.col("event_type") != "click").alias("is_active")), "$.k")
