@@ -153,7 +153,8 @@ ORACLE_SQL: dict[str, str] = {
         select="SELECT txn_id, user_id, CASE WHEN spike THEN 'category_spike' ELSE 'new_large_merchant' END AS reason, CASE WHEN spike THEN round(mean, 2) END AS expected_mean FROM f WHERE spike OR fresh"),
     "e9_carried_dates": with_(LEDGER, ROWS, select="SELECT txn_id, last_value(CASE WHEN txn_id % 4 <> 0 THEN transaction_date END IGNORE NULLS) OVER (PARTITION BY statement_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS transaction_date FROM stmt_rows"),
     "e10_superseded": with_(LEDGER, select="SELECT txn_id AS statement_id, row_number() OVER w AS version_no, lead(txn_id) OVER w IS NULL AS is_active FROM ledger WINDOW w AS (PARTITION BY user_id, account_masked ORDER BY transaction_date, txn_id)"),
-    "e13_expanded_periods": with_(LEDGER, ROWS, select="SELECT statement_id, least(any_value(s.period_start) + 9, min(transaction_date)) AS period_start, greatest(any_value(s.period_end) - 9, max(transaction_date)) AS period_end FROM statements s JOIN stmt_rows USING (statement_id) GROUP BY statement_id"),
+    "e13_expanded_periods": with_(LEDGER, ROWS, "spans AS (SELECT statement_id, min(transaction_date) AS a, max(transaction_date) AS b FROM stmt_rows GROUP BY statement_id)",
+        select="SELECT statement_id, least(period_start + 9, a) AS period_start, greatest(period_end - 9, b) AS period_end FROM statements JOIN spans USING (statement_id)"),
     "e14_recent_history": "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) GROUP BY conv_id",
     "e15_latest_per_key": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "b1_filtered": with_(LEDGER, select="SELECT txn_id FROM ledger WHERE transaction_date BETWEEN DATE '1998-01-01' AND DATE '1999-12-31' AND bank_name = 'BUILDING' AND direction = 'debit' AND amount BETWEEN 1000 AND 200000 AND (merchant_raw ILIKE '%upi%' OR merchant_normalized ILIKE '%upi%' OR notes ILIKE '%upi%')"),
