@@ -126,12 +126,12 @@ ORACLE_SQL: dict[str, str] = {
     "d16_card_totals": with_(LEDGER, ROWS, select="SELECT statement_id, coalesce(sum(amount) FILTER (direction = 'debit'), 0)::DOUBLE AS debits, coalesce(sum(amount) FILTER (direction = 'credit'), 0)::DOUBLE AS credits FROM stmt_rows WHERE account_type = 'credit_card' GROUP BY ALL"),
     "d20_cashflow": with_(LEDGER, select="SELECT user_id, coalesce(sum(amount) FILTER (direction = 'debit'), 0)::DOUBLE AS debits, coalesce(sum(amount) FILTER (direction = 'credit'), 0)::DOUBLE AS credits FROM active GROUP BY ALL"),
     "d21_pending_count": "SELECT user_id, coalesce(sum(TRY_CAST(json_extract_string(props, '$.k') AS INT)), 0)::BIGINT AS pending FROM events GROUP BY ALL",
-    "e1_balance_walk": with_("RECURSIVE " + LEDGER, ROWS, "n AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY transaction_date, seq) AS k FROM walked)",
-        """w AS (SELECT statement_id, 0::BIGINT AS k, 10000.00::DECIMAL(16,2) AS running, 0::BIGINT AS flagged FROM statements
-            UNION ALL SELECT n.statement_id, n.k, CASE WHEN off THEN balance_after ELSE moved END::DECIMAL(16,2), flagged + CASE WHEN off OR is_credit IS NULL THEN 1 ELSE 0 END FROM (
+    "e1_balance_walk": with_("RECURSIVE " + LEDGER, ROWS, "n AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY transaction_date, seq) AS k, count(*) OVER (PARTITION BY statement_id) AS total FROM walked)",
+        """w AS (SELECT statement_id, 0::BIGINT AS k, 10000.00::DECIMAL(16,2) AS running, 0::BIGINT AS flagged, NULL::BIGINT AS total FROM (SELECT DISTINCT statement_id FROM statements)
+            UNION ALL SELECT n.statement_id, n.k, CASE WHEN off THEN balance_after ELSE moved END::DECIMAL(16,2), flagged + CASE WHEN off OR is_credit IS NULL THEN 1 ELSE 0 END, total FROM (
                 SELECT n.*, w.flagged, w.running + CASE WHEN is_credit IS NULL THEN 0 WHEN is_credit THEN amount ELSE -amount END AS moved, coalesce(balance_after IS NOT NULL AND is_credit IS NOT NULL AND abs(w.running + CASE WHEN is_credit THEN amount ELSE -amount END - balance_after) > 1.00, false) AS off
                 FROM w JOIN n ON n.statement_id = w.statement_id AND n.k = w.k + 1) n)""",
-        select="SELECT w.statement_id, running::DOUBLE AS computed_closing, flagged AS flagged_rows, abs(running - closing_balance) <= 1.00 AS passed FROM w JOIN statements USING (statement_id) WHERE k = row_count"),
+        select="SELECT w.statement_id, running::DOUBLE AS computed_closing, flagged AS flagged_rows, abs(running - closing_balance) <= 1.00 AS passed FROM w JOIN statements USING (statement_id) WHERE k = total"),
     "e2_simple_walk": with_(LEDGER, ROWS, select="SELECT statement_id, c::DOUBLE AS credits, d::DOUBLE AS debits, n AS rows, abs(opening_balance + c - d - closing_balance)::DOUBLE AS gap, abs(opening_balance + c - d - closing_balance) <= 1 AS passed FROM statements JOIN (SELECT statement_id, coalesce(sum(amount) FILTER (direction = 'credit'), 0) AS c, coalesce(sum(amount) FILTER (direction = 'debit'), 0) AS d, count(*) AS n FROM stmt_rows GROUP BY ALL) USING (statement_id)"),
     "e3_directions": with_(LEDGER, ROWS, "o AS (SELECT *, CASE WHEN user_id % 2 = 1 THEN -seq ELSE seq END AS s FROM walked)",
         "p AS (SELECT *, CASE WHEN first_value(transaction_date) OVER w > last_value(transaction_date) OVER w THEN -s ELSE s END AS turned FROM o WINDOW w AS (PARTITION BY statement_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))",
