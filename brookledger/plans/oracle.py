@@ -235,7 +235,7 @@ ORACLE_SQL |= {
     "h24_difficulty": """WITH d AS (SELECT doc_id, length(text)::DOUBLE AS n, length(text) - length(replace(text, chr(10), '')) + 1 AS l, length(regexp_replace(text, '[^|~`\f]', '', 'g'))::DOUBLE AS z FROM documents),
         s AS (SELECT doc_id, 0.75 + least(3.0, n / 14000) + least(2.0, l / 1200.0) + least(1.5, z / greatest(n, 1) * 100 / 3) AS x FROM d)
         SELECT doc_id, round(x::DOUBLE, 4) AS score, CASE WHEN x < 3.5 THEN 'low' WHEN x < 6.5 THEN 'medium' ELSE 'high' END AS band FROM s""",
-    "i11_card_integrity": with_(LEDGER, ROWS, "x AS (SELECT statement_id, total_due::DOUBLE AS due, 10000.0::DOUBLE AS prev, closing_balance::DOUBLE AS closing, row_count, (SELECT coalesce(sum(amount) FILTER (direction = 'debit'), 0) - coalesce(sum(amount) FILTER (direction = 'credit'), 0) FROM stmt_rows r WHERE r.statement_id = s.statement_id)::DOUBLE AS net FROM statements s WHERE account_type = 'credit_card')",
+    "i11_card_integrity": with_(LEDGER, ROWS, "x AS (SELECT statement_id, total_due::DOUBLE AS due, 10000.0::DOUBLE AS prev, closing_balance::DOUBLE AS closing, row_count, (SELECT coalesce(sum(amount) FILTER (direction = 'debit'), 0) - coalesce(sum(amount) FILTER (direction = 'credit'), 0) FROM stmt_rows r WHERE r.statement_id = s.statement_id AND r.account_type = 'credit_card')::DOUBLE AS net FROM statements s WHERE account_type = 'credit_card')",
         select="SELECT statement_id, net AS net_activity, round(abs(due - net), 2) AS due_gap, round(abs(closing - round(prev + net, 2)), 2) AS closing_gap, CASE WHEN abs(due - (prev + net)) <= greatest(500, abs(due) * 0.10) OR abs(due - net) <= greatest(500, abs(due) * 0.10) OR abs(closing - (prev + net)) <= greatest(250, abs(closing) * 0.02) THEN 'ok' ELSE 'review' END AS status FROM x"),
     "c16_reimported": with_(LEDGER, "o AS (SELECT txn_id, 'f' || (txn_id % 900) AS fh, user_id || '|' || strftime(transaction_date, '%Y-%m') AS fp, transaction_date || '|' || (amount * 100)::BIGINT || '|' || substr(upper(merchant_raw), 1, 30) AS sig FROM (SELECT * REPLACE (trim(regexp_replace(regexp_replace(upper(merchant_raw), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS merchant_raw) FROM ledger))",
         "n AS (SELECT txn_id, CASE WHEN txn_id % 2 = 0 THEN fh ELSE 'new' END AS fh, CASE WHEN txn_id % 9 = 0 THEN fp ELSE 'other' END AS fp, sig FROM o WHERE txn_id % 3 = 0)",
