@@ -61,7 +61,9 @@ def promote(validated: DataFrame, existing: DataFrame, statements: DataFrame) ->
             marked = marked.join(old, (F.col("user_id") == F.col("_u")) & (F.col(key) == F.col("_k")) & (F.col("_signed") == F.col("_s")) & (F.col("statement_id") != F.col("_of")), "left_anti")
         new = marked.drop("_signed")
     walks = balance.balance_walk(new.select("statement_id", "seq", "transaction_date", "amount", "is_credit", "balance_after"), statements.where("opening_balance IS NOT NULL AND closing_balance IS NOT NULL"))
-    entries = new.join(walks.select("statement_id", F.col("passed").alias("walk_passed"), F.col("problem_seqs").alias("_problems")), "statement_id", "left").withColumn("nature", classify.nature(F.col("merchant_raw"), F.col("direction"), F.col("account_type")))
+    # Statements of several accounts may share an id and its rows: these pass if all of them do, and none comes twice.
+    walked = walks.groupBy("statement_id").agg(F.min("passed").alias("walk_passed"), F.flatten(F.collect_list("problem_seqs")).alias("_problems"))
+    entries = new.join(walked, "statement_id", "left").withColumn("nature", classify.nature(F.col("merchant_raw"), F.col("direction"), F.col("account_type")))
     reasons = classify.review_reasons(F.col("confidence"), F.col("source"), F.col("amount"), F.col("walk_passed"), F.col("validation_status"))
     outlier = F.coalesce(F.array_contains("_problems", F.col("seq").cast("long")), F.lit(False))
     entries = entries.withColumn("review_reasons", F.when(outlier, F.array_append(reasons, "balance_walk_outlier")).otherwise(reasons)).drop("_problems")

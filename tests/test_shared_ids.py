@@ -20,7 +20,7 @@ def shared(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ("e13_expanded_periods", "e1_balance_walk", "i11_card_integrity"))
+@pytest.mark.parametrize("name", ("e13_expanded_periods", "e1_balance_walk", "i11_card_integrity", "j2_promotion_counts"))
 def test_statements_that_share_an_id(spark, shared, name):
     con = duckdb.connect()
     for t in ("customer", "orders"):
