@@ -658,8 +658,9 @@ def k_axis_card_rows(spark, sf_dir):
 
 
 def _passbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest first; neither sides nor an opening balance are told."""
-    line = F.concat(F.date_format("day", "dd-MM-yyyy dd-MM-yyyy "), "merchant_raw", F.lit(" "), F.col("amount").cast("string"), F.lit(" "), F.col("balance").cast("string"), F.lit("Cr"), _every(5, "\nmore"), _every(7, "\n\nPage 2"))
+    """Newest first; neither sides nor an opening balance are told. An overdrawn balance is printed as a passbook does, without a sign and as a debit."""
+    balance = F.concat(F.abs("balance").cast("string"), F.when(F.col("balance") < 0, "Dr").otherwise("Cr"))
+    line = F.concat(F.date_format("day", "dd-MM-yyyy dd-MM-yyyy "), "merchant_raw", F.lit(" "), F.col("amount").cast("string"), F.lit(" "), balance, _every(5, "\nmore"), _every(7, "\n\nPage 2"))
     head = F.lit("Bank of Baroda\nTRAN DATE VALUE DATE NARRATION CHQ.NO. WITHDRAWAL(DR) DEPOSIT(CR) BALANCE(INR)\n")
     return statement_texts.detected(_papers(spark, sf_dir, line, head, "\nTotal 1", newest_first=True), grammars.BOB_SAVINGS)
 

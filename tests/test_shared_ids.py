@@ -31,3 +31,24 @@ def test_statements_that_share_an_id(spark, shared, name):
     rows = got.fetchall()
     assert len(rows) > 1000
     assert plain(tuple(r[c] for c in have) for r in df.collect()) == plain(rows)
+
+
+@pytest.fixture(scope="module")
+def rich(tmp_path_factory):
+    """The smallest tables with orders three thousand times as dear, as a user's year has of more orders."""
+    path = tmp_path_factory.mktemp("rich")
+    con = duckdb.connect()
+    con.execute(f"COPY (FROM '{SF}/customer.parquet') TO '{path}/customer.parquet'")
+    con.execute(f"COPY (SELECT * REPLACE (o_totalprice * 3000 AS o_totalprice) FROM '{SF}/orders.parquet') TO '{path}/orders.parquet'")
+    return str(path)
+
+
+def test_overdrawn_passbooks_and_statements(spark, rich):
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{rich}/{t}.parquet'")
+    for name in ("k_passbook_rows", "k_passbook_balances", "k_statement_rows"):
+        df = QUERIES[name](spark, rich)
+        got = con.execute(ORACLE_SQL[name])
+        have = [d[0] for d in got.description]
+        assert plain(tuple(r[c] for c in have) for r in df.collect()) == plain(got.fetchall()), name
