@@ -576,21 +576,26 @@ def m16_tax_document_fields(spark, sf_dir):
 
 
 def _statement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger as texts of savings statements, one a user and year: every fifth row goes on in a second line, and a page break follows every seventh."""
+    """The ledger as texts of savings statements, one a user and year: every fifth row goes on in a second line, and a page break follows every seventh.
+    Such statements print no negative balances, so a document opens with a thousand million beyond all of its debits."""
     rows = ledger(spark, sf_dir).select("txn_id", "user_id", "transaction_date", "amount", "direction", "merchant_raw").withColumn("_doc", F.col("user_id") * 10000 + F.year("transaction_date"))
     signed = F.when(F.col("direction") == "credit", F.col("amount")).otherwise(-F.col("amount"))
-    rows = rows.withColumn("_sum", (F.sum(signed).over(W.partitionBy("_doc").orderBy("transaction_date", "txn_id")) + F.lit(1_000_000_000)).cast("decimal(16,2)"))
+    debits = F.coalesce(F.sum(F.when(F.col("direction") == "debit", F.col("amount"))).over(W.partitionBy("_doc")), F.lit(0))
+    rows = rows.withColumn("_opening", (debits + F.lit(1_000_000_000)).cast("decimal(16,2)"))
+    rows = rows.withColumn("_sum", (F.sum(signed).over(W.partitionBy("_doc").orderBy("transaction_date", "txn_id")) + F.col("_opening")).cast("decimal(16,2)"))
     sides = [F.when(F.col("direction") == d, F.col("amount").cast("string")).otherwise("0.00") for d in ("debit", "credit")]
     line = F.concat_ws(" ", F.date_format("transaction_date", "dd/MM/yyyy"), "merchant_raw", *sides, F.col("_sum").cast("string"))
     line = F.concat(line, F.when(F.col("txn_id") % 5 == 0, F.concat(F.lit("\n  ref of "), F.lower("direction"))).otherwise(""), F.when(F.col("txn_id") % 7 == 0, "\n\nPage 2\n").otherwise(""))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("transaction_date", "txn_id", line.alias("line")))), lambda x: x["line"]), "\n")
-    head, foot = F.lit("HDFC Bank\nSavings Account\nOpening Balance: 1,000,000,000.00\nDate Narration Withdrawal Deposit Balance\n"), F.lit("\nStatement Summary\n01/01/2024 NOT A ROW 1.00 0.00 1.00")
+    head = F.concat(F.lit("HDFC Bank\nSavings Account\nOpening Balance: "), F.format_number(F.max("_opening"), 2), F.lit("\nDate Narration Withdrawal Deposit Balance\n"))
+    foot = F.lit("\nStatement Summary\n01/01/2024 NOT A ROW 1.00 0.00 1.00")
     return rows.groupBy(F.col("_doc").alias("doc_id")).agg(F.concat(head, body, foot).alias("text"))
 
 
-@query(with_(LEDGER, "d AS (SELECT *, user_id * 10000 + year(transaction_date) AS doc_id FROM ledger)", select="""
+@query(with_(LEDGER, "d AS (SELECT *, user_id * 10000 + year(transaction_date) AS doc_id FROM ledger)",
+    "o AS (SELECT *, 1000000000 + coalesce(sum(amount) FILTER (direction = 'debit') OVER (PARTITION BY doc_id), 0) AS opening FROM d)", select="""
     SELECT doc_id, transaction_date, merchant_raw || CASE WHEN txn_id % 5 = 0 THEN ' ref of ' || direction ELSE '' END AS description, amount, direction,
-        (1000000000 + sum(CASE WHEN direction = 'credit' THEN amount ELSE -amount END) OVER (PARTITION BY doc_id ORDER BY transaction_date, txn_id))::DECIMAL(14,2) AS balance FROM d"""))
+        (opening + sum(CASE WHEN direction = 'credit' THEN amount ELSE -amount END) OVER (PARTITION BY doc_id ORDER BY transaction_date, txn_id))::DECIMAL(14,2) AS balance FROM o"""))
 def k_statement_rows(spark, sf_dir):
     docs = statement_texts.detected(_statement_texts(spark, sf_dir), grammars.HDFC_SAVINGS)
     return statement_texts.rows(docs, grammars.HDFC_SAVINGS).drop("line_no", "posting_date")
