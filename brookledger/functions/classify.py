@@ -161,15 +161,18 @@ def sender_id(address: Column) -> Column:
 
 def sender_bank(sender: Column) -> Column:
     """The bank of the sender id, or of the first known one that shares its longest prefix of at least four letters."""
-    exact = F.coalesce(*(F.when(sender == name, F.lit(bank)) for name, bank, _ in rules.SENDERS))
-    by_prefix = []
+    held = lambda table, key: F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+    found = [held({name: bank for name, bank, _ in reversed(rules.SENDERS)}, sender)]
     for size in range(7, 3, -1):
-        part = F.when(F.length(sender) > size, F.substring(sender, 1, size))
-        by_prefix += [F.when(F.lit(name).startswith(part), F.lit(bank)) for name, bank, _ in rules.SENDERS if len(name) >= size]
-    return F.coalesce(exact, *by_prefix)
+        first = {name[:size]: bank for name, bank, _ in reversed(rules.SENDERS) if len(name) >= size}
+        if first:
+            found.append(held(first, F.when(F.length(sender) > size, F.substring(sender, 1, size))))
+    return F.coalesce(*found)
 
 
-def spam_score(address: Column, body: Column) -> Column:
+def spam_score(address: Column, body: Column, sender: Column | None = None) -> Column:
+    """0 to 100; ``sender`` is the address's ``sender_id`` where it is known."""
+    sender = sender_id(address) if sender is None else sender
     points = lambda c, n: F.when(_flag(c), n).otherwise(0)
     urgent = reduce(lambda a, b: a + b, (points(body.rlike(p), 10) for p in rules.SPAM_URGENT))
     link = F.when(
@@ -178,16 +181,18 @@ def spam_score(address: Column, body: Column) -> Column:
     ).otherwise(0)
     return F.least(
         F.lit(100),
-        points(sender_bank(sender_id(address)).isNull(), 40) + points(F.regexp_replace(address, r"[\s-]", "").rlike(r"^\+?91?\d{10}$"), 40)
+        points(sender_bank(sender).isNull(), 40) + points(F.regexp_replace(address, r"[\s-]", "").rlike(r"^\+?91?\d{10}$"), 40)
         + link + F.least(urgent, F.lit(20)) + points(matches_any(body, rules.SPAM_SENSITIVE), 25)
         + points(matches_any(body, rules.SPAM_TEMPLATE), 40) + points(~matches_any(body, rules.SMS_AMOUNT), 10),
     )
 
 
-def sms_class(address: Column, body: Column) -> Column:
+def sms_class(address: Column, body: Column, score: Column | None = None) -> Column:
+    """The kind of a message; ``score`` is its ``spam_score`` where it is known."""
+    score = spam_score(address, body) if score is None else score
     amount, account = matches_any(body, rules.SMS_AMOUNT), body.rlike(rules.SMS_HAS_ACCOUNT)
     return choose(
-        (spam_score(address, body) >= 50, "spam"), (matches_any(body, rules.SMS_OTP), "otp"), (matches_any(body, rules.SMS_PROMO) & ~account, "promo"),
+        (score >= 50, "spam"), (matches_any(body, rules.SMS_OTP), "otp"), (matches_any(body, rules.SMS_PROMO) & ~account, "promo"),
         (matches_any(body, rules.SMS_DEBIT) & amount & account, "transaction_debit"), (matches_any(body, rules.SMS_CREDIT) & amount & account, "transaction_credit"),
         (amount & body.rlike("(?i)balance"), "balance_info"), default="unknown",
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import dates, money
+from ..functions import classify, dates, money
 from ..functions import text as texts
 
 DAY = r"(\d{1,2}[/\-. ](?:\d{1,2}|[A-Za-z]{3})[/\-. ]\d{2,4})"
@@ -153,3 +153,13 @@ def tax_document_fields(documents: DataFrame, as_of: date) -> DataFrame:
     add("", "financial_year", value=F.replace(F.replace(group(rules.FINANCIAL_YEAR), F.lit(" "), F.lit("")), F.lit("/"), F.lit("-")))
     rows = F.filter(F.array(*found), lambda x: x.isNotNull())
     return documents.select("doc_id", F.explode(rows).alias("s")).select("doc_id", "s.*")
+
+
+def sms_classes(messages: DataFrame) -> DataFrame:
+    """Messages (address, body) with spam_score and sms_class.
+
+    Each step is a projection of its own: as one expression the sender and the score would be worked out wherever they are named, in more code than the JVM compiles.
+    """
+    address, body = F.col("address"), F.col("body")
+    rows = messages.withColumn("_sender", classify.sender_id(address)).withColumn("spam_score", classify.spam_score(address, body, F.col("_sender")))
+    return rows.withColumn("sms_class", classify.sms_class(address, body, F.col("spam_score"))).drop("_sender")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, money, text
-from ..operators import balance, dedup, documents, insights, jobs, matching, reconcile, tax
+from ..operators import balance, dedup, documents, extract, insights, jobs, matching, reconcile, tax
 from ..operators import ledger as entries
 from ..sources import files
 from .ledger import AS_OF, ledger, sms_feed, statement_rows, statements, table, taxpayers, transfer_feed
@@ -371,8 +371,7 @@ def sms_messages(rows: DataFrame) -> DataFrame:
 
 @query
 def i18_sms_classes(spark, sf_dir):
-    m = sms_messages(ledger(spark, sf_dir))
-    return m.select("sms_id", classify.spam_score(F.col("address"), F.col("body")).cast("long").alias("spam_score"), classify.sms_class(F.col("address"), F.col("body")).alias("sms_class"))
+    return extract.sms_classes(sms_messages(ledger(spark, sf_dir))).select("sms_id", F.col("spam_score").cast("long"), "sms_class")
 
 
 @query

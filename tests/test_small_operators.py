@@ -5,7 +5,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from brookledger.operators import dedup, documents, insights, ledger, reconcile
+from brookledger.functions import classify
+from brookledger.operators import dedup, documents, extract, insights, ledger, reconcile
 
 
 def test_category_source(spark):
@@ -58,3 +59,16 @@ def test_checklist_facts(spark):
     facts = reconcile.checklist_facts(people, ais, f26as, ais.select("user_id", "fy").limit(0), told, frame([(1,)], "user_id long"), rows, "2024-25", date(2024, 4, 1), date(2025, 3, 31))
     assert sorted(tuple(r) for r in facts.collect()) == [(1, True, True, False, True, False, 1, 2, 1, 1), (2, False, False, True, False, False, 0, 0, 0, 0)]
     assert {r["kind"] for r in reconcile.checklist(facts).where("user_id = 1").collect()} == {"MISSING_FORM_16", "MISSING_FORM_16A", "MISSING_INTEREST_CERT", "LOW_LEDGER_COVERAGE"}
+
+
+def test_sms_classes_compile(spark):
+    """The senders' bank, score and class by steps are what the single expressions give, and their plan names the sender's patterns a few times only."""
+    rows = [("AD-HDFCBK", "Rs.500 debited from a/c XX1234"), ("VM-ICICIT-S", "482913 is your OTP"), ("JD-HDFCXX", "Your KYC expired, click http://bit.ly/x"), ("+919876543210", "won a prize, claim"), ("AX-SBIINBX", "INR 5 credited to account XX0001"), (None, "balance is Rs.5"), ("AD-HDFCBK", None)]
+    m = spark.createDataFrame(rows, "address string, body string")
+    got = extract.sms_classes(m)
+    a, b = F.col("address"), F.col("body")
+    want = m.select("*", classify.spam_score(a, b).alias("spam_score"), classify.sms_class(a, b).alias("sms_class"))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got.collect(), key=key) == sorted(want.select(got.columns).collect(), key=key)
+    assert [r[0] for r in spark.createDataFrame([("HDFCBK",), ("ICICIT",), ("KOTAKBX",), ("HDFCCCZ",), ("UNKNWN",), (None,)], "s string").select(classify.sender_bank(F.col("s"))).collect()] == ["HDFC", "ICICI", "KOTAK", "HDFC", None, None]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("{4,8}") <= 4
