@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from . import dates, money
+from . import money
 from .text import choose, contains_any, first_group, first_rule, matches_any, says, statement_words
 
 
@@ -106,16 +106,16 @@ def codes(*checks: tuple[Column, str]) -> Column:
     return F.filter(F.array(*(F.when(_flag(c), F.lit(code)) for c, code in checks)), lambda x: x.isNotNull())
 
 
-def validated(as_of: date, least_year: int = 2010, floor: float = rules.CONFIDENCE_FLOOR) -> dict[str, Column]:
-    """Columns for raw rows (date_raw, amount_raw, balance_raw, txn_type_raw, description_raw, confidence, period_start, period_end).
+def validated(as_of: date, floor: float = rules.CONFIDENCE_FLOOR) -> list[dict[str, Column]]:
+    """Columns for raw rows (txn_date, amount_raw, balance_raw, txn_type_raw, description_raw, confidence, period_start, period_end), in steps.
 
     Hard errors make a row invalid, then low confidence counts, then soft errors.
     """
-    day = dates.parse_date(F.col("date_raw"), as_of, least_year)
-    amount = money.parse_decimal(F.col("amount_raw"))
-    balance = money.parse_decimal(F.nullif(F.col("balance_raw"), F.lit("")), signed=True)
-    credit = money.credit_flag(F.col("txn_type_raw"))
-    description = F.trim(F.regexp_replace(F.coalesce(F.col("description_raw"), F.lit("")), r"\s+", " "))
+    day, amount, balance, credit, description = (F.col(c) for c in ("txn_date", "_amount", "balance_after", "is_credit", "description"))
+    read = {
+        "_amount": money.parse_decimal(F.col("amount_raw")), "balance_after": money.parse_decimal(F.nullif(F.col("balance_raw"), F.lit("")), signed=True), "is_credit": money.credit_flag(F.col("txn_type_raw")),
+        "description": F.trim(F.regexp_replace(F.coalesce(F.col("description_raw"), F.lit("")), r"\s+", " ")),
+    }
     hard = codes(
         (day.isNull(), "date_parse_failed"), (day > F.lit(as_of), "date_not_future"), (F.year(day) < 1990, "date_not_before_1990"),
         (amount.isNull(), "amount_parse_failed"), (amount <= 0, "amount_positive"), (amount >= 100000000, "amount_not_absurd"),
@@ -125,8 +125,8 @@ def validated(as_of: date, least_year: int = 2010, floor: float = rules.CONFIDEN
         (~day.between(F.col("period_start"), F.col("period_end")), "date_within_statement_period"),
         (balance < 0, "balance_negative"), (credit.isNull(), "cr_dr_resolved"),
     )
-    status = F.when(F.size(hard) > 0, "invalid").when(F.col("confidence") < floor, "low_confidence").when(F.size(soft) > 0, "needs_review").otherwise("valid")
-    return {"txn_date": day, "amount": F.coalesce(amount, F.lit(0).cast("decimal(14,2)")), "is_credit": credit, "balance_after": balance, "description": description, "validation_errors": F.concat(hard, soft), "validation_status": status}
+    status = F.when(F.size("_hard") > 0, "invalid").when(F.col("confidence") < floor, "low_confidence").when(F.size("_soft") > 0, "needs_review").otherwise("valid")
+    return [read, {"_hard": hard, "_soft": soft}, {"amount": F.coalesce(amount, F.lit(0).cast("decimal(14,2)")), "validation_errors": F.concat("_hard", "_soft"), "validation_status": status}]
 
 
 def review_reasons(confidence: Column, source: Column, amount: Column, walk_passed: Column, status: Column) -> Column:

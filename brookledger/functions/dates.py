@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pattern of the text, format after its separators became slashes.
@@ -17,9 +17,8 @@ FORMATS = (
 )
 
 
-def parse_date(text: Column, as_of: date, least_year: int = 2010) -> Column:
-    """Day-first dates of statements; null if unreadable, before ``least_year`` or after the second year from ``as_of``."""
-    bare = F.trim(text)
+def _read(bare: Column) -> Column:
+    """The date that a trimmed text is or begins with, in whatever year."""
     found = []
     for pattern, form in FORMATS:
         part = F.regexp_replace(F.regexp_extract(bare, pattern, 0), r"[\-.\s]", "/")
@@ -27,10 +26,24 @@ def parse_date(text: Column, as_of: date, least_year: int = 2010) -> Column:
             part = F.initcap(F.lower(F.regexp_replace(part, "/", " ")))
             form = form.replace("/", " ")
         found.append(F.when(bare.rlike(pattern), F.try_to_timestamp(part, F.lit(form)).cast("date")))
-    parsed = F.coalesce(*found)
+    return F.coalesce(*found)
+
+
+def _within(parsed: Column, as_of: date, least_year: int) -> Column:
     return F.when((F.year(parsed) >= least_year) & (F.year(parsed) <= min(as_of.year + 2, 2099)), parsed)
 
 
+def parse_date(text: Column, as_of: date, least_year: int = 2010) -> Column:
+    """Day-first dates of statements; null if unreadable, before ``least_year`` or after the second year from ``as_of``."""
+    return _within(_read(F.trim(text)), as_of, least_year)
+
+
+def dated(rows: DataFrame, name: str, text: Column, as_of: date, least_year: int = 2010) -> DataFrame:
+    """``rows`` with ``parse_date`` of a text as a column. In steps: ``parse_date`` names its text and what it read many times over, and works them out as often."""
+    steps = rows.withColumn("_bare", F.trim(text)).withColumn("_read", _read(F.col("_bare")))
+    return steps.withColumn(name, _within(F.col("_read"), as_of, least_year)).drop("_bare", "_read")
+
+
 def fy_start(day: Column) -> Column:
     """The calendar year in which the financial year of a date (April to March) starts."""
     return F.year(day) - F.when(F.month(day) < 4, 1).otherwise(0)

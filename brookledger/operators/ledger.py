@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import classify
+from ..functions import classify, dates
 from . import balance, dedup
 
 SOURCES = ("template", "llm_text", "llm_vision", "ocr_llm", "manual", "sms", "split")
@@ -25,7 +25,11 @@ class Promotion(NamedTuple):
 
 def validate(raw: DataFrame, as_of: date, least_year: int = 2010) -> DataFrame:
     """Raw rows with typed columns, errors and a status; none is dropped."""
-    return raw.withColumns(classify.validated(as_of, least_year))
+    rows = dates.dated(raw, "txn_date", F.col("date_raw"), as_of, least_year)
+    # Each step names what the one before worked out.
+    for columns in classify.validated(as_of):
+        rows = rows.withColumns(columns)
+    return rows.drop("_amount", "_hard", "_soft")
 
 
 def raw_rows(extracted: DataFrame, source: str, page_number: int = 1) -> DataFrame:
