@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import classify, dates
+from ..tables import written
 from . import balance, dedup
 
 SOURCES = ("template", "llm_text", "llm_vision", "ocr_llm", "manual", "sms", "split")
@@ -64,6 +65,7 @@ def promote(validated: DataFrame, existing: DataFrame, statements: DataFrame) ->
             old = existing.select(F.col("user_id").alias("_u"), F.col(key).alias("_k"), dedup.reimport_signature().alias("_s"), F.col("statement_id").alias("_of"))
             marked = marked.join(old, (F.col("user_id") == F.col("_u")) & (F.col(key) == F.col("_k")) & (F.col("_signed") == F.col("_s")) & (F.col("statement_id") != F.col("_of")), "left_anti")
         new = marked.drop("_signed")
+    new = written(new, "promotion-new")  # the walks and the entries both read it
     walks = balance.balance_walk(new.select("statement_id", "seq", "transaction_date", "amount", "is_credit", "balance_after"), statements.where("opening_balance IS NOT NULL AND closing_balance IS NOT NULL"))
     # Statements of several accounts may share an id and its rows: these pass if all of them do, and none comes twice.
     walked = walks.groupBy("statement_id").agg(F.min("passed").alias("walk_passed"), F.flatten(F.collect_list("problem_seqs")).alias("_problems"))

@@ -12,6 +12,7 @@ from ..functions import classify, dates, money, text
 from ..operators import balance, dedup, documents, extract, insights, jobs, matching, reconcile, tax
 from ..operators import ledger as entries
 from ..sources import files
+from ..tables import written
 from .ledger import AS_OF, ledger, sms_feed, statement_rows, statements, table, taxpayers, transfer_feed
 
 FIRST, LAST = date(1999, 4, 1), date(2000, 3, 31)
@@ -476,6 +477,7 @@ def _promotion(spark: SparkSession, sf_dir: str) -> entries.Promotion:
     """Every tenth row is in the ledger already; every seventeenth is too, the other way round, from another statement of the same file."""
     rows = ledger(spark, sf_dir)
     v = entries.validate(raw_rows(rows), AS_OF, 1990).withColumn("file_hash", F.concat(F.lit("f"), F.col("user_id").cast("string"))).withColumn("statement_fp", F.lit(None).cast("string"))
+    v = written(v, "validated")  # the ledger that was and what joins it both read it, several times
     good = v.where("validation_status <> 'invalid'").withColumn("transaction_date", F.col("txn_date")).withColumn("merchant_raw", F.col("description"))
     credit = F.coalesce("is_credit", F.lit(False))
     side = lambda c: F.when(c, "credit").otherwise("debit")
