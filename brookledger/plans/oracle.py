@@ -341,14 +341,13 @@ ORACLE_SQL |= {
         "r AS (SELECT *, CASE WHEN taxable <= 700000 THEN least(base, 25000) WHEN taxable <= 725000 THEN greatest(least(25000, base - (taxable - 700000)), 0) ELSE 0 END AS rebate FROM s)", "a AS (SELECT *, greatest(base - rebate, 0) AS after FROM r)",
         select="SELECT user_id, round(base::DOUBLE, 2) AS tax_before_rebate, round(rebate::DOUBLE, 2) AS rebate, round((after + floor(after * 4 + 0.5) / 100)::DOUBLE, 2) AS total_tax FROM a"),
     "c17_knowledge_rank": f"""WITH d AS (
-            SELECT doc_id, coalesce(text, '') AS text, source AS owner, lang AS bank, lower(text[1]) AS kind, CASE WHEN n_chars >= 1000 THEN 2 ELSE 0 END AS more,
+            SELECT doc_id, coalesce(text, '') AS text, lang AS bank, lower(text[1]) AS kind, CASE WHEN n_chars >= 1000 THEN 2 ELSE 0 END AS more,
                    list_distinct(list_filter(regexp_extract_all({WORDS.format("coalesce(text, '')")}, '[a-z0-9]{{3,}}'), lambda w: NOT list_contains({listed(rules.STATEMENT_STOPWORDS)}, w) AND NOT regexp_full_match(w, '[0-9]+'))) AS words
             FROM documents),
-        r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY doc_id DESC) AS place FROM d WHERE owner IS NOT NULL QUALIFY place <= 301),
         n AS (
             SELECT q.doc_id, r.doc_id AS ref_id, r.text, row_number() OVER (PARTITION BY q.doc_id ORDER BY r.doc_id DESC) AS k,
                    len(list_intersect(q.words, r.words)) + CASE WHEN q.bank = r.bank AND q.bank <> '' THEN 8 ELSE 0 END + CASE WHEN q.kind = r.kind AND q.kind <> '' THEN 5 ELSE 0 END + r.more AS score
-            FROM d q JOIN r ON q.owner = r.owner AND q.doc_id <> r.doc_id WHERE q.doc_id % 20 = 0 QUALIFY k <= 300),
+            FROM d q JOIN d r ON q.doc_id <> r.doc_id WHERE q.doc_id % 20 = 0),
         s AS (SELECT * FROM n WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, text ORDER BY k) = 1)
         SELECT doc_id, ref_id, score::BIGINT AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ref_id DESC) AS place FROM s QUALIFY place <= 4""",
 }

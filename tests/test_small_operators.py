@@ -72,3 +72,19 @@ def test_sms_classes_compile(spark):
     assert sorted(got.collect(), key=key) == sorted(want.select(got.columns).collect(), key=key)
     assert [r[0] for r in spark.createDataFrame([("HDFCBK",), ("ICICIT",), ("KOTAKBX",), ("HDFCCCZ",), ("UNKNWN",), (None,)], "s string").select(classify.sender_bank(F.col("s"))).collect()] == ["HDFC", "ICICI", "KOTAK", "HDFC", None, None]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("{4,8}") <= 4
+
+
+def test_knowledge_rank_looks_at_all_references(spark):
+    """The oldest of 400 documents tells most: it's beyond the newest 300, and found where all are looked at, whatever blocks they are dealt in."""
+    rows = [(i, "same telling words here" if i in (1, 400) else f"word{'abcdefghij'[i % 10]} other{i}x", "all", None, None, None) for i in range(1, 401)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, owner string, bank_hint string, account_type_hint string, doc_type string")
+    d = d.withColumn("text", F.when(F.col("doc_id") == 1, F.concat("text", F.lit(" and more"))).otherwise(F.col("text")))
+    got = documents.knowledge_rank(d.where("doc_id = 400"), d, newest=None).collect()
+    assert [(r["ref_id"], r["place"]) for r in got] == [(1, 1)]
+    assert documents.knowledge_rank(d.where("doc_id = 400"), d).collect() == []
+    size, documents.REFERENCES_A_TASK = documents.REFERENCES_A_TASK, 30
+    try:
+        cut = documents.knowledge_rank(d.where("doc_id % 20 = 0"), d, newest=None).collect()
+    finally:
+        documents.REFERENCES_A_TASK = size
+    assert sorted(cut) == sorted(documents.knowledge_rank(d.where("doc_id % 20 = 0"), d, newest=None).collect()) and len(cut) == 77
