@@ -213,7 +213,8 @@ ACCOUNT_CONTEXT = r"(?i)\b(?:account|a/c|acct|acc(?:ount)?\s*no|card|card\s*no|e
 CONTEXT, WIDE_CONTEXT = 18, 40
 LONG_NUMBER = r"\b(?:\d[\s-]?){9,19}\b"
 MASKS_BEFORE = ((r"(?im)^.*\bOTP\b.*$", "[OTP_LINE_REMOVED]"), (r"\b\d{4}[\s-]\d{4}[\s-]\d{4}\b", "XXXX XXXX XXXX"), (r"\b[A-Z]{5}\d{4}[A-Z]\b", "XXXX_PAN"))
-MASKS_AFTER = ((r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+", "XXXX@XXXX.XXX"), (r"(?<!\d)(?:\+91[\s-]?|0)?[6-9]\d{9}\b", "XXXX_PHONE"))
+#: An address begins where its run of characters does, or where the address before it ended, so that a long run is read once.
+MASKS_AFTER = ((r"(?:(?<![a-zA-Z0-9_.+-])|\G)[a-zA-Z0-9_.+-]++@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+", "XXXX@XXXX.XXX"), (r"(?<!\d)(?:\+91[\s-]?|0)?[6-9]\d{9}\b", "XXXX_PHONE"))
 CARD_MASK, ACCOUNT_MASK, NAME_MASK = "XXXX-XXXX-XXXX-XXXX", "XXXX_ACCT", "XXXX_NAME"
 COUNT_UP, COUNT_DOWN = "01234567890123456789", "98765432109876543210"
 

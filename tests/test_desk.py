@@ -105,6 +105,16 @@ def test_masks(spark):
     assert masked("Batch 4111111111111111 done", True) == "Batch 4111111111111111 done" and masked("Batch 4111111111111111 done") == "Batch XXXX-XXXX-XXXX-XXXXdone"
 
 
+def test_masks_take_time_in_step_with_the_text(spark):
+    import time
+
+    long = "a" * 400_000
+    rows = [(f"{long} x.y@z.example.c_d@e.f account 123456789 {long}",)]
+    began = time.time()
+    got = documents.masked(spark.createDataFrame(rows, "text string")).first()["text"]
+    assert got == f"{long} XXXX@XXXX.XXXXXXX@XXXX.XXX account XXXX_ACCT{long}" and time.time() - began < 30
+
+
 def test_newest_first_statements(spark):
     rows = [("s", k, date(2024, 1, 10 - k), Decimal(a), Decimal(b), t) for k, (a, b, t) in enumerate([(50, 850, "SHOP"), (100, 900, "RENT"), (500, 1000, "OPEN")])]
     rows += [("t", 0, date(2024, 1, 1), Decimal(70), None, "MAY SALARY"), ("t", 1, date(2024, 1, 2), Decimal(70), None, "BY TRANSFER")]
