@@ -8,6 +8,7 @@ what depends on one another in chains by components of a bounded size.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 from collections.abc import Sequence
 from decimal import Decimal
@@ -254,21 +255,72 @@ def duplicates(rows: DataFrame, existing: DataFrame, similar: bool = True) -> Da
     return best.select("txn_id", "b.match_id", "b.method", F.round("b.confidence", 4).alias("confidence"))
 
 
+def _nearest_free(key):
+    """Starts a group: its entries in order of amount and id, then its lines in order of id, of which each takes the nearest entry that is free.
+
+    Entries of one amount are taken in order of id. An amount that has no entry left points to its neighbours, so a line sees the nearest one below and
+    above at once; if such a one is too far so are those behind it.
+    """
+
+    def fold():
+        ids, amounts, first, ends, above, below = [], [], [], [], [], []
+
+        def root(links: list[int], k: int) -> int:
+            while links[k] != k:
+                links[k] = k = links[links[k]]
+            return k
+
+        def close(a, b) -> bool:
+            return abs(a - b) <= 100 or float(abs(a - b)) / float(max(a, b)) <= 0.05
+
+        def step(row: tuple) -> list[tuple]:
+            line, i, amount = row
+            if not line:
+                if not amounts or amounts[-1] != amount:
+                    amounts.append(amount)
+                    first.append(len(ids))
+                    ends.append(len(ids))
+                ids.append(i)
+                ends[-1] += 1
+                return []
+            n = len(amounts)
+            if not above:
+                above.extend(range(n + 1))
+                below.extend(range(n + 1))  # one off: 0 is none
+            at = bisect.bisect_left(amounts, amount)
+            some = [m for m in (root(below, at) - 1, root(above, at)) if 0 <= m < n and close(amount, amounts[m])]
+            if not some:
+                return []
+            m = min(some, key=lambda m: (abs(amount - amounts[m]), key(ids[first[m]])))
+            got = ids[first[m]]
+            first[m] += 1
+            if first[m] == ends[m]:
+                above[m], below[m + 1] = m + 1, m
+            return [(i, got, amount, amounts[m])]
+
+        return step
+
+    return fold
+
+
 def portal_matches(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """Portal lines (line_id, user_id, fy, bucket, amount) with the ledger entry (txn_id, user_id, fy, bucket, amount)
-    nearest in amount, at most 100 or 5 % apart; lines in order of id choose first, an entry serves one.
+    nearest in amount, at most 100 or 5 % apart; lines in order of id choose first, an entry serves one. Ids don't repeat.
 
-    Amounts are bucketed by their logarithm, so that only neighbours meet.
+    A user's lines of one year and bucket are one group, which one task folds in order beside its entries: pairs within 5 % would grow
+    with the square of a group and are never made.
     """
-    slot = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0)) + 2000) / F.log(F.lit(1.06)))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = lines.where("bucket <> 'securities_sold' AND amount <> 0").select(F.col("line_id").alias("l"), *(F.col(c).alias(f"_{c}") for c in ("user_id", "fy", "bucket", "amount"))).withColumn("_slot", slot(F.col("_amount")))
-    b = ledger.where("amount <> 0").select(F.col("txn_id").alias("r"), "user_id", "fy", "bucket", "amount").withColumn("_i", F.explode(around)).withColumn("_near", slot(F.col("amount")) + F.col("_i"))
-    gap = F.abs(F.col("_amount") - F.col("amount"))
-    close = (gap <= 100) | (gap.cast("double") / F.greatest("_amount", "amount").cast("double") <= 0.05)
-    pairs = a.join(b, (F.col("_user_id") == F.col("user_id")) & (F.col("_fy") == F.col("fy")) & (F.col("_bucket") == F.col("bucket")) & (F.col("_slot") == F.col("_near")) & close)
-    pairs = written(pairs.select("l", "r", F.col("l").alias("l_order"), F.struct(gap.alias("g"), F.col("r").alias("i")).alias("cost"), F.col("_amount").alias("portal_amount"), F.col("amount").alias("ledger_amount")), "portal-edges")
-    return pairs.join(one_to_one(pairs), ["l", "r"]).select(F.col("l").alias("line_id"), F.col("r").alias("txn_id"), "portal_amount", "ledger_amount")
+    group, none = F.to_json(F.struct("user_id", "fy", "bucket")).alias("group"), F.lit(None)
+    known = "user_id IS NOT NULL AND fy IS NOT NULL AND bucket IS NOT NULL AND bucket <> 'securities_sold' AND amount <> 0"
+    kinds = {"l": lines.schema["line_id"].dataType, "r": ledger.schema["txn_id"].dataType, "portal_amount": lines.schema["amount"].dataType, "ledger_amount": ledger.schema["amount"].dataType}
+    l, r = F.col("line_id"), F.col("txn_id")
+    a = ledger.where(known).select(group, F.lit(False).alias("line"), r.cast("string").alias("id"), "amount", F.col("amount").alias("_by"), r.alias("_r"), none.cast(kinds["l"]).alias("_l"))
+    b = lines.where(known).select(group, F.lit(True).alias("line"), l.cast("string").alias("id"), "amount", none.cast(kinds["ledger_amount"]).alias("_by"), none.cast(kinds["r"]).alias("_r"), l.alias("_l"))
+    rows = a.unionByName(b)
+    kind = rows.schema["amount"].dataType.simpleString()
+    key = str if kinds["r"].simpleString() == "string" else Decimal
+    out = folded(rows, "group", [F.col(c) for c in ("line", "_by", "_r", "_l")], _nearest_free(key), f"l string, r string, portal_amount {kind}, ledger_amount {kind}", ["line", "id", "amount"])
+    return out.select(*(F.col(c).cast(k).alias({"l": "line_id", "r": "txn_id"}.get(c, c)) for c, k in kinds.items()))
 
 
 def _grams(c: Column, n: Column | int) -> Column:

@@ -438,7 +438,7 @@ def income_rows(rows: DataFrame) -> DataFrame:
 
 @query
 def c15_portal_matches(spark, sf_dir):
-    rows = income_rows(ledger(spark, sf_dir))
+    rows = written(income_rows(ledger(spark, sf_dir)).select("txn_id", "user_id", "fy", "bucket", "amount"), "income-rows")
     return doubles(matching.portal_matches(portal_lines(rows), rows), "portal_amount", "ledger_amount")
 
 

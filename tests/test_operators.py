@@ -285,6 +285,21 @@ def test_portal_matches_against_the_serial_loop(spark):
     assert {r["line_id"]: r["txn_id"] for r in got.collect()} == want
 
 
+def test_portal_matches_of_dense_groups_make_no_pairs(spark, monkeypatch):
+    """Amounts that are alike, negative or without a bucket, in groups where nearly all pairs are close."""
+    monkeypatch.setattr(matching, "one_to_one", lambda edges: pytest.fail("pairs are made"))
+    rng = random.Random(11)
+    some = lambda: (rng.choice([1, 2, None]), "2024-25", rng.choice(["salary", "interest", "securities_sold"]), D(rng.choice([rng.randrange(-300, 300), rng.randrange(2000, 2300)])))
+    lines, led = [(i, *some()) for i in range(400)], [(5 + 3 * i, *some()) for i in range(400)]
+    close = lambda d, c: d[1] is not None and d[3] != "securities_sold" and d[1:4] == c[1:4] and d[4] and c[4] and (abs(d[4] - c[4]) <= 100 or float(abs(d[4] - c[4])) / float(max(d[4], c[4])) <= 0.05)
+    want = serial(lines, led, close, lambda d, c: (abs(d[4] - c[4]), c[0]))
+    schema = "user_id int, fy string, bucket string, amount decimal(14,2)"
+    got = matching.portal_matches(spark.createDataFrame(lines, f"line_id long, {schema}"), spark.createDataFrame(led, f"txn_id long, {schema}")).collect()
+    assert {r["line_id"]: r["txn_id"] for r in got} == want and len(got) == len(want)
+    amounts = {i: a for i, *_, a in lines}, {i: a for i, *_, a in led}
+    assert all((r["portal_amount"], r["ledger_amount"]) == (amounts[0][r["line_id"]], amounts[1][r["txn_id"]]) for r in got)
+
+
 def test_splits_and_updates(spark):
     df = frame(spark, [entry(1, date(2024, 1, 1), 10), entry(2, date(2024, 1, 1), 10), entry(3, date(2024, 1, 1), 10, excluded=True)])
     parts = spark.createDataFrame([(1, 1, D(4)), (1, 2, D(6)), (2, 1, D(4)), (2, 2, D(5)), (3, 1, D(4)), (3, 2, D(6))], "txn_id long, split_index int, amount decimal(14,2)")
