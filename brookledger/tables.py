@@ -6,7 +6,10 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows and bytes of a batch of texts that goes to a Python worker, where the session has Spark's own values.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def written(df: DataFrame, name: str = "table", **options) -> DataFrame:
@@ -26,3 +29,11 @@ def written(df: DataFrame, name: str = "table", **options) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python bounded by rows and bytes that suit whole texts. What the session sets itself is left alone."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", str(64 << 20), BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if str(spark.conf.get(key)).removesuffix("b") == default:
+            spark.conf.set(key, str(value))

@@ -247,3 +247,20 @@ def test_word_chunks(spark):
         assert got.get(k, {}) == dict(enumerate(want))
     with pytest.raises(ValueError):
         documents.word_chunks(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 100, 50)
+
+
+def test_word_chunks_come_in_small_batches(spark):
+    """Unless the session says otherwise."""
+    from pyspark.sql import functions as F
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        docs = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"))
+        assert documents.word_chunks(docs).count() == 5000 and int(spark.conf.get(key)) <= 1000
+        spark.conf.set(key, "77")
+        documents.word_chunks(docs)
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.set(key, before)
