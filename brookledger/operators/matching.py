@@ -46,7 +46,8 @@ def near(left: DataFrame, right: DataFrame, keys: Sequence[str], amount_gap: Dec
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     a = bucket(left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns)), "l_amount", "l_transaction_date")
     b = bucket(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), "r_amount", "r_transaction_date")
-    b = b.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).withColumn("_a", F.col("_a") + F.col("_i")).withColumn("_d", F.col("_d") + F.col("_j")).drop("_i", "_j")
+    # Equal amounts are in equal buckets.
+    b = b.withColumn("_i", F.explode(around if amount_gap else F.array(F.lit(0)))).withColumn("_j", F.explode(around)).withColumn("_a", F.col("_a") + F.col("_i")).withColumn("_d", F.col("_d") + F.col("_j")).drop("_i", "_j")
     on = (a["_a"] == b["_a"]) & (a["_d"] == b["_d"])
     for k in keys:
         on &= F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}"))
@@ -219,26 +220,56 @@ def seq_ratio(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)], dtype=float)
+        first, second = ([t or "" for t in c.tolist()] for c in (x, y))
+        out, told = [0.0] * len(first), difflib.SequenceMatcher(None)
+        # What is known of a second text serves all first ones that meet it.
+        for k in sorted(range(len(second)), key=second.__getitem__):
+            if told.b != second[k]:
+                told.set_seq2(second[k])
+            told.set_seq1(first[k])
+            out[k] = told.ratio()
+        return pd.Series(out, dtype=float)
 
     return of(a, b)
 
 
+def _first_two(entries: DataFrame, *keys: str | Column) -> DataFrame:
+    """The entries with the two smallest ids of each key: the best of equals, also for a row that is one of them itself."""
+    place = F.dense_rank().over(W.partitionBy(*keys).orderBy("txn_id"))
+    return entries.withColumn("_place", place).where(F.col("_place") <= 2).drop("_place")
+
+
 def candidates(rows: DataFrame, existing: DataFrame, similar: bool = True) -> DataFrame:
-    """Pairs (txn_id, match_id) of a row and an entry that it may repeat, with tier, _order within it, method and confidence; see ``duplicates``."""
-    l, r = rows.alias("l"), existing.alias("r")
-    other = F.col("l.txn_id") != F.col("r.txn_id")
-    shared = (F.col("l.user_id") == F.col("r.user_id")) & other
+    """Pairs (txn_id, match_id) of a row and an entry that it may repeat, with tier, _order within it, method and confidence; see ``duplicates``.
+
+    Of entries that a row can't tell apart (equal fingerprint; equal reference, direction and account; equal amount and day, and text where texts are
+    compared) the two with the smallest ids alone are paired, so that pairs grow with the rows; those that are compared by text grow with the different texts
+    of an amount on a day.
+    """
     pick = lambda tier, method, confidence, order: [F.col("l.txn_id").alias("txn_id"), F.lit(tier).alias("tier"), F.lit(method).alias("method"), confidence.alias("confidence"), order.alias("_order"), F.col("r.txn_id").alias("match_id")]
-    exact = l.join(r, shared & (F.col("l.fingerprint") == F.col("r.fingerprint"))).select(*pick(0, "fingerprint_exact", F.lit(0.99), F.lit(0.0)))
-    account = F.col("l.account_masked").isNull() | F.col("r.account_masked").isNull() | (F.col("l.account_masked") == F.col("r.account_masked"))
-    reference = l.join(r, shared & (F.col("l.reference_number") == F.col("r.reference_number")) & (F.col("l.direction") == F.col("r.direction")) & account).select(*pick(1, "exact_ref", F.lit(1.0), F.lit(0.0)))
+
+    def equal(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        on = F.col("l.txn_id") != F.col("r.txn_id")
+        for k in keys:
+            on &= F.col(f"l.{k}") == F.col(f"r.{k}")
+        return left.alias("l").join(_first_two(right, *keys).alias("r"), on)
+
+    exact = equal(rows, existing.where("fingerprint IS NOT NULL"), ("user_id", "fingerprint")).select(*pick(0, "fingerprint_exact", F.lit(0.99), F.lit(0.0)))
+    keys = ("user_id", "reference_number", "direction")
+    told = existing.where("reference_number IS NOT NULL")
+    # Accounts are equal, or one is unknown.
+    ways = (("account_masked IS NOT NULL", "account_masked IS NOT NULL", (*keys, "account_masked")), ("account_masked IS NOT NULL", "account_masked IS NULL", keys), ("account_masked IS NULL", "true", keys))
+    reference = reduce(DataFrame.unionByName, [equal(rows.where(a), told.where(b), k).select(*pick(1, "exact_ref", F.lit(1.0), F.lit(0.0))) for a, b, k in ways])
     columns = ("txn_id", "user_id", "direction", "transaction_date", "amount", "merchant_raw")
-    pairs = near(rows.select(*columns), existing.select(*columns), ["user_id", "direction"], Decimal("0.00"), 3).where("l_txn_id <> r_txn_id").withColumn("gap", F.abs("gap"))
+    cell = ("user_id", "direction", money.paise(F.col("amount")), "transaction_date")
+    dated = existing.where("amount IS NOT NULL AND transaction_date IS NOT NULL").select(*columns)
+    near_to = lambda right, days: near(rows.select(*columns), right, ["user_id", "direction"], Decimal("0.00"), days).where("l_txn_id <> r_txn_id").withColumn("gap", F.abs("gap"))
+    pairs = near_to(_first_two(dated, *cell), 3)
     fuzzy = pairs.select(F.col("l_txn_id").alias("txn_id"), F.lit(3).alias("tier"), F.lit("fuzzy").alias("method"), F.greatest(F.lit(0.6), 0.8 - F.col("gap") * 0.2 / 3).alias("confidence"), F.col("gap").cast("double").alias("_order"), F.col("r_txn_id").alias("match_id"))
     found = exact.unionByName(reference).unionByName(fuzzy)
     if similar:
-        alike = pairs.where("gap <= 1").withColumn("_s", seq_ratio(F.upper("l_merchant_raw"), F.upper("r_merchant_raw"))).where("_s > 0.6")
+        pairs = near_to(_first_two(dated.withColumn("merchant_raw", F.upper("merchant_raw")), *cell, "merchant_raw"), 1)
+        alike = pairs.withColumn("_s", seq_ratio(F.upper("l_merchant_raw"), F.col("r_merchant_raw"))).where("_s > 0.6")
         found = found.unionByName(alike.select(F.col("l_txn_id").alias("txn_id"), F.lit(2).alias("tier"), F.lit("amount_date_desc").alias("method"), F.least(F.lit(0.95), 0.8 + (F.col("_s") - 0.6) * 0.375).alias("confidence"), (-F.col("_s")).alias("_order"), F.col("r_txn_id").alias("match_id")))
     return found
 

@@ -127,7 +127,7 @@ def promoted(rows: DataFrame, existing: DataFrame, similar: bool = True) -> Prom
     """
     columns = ["txn_id", "user_id", "transaction_date", "amount", "direction", "account_masked", "fingerprint", "reference_number", "merchant_raw"]
     new = written(rows.select(*columns), "promotion-rows")
-    old = candidates(new, existing.select(*columns), similar).groupBy("txn_id").agg(F.min(F.struct("tier", "_order", "match_id", "method", "confidence")).alias("_e"))
+    old = candidates(new, written(existing.select(*columns), "promotion-entries"), similar).groupBy("txn_id").agg(F.min(F.struct("tier", "_order", "match_id", "method", "confidence")).alias("_e"))
     state = new.join(old, "txn_id", "left").join(kin(new).withColumnRenamed("node", "txn_id"), "txn_id", "left")
     state = written(state.withColumn("component", F.coalesce("component", "txn_id")), "promotion-components")
     kind = rows.schema["txn_id"].dataType.simpleString()

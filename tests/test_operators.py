@@ -379,3 +379,26 @@ def test_transfer_report_against_the_serial_loop(spark):
     assert {r["user_id"]: (r["transfers"], r["matched_pairs"], r["unmatched"]) for r in got} == want
     assert all(r["match_rate"] == pytest.approx(2 * r["matched_pairs"] / r["transfers"], abs=1e-4) for r in got)
     assert sum(n for _, n, _ in want.values()) > 100
+
+
+def test_candidates_grow_with_the_rows(spark):
+    """Rows that all look alike, each of them an entry too, have a few candidates each, and the smallest id but their own is the best."""
+    schema = "txn_id long, user_id int, transaction_date date, amount decimal(14,2), direction string, account_masked string, fingerprint string, reference_number string, merchant_raw string"
+    accounts = ("XX1", "XX2", None)
+    rows = [(i, 1, date(2024, 1, 1 + i % 3), D(5), "debit", accounts[i % 3], "same" if i % 5 == 0 else None, "REF" if i % 2 else None, "Shop one") for i in range(10, 310)]
+    df = spark.createDataFrame(rows, schema)
+    assert matching.candidates(df, df).count() < 25 * len(rows)
+
+    def best(r):
+        out = []
+        for e in rows:
+            if e[0] != r[0]:
+                if r[6] and r[6] == e[6]:
+                    out.append((0, 0, e[0]))
+                if r[7] and e[7] and (r[5] is None or e[5] is None or r[5] == e[5]):
+                    out.append((1, 0, e[0]))
+                if abs((r[2] - e[2]).days) <= 1:
+                    out.append((2, 0, e[0]))
+        return min(out)[2]
+
+    assert {r["txn_id"]: r["match_id"] for r in matching.duplicates(df, df).collect()} == {r[0]: best(r) for r in rows}
