@@ -69,10 +69,14 @@ MACHINES = {
 }
 
 
+def _short(text: Column) -> Column:
+    """A day's text with a month of three letters and without a comma."""
+    return F.regexp_replace(text, r"([\s/\-.])([A-Za-z]{3})[A-Za-z]*,?([\s/\-.])\s*", "$1$2$3")
+
+
 def _named(text: Column, as_of: date) -> Column:
     """A day whose month is a number or a name of any length, with or without a comma."""
-    short = F.regexp_replace(text, r"([\s/\-.])([A-Za-z]{3})[A-Za-z]*,?([\s/\-.])\s*", "$1$2$3")
-    return dates.parse_date(F.regexp_replace(short, r"\s+", " "), as_of)
+    return dates.parse_date(F.regexp_replace(_short(text), r"\s+", " "), as_of)
 
 
 def rows(documents: DataFrame, card: Card, as_of: date) -> DataFrame:
@@ -81,16 +85,23 @@ def rows(documents: DataFrame, card: Card, as_of: date) -> DataFrame:
     A row is a debit unless a plus sign or mark says otherwise. Of a bank whose sections end after gaps, a statement in whose sections there
     is no row is read without regard to them. Null and empty texts have no rows.
     """
-    line = F.col("line")
-    fits = F.coalesce(*(F.when(line.rlike(p), F.lit(k)) for k, (p, _) in enumerate(card.shapes)), F.lit(-1))
-    lines = written(text_lines(documents).withColumn("_shape", fits), "card-shapes")
+    line, got = F.col("line"), F.col("_got")
+    lines = text_lines(documents)
+    # A shape is a whole line, so one pass makes a row its fields, each behind an end of line, which no line has.
+    for k, (p, g) in enumerate(card.shapes):
+        fields = F.regexp_replace(line, p + r"[\s\S]*", "".join(f"\n${n}" if n else "\n" for n in g))
+        lines = lines.withColumn("_got", F.when(got.contains("\n"), got).otherwise(fields) if k else fields)
+    lines = written(lines.withColumn("_got", F.when(got.contains("\n"), got)), "card-shapes")
 
     def field(n: int) -> Column:
-        return F.coalesce(*(F.when(F.col("_shape") == k, F.nullif(F.regexp_extract("line", p, g[n]), F.lit(""))) for k, (p, g) in enumerate(card.shapes) if g[n]), F.lit(None).cast("string"))
+        return F.nullif(F.get(F.split("_got", "\n"), F.lit(n + 1)), F.lit(""))
 
-    lines = lines.withColumns({"_day": _named(field(0), as_of), "_text": F.trim(field(1)), "_plus": field(2), "_amount": money.parse_decimal(field(3)), "_mark": F.upper(field(4))})
+    # In steps: each expression below names those before it several times.
+    lines = lines.withColumns({"_short": _short(field(0)), "_text": F.trim(field(1)), "_plus": field(2), "_amount": field(3), "_mark": F.upper(field(4)), "_row": got.isNotNull()}).drop("_got")
+    lines = dates.dated(lines, "_day", F.regexp_replace("_short", r"\s+", " "), as_of).drop("_short").withColumn("_amount", money.parse_decimal(F.col("_amount")))
     good = F.col("_day").isNotNull() & (F.col("_amount") > 0)
-    start, end, skip, row, digit = any_of(line, card.starts), any_of(line, card.ends), any_of(line, card.skips), F.col("_shape") >= 0, line.rlike("^[0-9]")
+    lines = lines.withColumns({"_start": any_of(line, card.starts), "_end": any_of(line, card.ends), "_skip": any_of(line, card.skips)})
+    start, end, skip, row, digit = F.col("_start"), F.col("_end"), F.col("_skip"), F.col("_row"), line.rlike("^[0-9]")
     blank = F.when(line == "", "b")
     loose = blank.when(skip | end, "H").when(row, F.when(good, "T").otherwise("H")).when(digit, "D").otherwise("C")
     if card.course == "gaps":
@@ -102,8 +113,8 @@ def rows(documents: DataFrame, card: Card, as_of: date) -> DataFrame:
         # What begins as a row's date does and is no row leaves the entry before it as it is.
         dated = line.rlike("^" + card.shapes[0][0].split(r"\s+", 1)[0].removeprefix("^"))
         letter = blank.when(row, F.when(good, "T").otherwise("X")).when(dated, "D").when(end, "X").otherwise("C")
-    kept = [c for c in lines.columns if c != "_shape"]
-    lines = written(lines.select(*kept, letter.alias("letter"), loose.alias("_loose"), F.lit(0).alias("begins")), "card-letters")
+    kept = ["doc_id", "line_no", "line", "_day", "_text", "_plus", "_amount", "_mark"]
+    lines = written(lines.select(*kept, letter.alias("letter"), (loose if card.course == "gaps" else F.lit(None).cast("string")).alias("_loose"), F.lit(0).alias("begins")), "card-letters")
     found = roles(lines.drop("_loose"), MACHINES[card.course])
     if card.course == "gaps":
         found = written(found, "card-roles")
@@ -149,35 +160,47 @@ def _nth_amount(nth: int, least: int, without: str | None) -> Callable[[Column],
 def metadata(documents: DataFrame, card: Card, as_of: date) -> DataFrame:
     """doc_id, account_masked, period_start, period_end, due_date and the amounts total_due, minimum_due, credit_limit, available_limit,
     previous_balance and payments_received as the text states them; null where it doesn't, and of null texts."""
-    lines = F.split("text", "\n")
-    number = lambda ps: F.coalesce(*(money.parse_decimal(_found(p)) for p in ps), F.lit(None).cast("decimal(14,2)"))
+    steps: list[dict[str, Column]] = [{}, {}, {}]
+
+    def kept(at: int, value: Column) -> Column:
+        """The value worked out once, in one of three steps: expressions name their texts many times over, and would read them as often."""
+        name = f"_{at}_{len(steps[at])}"
+        steps[at][name] = value
+        return F.col(name)
+
+    found = lambda p, g=1, text="text", at=0: F.nullif(kept(at, F.regexp_extract(text, p, g)), F.lit(""))
+    named = lambda text: kept(2, _named(text, as_of))
+    number = lambda ps: F.coalesce(*(money.parse_decimal(found(p)) for p in ps), F.lit(None).cast("decimal(14,2)"))
     none, no_day = F.lit(None).cast("decimal(14,2)"), F.lit(None).cast("date")
     out = {k: number(card.amounts.get(k, ())) for k in ("total_due", "minimum_due", "credit_limit", "available_limit", "previous_balance", "payments_received")}
     # A pair of days counts only if both can be read.
-    pairs = [(_named(_found(p), as_of), _named(_found(p, 2), as_of)) for p in card.periods]
+    pairs = []
+    for p in card.periods:
+        told = kept(0, F.regexp_extract("text", p, 0))
+        pairs.append([named(_found(p, g, told)) for g in (1, 2)])
     periods = [F.coalesce(*(F.when(a.isNotNull() & b.isNotNull(), x) for (a, b) in pairs for x in [(a, b)[k]]), no_day) for k in (0, 1)]
-    due = F.coalesce(*(_named(_found(p), as_of) for p in card.due), no_day)
-    account = [_found(p) for p in card.card]
+    due = F.coalesce(*(named(found(p)) for p in card.due), no_day)
+    head, top = F.substring_index("text", "\n", {"gaps": BELOW_LINES, "open": AXIS_LINES}.get(card.course, 1)), F.col("_top")
     if card.course == "gaps":
-        stated = _named(_found(r"(?i)Statement\s*Date\s*[:\-]?\s*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})"), as_of)
+        stated = named(found(r"(?i)Statement\s*Date\s*[:\-]?\s*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})"))
         periods = [F.coalesce(periods[0], F.date_sub(stated, 30)), F.coalesce(periods[1], stated)]
-        top = F.slice(lines, 1, BELOW_LINES)
         for name, labels, ahead, without, nth in BELOW:
             least = 2 if name.endswith("_limit") else 1
             out[name] = F.coalesce(out[name], _below(top, labels, ahead, _nth_amount(nth, least, without)))
         due = F.coalesce(due, _below(top, ("MINIMUM DUE", "DUE DATE"), 5, lambda s: _named(_found(BELOW_DAY, 1, s), as_of)))
-    elif card.course == "open":
-        top = F.slice(lines, 1, AXIS_LINES)
-        text = F.array_join(top, "\n")
-        account = [_found(p, 1, text) for p in card.card]
+    account = [found(p, 1, "_head" if card.course == "open" else "text") for p in card.card]
+    if card.course == "open":
         whole = lambda pattern: lambda s: F.when(s.rlike(pattern), s)
-        dues, limits = (_below(top, labels, 3, whole(p), first_only=True) for labels, p in (AXIS_DUES, AXIS_LIMITS))
-        part = lambda s, p, k: _found(p, k, s)
+        dues, limits = (kept(0, _below(top, labels, 3, whole(p), first_only=True)) for labels, p in (AXIS_DUES, AXIS_LIMITS))
+        part = lambda s, p, k: found(p, k, s, 1)
         out |= {"total_due": money.parse_decimal(part(dues, AXIS_DUES[1], 1)), "minimum_due": money.parse_decimal(part(dues, AXIS_DUES[1], 2))}
         out |= {"credit_limit": money.parse_decimal(part(limits, AXIS_LIMITS[1], 2)), "available_limit": money.parse_decimal(part(limits, AXIS_LIMITS[1], 3)), "previous_balance": none, "payments_received": none}
-        periods, due = [_named(part(dues, AXIS_DUES[1], k), as_of) for k in (3, 4)], _named(part(dues, AXIS_DUES[1], 5), as_of)
+        periods, due = [named(part(dues, AXIS_DUES[1], k)) for k in (3, 4)], named(part(dues, AXIS_DUES[1], 5))
         account.append(part(limits, AXIS_LIMITS[1], 1))
-    return documents.select("doc_id", _masked(account).alias("account_masked"), periods[0].alias("period_start"), periods[1].alias("period_end"), due.alias("due_date"), *(c.alias(k) for k, c in out.items()))
+    rows = documents.select("doc_id", "text", head.alias("_head")).withColumn("_top", F.split("_head", "\n"))
+    for k, values in enumerate(steps):
+        rows = rows.select(*rows.columns, *(c.alias(n) for n, c in values.items()))
+    return rows.select("doc_id", _masked(account).alias("account_masked"), periods[0].alias("period_start"), periods[1].alias("period_end"), due.alias("due_date"), *(c.alias(k) for k, c in out.items()))
 
 
 def widened(meta: DataFrame, entries: DataFrame) -> DataFrame:

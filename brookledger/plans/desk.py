@@ -16,6 +16,7 @@ from ..operators import cards, filing
 from ..operators import statements as statement_texts
 from ..operators import ledger as entries
 from ..sources import seeds
+from ..tables import written
 from . import queries as base
 from .ledger import ledger, statement_rows, statements, table, transfer_feed
 from .oracle import BUCKETS, INCOME, LEDGER, ORACLE_SQL, PORTAL, ROWS, TOTALS, listed, quoted, with_
@@ -606,7 +607,7 @@ def _papers(spark: SparkSession, sf_dir: str, line: Column, head: Column, foot:
     rows = ledger(spark, sf_dir).select("txn_id", "user_id", F.date_add("transaction_date", 7305).alias("day"), "amount", "direction", "merchant_raw").withColumn("doc_id", F.col("user_id") * 10000 + F.year("day"))
     signed = F.when(F.col("direction") == "credit", F.col("amount")).otherwise(-F.col("amount"))
     rows = rows.withColumn("balance", (F.sum(signed).over(W.partitionBy("doc_id").orderBy("day", "txn_id")) + F.lit(1_000_000_000)).cast("decimal(14,2)"))
-    lines = F.array_sort(F.collect_list(F.struct("day", "txn_id", line.alias("line"))))
+    lines = F.sort_array(F.collect_list(F.struct("day", "txn_id", line.alias("line"))))
     lines = F.reverse(lines) if newest_first else lines
     return rows.groupBy("doc_id").agg(F.concat(head, F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.lit(foot)).alias("text"))
 
@@ -640,7 +641,7 @@ def k_hdfc_card_rows(spark, sf_dir):
         total::DECIMAL(14,2) AS total_due, most::DECIMAL(14,2) AS minimum_due FROM d"""))
 def k_hdfc_card_summary(spark, sf_dir):
     """Only the day of the statement is told, so its period is thirty days, widened to its rows."""
-    docs = _hdfc_cards(spark, sf_dir)
+    docs = written(_hdfc_cards(spark, sf_dir), "papers")
     meta = cards.metadata(docs, grammars.HDFC_CARD, AS_OF)
     return cards.widened(meta, cards.rows(docs, grammars.HDFC_CARD, AS_OF)).select("doc_id", "account_masked", "period_start", "period_end", "due_date", "total_due", "minimum_due")
 

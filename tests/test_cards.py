@@ -214,3 +214,24 @@ def test_passbook(spark):
     assert meta[len(texts) - 1] == ("XXXXXXXX9012", date(2024, 4, 1), date(2024, 4, 30), D("50.00"), D("77.50")) and meta[40] == (None,) * 5
     assert {r["reference"] for r in found.where("description = 'UPI/123456/ABC'").collect()} == {"UPI/123456/ABC"}
     assert [r["doc_id"] for r in statements.detected(docs.where("doc_id < 2"), grammars.BOB_SAVINGS).collect()] == [0, 1]
+
+
+def test_texts_and_lines_are_read_once_a_pattern(spark, monkeypatch):
+    """What is read of a text or line is a column of its own, and isn't worked out again by each expression that names it."""
+    docs = spark.createDataFrame([(1, "HDFC Bank\nCredit Card Statement")], "doc_id long, text string")
+    plans, write = [], cards.written
+
+    def kept(df, name="table", **options):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name, **options)
+
+    monkeypatch.setattr(cards, "written", kept)
+    for card in grammars.CARDS:
+        plans.clear()
+        cards.rows(docs, card, AS_OF)
+        letters = dict(plans)["card-letters"]
+        assert letters.count("regexp_extract(line") == 0 and letters.count("regexp_") < 45, card.bank
+        meta = cards.metadata(docs, card, AS_OF)._jdf.queryExecution().optimizedPlan().toString()
+        patterns = len(card.periods) + len(card.due) + len(card.card) + sum(map(len, card.amounts.values())) + 1
+        assert meta.count("regexp_extract(text") <= patterns, card.bank
+
