@@ -347,8 +347,11 @@ def b12_mappings(spark, sf_dir):
 
 def _tax_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Deductions of a portal and lines of salary forms, from the totals by user."""
+    return _tax_lines_of(base.portal(spark, sf_dir))
+
+
+def _tax_lines_of(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     u = F.col("user_id")
-    t = base.portal(spark, sf_dir)
     a = t.where(u % 7 != 0).select(u, _pick(("A", "A1", "B"), u).alias("part"), (F.col("self_paid_tax") / 4).cast("decimal(18,2)").alias("amount_tds"))
     f = t.where(u % 5 != 0).select(u, F.lit("tds").alias("head"), (F.coalesce((F.col("self_paid_tax") / 4).cast("decimal(18,2)"), F.lit(0)) + u % 3).cast("decimal(18,2)").alias("amount"))
     g = t.where(u % 2 == 0).select(u, F.lit("gross_salary").alias("head"), F.coalesce("gross_salary", F.lit(0)).cast("decimal(18,2)").alias("amount"))
@@ -369,9 +372,10 @@ def m6_tds_lines(spark, sf_dir):
 @query()
 def m8_all_reports(spark, sf_dir):
     """All four reports: by lines for users who have some, else by sums."""
-    p, b = base.portal(spark, sf_dir), reconcile.ledger_buckets(ledger(spark, sf_dir), base.FIRST, base.LAST)
-    deducted, forms = _tax_lines(spark, sf_dir)
-    year = base.income_rows(ledger(spark, sf_dir)).where("fy = '1999-00'")
+    # Figures by user, and a year's income, are read by several reports.
+    p, b = written(base.portal(spark, sf_dir), "portal"), written(reconcile.ledger_buckets(ledger(spark, sf_dir), base.FIRST, base.LAST), "buckets")
+    deducted, forms = _tax_lines_of(p)
+    year = written(base.income_rows(ledger(spark, sf_dir)).where("fy = '1999-00'").select("txn_id", "user_id", "fy", "bucket", "amount"), "income-year")
     lines = base.portal_lines(year).where("user_id % 3 = 0")
     documented = forms.where("head = 'tds'").select("user_id", "amount")
     summed = p.select("user_id", (F.col("self_paid_tax") / 4).cast("decimal(24,2)").alias("tds_total"))

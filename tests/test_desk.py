@@ -264,3 +264,11 @@ def test_word_chunks_come_in_small_batches(spark):
         assert spark.conf.get(key) == "77"
     finally:
         spark.conf.set(key, before)
+
+
+def test_all_reports_read_the_ledger_for_written_tables_alone(spark):
+    """Several reports name a user's figures; none works them out again from the ledger."""
+    from brookledger.plans import desk, queries  # noqa: F401  desk adds its queries
+
+    plan = queries.QUERIES["m8_all_reports"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_totalprice" not in plan and "o_orderdate" not in plan
