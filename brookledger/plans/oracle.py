@@ -347,7 +347,7 @@ ORACLE_SQL |= {
         n AS (
             SELECT q.doc_id, r.doc_id AS ref_id, r.text, row_number() OVER (PARTITION BY q.doc_id ORDER BY r.doc_id DESC) AS k,
                    len(list_intersect(q.words, r.words)) + CASE WHEN q.bank = r.bank AND q.bank <> '' THEN 8 ELSE 0 END + CASE WHEN q.kind = r.kind AND q.kind <> '' THEN 5 ELSE 0 END + r.more AS score
-            FROM d q JOIN d r ON q.doc_id <> r.doc_id WHERE q.doc_id % 20 = 0),
+            FROM d q JOIN d r ON q.doc_id <> r.doc_id),
         s AS (SELECT * FROM n WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, text ORDER BY k) = 1)
         SELECT doc_id, ref_id, score::BIGINT AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ref_id DESC) AS place FROM s QUALIFY place <= 4""",
 }

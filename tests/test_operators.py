@@ -5,6 +5,7 @@ import re
 from datetime import date, timedelta
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from brookledger.operators import balance, dedup, documents, insights, jobs, mat
 from brookledger.operators import ledger as entries
 from brookledger.plans import queries
 from brookledger.plans.ledger import ledger, transfer_feed
+from brookledger.plans.oracle import ORACLE_SQL
 
 D = Decimal
 LEDGER = "txn_id long, user_id long, transaction_date date, amount decimal(14,2), direction string, nature string, category_name string, merchant_raw string, merchant_normalized string, bank_name string, account_type string, account_masked string, notes string, is_excluded boolean"
@@ -440,3 +442,13 @@ def test_knowledge_rank_does_not_write_pairs(spark):
 
 def _listed(seq):
     return [seq.apply(k) for k in range(seq.size())]
+
+
+def test_knowledge_rank_query_takes_every_document(spark):
+    """The registered query equals its SQL, and each document of the table has its references."""
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{sf}/documents.parquet'")
+    got = {tuple(r) for r in queries.QUERIES["c17_knowledge_rank"](spark, sf).collect()}
+    assert got == set(con.execute(ORACLE_SQL["c17_knowledge_rank"]).fetchall())
+    assert {r[0] for r in got} == {r[0] for r in con.execute("SELECT doc_id FROM documents").fetchall()}
