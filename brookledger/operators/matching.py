@@ -15,6 +15,7 @@ from decimal import Decimal
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,6 +32,10 @@ from .insights import active
 RULES = 5000
 #: Rounds of an assignment before components are looked for, and edges of a component that one task finishes.
 ROUNDS, SMALL = 3, 200_000
+#: Signs of a text that is compared side by side with others, and windows of texts that are looked at in one step.
+SHORT, A_STEP = 199, 4096
+#: What texts must exceed to be alike.
+ALIKE = 0.6
 
 
 def near(left: DataFrame, right: DataFrame, keys: Sequence[str], amount_gap: Decimal, days: int) -> DataFrame:
@@ -215,22 +220,92 @@ def sms_statement_match(sms: DataFrame, ledger: DataFrame) -> DataFrame:
     return best.select("sms_id", "b.txn_id", F.col("b.gap").alias("day_gap"), "b.matched_date")
 
 
-def seq_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity of two texts; for candidate pairs only."""
+def seq_ratio(row: Column, a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp similarity of two texts; for candidate pairs only. Of pairs of one ``row`` those that can't be its most similar ones, or not
+    above ``ALIKE``, may have 0: how many signs two texts share at most is counted first, and those that share most are compared first."""
 
     @F.pandas_udf("double")
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        first, second = ([t or "" for t in c.tolist()] for c in (x, y))
-        out, told = [0.0] * len(first), difflib.SequenceMatcher(None)
-        # What is known of a second text serves all first ones that meet it.
-        for k in sorted(range(len(second)), key=second.__getitem__):
-            if told.b != second[k]:
-                told.set_seq2(second[k])
-            told.set_seq1(first[k])
-            out[k] = told.ratio()
-        return pd.Series(out, dtype=float)
-
-    return of(a, b)
+    def of(r: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(_best_ratios(pd.factorize(r)[0], *([t or "" for t in c.tolist()] for c in (x, y))), dtype=float)
+
+    return of(row, a, b)
+
+
+def _best_ratios(rows: np.ndarray, first: list[str], second: list[str]) -> np.ndarray:
+    code, texts = pd.factorize(np.array([*first, *second], dtype=object))
+    n = np.array([len(t) for t in texts], dtype=np.int64)
+    signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    counts = np.bincount(np.repeat(np.arange(len(texts)) * 64, n) + signs % 64, minlength=len(texts) * 64).reshape(-1, 64).astype(np.int32 if n.max(initial=0) > 255 else np.uint8)
+    a, b = code[: len(first)], code[len(first):]
+    shared = np.concatenate([np.empty(0, np.int64), *(np.minimum(counts[a[k : k + A_STEP]], counts[b[k : k + A_STEP]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), A_STEP))])
+    # Two empty texts are equal.
+    most = np.where(n[a] + n[b] > 0, 2.0 * shared / np.maximum(n[a] + n[b], 1), 1.0)
+    out, best = np.zeros(len(a)), np.full(rows.max(initial=0) + 1, ALIKE)
+    order = np.lexsort((-most, rows))
+    begins = np.concatenate([np.ones(min(len(a), 1), bool), rows[order][1:] != rows[order][:-1]])
+    place = np.arange(len(a)) - np.maximum.accumulate(np.where(begins, np.arange(len(a)), 0))
+    take = 1
+    while take <= 2 * (place.max(initial=0) + 1):
+        now = order[(place >= take - 1) & (place < 2 * take - 1)]
+        now = now[most[now] >= best[rows[now]]]
+        out[now] = ratios([first[k] for k in now], [second[k] for k in now])
+        np.maximum.at(best, rows[now], out[now])
+        take *= 2
+    return out
+
+
+def ratios(first: list[str], second: list[str]) -> np.ndarray:
+    """``difflib.SequenceMatcher(None, a, b).ratio()`` of each pair. Short texts are compared side by side: in each round all of a pair's
+    windows lose their longest common run, of equal ones the first in a and then in b, and leave what stands before and behind it."""
+    n_a, n_b = (np.array([len(t) for t in c], dtype=np.int64) for c in (first, second))
+    total, same = n_a + n_b, np.zeros(len(first), np.int64)
+    short = (n_a <= SHORT) & (n_b <= SHORT)
+    # Longer ones have words that difflib itself leaves out.
+    out = np.array([0.0 if ok else difflib.SequenceMatcher(None, x, y).ratio() for x, y, ok in zip(first, second, short.tolist())], dtype=float)
+    signs = np.frombuffer("".join(t for c in (first, second) for t, ok in zip(c, short.tolist()) if ok).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = np.uint8 if signs.max(initial=0) < 254 else np.uint32
+    # No sign equals what windows are filled up with, which differs on both sides.
+    signs = np.append(signs.astype(kind), [kind(np.iinfo(kind).max - 1), kind(np.iinfo(kind).max)]).astype(kind)
+    pair = np.flatnonzero(short)
+    starts = np.cumsum(np.concatenate([n_a[pair], n_b[pair]])) - np.concatenate([n_a[pair], n_b[pair]])
+    # Windows: pair, where they begin in a and in b, and how long they are there.
+    windows = np.stack([pair, starts[: len(pair)], starts[len(pair):], n_a[pair], n_b[pair]])
+    while windows.shape[1]:
+        windows = windows[:, (windows[3] > 0) & (windows[4] > 0)]
+        windows = windows[:, np.argsort(np.maximum(windows[3], windows[4]), kind="stable")]
+        left = []
+        for at in range(0, windows.shape[1], A_STEP):
+            w = windows[:, at : at + A_STEP]
+            size, i, j = _longest(signs, *w[1:])
+            w, size, i, j = w[:, size > 0], size[size > 0], i[size > 0], j[size > 0]
+            np.add.at(same, w[0], size)
+            left += [np.stack([w[0], w[1], w[2], i, j]), np.stack([w[0], w[1] + i + size, w[2] + j + size, w[3] - i - size, w[4] - j - size])]
+        windows = np.concatenate(left, axis=1) if left else windows[:, :0]
+    return np.where(short, np.where(total > 0, 2.0 * same / np.maximum(total, 1), 1.0), out)
+
+
+def _longest(signs: np.ndarray, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length of the longest common run of each window, and where in it the first one begins."""
+    def cut(at: np.ndarray, n: np.ndarray, fill: int) -> np.ndarray:
+        k = np.arange(n.max())[:, None]
+        return signs[np.where(k < n, at + k, len(signs) - fill)]
+
+    x, y = cut(a, n_a, 2), cut(b, n_b, 1)
+    run, then, back = np.zeros(y.shape, np.uint8), np.empty(y.shape, np.uint8), np.arange(len(y), 0, -1, dtype=np.uint8)[:, None]
+    best, ends_a, ends_b = np.zeros(len(a), np.uint8), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    for k in range(len(x)):
+        # Runs that end here are one longer than those that end one before in both.
+        then[0] = 1
+        np.add(run[:-1], 1, out=then[1:])
+        then *= y == x[k]
+        most = then.max(axis=0)
+        more = np.flatnonzero(most > best)
+        if len(more):
+            # The first place of the longest run is the farthest from the end.
+            best[more], ends_a[more], ends_b[more] = most[more], k, len(y) - ((then[:, more] == most[more]) * back).max(axis=0).astype(np.int64)
+        run, then = then, run
+    size = best.astype(np.int64)
+    return size, ends_a - size + 1, ends_b - size + 1
 
 
 def _first_two(entries: DataFrame, *keys: str | Column) -> DataFrame:
@@ -241,6 +316,7 @@ def _first_two(entries: DataFrame, *keys: str | Column) -> DataFrame:
 
 def candidates(rows: DataFrame, existing: DataFrame, similar: bool = True) -> DataFrame:
     """Pairs (txn_id, match_id) of a row and an entry that it may repeat, with tier, _order within it, method and confidence; see ``duplicates``.
+    The best pair of each row is among them, of those that are compared by text maybe no other.
 
     Of entries that a row can't tell apart (equal fingerprint; equal reference, direction and account; equal amount and day, and text where texts are
     compared) the two with the smallest ids alone are paired, so that pairs grow with the rows; those that are compared by text grow with the different texts
@@ -269,7 +345,7 @@ def candidates(rows: DataFrame, existing: DataFrame, similar: bool = True) -> Da
     found = exact.unionByName(reference).unionByName(fuzzy)
     if similar:
         pairs = near_to(_first_two(dated.withColumn("merchant_raw", F.upper("merchant_raw")), *cell, "merchant_raw"), 1)
-        alike = pairs.withColumn("_s", seq_ratio(F.upper("l_merchant_raw"), F.col("r_merchant_raw"))).where("_s > 0.6")
+        alike = pairs.withColumn("_s", seq_ratio(F.col("l_txn_id"), F.upper("l_merchant_raw"), F.col("r_merchant_raw"))).where(F.col("_s") > ALIKE)
         found = found.unionByName(alike.select(F.col("l_txn_id").alias("txn_id"), F.lit(2).alias("tier"), F.lit("amount_date_desc").alias("method"), F.least(F.lit(0.95), 0.8 + (F.col("_s") - 0.6) * 0.375).alias("confidence"), (-F.col("_s")).alias("_order"), F.col("r_txn_id").alias("match_id")))
     return found
 

@@ -8,6 +8,7 @@ from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -15,7 +16,7 @@ from ..functions import classify, money, text
 from ..tables import written
 from . import ledger as entries
 from .graph import components, folded
-from .matching import candidates, card_payment_pairs
+from .matching import ALIKE, candidates, card_payment_pairs
 
 
 class Promoted(NamedTuple):
@@ -61,18 +62,21 @@ def resolved(tasks: DataFrame, parsed: DataFrame, decisions: DataFrame) -> Resol
 def kin(rows: DataFrame) -> DataFrame:
     """(node, component) of rows that may depend on one another: those that share a fingerprint, a reference, or an amount on days close together.
 
-    A key's rows are tied to its smallest one, and a bucket of days to the next, so there are a few edges a row and never pairs of a group.
+    Rows of an amount in buckets of days that follow one another stand for their smallest one, so that no chain is left to follow. What the fingerprints and references
+    tie together are these alone, each to its group's smallest one: there are a few edges a row at most and never pairs of a group.
     """
-    key = lambda *c: F.struct(*(F.col(x) for x in c))
-    named = [rows.where(F.col(own).isNotNull()).select("txn_id", key("user_id", own, *more).alias("_k")) for own, more in (("fingerprint", ()), ("reference_number", ("direction",)))]
+    day = F.when(F.col("amount").isNotNull(), F.floor(F.datediff("transaction_date", F.lit("1970-01-01")) / 4))
+    slim = rows.select("txn_id", "user_id", "direction", "fingerprint", "reference_number", F.struct("user_id", "direction", money.paise(F.col("amount")).alias("p")).alias("_k"), day.alias("_d"))
+    tops = slim.where("_d IS NOT NULL").groupBy("_k", "_d").agg(F.min("txn_id").alias("_least")).withColumn("_run", F.col("_d") - F.row_number().over(W.partitionBy("_k").orderBy("_d")))
+    tops = tops.withColumn("_first", F.min("_least").over(W.partitionBy("_k", "_run"))).select("_k", "_d", "_first")
+    tied = written(slim.join(tops, ["_k", "_d"], "left").withColumn("_own", F.coalesce("_first", "txn_id")).drop("_k", "_d", "_first"), "kin-rows")
     edges = []
-    for some in named:
-        edges.append(some.join(some.groupBy("_k").agg(F.min("txn_id").alias("_first")), "_k").select("txn_id", "_first"))
-    days = rows.where("amount IS NOT NULL AND transaction_date IS NOT NULL").select("txn_id", F.struct("user_id", "direction", money.paise(F.col("amount")).alias("p")).alias("_k"), F.floor(F.datediff("transaction_date", F.lit("1970-01-01")) / 4).alias("_d"))
-    tops = written(days.groupBy("_k", "_d").agg(F.min("txn_id").alias("_first")), "kin-days")
-    edges.append(days.join(tops, ["_k", "_d"]).select("txn_id", "_first"))
-    edges.append(tops.join(tops.select("_k", (F.col("_d") - 1).alias("_d"), F.col("_first").alias("_next")), ["_k", "_d"]).select(F.col("_next").alias("txn_id"), "_first"))
-    return components(reduce(DataFrame.unionByName, edges).where("txn_id <> _first").toDF("a", "b"))
+    for own, more in (("fingerprint", ()), ("reference_number", ("direction",))):
+        some = tied.where(F.col(own).isNotNull()).select("_own", F.struct("user_id", own, *more).alias("_k"))
+        groups = some.groupBy("_k").agg(F.min("_own").alias("_first"), F.max("_own").alias("_last")).where("_first < _last").drop("_last")
+        edges.append(some.join(groups, "_k").select("_own", "_first"))
+    roots = components(reduce(DataFrame.unionByName, edges).where("_own <> _first").toDF("a", "b")).withColumnRenamed("node", "_own")
+    return tied.join(roots, "_own", "left").select(F.col("txn_id").alias("node"), F.coalesce("component", "_own").alias("component"))
 
 
 def _ledger_fold(similar: bool):
@@ -91,15 +95,16 @@ def _ledger_fold(similar: bool):
                     found.append((0, 0.0, True, by_print[user, mark], "fingerprint_exact", 0.99))
                 if reference is not None and direction is not None:
                     found += [(1, 0.0, True, i, "exact_ref", 1.0) for i, a in by_reference[user, reference, direction] if a is None or account is None or a == account]
+            better = bool(found) and min(found)[0] < 2  # whatever texts say
             if cents is not None and day is not None:
                 near = by_amount[user, direction, cents]
                 near[:] = [x for x in near if (day - x[0]).days <= 3]  # rows come in the order of their days
                 for at, i, other_text in near:
                     gap = (day - at).days
                     found.append((3, float(gap), True, i, "fuzzy", max(0.6, 0.8 - gap * 0.2 / 3)))
-                    if similar and gap <= 1:
+                    if similar and gap <= 1 and not better:
                         alike = difflib.SequenceMatcher(None, text or "", other_text or "").ratio()
-                        if alike > 0.6:
+                        if alike > ALIKE:
                             found.append((2, -alike, True, i, "amount_date_desc", min(0.95, 0.8 + (alike - 0.6) * 0.375)))
             if found:
                 best = min(found)

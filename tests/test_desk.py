@@ -5,6 +5,7 @@ import random
 from datetime import date, timedelta
 from decimal import Decimal
 
+import numpy as np
 import pytest
 
 from brookledger.operators import balance, documents, extract, graph, intake, jobs, ledger, matching, review
@@ -59,6 +60,33 @@ def test_thousands_of_alike_rows_join_in_few_rounds(spark, monkeypatch):
     assert len(made) <= 4 * 12
 
 
+def test_a_chain_of_days_needs_no_rounds(spark, monkeypatch):
+    """400 rows of one amount, each of which may repeat the one before it: their component is found without following the chain."""
+    new = [(k, 1, date(2024, 1, 1) + timedelta(days=3 * k), Decimal(5), "debit", None, f"f{k}", None, "SHOP", "savings") for k in range(400)]
+    made = []
+    monkeypatch.setattr(graph, "written", lambda df, name="table", real=graph.written: made.append(name) or real(df, name))
+    got = review.kin(spark.createDataFrame(new, ROW)).collect()
+    assert {r["node"] for r in got} == set(range(400)) and {r["component"] for r in got} == {0}
+    assert len(made) <= 8
+
+
+def test_similarities_of_many_texts_are_those_of_difflib():
+    rng = random.Random(5)
+    sizes = (0, 1, 7, 30, 60, 199, 200, 260)
+    texts = ["".join(rng.choices(signs, k=rng.choice(sizes[:most]))) for signs, most in (("ab", 4), ("abc #0123\u00e9", 5), ("abcdef \u6f22\U0001f600", 8)) for _ in range(120)]
+    pairs = [(a, b) for a in rng.sample(texts, 30) for b in rng.sample(texts, 30)]
+    want = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert matching.ratios(*map(list, zip(*pairs))).tolist() == want
+    # Of a row's pairs those that are left out are less alike than its best one, or not alike.
+    rows = [k // 30 for k in range(len(pairs))]
+    got = matching._best_ratios(np.array(rows), *map(list, zip(*pairs))).tolist()
+    assert all(x in (0.0, y) for x, y in zip(got, want)) and 0.0 in got
+    for row in set(rows):
+        best = max(y for y, r in zip(want, rows) if r == row)
+        assert best <= 0.6 or [k for k, r in enumerate(rows) if r == row and got[k] == best] == [k for k, r in enumerate(rows) if r == row and want[k] == best]
+    assert matching.ratios([], []).tolist() == [] and matching._best_ratios(np.array([], dtype=int), [], []).tolist() == []
+
+
 @pytest.mark.parametrize("seed,similar", [(0, False), (1, False), (2, True), (3, True)])
 def test_promoted_rows_see_those_before_them(spark, seed, similar):
     rng = random.Random(seed)
